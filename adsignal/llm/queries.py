@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, urls
+from . import bpe, packing, quality, urls
 from .common import fold, load
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -22,6 +22,11 @@ def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op4_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.digests(bpe.decode(encoded))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
@@ -30,6 +35,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_compression": op2_quality_compression,
     "op3_swap_packing": op3_swap_packing,
+    "op4_bpe_speculate": op4_bpe_speculate,
     "op7_url_filter": op7_url_filter,
 }
 

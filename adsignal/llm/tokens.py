@@ -16,7 +16,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_OTHER = re.compile("<\\||[^\x00-ɏ‐-‧‰-⁞€]|\\S{1500}")
+_OTHER = re.compile("<\\||[^\x00-ſ‐-‧‰-⁞€]|\\S{1500}")
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
