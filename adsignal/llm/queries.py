@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, urls
+from . import bpe, embedding_dedup, packing, quality, urls
 from .common import fold, load
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -27,6 +27,10 @@ def op4_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded))
 
 
+def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
@@ -36,6 +40,7 @@ QUERIES = {
     "op2_quality_compression": op2_quality_compression,
     "op3_swap_packing": op3_swap_packing,
     "op4_bpe_speculate": op4_bpe_speculate,
+    "op5_spherical_caps": op5_spherical_caps,
     "op7_url_filter": op7_url_filter,
 }
 
