@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, packing, quality, urls
+from . import ann, bpe, embedding_dedup, packing, pii, quality, urls
 from .common import fold, load
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -31,6 +31,14 @@ def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(load(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
@@ -42,6 +50,8 @@ QUERIES = {
     "op4_bpe_speculate": op4_bpe_speculate,
     "op5_spherical_caps": op5_spherical_caps,
     "op7_url_filter": op7_url_filter,
+    "op8_one_bit_codes": op8_one_bit_codes,
+    "op10_information_pii": op10_information_pii,
 }
 
 ORACLES: dict[str, str] = {}
