@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, packing, pii, quality, urls
+from . import ann, bpe, embedding_dedup, jaccard_join, packing, pii, quality, urls
 from .common import fold, load
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -39,6 +39,10 @@ def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(load(spark, sf_dir, "documents"))
 
 
+def op6_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(load(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_swap_packing": op3_swap_packing,
     "op4_bpe_speculate": op4_bpe_speculate,
     "op5_spherical_caps": op5_spherical_caps,
+    "op6_token_combinations": op6_token_combinations,
     "op7_url_filter": op7_url_filter,
     "op8_one_bit_codes": op8_one_bit_codes,
     "op10_information_pii": op10_information_pii,
