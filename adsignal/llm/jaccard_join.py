@@ -2,7 +2,8 @@
 
 1. Every shingle of every document is counted: tasks send the shingles' leading bits, sorted and packed, to buckets
    that count them.  Shingles in at least ``frequent`` documents are the frequent class.
-2. A document's shingles are ordered by count (all rare ones alike) and hash.  Two documents that are similar enough
+2. A document's shingles are ordered: those that no other document has (as far as a bitmap of fixed size tells), other
+   rare ones, frequent ones by count; then by hash.  Two documents that are similar enough
    share one of the first p shingles, and two of the first p + 1, p following from size and threshold.  Rare ones of
    the first p are index keys by themselves.
 3. Equal sets are one class.  Each class is verified against one partner: the smallest document of a key, for the key
@@ -29,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 from .components import components
 from .shingles import lots, mixed, sets
 
 SALTED = 20_000  # documents of a key that one task looks at
+STAR = 2_000  # documents that one task compares with one partner
+REPEATED_BITS = 27  # 16 MB; with more repeated shingles than bits it tells fewer of the unique ones, at a cost in work alone
 
 
 def _text(batch: pa.RecordBatch) -> pa.Array:
@@ -41,7 +44,8 @@ def _text(batch: pa.RecordBatch) -> pa.Array:
 
 
 def shingle_counts(docs: DataFrame, k: int, bits: int, least: int) -> DataFrame:
-    """(token, n) for shingles, by their first 32 + bits bits, that at least ``least`` documents hold."""
+    """(token, n, bitmap) by shingles' first 32 + bits bits: those that at least ``least`` documents hold, and in a row
+    without n, for each bucket, the piece of the bitmap with a bit set for shingles that more than one holds."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -80,10 +84,27 @@ def shingle_counts(docs: DataFrame, k: int, bits: int, least: int) -> DataFrame:
         low = np.sort(np.concatenate(parts))
         starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         n = np.diff(np.append(starts, len(low)))
-        many = n >= least
-        return pa.table({"token": (np.int64(key[0].as_py()) << 32) + low[starts[many]].astype("int64"), "n": n[many].astype("int64")})
+        many, bucket = n >= least, key[0].as_py()
+        piece = np.zeros(1 << (REPEATED_BITS - bits), "uint8")
+        piece[low[starts[n > 1]] >> np.uint32(32 + bits - REPEATED_BITS)] = 1
+        return pa.table(
+            {
+                "token": np.append((np.int64(bucket) << 32) + low[starts[many]].astype("int64"), bucket),
+                "n": pa.array([*n[many].tolist(), None], pa.int64()),
+                "bitmap": pa.array([*[None] * int(many.sum()), np.packbits(piece).tobytes()], pa.binary()),
+            }
+        )
 
-    return docs.mapInArrow(pack, "bucket long, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long")
+    return docs.mapInArrow(pack, "bucket long, tokens binary").groupBy("bucket").applyInArrow(count, "token long, n long, bitmap binary")
+
+
+def repeated_bitmap(counts: DataFrame, bits: int) -> np.ndarray:
+    """The whole bitmap, of 2 ** REPEATED_BITS bits at any size of corpus."""
+    out = np.zeros(1 << (REPEATED_BITS - 3), "uint8")
+    size = len(out) >> bits
+    for row in counts.filter("n IS NULL").select("token", "bitmap").toLocalIterator():
+        out[row["token"] * size : (row["token"] + 1) * size] = np.frombuffer(row["bitmap"], "uint8")
+    return out
 
 
 def frequent_class(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +124,13 @@ SIGNED = "doc_id long, n long, h long, g long, rare array<long>, common array<lo
 
 
 def signed(docs: DataFrame, k: int, percent: int, bits: int, frequent) -> DataFrame:
-    """Per document: size and two sums of its set, rare shingles of the first p, frequent ones of the first p + 1."""
+    """Per document: size and two sums of its set, rare shingles of the first p, frequent ones of the first p + 1.
+
+    Shingles that no other document has come first and are no keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = frequent.value
+        tokens, counts, repeated = frequent.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, data, ends in lots(_text(batch)):
@@ -116,6 +140,9 @@ def signed(docs: DataFrame, k: int, percent: int, bits: int, frequent) -> DataFr
                 short = (value >> np.uint64(32 - bits)).astype("int64")
                 place = np.minimum(np.searchsorted(tokens, short), max(len(tokens) - 1, 0))
                 count = np.where(tokens[place] == short, counts[place], 0) if len(tokens) else np.zeros(len(value), "int64")
+                spot = (value >> np.uint64(64 - REPEATED_BITS)).astype("int64")
+                once = ((repeated[spot >> 3] >> (7 - (spot & 7)).astype("uint8")) & 1) == 0
+                count[once] = -1
                 order = np.lexsort((value, count, owner))
                 value_, count_ = value[order], count[order]
                 rank = np.arange(len(value)) - np.repeat(at[:-1], sizes)
@@ -139,6 +166,18 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """Broadcast up to a million rows of a few numbers; beyond that a shuffled join."""
+    return F.broadcast(rows) if n <= 1_000_000 else rows
+
+
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
@@ -147,11 +186,7 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             one, two = batch.column(2), batch.column(3)
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(one[i].as_buffer(), "uint64"), np.frombuffer(two[i].as_buffer(), "uint64")
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
+                ok[i] = similar(np.frombuffer(one[i].as_buffer(), "uint64"), np.frombuffer(two[i].as_buffer(), "uint64"), percent)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
     left = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -159,6 +194,37 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def stars(docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of ``first`` (a, b), one for each a, that are similar enough: (a, b).
+
+    A partner's set is sent once for every ``STAR`` documents that are compared with it, theirs once each.
+    """
+    sizes = first.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    members = first.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
+    hubs = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
+    rows = stored(members.unionByName(hubs), "stars")
+    n = rows.count()
+    held = full_sets(docs.join(_sent(rows.select("doc_id").distinct(), n), "doc_id", "left_semi"), k)
+    dealt = held.join(_sent(rows, n), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, None
+        for batch in batches:
+            ids, named, salts, is_hub, held_sets = (batch.column(c) for c in ("doc_id", "hub", "salt", "is_hub", "shingles"))
+            found: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                here, own = (named[i].as_py(), salts[i].as_py()), np.frombuffer(held_sets[i].as_buffer(), "uint64")
+                if is_hub[i].as_py():
+                    at, x = here, own
+                elif at == here and similar(x, own, percent):
+                    found.append((ids[i].as_py(), here[0]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    parts = partitions(docs.sparkSession, n, 20_000)
+    return dealt.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(run, "a long, b long")
+
+
 def cross_pairs(keys: DataFrame) -> DataFrame:
     """Distinct pairs of documents of different components that share a key; keys: doc_id, n, component, key."""
     groups = keys.groupBy("key", "component").agg(F.count("*").alias("docs"))
@@ -176,16 +242,17 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     size = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = min(24, max(2, int(np.ceil(np.log2(max(size, 1) / 6 / 1_000_000 + 1)))))
     counts = stored(shingle_counts(plain, k, bits, frequent), "counts")
-    held = spark.sparkContext.broadcast(frequent_class(counts, most_frequent))
+    known = counts.filter("n IS NOT NULL")
+    held = spark.sparkContext.broadcast((*frequent_class(known, most_frequent), repeated_bitmap(counts, bits)))
     table = stored(signed(plain, k, percent, bits, held), "signed")
 
     whole = table.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("rep"))
     classes = stored(table.filter("n > 0").select("doc_id", "n", "h", "g").join(whole, ["n", "h", "g"]).select("doc_id", "rep", "n"), "classes")
     own = classes.filter("doc_id = rep").select("doc_id").distinct()
-    reps = table.filter("n > 0").select("doc_id", "n", "rare", "common").join(own, "doc_id", "left_semi")
+    reps = table.filter("size(rare) > 0 OR size(common) > 0").select("doc_id", "n", "rare", "common").join(_sent(own, classes.count()), "doc_id", "left_semi")
     postings = reps.select("doc_id", "n", F.explode("rare").alias("key"), F.lit(0).alias("salts"))
     token = F.shiftrightunsigned("key", 32 - bits)
-    many = counts.filter(F.col("n") > SALTED).select(F.col("token"), F.ceil(F.col("n") / SALTED).cast("int").alias("salts_"))
+    many = known.filter(F.col("n") > SALTED).select(F.col("token"), F.ceil(F.col("n") / SALTED).cast("int").alias("salts_"))
     shared = reps.select("doc_id", "n", F.explode("common").alias("key")).withColumn("token", token).join(F.broadcast(many) if many.count() < 100_000 else many, "token", "left")
     postings = postings.unionByName(shared.select("doc_id", "n", "key", F.coalesce("salts_", F.lit(1)).alias("salts")))
     place = Window.partitionBy("key", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)))
@@ -195,11 +262,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     named = postings.filter("leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
     best = named.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
     first = best.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    needed = postings.select("doc_id").distinct()
-    n_needed = needed.count()
-    needed = F.broadcast(needed) if n_needed <= 1_000_000 else needed  # 8 MB; beyond that a shuffled join
-    held_sets = stored(full_sets(plain.join(needed, "doc_id", "left_semi"), k), "sets")
-    links = stored(verified(first, held_sets, percent), "links")
+    links = stored(stars(plain, first, k, percent), "links")
 
     groups = components(links)
     placed = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -210,6 +273,9 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     combined = lists.select("doc_id", "n", "component", F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))).alias("key"))
     pairs = cross_pairs(single.unionByName(combined))
     pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    held_sets = stored(full_sets(plain.join(_sent(needed, 2 * pairs.count()), "doc_id", "left_semi"), k), "sets")
     more = stored(verified(pairs, held_sets, percent), "links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
     found = classes.select("doc_id", "rep").distinct().join(final, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("found"))
