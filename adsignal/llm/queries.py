@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, jaccard_join, packing, pii, quality, urls
+from . import ann, bpe, embedding_dedup, jaccard_join, packing, pii, quality, suffix_tree, urls
 from .common import fold, load
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -35,6 +35,10 @@ def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(load(spark, sf_dir, "documents"), training=fold("doc_id", 7) != 2, held_out=fold("doc_id", 7) == 2)
+
+
 def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(load(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_token_combinations": op6_token_combinations,
     "op7_url_filter": op7_url_filter,
     "op8_one_bit_codes": op8_one_bit_codes,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_information_pii": op10_information_pii,
 }
 
