@@ -1,13 +1,54 @@
-"""The corpus pipeline: reject poor documents, keep one of each near-duplicate group, sanitise, pack."""
+"""The corpus pipeline: reject poor documents, keep one of each near-duplicate group, sanitise, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Null and empty texts are kept by every stage; of documents in one near-duplicate group the smallest id stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from adsignal.llm import jaccard_join, packing, pii, quality
+from adsignal.llm.common import load, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    return quality.score(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares at least 80 of 100 five-word shingles, directly or by links."""
+    found = stored(jaccard_join.similar_documents(docs, k=5, percent=80), "groups")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone  # 8 MB; beyond that a shuffled join
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data generalised and disclosing terms removed; n_chars follows."""
+    return pii.sanitise(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality_stage), ("near duplicates", dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]
+
+#: SQL has no compression, tokenizers or local search: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = stored(docs, f"stage{n}")
     return docs
