@@ -70,7 +70,7 @@ def shingle_counts(docs: DataFrame, k: int, bits: int, least: int) -> DataFrame:
                 if len(value):
                     held.append(value)
                     size += len(value)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:

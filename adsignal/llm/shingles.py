@@ -1,7 +1,7 @@
 """Word shingles of whole texts as 64-bit hashes, computed on arrays of a batch's bytes.
 
 A word's hash is a polynomial over random values of its bytes, from prefix sums; a shingle's one combines its words'.
-Texts are taken in lots of about two million bytes, so memory follows the longest text at most.
+Texts are taken in lots of about one million bytes, so memory follows the longest text at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LOT = 1 << 21
+LOT = 1 << 20
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
