@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored
 from .components import components
-from .shingles import lots, mixed, sets
+from .shingles import lots, mixed, release, sets
 
 SALTED = 20_000  # documents of a key that one task looks at
 STAR = 2_000  # documents that one task compares with one partner
@@ -75,6 +75,8 @@ def shingle_counts(docs: DataFrame, k: int, bits: int, least: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield flush()
+        held.clear()
+        release()
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         parts = []
@@ -116,8 +118,8 @@ def frequent_class(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
             floor = power + 1
             break
         kept += by_power[power]
-    rows = counts.filter(F.floor(F.log2("n")) >= floor).toPandas().sort_values("token")
-    return rows["token"].to_numpy("int64"), rows["n"].to_numpy("int64")
+    rows = counts.filter(F.floor(F.log2("n")) >= floor).select("token", "n").toArrow().sort_by("token")
+    return rows["token"].to_numpy(), rows["n"].to_numpy()
 
 
 SIGNED = "doc_id long, n long, h long, g long, rare array<long>, common array<long>"
@@ -220,6 +222,7 @@ def stars(docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
                     found.append((ids[i].as_py(), here[0]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        release()
 
     parts = partitions(docs.sparkSession, n, 20_000)
     return dealt.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(run, "a long, b long")
@@ -235,7 +238,7 @@ def cross_pairs(keys: DataFrame) -> DataFrame:
     return one.join(two, "key").filter("c_a < c_b").select(F.col("a"), F.col("b"), "n_a", "n_b").distinct()
 
 
-def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", frequent: int = 32, most_frequent: int = 2_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", frequent: int = 32, most_frequent: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.  Links are pairs with 100 * both >= percent * either."""
     spark = docs.sparkSession
     plain = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))

@@ -6,6 +6,7 @@ Texts are taken in lots of about one million bytes, so memory follows the longes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,15 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mixed((sums[stops] - sums[starts]) * down[starts] + lengths * _BASE), starts, stops, np.searchsorted(starts, ends)
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that is used again would else keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lots(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of consecutive documents; null texts are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -71,6 +81,7 @@ def lots(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + LOT, side="right")) - 1)
         yield first, last, data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
+    release()
 
 
 def sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
