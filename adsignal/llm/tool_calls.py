@@ -6,8 +6,8 @@ the longest chain of such dependencies.
 
 Defined cases: a call without a result stays, with status ``unanswered``; a result without a call is returned with
 status ``orphan``; of several results of one call the earliest counts, ties by content; equal call rows stay rows of
-their own; a null identifier links with nothing; dependencies on unknown calls are ignored; calls in a cycle have
-status ``cyclic`` and keep their turn's place; arguments that are null or no JSON object are the error ``json``; a call
+their own; a null identifier links with nothing; dependencies on unknown calls are ignored; calls in a cycle, or
+behind one, have status ``cyclic`` and keep their turn's place; arguments that are null or no JSON object are the error ``json``; a call
 of an unknown tool is the error ``unknown tool``; empty tables give empty results; extra columns are not carried.
 """
 
@@ -49,15 +49,19 @@ def _ordered(calls: DataFrame) -> DataFrame:
     forward = edges.filter("needs_turn >= turn").count()
     if not forward:
         return calls.withColumn("at", F.struct(F.col("turn").alias("turn"), F.lit(0).alias("hops"))).withColumn("cyclic", F.lit(False))
-    state = places.select("conv_id", "call_id", F.struct(F.col("turn").alias("turn"), F.lit(0).alias("hops")).alias("at"), F.lit(True).alias("moved"))
-    for _ in range(forward + 1):
+    # Without a cycle a call moves for the last time in a round before its conversation's number of dependencies.
+    touched = edges.join(edges.filter("needs_turn >= turn").select("conv_id").distinct(), "conv_id", "left_semi")
+    most = touched.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    state = places.join(touched.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "call_id", F.struct(F.col("turn").alias("turn"), F.lit(0).alias("hops")).alias("at"), F.lit(-1).alias("moved"))
+    for round_ in range(2 * most + 2):
         before = state.select("conv_id", F.col("call_id").alias("needs"), F.struct(F.col("at.turn").alias("turn"), (F.col("at.hops") + 1).alias("hops")).alias("behind"))
-        latest = edges.join(before, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.max("behind").alias("behind"))
-        joined = state.drop("moved").join(latest, ["conv_id", "call_id"], "left")
-        state = stored(joined.select("conv_id", "call_id", F.greatest("at", F.coalesce("behind", "at")).alias("at"), F.coalesce(F.col("behind") > F.col("at"), F.lit(False)).alias("moved")), "order")
-        if not state.filter("moved").head(1):
+        latest = touched.join(before, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.max("behind").alias("behind"))
+        joined = state.join(latest, ["conv_id", "call_id"], "left")
+        moves = F.coalesce(F.col("behind") > F.col("at"), F.lit(False))
+        state = stored(joined.select("conv_id", "call_id", F.greatest("at", F.coalesce("behind", "at")).alias("at"), F.when(moves, F.lit(round_)).otherwise(F.col("moved")).alias("moved")), "order")
+        if not state.filter(F.col("moved") == round_).head(1):
             break
-    still = state.select("conv_id", "call_id", "at", F.col("moved").alias("cyclic"))
+    still = state.select("conv_id", "call_id", "at", (F.col("moved") > most).alias("cyclic"))
     own = F.struct(F.col("turn").alias("turn"), F.lit(0).alias("hops"))
     out = calls.join(still, ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     return out.withColumn("at", F.when(F.col("cyclic") | F.col("at").isNull(), own).otherwise(F.greatest("at", own)))
