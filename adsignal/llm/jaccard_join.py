@@ -122,7 +122,7 @@ def frequent_class(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     return rows["token"].to_numpy(), rows["n"].to_numpy()
 
 
-SIGNED = "doc_id long, n long, h long, g long, rare array<long>, common array<long>"
+SIGNED = "doc_id long, n long, h long, g long, n_unique long, n_rare long, rare array<long>, common array<long>"
 
 
 def signed(docs: DataFrame, k: int, percent: int, bits: int, frequent) -> DataFrame:
@@ -152,7 +152,8 @@ def signed(docs: DataFrame, k: int, percent: int, bits: int, frequent) -> DataFr
                 rare, common = (rank < p) & (count_ == 0), (rank < p + 1) & (count_ > 0)
                 sums = [np.add.reduceat(np.append(x, np.uint64(0)), at[:-1]) * (sizes > 0).astype("uint64") if len(sizes) else np.empty(0, "uint64") for x in (value, mixed(value + np.uint64(7)))]
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[m], minlength=len(sizes)))]), pa.int32()), pa.array(value_[m].view("int64"))) for m in (rare, common)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s.view("int64")) for s in sums), *lists], names=["doc_id", "n", "h", "g", "rare", "common"])
+                kinds = [np.bincount(owner[m], minlength=len(sizes)) for m in (count_ < 0, count_ == 0)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s.view("int64")) for s in sums), *map(pa.array, kinds), *lists], names=["doc_id", "n", "h", "g", "n_unique", "n_rare", "rare", "common"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -228,14 +229,17 @@ def stars(docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct pairs of documents of different components that share a key; keys: doc_id, n, component, key."""
-    groups = keys.groupBy("key", "component").agg(F.count("*").alias("docs"))
-    several = groups.groupBy("key").agg(F.count("*").alias("components")).filter("components > 1").select("key")
+def cross_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of documents of different components that share a key; keys: doc_id, n, component, key, left.
+
+    ``left``: how many shingles the document can share at most, if the key is the first thing that it shares.  A pair
+    that is similar enough passes at its first key.
+    """
+    several = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     keys = keys.join(several, "key")
-    one = keys.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = keys.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    return one.join(two, "key").filter("c_a < c_b").select(F.col("a"), F.col("b"), "n_a", "n_b").distinct()
+    one, two = (keys.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("left").alias(f"l_{x}")) for x in "ab")
+    enough = F.expr(f"least(l_a, l_b) * {100 + percent} >= {percent} * (n_a + n_b)")
+    return one.join(two, (one["key"] == two["key"]) & (F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", frequent: int = 32, most_frequent: int = 1_000_000) -> DataFrame:
@@ -252,15 +256,16 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     whole = table.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("rep"))
     classes = stored(table.filter("n > 0").select("doc_id", "n", "h", "g").join(whole, ["n", "h", "g"]).select("doc_id", "rep", "n"), "classes")
     own = classes.filter("doc_id = rep").select("doc_id").distinct()
-    reps = table.filter("size(rare) > 0 OR size(common) > 0").select("doc_id", "n", "rare", "common").join(_sent(own, classes.count()), "doc_id", "left_semi")
-    postings = reps.select("doc_id", "n", F.explode("rare").alias("key"), F.lit(0).alias("salts"))
+    reps = table.filter("size(rare) > 0 OR size(common) > 0").select("doc_id", "n", "n_unique", "n_rare", "rare", "common").join(_sent(own, classes.count()), "doc_id", "left_semi")
+    left = lambda *before: F.col("n") - sum(map(F.col, before), F.lit(0))
+    postings = reps.select("doc_id", "n", left("n_unique").alias("left"), F.posexplode("rare").alias("place", "key")).select("doc_id", "n", (F.col("left") - F.col("place")).alias("left"), "key", F.lit(0).alias("salts"))
     token = F.shiftrightunsigned("key", 32 - bits)
     many = known.filter(F.col("n") > SALTED).select(F.col("token"), F.ceil(F.col("n") / SALTED).cast("int").alias("salts_"))
-    shared = reps.select("doc_id", "n", F.explode("common").alias("key")).withColumn("token", token).join(F.broadcast(many) if many.count() < 100_000 else many, "token", "left")
-    postings = postings.unionByName(shared.select("doc_id", "n", "key", F.coalesce("salts_", F.lit(1)).alias("salts")))
+    shared = reps.select("doc_id", "n", left("n_unique", "n_rare").alias("left"), F.posexplode("common").alias("place", "key")).withColumn("left", F.col("left") - F.col("place")).withColumn("token", token).join(F.broadcast(many) if many.count() < 100_000 else many, "token", "left")
+    postings = postings.unionByName(shared.select("doc_id", "n", "left", "key", F.coalesce("salts_", F.lit(1)).alias("salts")))
     place = Window.partitionBy("key", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)))
     postings = postings.withColumn("leader", F.min("doc_id").over(place)).withColumn("docs", F.count("*").over(place)).filter("docs > 1 OR salts > 1")
-    postings = stored(postings.select("doc_id", "n", "key", (F.col("salts") > 0).alias("common"), "leader"), "postings")
+    postings = stored(postings.select("doc_id", "n", "left", "key", (F.col("salts") > 0).alias("common"), "leader"), "postings")
 
     named = postings.filter("leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
     best = named.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
@@ -269,13 +274,14 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
 
     groups = components(links)
     placed = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    single = placed.filter("NOT common").select("doc_id", "n", "component", "key")
+    single = placed.filter("NOT common").select("doc_id", "n", "component", "key", "left")
     twice = placed.filter("common")
-    open_ = twice.groupBy("key", "component").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    lists = twice.join(open_, "key").groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter(F.size("keys") > 1)
-    combined = lists.select("doc_id", "n", "component", F.explode(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))).alias("key"))
-    pairs = cross_pairs(single.unionByName(combined))
-    pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+    open_ = twice.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    # In the order of all documents: what comes later leaves less to share.
+    lists = twice.join(open_, "key").groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("left", "key")), asc=False).alias("keys")).filter(F.size("keys") > 1)
+    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), (y["left"] + 1).alias("left")))))
+    combined = lists.select("doc_id", "n", "component", F.explode(both).alias("x")).select("doc_id", "n", "component", "x.key", "x.left")
+    pairs = cross_pairs(single.unionByName(combined), percent)
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     held_sets = stored(full_sets(plain.join(_sent(needed, 2 * pairs.count()), "doc_id", "left_semi"), k), "sets")
