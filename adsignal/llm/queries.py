@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, jaccard_join, packing, pii, quality, suffix_tree, tool_calls, urls
+from . import (
+    ann,
+    bpe,
+    embedding_dedup,
+    jaccard_join,
+    packing,
+    pii,
+    quality,
+    sql,
+    suffix_tree,
+    tool_calls,
+    urls,
+)
 from .common import fold, load
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -94,4 +106,4 @@ SELECT r.conv_id, r.turn, printf('%019d', r.turn) || '.000000', r.call_id, NULL,
 FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 """
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": _SQL_OP1}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": _SQL_OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6}
