@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import sent_if_small
+
 
 def lookup(queries: DataFrame, known: DataFrame) -> DataFrame:
     """(query, product_name, how): equal name whatever its case, else the shortest name that contains the query.
@@ -16,7 +18,7 @@ def lookup(queries: DataFrame, known: DataFrame) -> DataFrame:
     asked = queries.select("query").filter("query <> ''").distinct()
     equal = asked.join(known.select("product_name"), F.lower("query") == F.lower("product_name")).groupBy("query").agg(F.min("product_name").alias("product_name")).withColumn("how", F.lit("exact"))
     rest = asked.join(equal, "query", "left_anti")
-    rest = F.broadcast(rest) if rest.count() <= 10_000 else rest
+    rest = sent_if_small(rest)
     names = known.select("product_name").distinct()
     near = names.join(rest, F.contains(F.lower("product_name"), F.lower("query"))).groupBy("query").agg(F.min(F.struct(F.length("product_name").alias("n"), "product_name"))["product_name"].alias("product_name"))
     return equal.unionByName(near.withColumn("how", F.lit("contains")))

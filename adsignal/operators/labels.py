@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import sent_if_small
+
 REGIONS = {
     "QA": {"domain": [".qa"], "phone": ["+974"], "currency": ["qar"], "keyword": ["doha", "qatar", "قطر"]},
     "AE": {"domain": [".ae"], "phone": ["+971"], "currency": ["aed"], "keyword": ["dubai", "abu dhabi", "uae", "دبي"]},
@@ -127,7 +129,7 @@ def audience(text: Column, offer_type: Column, percent_off: Column, lexicon: dic
 
 def subscription(ads: DataFrame, catalog: DataFrame, text: str = "ad_text") -> DataFrame:
     """ads with subscription_name and subscription_confidence; catalog: advertiser_id, name, keywords, platform_terms, enabled."""
-    joined = ads.join(F.broadcast(catalog.limit(10_000)), "advertiser_id", "left")
+    joined = ads.join(sent_if_small(catalog), "advertiser_id", "left")
     has = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower(t)))
     known, on = F.col("name").isNotNull(), F.coalesce("enabled", F.lit(False))
     both, key, platform = has(F.col("keywords")) & has(F.col("platform_terms")), has(F.col("keywords")), has(F.col("platform_terms"))
@@ -198,9 +200,9 @@ def audit(type_: Column, food_category: Column, brand: Column, confidence: Colum
 def brand_catalog_hits(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text") -> DataFrame:
     """(key, brand, alias, confidence): aliases found as whole words; one row a brand, the surest.
 
-    catalog: canonical_name, alias, entity_type, at most some thousand rows, sent to the tasks.
+    catalog: canonical_name, alias, entity_type; sent to the tasks if it is small.
     """
-    small = F.broadcast(catalog.filter("entity_type <> 'platform'").limit(20_000))
+    small = sent_if_small(catalog.filter("entity_type <> 'platform'"))
     pattern = F.concat(F.lit(r"(?iU)\b\Q"), F.col("alias"), F.lit(r"\E\b"))
     rows = ads.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(small, F.contains(F.lower("t"), F.lower("alias"))).filter(F.regexp("t", pattern))
     n, at = F.regexp_count("t", pattern), F.regexp_instr("t", pattern) - 1

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import sent_if_small
+
 KEY = ["advertiser_id", "ad_text", "image_url"]
 
 
@@ -79,8 +81,8 @@ def soft_delete(labels: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def contamination(rows: DataFrame, platforms: DataFrame) -> DataFrame:
-    """Rows whose product name holds the name of a platform that another advertiser runs.  platforms is a small table."""
-    small = F.broadcast(platforms.select("platform", F.col("advertiser_id").alias("runs_it")).limit(10_000))
+    """Rows whose product name holds the name of a platform that another advertiser runs."""
+    small = sent_if_small(platforms.select("platform", F.col("advertiser_id").alias("runs_it")))
     hit = F.contains(F.lower("product_name"), F.lower("platform")) & (F.col("advertiser_id") != F.col("runs_it"))
     return rows.join(small, hit, "left_semi")
 
