@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import gallery
 from ..operators import insights as i
 from ..operators import knowledge, labels, reports, tracking
 from ..streaming import jobs
@@ -384,6 +385,58 @@ def repaired_names(spark, sf):
     return tracking.repair(ads(spark, sf), [("red", OWN)]).agg(F.count("*").alias("total"), F.count_if(F.col("product_name").isNull()).alias("cleared"))
 
 
+# --- single ads
+
+@register("""WITH k AS (SELECT * FROM pages WHERE contains(url, '/en/')) SELECT page_id, 'https://proxy.example/?u=' || replace(url_encode(url), '%2F', '/') AS link, (SELECT count(*) FROM k) AS total FROM k WHERE page_id > 40 ORDER BY page_id LIMIT 50""", with_ads=False)
+def gallery_page(spark, sf):
+    page = gallery.gallery(load(spark, sf, "pages"), "page_id", 50, F.contains("url", F.lit("/en/")), F.lit(40))
+    return page.select("page_id", gallery.proxy_link(F.col("url"), "https://proxy.example/?u=").alias("link"), "total")
+
+
+@register("SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'missing' ELSE 'general' END AS why FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL OR l.quality = 0", with_ads=False)
+def unlabelled_ads(spark, sf):
+    rows = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left").withColumn("category", F.when(F.col("quality") == 0, "Other").otherwise(F.col("quality").cast("string")))
+    return gallery.unlabelled(rows, "category").select("doc_id", "why")
+
+
+@register(", c AS (SELECT seller_id, count(*) AS n FROM ads GROUP BY 1) SELECT seller_id, n, coalesce(CASE WHEN seller_id % 2 = 0 THEN s_name END, CAST(seller_id AS VARCHAR)) AS display_name FROM c JOIN supplier ON s_suppkey = seller_id")
+def named_sellers(spark, sf):
+    names = load(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("name"))
+    return gallery.named(ads(spark, sf).groupBy("seller_id").agg(F.count("*").alias("n")), names, "seller_id")
+
+
+@register(""", d AS (SELECT advertiser_id, offer_type, CAST(first_seen_date AS DATE) AS day, count(*) AS n FROM ads WHERE advertiser_id <> 'NATION_1' AND offer_type <> 'none' GROUP BY 1, 2, 3 ORDER BY day DESC, n DESC, 1, 2 LIMIT 5)
+SELECT advertiser_id, offer_type, n, strftime(day, '%b %d, %Y') AS launched, strftime(day + INTERVAL 7 DAY, '%b %d, %Y') AS manual, strftime(day + INTERVAL 1 DAY, '%b %d, %Y') AS alert FROM d""")
+def detection_lag(spark, sf):
+    return gallery.detection_lag(ads(spark, sf), OWN)
+
+
+@register("SELECT advertiser_id, min(first_seen_date) AS first_seen, max(first_seen_date) AS last_seen, count(*) AS ads FROM ads GROUP BY 1")
+def campaign_range(spark, sf):
+    return gallery.campaign_range(ads(spark, sf))
+
+
+@register(_MONTHS + ", s AS (SELECT advertiser_id, month, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL) SELECT *, n - lag(n) OVER (PARTITION BY advertiser_id ORDER BY month) AS delta FROM s")
+def run_deltas(spark, sf):
+    return gallery.deltas(reports.monthly(ads(spark, sf), "advertiser_id"), "advertiser_id", "month", "n")
+
+
+@register("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 5", with_ads=False)
+def latest_rows(spark, sf):
+    return gallery.latest(load(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", "event_id")
+
+
+@register("SELECT coalesce(offer_details, 'Unknown') AS value, count(*) AS n FROM ads GROUP BY 1")
+def detail_distribution(spark, sf):
+    return gallery.distribution(ads(spark, sf), "offer_details")
+
+
+@register(_UPSERT + " SELECT CAST(count(*) FILTER (WHERE change = 'new') AS BIGINT) AS ads_new, count(*) FILTER (WHERE change = 'updated') AS ads_updated, count(*) FILTER (WHERE change = 'retired') AS ads_retired, count(DISTINCT advertiser_id) AS succeeded, CAST(0 AS BIGINT) AS failed FROM u", with_ads=False)
+def run_summary(spark, sf):
+    old, scraped = _snapshots(spark, sf)
+    return gallery.run_summary(tracking.run_record(tracking.upsert(old, scraped, "2024-02-01")).withColumn("error", F.lit(None).cast("string")))
+
+
 # --- labels on documents, with lexicons of words that occur
 
 TERMS = ["free", "best", "license", "the", "th", "und"]
