@@ -218,6 +218,12 @@ def test_suffix_tree_counts_and_scores(spark, docs, head):
         assert abs(r.base_score - base[r.doc_id]) < 1e-6 * abs(base[r.doc_id]) and np.isfinite(r.score) and r.score < 0
 
 
+def test_suffix_tree_scores_every_learnt_word(spark, docs):
+    """How many words are sent to the tasks changes the work, never the score."""
+    few, all_ = ({r.doc_id: r.score for r in suffix_tree.score_documents(docs, fold("doc_id", 7) != 2, fold("doc_id", 7) == 2, head=head).collect()} for head in (50, 1 << 18))
+    assert few.keys() == all_.keys() and all(abs(few[i] - all_[i]) <= 1e-9 * abs(all_[i]) for i in few)
+
+
 def test_tree_is_a_distribution():
     levels = [(0, np.zeros(3, "int64"), np.array([97, 98, 32]), np.array([5, 4, 3])), (1, np.full(2, 97), np.array([98, 32]), np.array([4, 1]))]
     tree = suffix_tree.Tree(levels)
