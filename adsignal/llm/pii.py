@@ -3,13 +3,14 @@
 Everything here is DataFrame functions.  A pattern's places come from the pieces between its matches, so they count
 code points.  The patterns are written so that no run of letters or digits is scanned twice.
 
-The method: an entity is the text of a base span.  Words near an entity are counted by distinct surroundings, so that
-copies of one document count once; a word with at least ``support`` of them for one entity is a candidate.  Over all
-documents, such a word's pointwise mutual information with the entity is log2(n(word, entity) * N / (n(word) *
-n(entity))), in documents.  A word whose information reaches ``bits`` and with which at least ``share`` of its
-documents hold the entity discloses it, and every occurrence of the word is a span of kind ``term``.  Sanitised text
-has ``[EMAIL]``, ``[IP]``, ``[CARD]`` and ``[PHONE]`` in place of base spans (generalised) and nothing in place of
-terms (removed).
+The method: an entity is the text of a base span.  Words and entities are counted by distinct whole texts, so that
+copies of one document count once, wherever in a text they stand.  A word and an entity that share at least ``support``
+texts (two: what only one text holds is shared with nothing) are judged by their pointwise mutual information,
+log2(n(word, entity) * N / (n(word) * n(entity))).  A word whose information reaches ``bits`` and with which at least
+``share`` of its texts hold the entity discloses it, and every occurrence of the word is a span of kind ``term``.  Words
+and entities that can't reach the thresholds with any partner, by their own counts, are left out before pairs are made.
+Sanitised text has ``[EMAIL]``, ``[IP]``, ``[CARD]`` and ``[PHONE]`` in place of base spans (generalised) and nothing in
+place of terms (removed).
 
 Defined cases: a null text is the empty one, without spans (its sanitised text stays null); empty tables give empty
 results; repeated rows are judged alike, and copies of a document add no support; extra columns stay, but for columns
@@ -104,30 +105,37 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
 
 
-def disclosing(marked: DataFrame, support: int = 3, bits: float = 6.0, share: float = 0.5, window: int = 120) -> DataFrame:
-    """(word): marked has ``t`` and ``base``; see the module's text.
-
-    Surroundings are ``window`` characters on either side.
-    """
-    held = marked.filter(F.size("base") > 0).select("t", F.explode("base").alias("s")).select("t", F.lower("s.value").alias("entity"), "s.start", "s.end")
-    near = held.select("entity", F.concat_ws(" ", F.expr(f"substring(t, greatest(start - {window}, 0) + 1, start - greatest(start - {window}, 0))"), F.expr(f"substring(t, end + 1, {window})")).alias("near")).distinct()
-    found = near.select("entity", F.xxhash64("near").alias("place"), F.explode(F.array_distinct(words(F.col("near")))).alias("word"))
-    candidates = found.filter(~F.contains("entity", "word") & ~F.col("word").rlike("^[0-9]+$")).groupBy("entity", "word").agg(F.count("*").alias("places")).filter(F.col("places") >= support)
-    candidates = stored(candidates.select("entity", "word"), "candidates")
-    if not candidates.head(1):
-        return candidates.select("word")
-    n = candidates.count()
-    asked = candidates.select("word").distinct()
-    asked = F.broadcast(asked) if n <= 200_000 else asked  # beyond that size a shuffled join
-    in_doc = marked.select(F.explode(F.array_distinct(words(F.col("t")))).alias("word"), F.transform("base", lambda s: F.lower(s["value"])).alias("entities")).join(asked, "word")
-    in_doc = stored(in_doc, "words")
-    alone = in_doc.groupBy("word").agg(F.count("*").alias("n_word"))
-    both = in_doc.select("word", F.explode(F.array_distinct("entities")).alias("entity")).groupBy("word", "entity").agg(F.count("*").alias("n_both"))
-    of_entity = marked.filter(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = marked.count()
-    scored = candidates.join(both, ["entity", "word"]).join(alone, "word").join(of_entity, "entity")
+def judged(marked: DataFrame, support: int = 2, bits: float = 6.0, share: float = 0.5) -> DataFrame:
+    """(word, entity, n_both, n_word, n_entity, information): marked has ``t`` and ``base``; see the module's text."""
+    found = F.explode(F.concat(F.array(F.lit("")), F.array_distinct(words(F.col("t"))))).alias("word")  # every text holds the empty word
+    kinds = marked.select("t").distinct().select(found).groupBy("word").agg(F.count("*").alias("n_word"))
+    kinds = stored(kinds.filter((F.col("n_word") >= support) | (F.col("word") == "")), "words")
+    total = (kinds.filter("word = ''").first() or {"n_word": 0})["n_word"]
+    most = total / 2.0**bits * (1 + 1e-9)  # n_both is at most n_word and n_entity, so that neither can be more
+    bearing = marked.filter(F.size("base") > 0).select("t", F.array_distinct(F.transform("base", lambda s: F.lower(s["value"]))).alias("entities")).distinct()
+    bearing = stored(bearing.withColumn("text_id", F.monotonically_increasing_id()), "bearing")
+    held = bearing.select("text_id", F.explode("entities").alias("entity"))
+    entities = _listed(held.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity").between(support, most)), "entities")
+    held = held.join(entities, "entity").groupBy("text_id").agg(F.collect_list(F.struct("entity", "n_entity")).alias("held"))
+    texts = stored(bearing.join(held, "text_id").select(F.array_distinct(words(F.col("t"))).alias("words"), "held"), "held")
+    near = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_near"))
+    near = near.filter((F.col("n_near") >= support) & ~F.col("word").rlike("^[0-9]+$"))
+    asked = _listed(near.join(kinds.filter((F.col("word") != "") & (F.col("n_word") <= most)), "word").filter(F.col("n_near") >= share * F.col("n_word")).select("word", "n_word"), "asked")
+    pairs = texts.select(F.explode("words").alias("word"), "held").join(asked, "word").select("word", "n_word", F.explode("held").alias("e")).select("word", "n_word", "e.*")
+    both = pairs.filter(~F.contains("entity", "word")).groupBy("word", "n_word", "entity", "n_entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     information = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_word") * F.col("n_entity")))
-    return scored.filter((information >= bits) & (F.col("n_both") >= share * F.col("n_word"))).select("word").distinct()
+    return both.select("word", "entity", "n_both", "n_word", "n_entity", information.alias("information"))
+
+
+def _listed(df: DataFrame, tag: str) -> DataFrame:
+    df = stored(df, tag)
+    return F.broadcast(df) if df.count() <= 200_000 else df  # beyond that size a shuffled join
+
+
+def disclosing(marked: DataFrame, support: int = 2, bits: float = 6.0, share: float = 0.5) -> DataFrame:
+    """(word): marked has ``t`` and ``base``; see the module's text."""
+    scored = judged(marked, support, bits, share)
+    return scored.filter((F.col("information") >= bits) & (F.col("n_both") >= share * F.col("n_word"))).select("word").distinct()
 
 
 def find(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
@@ -140,12 +148,12 @@ def find(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     listed = F.broadcast(terms) if n <= 200_000 else terms  # beyond that size a shuffled join
     key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("pii_key")
     own = docs.select(key, F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("word")).join(listed, "word").groupBy("pii_key").agg(F.sort_array(F.collect_set("word")).alias("pii_terms"))
+    own = stored(own, "own")
+    held = own.agg(F.sum(F.size("pii_terms"))).first()[0] or 0
+    own = F.broadcast(own) if held <= 500_000 else own  # beyond that size a shuffled join
     row = row.withColumn("pii_key", key).join(own, "pii_key", "left")
-
-    def places(word: Column) -> Column:
-        return _placed(F.coalesce(F.col(text), F.lit("")), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}])")))
-
-    term = F.sort_array(F.flatten(F.transform(F.coalesce("pii_terms", F.array().cast("array<string>")), places)))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("pii_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    term = F.when(F.col("pii_terms").isNotNull(), _placed(F.coalesce(F.col(text), F.lit("")), pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     return row.withColumn("pii", F.concat("pii", _named("term", term))).drop("pii_key", "pii_terms")
 
 

@@ -270,6 +270,17 @@ def test_pii_terms_need_different_surroundings(spark):
     assert "term:17:28" in found[0] and all("term" not in found[i] for i in range(4, len(rows)))
 
 
+def test_pii_terms_count_whole_texts(spark):
+    """A term discloses an entity at any distance and with two texts; mentions within one text are one."""
+    gap = "number of the same words " * 40
+    far = [f"{w} Roedelkramm {gap} jane.roe@corp.example.com" for w in ("alpha", "gamma", "omega", "sigma")]
+    twice = [f"{w} Zwettlhagen wrote ann.lee@corp.example.com" for w in ("alpha", "gamma")]
+    once = [" ".join(f"Quorndale {w} bob@corp.example.com {gap}" for w in ("alpha", "gamma", "omega", "sigma"))]
+    rows = list(enumerate([*far, *twice, *once, *[f"{gap} wrote alpha gamma omega sigma {i}" for i in range(500)]]))
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("term:6:17" in found[i] for i in (0, 1, 2, 3, 4, 5)) and all("term" not in found[i] for i in range(6, len(rows)))
+
+
 def test_tool_calls_order_and_errors(spark):
     calls = spark.createDataFrame(
         [(1, 1, "a", "f", '{"b":1,"a":"x"}', []), (1, 2, "b", "f", '{"a":1}', ["c"]), (1, 4, "c", "g", "nope", None), (1, 5, "d", "h", "{}", ["e"]), (1, 6, "e", "h", None, ["d"]), (1, 7, None, "f", '{"a":"x","b":2}', None)],
