@@ -24,10 +24,9 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_calls.from_conversations(load(spark, sf_dir, "conversations"))
     fields = "array<struct<key:string,kind:string>>"
     schemas = spark.createDataFrame([("reply", [("prompt", "string"), ("turn", "integer")]), ("configure", [("text", "string")])], f"name string, fields {fields}")
-    return tool_calls.link(calls, results, schemas)
+    return tool_calls.link_conversations(load(spark, sf_dir, "conversations"), schemas)
 
 
 def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,26 +83,4 @@ QUERIES = {
     "op10_information_pii": op10_information_pii,
 }
 
-_SQL_OP1 = """
-WITH calls AS (
-  SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS call_id, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, role, text
-  FROM conversations WHERE role IN ('user', 'system')
-), results AS (
-  SELECT conv_id, turn, concat_ws(':', conv_id, turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
-), answers AS (
-  SELECT conv_id, call_id, arg_min(content, (turn, content)) AS content, count(*) AS n FROM results GROUP BY conv_id, call_id
-)
-SELECT c.conv_id, c.turn, printf('%019d', c.turn) || '.000000' AS place, c.call_id, c.name,
-  CASE WHEN a.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  CASE WHEN c.text IS NOT NULL THEN '' WHEN c.role = 'user' THEN 'missing prompt' ELSE 'missing text' END AS errors,
-  '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' WHEN c.role = 'user' THEN '"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',' ELSE '"text":' || CAST(to_json(c.text) AS VARCHAR) END
-    || CASE WHEN c.role = 'user' THEN '"turn":' || c.turn ELSE '' END || '},"id":"' || c.call_id || '","name":"' || c.name || '"'
-    || coalesce(',"result":' || CAST(to_json(a.content) AS VARCHAR), '') || '}' AS message
-FROM calls c LEFT JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
-UNION ALL
-SELECT r.conv_id, r.turn, printf('%019d', r.turn) || '.000000', r.call_id, NULL, 'orphan', '',
-  '{"id":"' || r.call_id || '"' || coalesce(',"result":' || CAST(to_json(r.content) AS VARCHAR), '') || '}'
-FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
-"""
-
-ORACLES: dict[str, str] = {"op1_tool_call_linking": _SQL_OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6}

@@ -1,5 +1,35 @@
 """DuckDB SQL for the operators that SQL can express, by plain all-pairs definitions."""
 
+# Turns are plain text here: SQL has no canonical JSON, so texts that are JSON objects of calls are left to the tests.
+OP1 = """
+WITH calls AS (
+  SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS call_id, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, role, text
+  FROM conversations WHERE role IN ('user', 'system')
+), results AS (
+  SELECT conv_id, turn, concat_ws(':', conv_id, turn - 1) AS call_id, text AS content FROM conversations WHERE role IN ('assistant', 'tool')
+), answers AS (
+  SELECT conv_id, call_id, arg_min(content, (turn, content)) AS content, count(*) AS n FROM results GROUP BY conv_id, call_id
+), users AS (
+  SELECT DISTINCT conv_id, turn FROM calls WHERE role = 'user'
+)
+SELECT c.conv_id, c.turn, CASE WHEN u.turn IS NOT NULL THEN printf('%019d', u.turn) || '.000001' ELSE printf('%019d', c.turn) || '.000000' END AS place, c.call_id, c.name,
+  CASE WHEN a.n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN c.text IS NOT NULL THEN '' WHEN c.role = 'user' THEN 'missing prompt' ELSE 'missing text' END AS errors,
+  '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' WHEN c.role = 'user' THEN '"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',' ELSE '"text":' || CAST(to_json(c.text) AS VARCHAR) END
+    || CASE WHEN c.role = 'user' THEN '"turn":' || c.turn ELSE '' END || '},"id":"' || c.call_id || '","name":"' || c.name || '"'
+    || coalesce(',"result":' || CAST(to_json(a.content) AS VARCHAR), '') || '}' AS message
+FROM calls c LEFT JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+LEFT JOIN users u ON c.role = 'system' AND u.conv_id = c.conv_id AND u.turn = c.turn + 1
+UNION ALL
+SELECT r.conv_id, r.turn, printf('%019d', r.turn) || '.000000', r.call_id, NULL, 'orphan', '',
+  '{"id":"' || r.call_id || '"' || coalesce(',"result":' || CAST(to_json(r.content) AS VARCHAR), '') || '}'
+FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+UNION ALL
+SELECT conv_id, turn, printf('%019d', turn) || '.000000', NULL, NULL, 'no call', '',
+  '{' || concat_ws(',', '"role":' || CAST(to_json(role) AS VARCHAR), '"content":' || CAST(to_json(text) AS VARCHAR)) || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'system', 'assistant', 'tool')
+"""
+
 OP5 = """
 WITH RECURSIVE good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings

@@ -8,7 +8,8 @@ Defined cases: a call without a result stays, with status ``unanswered``; a resu
 status ``orphan``; of several results of one call the earliest counts, ties by content; equal call rows stay rows of
 their own; a null identifier links with nothing; dependencies on unknown calls are ignored; calls in a cycle, or
 behind one, have status ``cyclic`` and keep their turn's place; arguments that are null or no JSON object are the error ``json``; a call
-of an unknown tool is the error ``unknown tool``; empty tables give empty results; extra columns are not carried.
+of an unknown tool is the error ``unknown tool``; turns of a conversation that are neither calls nor results have status
+``no call``; empty tables give empty results; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -25,19 +26,21 @@ KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number"
 
 
 def errors(arguments: Column, schema: Column) -> Column:
-    """Sorted errors of a JSON text against array<struct<key, kind>>; null schema: unknown tool."""
-    parsed = F.try_parse_json(arguments)
-    shape = F.schema_of_variant(parsed)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
+    """Sorted errors of a JSON text against array<struct<key, kind>>; null schema: unknown tool.
+
+    Each key of the object is looked up by itself, so equal keys further down and signs in keys don't matter.
+    """
+    fields = F.try_parse_json(arguments).try_cast("map<string,variant>")
+    found = F.transform_values(fields, lambda _, value: F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
 
     def wrong(field: Column) -> Column:
-        found = F.call_function("regexp_extract", shape, F.concat(F.lit("[<, ]`?"), field["key"], F.lit("`?: ([A-Z]+)")), F.lit(1))
-        fits = F.regexp(found, F.concat(F.lit("^("), kinds[field["kind"]], F.lit(")$")))
-        return F.when(~F.array_contains(keys, field["key"]), F.concat(F.lit("missing "), field["key"])).when(~fits, F.concat(F.lit("kind of "), field["key"]))
+        kind = F.try_element_at(found, field["key"])
+        fits = F.regexp(kind, F.concat(F.lit("^("), kinds[field["kind"]], F.lit(")$")))
+        return F.when(kind.isNull(), F.concat(F.lit("missing "), field["key"])).when(~fits, F.concat(F.lit("kind of "), field["key"]))
 
     listed = F.array_sort(F.filter(F.transform(schema, wrong), lambda e: e.isNotNull()))
-    return F.when(schema.isNull(), F.array(F.lit("unknown tool"))).when(parsed.isNull() | ~F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.array(F.lit("json"))).otherwise(listed)
+    return F.when(schema.isNull(), F.array(F.lit("unknown tool"))).when(fields.isNull(), F.array(F.lit("json"))).otherwise(listed)
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
@@ -85,14 +88,41 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     return linked.unionByName(lost)
 
 
-def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: a user turn calls ``reply``, a system turn ``configure``.
+def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and other turns of conversations.
 
-    An assistant turn is the result of the turn before it; a user turn depends on the turn two before it.
+    A user or system turn is a call.  If its text is a JSON object with a ``name``, that is the tool, and ``id``,
+    ``arguments`` and ``depends_on`` (a list) are read from it.  Otherwise a user turn calls ``reply`` with its text as
+    prompt, and depends on the turn two before it; a system turn calls ``configure``, which takes effect behind the turn
+    after it.  An assistant or tool turn is a result: of the call that its text names, if that is a JSON object with an
+    ``id`` (content is then its ``result``), else of the turn before it.  Turns of any other role, or of none, come third
+    (conv_id, turn, role, text).
     """
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    asked = rows.filter("role IN ('user', 'system')")
-    arguments = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct("text")))
-    calls = asked.select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), arguments.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("depends_on"))
-    results = rows.filter("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    known = rows.select("conv_id", "turn", "role", "text", F.try_parse_json("text").try_cast("map<string,variant>").alias("own"))
+    read = lambda key, kind: F.try_element_at("own", F.lit(key)).try_cast(kind)
+    asked = known.filter("role IN ('user', 'system')").withColumn("named", F.coalesce(read("name", "string").isNotNull(), F.lit(False)))
+    is_user, explicit = F.col("role") == "user", F.col("named")
+    plain = F.when(is_user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct("text")))
+    calls = asked.select(
+        "conv_id",
+        "turn",
+        F.when(explicit, read("id", "string")).otherwise(name(F.col("turn"))).alias("call_id"),
+        F.when(explicit, read("name", "string")).when(is_user, "reply").otherwise("configure").alias("name"),
+        F.when(explicit, F.to_json(F.try_element_at("own", F.lit("arguments")))).otherwise(plain).alias("arguments"),
+        F.when(explicit, F.coalesce(read("depends_on", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(name(F.col("turn") + F.when(is_user, -2).otherwise(1)))).alias("depends_on"),
+    )
+    answers = known.filter("role IN ('assistant', 'tool')").withColumn("named", F.coalesce(read("id", "string").isNotNull(), F.lit(False)))
+    result = F.try_element_at("own", F.lit("result"))
+    content = F.when(explicit, F.coalesce(result.try_cast("string"), F.to_json(result))).otherwise(F.col("text"))
+    results = answers.select("conv_id", "turn", F.when(explicit, read("id", "string")).otherwise(name(F.col("turn") - 1)).alias("call_id"), content.alias("content"))
+    others = known.filter("role IS NULL OR role NOT IN ('user', 'system', 'assistant', 'tool')").select("conv_id", "turn", "role", "text")
+    return calls, results, others
+
+
+def link_conversations(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``link`` for conversations, with one more row for every turn that is neither a call nor a result (``no call``)."""
+    calls, results, others = from_conversations(rows)
+    none = F.lit(None).cast("string")
+    rest = others.select("conv_id", "turn", F.format_string("%019d.%06d", "turn", F.lit(0)).alias("place"), none.alias("call_id"), none.alias("name"), F.lit("no call").alias("status"), F.lit("").alias("errors"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("message"))
+    return link(calls, results, schemas).unionByName(rest)
