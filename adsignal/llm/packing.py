@@ -1,13 +1,14 @@
 """Best-fit packing of documents into sequences of a fixed length, with swap-based local search.
 
 A document is its token ids and the end id.  One longer than a sequence is cut into whole sequences, its first piece
-taking what is over.  Pieces are dealt by a hash of their place in the corpus into groups of about ``group_rows``, each
+taking what is over.  Pieces are dealt by a hash of their row's place into groups of about ``group_rows``, each
 packed by itself: best fit decreasing, then exchanges between underfull bins (a move, one piece for one, two for one),
 each of which increases the sum of squared fills, until bins empty and no exchange is left or the group has as few bins
 as its tokens need.  Groups lose at most a fraction of a bin each, and none grows with the corpus.
 
-Defined cases: a null text is the empty one, which is the end id alone; repeated rows are packed each; an empty table
-gives an empty result; extra columns are not carried.
+Defined cases: a null text is the empty one, which is the end id alone; repeated rows are packed each, and so are rows
+without an id, whose pieces have none either; ids of any size keep their value; an empty table gives an empty result;
+extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import stored
+from .shingles import release
 
+ROWS = 256  # documents whose pieces are handed on together
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -31,18 +34,23 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, path: str | None
     """One row per piece: doc_id, piece, start, length, crc32 of its ids."""
     path = path or tokens.default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, body in zip(batch["k"].tolist(), batch["t"].tolist(), strict=True):
-                ids = np.append(tokens.ids_of(body, path), np.uint32(end_id)).astype("<u4")
-                first = len(ids) % size or size
-                cuts = [0, *range(first, len(ids) + 1, size)]
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    out.append((doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, PIECES)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, out = [], []
+                for n, body in enumerate(part.column(1)):
+                    ids = np.append(tokens.ids_of(body.as_py(), path), np.uint32(end_id)).astype("<u4")
+                    first = len(ids) % size or size
+                    cuts = [0, *range(first, len(ids) + 1, size)]
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        row.append(n)
+                        out.append((i, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                found = np.array(out, "int64").T
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(found[0].astype("int32")), *map(pa.array, found[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
+
+    return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -155,20 +163,21 @@ def pack(found: DataFrame, size: int = 1024, group_rows: int = 16384) -> DataFra
     """Pieces with ``sequence_id`` and ``offset``; found must be stored, for it is counted first."""
     groups = max(1, -(-found.count() // group_rows))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-        lengths = rows["length"].tolist()
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("bucket").sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        lengths = rows["length"].to_pylist()
         bins = exchange(lengths, best_fit(lengths, size), size)
         sequence, offset = np.zeros(len(rows), "int64"), np.zeros(len(rows), "int64")
         for n, members in enumerate(bins):
             at = 0
             for i in members:
-                sequence[i], offset[i] = (int(key[0]) << 32) | n, at
+                sequence[i], offset[i] = (key[0].as_py() << 32) | n, at
                 at += lengths[i]
-        return rows.drop(columns="bucket").assign(sequence_id=sequence, offset=offset)
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), groups))
-    return dealt.groupBy("bucket").applyInPandas(run, PACKED)
+    # By the place of the row, not by its values: however many rows are equal, groups stay of one size.
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), groups))
+    return dealt.groupBy("bucket").applyInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, path: str | None = None) -> DataFrame:
