@@ -5,16 +5,18 @@ of three to five characters of ``^host$`` and of ``^path$``, each hashed with it
 buckets, one weight for each.  The last label of a host (as ``com``) is left to the rules.
 
 Defined cases: host and path are empty where the url is null or has no ``://``; those hold no n-gram and get the
-verdict of the bias; repeated rows are judged alike; extra columns stay.
+verdict of the bias; urls of any length are read whole; repeated rows are judged alike; an empty table gives an empty
+result; extra columns stay, but for those that are named like an output.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,44 +48,56 @@ def buckets(host_: str, path_: str, bits: int = BITS) -> list[int]:
     return sorted(found)
 
 
-def train(rows: list[tuple[str, str, int]], bits: int = BITS, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias from (host, path, 1 for block); full-batch gradient descent, the same every time."""
+def train(rows: list[tuple[str, str, int]], bits: int = BITS, rounds: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias from (host, path, 1 for block); full-batch gradient descent, the same every time.
+
+    Both classes weigh the same, since the table's shares of them say nothing of the pages'.
+    """
     weights, bias = np.zeros(1 << bits), 0.0
-    held = [(buckets(h, p, bits), y) for h, p, y in rows]
+    sizes = [max(1, sum(y == k for _, _, y in rows)) for k in (0, 1)]
+    held = [(buckets(h, p, bits), y, 1 / (2 * sizes[y])) for h, p, y in rows]
     for _ in range(rounds):
         gradient, shift = ridge * weights, 0.0
-        for found, y in held:
+        for found, y, share in held:
             scale = 1 / np.sqrt(max(len(found), 1))
-            miss = 1 / (1 + np.exp(-(bias + scale * weights[found].sum()))) - y
-            gradient[found] += miss * scale / len(held)
-            shift += miss / len(held)
+            miss = share * (1 / (1 + np.exp(-(bias + scale * weights[found].sum()))) - y)
+            gradient[found] += miss * scale
+            shift += miss
         weights -= rate * 20 * gradient
         bias -= rate * shift
     return weights, bias
 
 
+#: Common beginnings of hosts and common paths, which say nothing of an address.
+PLAIN = [("www.", "/"), ("m.", "/en/1"), ("blog.", "/de/27.html"), ("", "/fr/385/"), ("", "/es/4960")]
+
+
 def built_in() -> list[tuple[str, str, int]]:
+    """The built-in table: each address as it is, and its bare host under the common beginnings and paths."""
+
     def cut(url: str) -> tuple[str, str]:
         rest = url.partition("://")[2].partition("?")[0].partition("#")[0]
         at = rest.find("/")
         return (rest, "") if at < 0 else (rest[:at], rest[at:])
 
-    return [(*cut(u), y) for y, urls in ((1, url_labels.BLOCK), (0, url_labels.ALLOW)) for u in urls]
+    rows = [(*cut(u), y) for y, urls in ((1, url_labels.BLOCK), (0, url_labels.ALLOW)) for u in urls]
+    bare = [(re.sub("^(www|m|blog)[.]", "", h), y) for h, _, y in rows]
+    return rows + [(start + h, path, y) for h, y in bare for start, path in PLAIN]
 
 
 def block_probability(host_: Column, path_: Column, rows: list[tuple[str, str, int]] | None = None, bits: int = BITS) -> Column:
     weights, bias = train(built_in() if rows is None else rows, bits)
     small = weights.astype(np.float32)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for hosts, paths in batches:
             out = np.empty(len(hosts))
             for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                found = buckets(h, p, bits)
+                found = buckets(h.as_py(), p.as_py(), bits)
                 z = bias + small[found].sum() / np.sqrt(max(len(found), 1))
                 out[i] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return run(host_, path_)
 
