@@ -1,18 +1,23 @@
 """Nearest vectors by largest inner product, with randomly rotated one-bit codes.
 
 Every vector, less the mean, is padded, rotated at random and kept as the signs of its components: packed bits, its
-length, its inner products with the mean and with its own code.  From these an inner product with a query is estimated
-without bias, and an error bound holds it with high probability.  Queries and vectors are compared block by block; in a
-block pair, the k-th largest lower bound decides which vectors' upper bounds are worth an exact product on the original
-vectors.  A block pair returns at most k rows a query, and the k best of all blocks are kept.
+length, and its inner product with its own code.  Codes are made once and written; blocks exchange codes alone.  A query
+less nothing is rotated alike and rounded to four bits a component; its inner product with a code is a sum of bit counts
+of (bits and plane).  From it, with two correction scalars, an inner product is estimated without bias, and an error
+bound holds it with high probability.
+
+1. Block by block, the k largest lower bounds of each query; the k-th of all blocks is the query's floor.
+2. Block by block again, the vectors whose upper bound reaches the floor are candidates.
+3. Candidates alone get their original vectors, by two joins, for exact products; the k best stay.
 
 Bounds: the mean is fitted on at most ``sample`` vectors; every vector is indexed and compared.  Work is the number of
-queries times the number of vectors, as a search of a stated query set against all rows is; a task holds one block of
-each.
+queries times the number of vectors, as a search of a stated query set against all rows is; a task holds the codes of
+one block of each.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, or are of another length than the
-usual one, take no part; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives an
-empty result.  A candidate with the query's own id is left out.
+Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
+lengths are no candidates for one another; ties go to the smaller id; of repeated rows of one query id the smallest
+vector asks; repeated rows of a candidate are candidates each; fewer candidates than k give fewer rows; an empty table
+gives an empty result; extra columns are not carried.  A candidate with the query's own id is left out.
 """
 
 from __future__ import annotations
@@ -20,90 +25,141 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import usable, usual_length
+from .vectors import matrix, usable
 
 SIGMAS = 3.0  # width of the error bound
+PLANES = 4  # bits of a query's component
+CODE = "vec_id long, dim int, bits binary, length double, own double"
+ASKED = "vec_id long, dim int, planes binary, base double, step double, total double, length double"
 
 
 class Codes:
-    """The random rotation and its codes: packed signs and three numbers a vector."""
+    """The random rotation of one vector length and its codes."""
 
     def __init__(self, centre: np.ndarray, bits: int = 256, seed: int = 5):
-        self.centre, self.dim = centre, len(centre)
-        self.bits = max(bits, 8 * -(-self.dim // 8))
-        turned = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.bits, self.dim)))[0]
-        self.rotation = turned.T.astype("float32")  # dim x bits, with orthonormal rows
+        self.centre, dim = centre, len(centre)
+        self.bits = 64 * -(-max(bits, dim) // 64)
+        turned = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.bits, dim)))[0]
+        self.rotation = turned.T  # dim x bits, with orthonormal rows
 
-    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Packed bits, length of the rest, its mean product, product of the unit rest with its own code."""
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Packed bits, length of the rest, product of the unit rest with its own code."""
         rest = x - self.centre
         length = np.linalg.norm(rest, axis=1)
-        turned = (rest / np.maximum(length, 1e-30)[:, None]).astype("float32") @ self.rotation
+        turned = (rest / np.maximum(length, 1e-300)[:, None]) @ self.rotation
         own = np.abs(turned).sum(axis=1) / np.sqrt(self.bits)
-        return np.packbits(turned > 0, axis=1), length, x @ self.centre, np.maximum(own, 1e-6)
-
-    def bounds(self, q: np.ndarray, packed: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of q . rest, queries x vectors, and how far off they may be."""
-        signs = np.unpackbits(packed, axis=1, count=self.bits).astype("float32") * 2 - 1
-        turned = q.astype("float32") @ self.rotation
-        estimate = (turned @ signs.T) / np.sqrt(self.bits) * (length / own).astype("float32")
-        spread = np.sqrt(np.maximum(1 - own**2, 0) / (own**2 * max(self.bits - 1, 1))) * length
-        return estimate, SIGMAS * np.linalg.norm(q, axis=1)[:, None].astype("float32") * spread.astype("float32")
-
-
-def _best(queries: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: Codes, k: int) -> tuple[list, list, list]:
-    """The k best of the block for each query: query ids, ids, exact products."""
-    packed, length, with_mean, own = codes.of(x)
-    out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(queries), 256):
-        q, names = queries[at : at + 256], q_ids[at : at + 256]
-        estimate, wide = codes.bounds(q, packed, length, own)
-        # q . x = q . centre + q . rest, and q . centre is the same for all vectors.
-        low = estimate - wide
-        low[names[:, None] == ids[None, :]] = -np.inf
-        need = min(k, len(ids))
-        floor = np.partition(low, len(ids) - need, axis=1)[:, len(ids) - need]
-        rows, columns = np.nonzero(estimate + wide >= floor[:, None] - 1e-6)
-        keep = names[rows] != ids[columns]
-        rows, columns = rows[keep], columns[keep]
-        exact = np.concatenate([np.einsum("ij,ij->i", q[rows[s : s + 50_000]], x[columns[s : s + 50_000]]) for s in range(0, len(rows), 50_000)] or [np.empty(0)])
-        order = np.lexsort((ids[columns], -exact, rows))
-        rows, columns, exact = rows[order], columns[order], exact[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        top = place < k
-        for held, values in zip(out, (names[rows[top]], ids[columns[top]], exact[top]), strict=True):
-            held.extend(values.tolist())
-    return out
+        return np.packbits(turned > 0, axis=1), length, np.maximum(own, 1e-6)
+
+    def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bit planes of the rotated query's rounded components, their base and step, the sum of what they stand for."""
+        turned = q @ self.rotation
+        base = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - base) / (2**PLANES - 1), 1e-300)
+        level = np.rint((turned - base[:, None]) / step[:, None]).astype("uint8")
+        planes = np.concatenate([np.packbits((level >> p) & 1, axis=1) for p in range(PLANES)], axis=1)
+        return planes, base, step, base * self.bits + step * level.sum(axis=1)
+
+
+def bounds(planes: np.ndarray, base: np.ndarray, step: np.ndarray, total: np.ndarray, q_length: np.ndarray, bits: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of query . rest, queries x vectors, and how far off they may be.  bits and planes as 64-bit words."""
+    words = bits.shape[1]
+    ones = np.bitwise_count(bits).sum(axis=1, dtype="int64")
+    sums = np.zeros((len(planes), len(bits)), "int64")
+    for p in range(PLANES):
+        for w in range(words):
+            sums += np.bitwise_count(planes[:, None, p * words + w] & bits[None, :, w]).astype("int64") << p
+    half = base[:, None] * ones[None, :] + step[:, None] * sums  # over the components whose sign is plus
+    n = 64 * words
+    estimate = (2 * half - total[:, None]) / np.sqrt(n) * (length / own)[None, :]
+    spread = np.sqrt(np.maximum(1 - own**2, 0) / (own**2 * max(n - 1, 1))) * length
+    rounding = step / 2 * np.sqrt(n / 3) / np.sqrt(n)  # of one rounded component, in the mean over signs
+    return estimate, SIGMAS * (q_length[:, None] * spread[None, :] + rounding[:, None] * (length / own)[None, :])
+
+
+def _coded(rows: DataFrame, codes: dict[int, Codes], queries: bool) -> DataFrame:
+    """The codes of (vec_id, x), each vector by its length's rotation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for dim in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dim))
+                x, code = matrix(part.column(1)), codes[dim]
+                ids, dims = part.column(0), pa.array(np.full(len(part), dim, "int32"))
+                found = code.asked(x) if queries else code.of(x)
+                packed = pa.array([row.tobytes() for row in found[0]], pa.binary())
+                rest = [pa.array(c) for c in (*found[1:], np.linalg.norm(x, axis=1))[: 4 if queries else 2]]
+                yield pa.RecordBatch.from_arrays([ids, dims, packed, *rest], names=[c.split()[0] for c in (ASKED if queries else CODE).split(", ")])
+
+    return rows.mapInArrow(run, ASKED if queries else CODE)
+
+
+def _pairs(asked: DataFrame, held: DataFrame, n_query_blocks: int, n_blocks: int, make, schema: str) -> DataFrame:
+    """``make`` on the codes of each block of queries together with each block of vectors of one length."""
+    by = lambda n, *what: F.pmod(F.xxhash64(*what), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("i", by(n_query_blocks, "vec_id")).withColumn("j", every(n_blocks))
+    # By the place of the row: however many vectors are equal, blocks stay of one size.
+    v = held.withColumn("j", by(n_blocks, F.monotonically_increasing_id())).withColumn("i", every(n_query_blocks))
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        queries, vectors = queries.combine_chunks(), vectors.combine_chunks()
+        found: list[list] = [[], [], []]
+        if len(queries) and len(vectors):
+            words = lambda t, c: np.frombuffer(b"".join(t[c].to_pylist()), "uint64").reshape(len(t), -1)
+            number = lambda t, c: t[c].to_numpy()
+            planes, bits, ids, names = words(queries, "planes"), words(vectors, "bits"), number(vectors, "vec_id"), number(queries, "vec_id")
+            side = [number(queries, c) for c in ("base", "step", "total", "length")]
+            for at in range(0, len(names), 128):
+                part = slice(at, at + 128)
+                estimate, wide = bounds(planes[part], *(c[part] for c in side), bits, number(vectors, "length"), number(vectors, "own"))
+                own = names[part, None] == ids[None, :]
+                for held_, values in zip(found, make(names[part], ids, estimate, wide, own, number(queries, "floor")[part] if "floor" in queries.column_names else None), strict=True):
+                    held_.extend(values.tolist())
+        kinds = [f.split() for f in schema.split(", ")]
+        return pa.table({name: pa.array(values, pa.float64() if kind == "double" else pa.int64()) for (name, kind), values in zip(kinds, found, strict=False)})
+
+    return q.groupBy("dim", "i", "j").cogroup(v.groupBy("dim", "i", "j")).applyInArrow(run, schema)
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, block: int = 8192, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product of every query row."""
-    good = usable(df, key, vector)
-    dim = usual_length(good)
-    good = stored(good.filter(F.size("x") == dim), "vectors")
-    rows = good.count()
-    some = good.orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(sample).select("x").toPandas()["x"]
-    codes = Codes(np.stack(some.to_numpy()).astype(float).mean(axis=0) if len(some) else np.zeros(1))
-    queries = good.filter(is_query).select("vec_id", "x").dropDuplicates(["vec_id"])
-    n_blocks, n_query_blocks = max(1, -(-rows // block)), max(1, -(-queries.count() // query_block))
-    by = lambda n, tag: F.pmod(F.xxhash64("vec_id", F.lit(tag)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("vec_id", "x", F.lit(True).alias("query"), by(n_query_blocks, "query").alias("i"), every(n_blocks).alias("j"))
-    held = good.select("vec_id", "x", F.lit(False).alias("query"), F.pmod(F.xxhash64("vec_id", "x"), F.lit(n_blocks)).cast("int").alias("j"), every(n_query_blocks).alias("i")).select("vec_id", "x", "query", "i", "j")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        is_q = rows["query"].to_numpy(bool)
-        if not is_q.any() or is_q.all():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, ids = np.stack(rows["x"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
-        names, others, exact = _best(x[is_q], ids[is_q], x[~is_q], ids[~is_q], codes, k)
-        return pd.DataFrame({"query_id": names, "vec_id": others, "score": exact})
-
-    found = asked.unionByName(held).groupBy("i", "j").applyInPandas(run, "query_id long, vec_id long, score double")
+    good = stored(usable(df.select(F.col(key).alias("vec_id"), F.col(vector).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vec_id", "x", "asks"), "vectors")
+    asking = stored(good.filter("asks").groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
+    some = good.orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(sample).select("x").collect()
+    codes = {}
+    for dim in (r["n"] for r in good.select(F.size("x").alias("n")).distinct().collect()):
+        own = [r["x"] for r in some if len(r["x"]) == dim]
+        codes[dim] = Codes(np.array(own, float).mean(axis=0) if own else np.zeros(dim))
+    held, asked = stored(_coded(good.select("vec_id", "x"), codes, False), "codes"), stored(_coded(asking, codes, True), "asked")
+    n_blocks, n_query_blocks = max(1, -(-held.count() // block)), max(1, -(-asked.count() // query_block))
+
+    # What query . centre adds is the same for all vectors of a length, so it is left out until the exact products.
+    def lowest(names, ids, estimate, wide, own, _):
+        low = np.where(own, -np.inf, estimate - wide)
+        need = min(k, low.shape[1])
+        top = np.partition(low, low.shape[1] - need, axis=1)[:, low.shape[1] - need :]
+        rows, columns = np.nonzero(np.isfinite(top))
+        return names[rows], top[rows, columns], np.empty(0)
+
+    def reaching(names, ids, estimate, wide, own, floor):
+        rows, columns = np.nonzero((estimate + wide >= floor[:, None]) & ~own)
+        return names[rows], ids[columns], np.empty(0)
+
+    lows = _pairs(asked, held, n_query_blocks, n_blocks, lowest, "query_id long, low double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+    floors = lows.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("floor"))
+    floors = stored(floors, "floors")
+    bounded = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = stored(_pairs(bounded, held, n_query_blocks, n_blocks, reaching, "query_id long, vec_id long").distinct(), "candidates")
+
+    double = lambda c: F.transform(c, lambda e: e.cast("double"))
+    both = found.join(good.select("vec_id", F.col("x").alias("y")), "vec_id").join(asking.select(F.col("vec_id").alias("query_id"), "x"), "query_id").filter("size(x) = size(y)")
+    score = F.aggregate(F.zip_with(double("x"), double("y"), lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,16 +5,21 @@ code words, one from either half, and a vector passes it if the sum of its two i
 vector lists its filters by walking one half's words in falling order of inner product until the other half's best can
 no longer reach the threshold.  Vectors that share a filter are compared exactly.
 
-The codes' size follows the number of vectors, so that a filter holds a few unrelated vectors at any size, and the
+The codes' size follows the number of vectors, so that a filter holds a few unrelated vectors, and the
 threshold follows the number of filters that each vector should pass; a vector that passes fewer than that lowers it for
 itself until it does.  Two vectors at the least similarity share about half of theirs.
 
+A code has at most ``most_words`` words, as every vector is compared with each: from four and a half million vectors on
+filters hold more unrelated vectors, in proportion, and more blocks of them are compared; the links stay the same.
+
 Equal vectors are one class with a multiplicity.  A filter of more than ``block`` vectors is cut into blocks, compared
 two by two in tasks of their own.  A pair is counted in the first filter that both share alone; a group returns counts
 and a spanning forest of its links, never all of its pairs.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, and vectors of another length than
-the usual one, link with nothing; equal rows link with each other; an empty table gives an empty result.
+Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing; vectors of each
+length have filters of their own and link among themselves alone; equal rows link with each other, and rows of one id
+with different vectors are in one component; rows without an id link with nothing and have no component (null); an empty
+table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -30,16 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored
 from .components import components
-from .vectors import usable, usual_length
+from .vectors import matrix, numbers, proper, usable
 
 
 class Filters:
     """Structured random product codes for n vectors of a dimension."""
 
-    def __init__(self, dim: int, n: int, each: int = 30, per_filter: int = 8, seed: int = 11):
+    def __init__(self, dim: int, n: int, each: int = 30, per_filter: int = 8, most_words: int = 4096, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.dim, self.half = dim, dim // 2
-        self.words = int(min(4096, max(16, math.ceil(math.sqrt(max(n, 1) * each / per_filter)))))
+        self.words = int(min(most_words, max(16, math.ceil(math.sqrt(max(n, 1) * each / per_filter)))))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.codes = [self._unit(rng.standard_normal((self.words, k))) for k in (self.half, dim - self.half)]
         share = min(0.4, each / self.words**2)
@@ -68,16 +73,12 @@ class Filters:
         return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
-
-
 def list_decoded(classes: DataFrame, filters: Filters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                x = _matrix(batch.column(2))
+                x = matrix(batch.column(2))
                 biggest = np.abs(x).max(axis=1, keepdims=True)
                 found = filters.of(Filters._unit(x / biggest))
                 sizes = np.concatenate([[0], np.cumsum([len(f) for f in found])])
@@ -113,7 +114,7 @@ class _Rows:
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
         self.ids, self.copies, self.own, self.filter, self.i, self.j = (table.column(c).to_numpy() for c in ("vec_id", "copies", "own", "filter", "i", "j"))
-        x = _matrix(table.column("x").chunk(0))
+        x = matrix(table.column("x").chunk(0))
         x = x / np.abs(x).max(axis=1, keepdims=True)
         self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         lists = table.column("filters").chunk(0)
@@ -226,20 +227,23 @@ def linked(listed: DataFrame, cosine: float, block: int = 512) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     good = usable(df, key, vector)
-    dim = usual_length(good)
-    good = stored(good.filter(F.size("x") == dim).withColumn("h", F.xxhash64("x")).withColumn("g", F.xxhash64("x", F.lit(1))), "vectors")
+    good = stored(good.withColumn("h", F.xxhash64("x")).withColumn("g", F.xxhash64("x", F.lit(1))), "vectors")
     classes = good.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min_by("x", "vec_id").alias("x"))
-    classes = stored(classes, "classes")
-    if dim:
-        listed = stored(list_decoded(classes.select(F.col("rep").alias("vec_id"), "copies", "x"), Filters(dim, classes.count())), "filters")
-        found = stored(linked(listed, cosine), "links")
-    else:
-        found = df.sparkSession.createDataFrame([], "a long, b long, n long")
-    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    groups = components(found.filter("b IS NOT NULL")).withColumnRenamed("node", "rep")
-    summed = classes.select("h", "g", "rep", "copies").join(counts, "rep", "left").join(groups, "rep", "left")
-    summed = summed.select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked_ = good.select("vec_id", "h", "g").join(summed, ["h", "g"]).select("vec_id", "n_links", "component_id")
-    rest = df.select(F.col(key).cast("long").alias("vec_id"))
-    bad = rest.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked_.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    classes = stored(classes.withColumn("row", F.monotonically_increasing_id()), "classes")
+    found = df.sparkSession.createDataFrame([], "a long, b long, n long")
+    for dim, n in classes.groupBy(F.size("x")).count().filter("count > 1").collect():
+        own = classes.filter(F.size("x") == dim).select(F.col("row").alias("vec_id"), "copies", "x")
+        found = found.unionByName(stored(linked(stored(list_decoded(own, Filters(dim, n)), "filters"), cosine), "links"))
+    # Classes are numbered, as one id may have several vectors; such an id links its classes.
+    counts = found.filter("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n"))
+    named = classes.select("row", "rep")
+    between = found.filter("b IS NOT NULL").join(named.select(F.col("row").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("row").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    held = good.select("vec_id", "h", "g").join(classes.select("h", "g", "rep"), ["h", "g"]).select("vec_id", "rep")
+    several = held.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").select("vec_id", "b")
+    same = held.join(several, "vec_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
+    groups = components(between.unionByName(same)).withColumnRenamed("node", "rep")
+    summed = classes.join(counts, "row", "left").join(groups, "rep", "left").select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rows = good.select("vec_id", "h", "g").join(summed, ["h", "g"]).select("vec_id", "n_links", "component_id")
+    id_ = F.col(key).cast("long")
+    rest = df.filter(id_.isNull() | ~proper(numbers(df, vector))).select(id_.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), id_.alias("component_id"))
+    return rows.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

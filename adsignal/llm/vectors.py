@@ -1,21 +1,29 @@
-"""What the vector operators share: which vectors count, and their class of equal copies."""
+"""What the vector operators share: which vectors count."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, x): vectors that are not null or zero and hold finite numbers only."""
-    kind = df.schema[vector].dataType.simpleString()
-    x = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
-    held = df.select(F.col(key).cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND size(x) > 0")
-    good = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return held.filter(good & F.exists("x", lambda c: c != 0))
+def proper(x: Column) -> Column:
+    """Whether a vector is not null or zero and holds finite numbers only."""
+    finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    return F.coalesce((F.size(x) > 0) & finite & F.exists(x, lambda c: c != 0), F.lit(False))
 
 
-def usual_length(df: DataFrame) -> int:
-    """The most common length, the smaller of equally common ones; 0 for an empty table."""
-    found = df.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return found["n"] if found else 0
+def numbers(df: DataFrame, vector: str) -> Column:
+    """The vector as an array of floats, if that is what it is, or else of doubles."""
+    return F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+
+
+def usable(df: DataFrame, key: str, vector: str, *others: str) -> DataFrame:
+    """(vec_id, x, others): rows with an id and a proper vector."""
+    return df.select(F.col(key).cast("long").alias("vec_id"), numbers(df, vector).alias("x"), *others).filter(F.col("vec_id").isNotNull() & proper(F.col("x")))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
