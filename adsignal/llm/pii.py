@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 LOCAL = "A-Za-z0-9._%+-"
@@ -146,15 +146,16 @@ def find(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     if not n:
         return row
     listed = F.broadcast(terms) if n <= 200_000 else terms  # beyond that size a shuffled join
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("pii_key")
-    own = docs.select(key, F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("word")).join(listed, "word").groupBy("pii_key").agg(F.sort_array(F.collect_set("word")).alias("pii_terms"))
+    key, mine = unused(row, "pii_key"), unused(row, "pii_terms")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.xxhash64(whole).alias(key), F.explode(F.array_distinct(words(whole))).alias("word")).join(listed, "word").groupBy(key).agg(F.sort_array(F.collect_set("word")).alias(mine))
     own = stored(own, "own")
-    held = own.agg(F.sum(F.size("pii_terms"))).first()[0] or 0
+    held = own.agg(F.sum(F.size(mine))).first()[0] or 0
     own = F.broadcast(own) if held <= 500_000 else own  # beyond that size a shuffled join
-    row = row.withColumn("pii_key", key).join(own, "pii_key", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("pii_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    term = F.when(F.col("pii_terms").isNotNull(), _placed(F.coalesce(F.col(text), F.lit("")), pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    return row.withColumn("pii", F.concat("pii", _named("term", term))).drop("pii_key", "pii_terms")
+    row = row.withColumn(key, F.xxhash64(whole)).join(own, key, "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(mine, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    term = F.when(F.col(mine).isNotNull(), _placed(whole, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return row.withColumn("pii", F.concat("pii", _named("term", term))).drop(key, mine)
 
 
 def written(spans: Column) -> Column:
