@@ -1,33 +1,38 @@
 """Jaccard join of documents on word shingles, with token-combination prefixes.
 
 1. Every shingle of every document is counted: tasks send the shingles' leading bits, sorted and packed, to buckets
-   that count them.  Shingles in at least ``frequent`` documents are the frequent class.
+   that count them.  Shingles in at least ``frequent`` documents are frequent, those in at least ``hot`` are hot.
 2. A document's shingles are ordered: those that no other document has (as far as a bitmap of fixed size tells), other
-   rare ones, frequent ones by count; then by hash.  Two documents that are similar enough
-   share one of the first p shingles, and two of the first p + 1, p following from size and threshold.  Rare ones of
-   the first p are index keys by themselves.
+   rare ones, frequent ones by count; then by hash.  Two documents that are similar enough share one of the first p
+   shingles, p following from size and threshold, and e + 1 of the first p + e.  Rare ones of the first p are index keys
+   by themselves.
 3. Equal sets are one class.  Each class is verified against one partner: the smallest document of a key, for the key
    owner that most of its keys name.  What this links is a component already.
-4. What is left are pairs of different components.  For those, frequent shingles count two by two: keys are rare single
-   shingles and combinations of two frequent ones of the first p + 1, both of which different components hold.  All
-   such pairs are verified, so no link between two components is lost; pairs inside a component are never made.
+4. What is left are pairs of different components.  For those, frequent shingles count two by two and hot ones three by
+   three.  Shingles are dealt by hash into g groups, and only those of one group are combined, so that a document has
+   about 5 p combinations and not p * p: of e + 1 shared shingles, e = g + min(2 g, hot shingles of the document), two
+   frequent or three hot ones must be in one group.  g follows from the smaller document's size as a power of two, so
+   both documents of a pair take the same; a document between two powers is indexed under either.  Keys are the rare
+   shingles and the combinations that different components hold.  A document adds to each key how many shingles it can
+   share at most if that key is the first one shared; pairs that this rules out aren't made.  All other pairs are
+   verified, so no link between two components is lost; pairs inside a component are never made.
 
 The frequent class is broadcast, at most ``most_frequent`` shingles: where there are more, its least count is doubled
 until it fits, which costs work and no result.  A key of very many documents is salted; its parts meet in step 4.
 
 Defined cases: null and empty texts, and those without words, have no shingles and link with nothing; shorter texts
-than a shingle are one shingle; repeated rows are copies; an empty table gives an empty result; rows without an id are
-left out; extra columns are not carried.
+than a shingle are one shingle; repeated rows are copies; rows without an id link with nothing and are in no component
+(null); an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
@@ -36,6 +41,7 @@ from .shingles import lots, mixed, release, sets
 
 SALTED = 20_000  # documents of a key that one task looks at
 STAR = 2_000  # documents that one task compares with one partner
+GROUPED = 8  # a group for so many of the first p shingles
 REPEATED_BITS = 27  # 16 MB; with more repeated shingles than bits it tells fewer of the unique ones, at a cost in work alone
 
 
@@ -122,13 +128,22 @@ def frequent_class(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     return rows["token"].to_numpy(), rows["n"].to_numpy()
 
 
-SIGNED = "doc_id long, n long, h long, g long, n_unique long, n_rare long, rare array<long>, common array<long>"
+SIGNED = "doc_id long, n long, h long, g long, n_hot long, keys array<struct<key:bigint,k:int,left:bigint>>"
 
 
-def signed(docs: DataFrame, k: int, percent: int, bits: int, frequent) -> DataFrame:
-    """Per document: size and two sums of its set, rare shingles of the first p, frequent ones of the first p + 1.
+def _needed(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of shingles that a set of so many shares with any other that is similar enough."""
+    return -(-percent * sizes // 100)
 
-    Shingles that no other document has come first and are no keys.
+
+def _dealt(levels: np.ndarray, percent: int) -> np.ndarray:
+    """Into how many groups frequent shingles are dealt, where the smaller set has 2 ** level shingles and more."""
+    return np.maximum((100 - percent) * (1 << levels) // (100 * GROUPED), 1)
+
+
+def signed(docs: DataFrame, k: int, percent: int, bits: int, hot: int, frequent) -> DataFrame:
+    """Per document: size and two sums of its set, its number of hot shingles, and those that may be keys: rare ones of
+    the first p (k 1), frequent (k 2) and hot ones (k 3) of the first p + e.  ``left``: how many come from it on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +163,16 @@ def signed(docs: DataFrame, k: int, percent: int, bits: int, frequent) -> DataFr
                 order = np.lexsort((value, count, owner))
                 value_, count_ = value[order], count[order]
                 rank = np.arange(len(value)) - np.repeat(at[:-1], sizes)
-                p = np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)
-                rare, common = (rank < p) & (count_ == 0), (rank < p + 1) & (count_ > 0)
+                n_hot = np.bincount(owner[count_ >= hot], minlength=len(sizes))
+                p = sizes - _needed(sizes, percent) + 1
+                groups = _dealt(np.log2(np.maximum(sizes, 1)).astype("int64"), percent)
+                far = p + groups + np.minimum(2 * groups, n_hot)
+                held = np.flatnonzero(((rank < p[owner]) & (count_ == 0)) | ((rank < far[owner]) & (count_ > 0)))
+                kind = 1 + (count_[held] > 0) + (count_[held] >= hot)
+                keys = pa.StructArray.from_arrays([pa.array(value_[held].view("int64")), pa.array(kind.astype("int32")), pa.array((sizes[owner] - rank)[held])], names=["key", "k", "left"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[held], minlength=len(sizes)))]), pa.int32()), keys)
                 sums = [np.add.reduceat(np.append(x, np.uint64(0)), at[:-1]) * (sizes > 0).astype("uint64") if len(sizes) else np.empty(0, "uint64") for x in (value, mixed(value + np.uint64(7)))]
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[m], minlength=len(sizes)))]), pa.int32()), pa.array(value_[m].view("int64"))) for m in (rare, common)]
-                kinds = [np.bincount(owner[m], minlength=len(sizes)) for m in (count_ < 0, count_ == 0)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s.view("int64")) for s in sums), *map(pa.array, kinds), *lists], names=["doc_id", "n", "h", "g", "n_unique", "n_rare", "rare", "common"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s.view("int64")) for s in sums), pa.array(n_hot.astype("int64")), lists], names=["doc_id", "n", "h", "g", "n_hot", "keys"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -242,51 +261,73 @@ def cross_pairs(keys: DataFrame, percent: int) -> DataFrame:
     return one.join(two, (one["key"] == two["key"]) & (F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
 
 
-def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", frequent: int = 32, most_frequent: int = 1_000_000) -> DataFrame:
+def combinations(held: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, component, key, left) for the combinations of two frequent or three hot shingles of one group.
+
+    held: doc_id, n, component, n_hot, key, k, left.
+    """
+    needed = F.ceil(F.col("n") * percent / 100)
+    levels = F.sequence(F.floor(F.log2(needed)), F.floor(F.log2("n")))
+    groups = F.greatest(F.lit(1), F.floor((100 - percent) * F.pow(F.lit(2.0), F.col("level")) / (100 * GROUPED)))
+    dealt = held.withColumn("level", F.explode(levels)).withColumn("groups", groups)
+    dealt = dealt.withColumn("more", F.col("groups") + F.least(2 * F.col("groups"), F.col("n_hot")))
+    dealt = dealt.filter(F.col("n") - F.col("left") < F.col("n") - needed + 1 + F.col("more"))
+    lists = dealt.groupBy("doc_id", "n", "component", "level", "more", "k", F.pmod(F.xxhash64("key"), "groups").alias("group"))
+    # In the order of all documents: what comes later leaves less to share.
+    lists = lists.agg(F.sort_array(F.collect_set(F.struct("left", "key")), asc=False).alias("keys")).filter(F.size("keys") >= F.col("k"))
+
+    def after(i: Column, make: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y, j: make(y, i + 1 + j))
+
+    def key(last: Column, *others: Column) -> Column:
+        return F.struct(F.xxhash64("level", *[x["key"] for x in others], last["key"]).alias("key"), (last["left"] + F.col("more")).alias("left"))
+
+    two = F.flatten(F.transform("keys", lambda x, i: after(i, lambda y, _: key(y, x))))
+    three = F.flatten(F.flatten(F.transform("keys", lambda x, i: after(i, lambda y, j: after(j, lambda z, _: key(z, x, y))))))
+    made = lists.select("doc_id", "n", "component", F.explode(F.when(F.col("k") == 2, two).otherwise(three)).alias("x"))
+    return made.select("doc_id", "n", "component", "x.key", "x.left")
+
+
+def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", frequent: int = 32, hot: int = 65_536, most_frequent: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.  Links are pairs with 100 * both >= percent * either."""
     spark = docs.sparkSession
-    plain = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     size = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = min(24, max(2, int(np.ceil(np.log2(max(size, 1) / 6 / 1_000_000 + 1)))))
     counts = stored(shingle_counts(plain, k, bits, frequent), "counts")
     known = counts.filter("n IS NOT NULL")
     held = spark.sparkContext.broadcast((*frequent_class(known, most_frequent), repeated_bitmap(counts, bits)))
-    table = stored(signed(plain, k, percent, bits, held), "signed")
+    table = stored(signed(plain, k, percent, bits, hot, held), "signed")
+    held.destroy()  # the table is written
 
-    whole = table.filter("n > 0").groupBy("n", "h", "g").agg(F.min("doc_id").alias("rep"))
-    classes = stored(table.filter("n > 0").select("doc_id", "n", "h", "g").join(whole, ["n", "h", "g"]).select("doc_id", "rep", "n"), "classes")
+    some = table.filter("n > 0 AND doc_id IS NOT NULL")
+    whole = some.groupBy("n", "h", "g").agg(F.min("doc_id").alias("rep"))
+    classes = stored(some.select("doc_id", "n", "h", "g").join(whole, ["n", "h", "g"]).select("doc_id", "rep", "n"), "classes")
     own = classes.filter("doc_id = rep").select("doc_id").distinct()
-    reps = table.filter("size(rare) > 0 OR size(common) > 0").select("doc_id", "n", "n_unique", "n_rare", "rare", "common").join(_sent(own, classes.count()), "doc_id", "left_semi")
-    left = lambda *before: F.col("n") - sum(map(F.col, before), F.lit(0))
-    postings = reps.select("doc_id", "n", left("n_unique").alias("left"), F.posexplode("rare").alias("place", "key")).select("doc_id", "n", (F.col("left") - F.col("place")).alias("left"), "key", F.lit(0).alias("salts"))
-    token = F.shiftrightunsigned("key", 32 - bits)
-    many = known.filter(F.col("n") > SALTED).select(F.col("token"), F.ceil(F.col("n") / SALTED).cast("int").alias("salts_"))
-    shared = reps.select("doc_id", "n", left("n_unique", "n_rare").alias("left"), F.posexplode("common").alias("place", "key")).withColumn("left", F.col("left") - F.col("place")).withColumn("token", token).join(F.broadcast(many) if many.count() < 100_000 else many, "token", "left")
-    postings = postings.unionByName(shared.select("doc_id", "n", "left", "key", F.coalesce("salts_", F.lit(1)).alias("salts")))
-    place = Window.partitionBy("key", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("salts"))).otherwise(F.lit(0)))
+    reps = some.filter("size(keys) > 0").select("doc_id", "n", "n_hot", "keys").join(_sent(own, classes.count()), "doc_id", "left_semi")
+    postings = reps.select("doc_id", "n", "n_hot", F.explode("keys").alias("x")).select("doc_id", "n", "n_hot", "x.*")
+    many = known.filter(F.col("n") > SALTED).select("token", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    postings = postings.withColumn("token", F.shiftrightunsigned("key", 32 - bits)).join(F.broadcast(many) if many.count() < 100_000 else many, "token", "left").drop("token")
+    place = Window.partitionBy("key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)))
     postings = postings.withColumn("leader", F.min("doc_id").over(place)).withColumn("docs", F.count("*").over(place)).filter("docs > 1 OR salts > 1")
-    postings = stored(postings.select("doc_id", "n", "left", "key", (F.col("salts") > 0).alias("common"), "leader"), "postings")
+    postings = stored(postings.select("doc_id", "n", "n_hot", "key", "k", "left", "leader"), "postings")
 
     named = postings.filter("leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
     best = named.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
     first = best.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    links = stored(stars(plain, first, k, percent), "links")
+    found = plain.filter("doc_id IS NOT NULL")
+    links = stored(stars(found, first, k, percent), "links")
 
     groups = components(links)
     placed = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    single = placed.filter("NOT common").select("doc_id", "n", "component", "key", "left")
-    twice = placed.filter("common")
-    open_ = twice.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    # In the order of all documents: what comes later leaves less to share.
-    lists = twice.join(open_, "key").groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("left", "key")), asc=False).alias("keys")).filter(F.size("keys") > 1)
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), (y["left"] + 1).alias("left")))))
-    combined = lists.select("doc_id", "n", "component", F.explode(both).alias("x")).select("doc_id", "n", "component", "x.key", "x.left")
-    pairs = cross_pairs(single.unionByName(combined), percent)
-    pairs = stored(pairs, "pairs")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    placed = stored(placed.join(open_, "key"), "open")
+    single = placed.filter("k = 1").select("doc_id", "n", "component", "key", "left")
+    pairs = stored(cross_pairs(single.unionByName(combinations(placed.filter("k > 1"), percent)), percent), "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held_sets = stored(full_sets(plain.join(_sent(needed, 2 * pairs.count()), "doc_id", "left_semi"), k), "sets")
+    held_sets = stored(full_sets(found.join(_sent(needed, 2 * pairs.count()), "doc_id", "left_semi"), k), "sets")
     more = stored(verified(pairs, held_sets, percent), "links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
-    found = classes.select("doc_id", "rep").distinct().join(final, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("found"))
-    out = table.select("doc_id", F.col("n").alias("n_shingles")).join(found.groupBy("doc_id").agg(F.min("found").alias("found")), "doc_id", "left")
+    ends = classes.select("doc_id", "rep").distinct().join(final, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("found"))
+    out = table.select("doc_id", F.col("n").alias("n_shingles")).join(ends.groupBy("doc_id").agg(F.min("found").alias("found")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
