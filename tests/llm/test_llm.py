@@ -47,13 +47,33 @@ def test_quality_scores_every_text(spark, docs):
     assert quality.fit(docs, labels.limit(0)).slope == 0 and quality.score(empty(spark), model).count() == 0
 
 
-def test_quality_separates_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+def held_out_scores(spark, sf):
     labels, rows = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
     model = quality.fit(rows, labels.filter(fold("doc_id", 5) != 0))
-    found = quality.score(rows, model).join(labels, "doc_id").filter(fold("doc_id", 5) == 0).select("score", "quality").toPandas()
-    good, bad = (found.score[found.quality == q].to_numpy() for q in (1, 0))
-    assert (good[:, None] > bad[None]).mean() > 0.95
+    found = rows.join(labels.filter(fold("doc_id", 5) == 0), "doc_id").collect()
+    return model, [r.text for r in found], np.array([r.quality for r in found])
+
+
+def auc(scores, labels):
+    return (scores[labels == 1][:, None] > scores[labels == 0][None]).mean()
+
+
+def test_quality_separates_held_out_labels(spark):
+    model, held, labels = held_out_scores(spark, "/root/testdata/sf0.1")
+    assert len(model.good) == len(model.bad) > 20_000
+    x = quality.features(held, model.good, model.bad)
+    score = 1 / (1 + np.exp(-(model.bias + model.slope * x[:, 0] + model.ratio_slope * x[:, 1])))
+    assert auc(score, labels) > 0.98 and (score[labels == 1] < 0.3).mean() < 0.01 and (score[labels == 0] < 0.3).mean() > 0.85
+    repeats = np.array([len(set(t.split())) < 0.3 * len(t.split()) for t in held]) & (labels == 0)
+    # Endless repeats: the difference alone leaves them among the good ones, the compressed share doesn't.
+    either = (labels == 1) | repeats
+    assert repeats.sum() > 5 and auc(score[either], labels[either]) > auc(x[either, 0], labels[either]) + 0.02
+
+
+def test_quality_without_enough_labelled_text(spark):
+    docs = spark.createDataFrame([(i, "short") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id long, quality int")
+    assert {round(r.score, 6) for r in quality.score(docs, quality.fit(docs, labels)).collect()} == {0.5}
 
 
 def test_packing_is_whole_and_tight(spark, docs):
@@ -129,9 +149,36 @@ def test_spherical_caps_find_all_links(spark):
     assert embedding_dedup.near_duplicates(empty(spark, "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_nearest_recall_and_exact_scores(spark):
+def test_spherical_caps_of_64_dimensions(spark):
+    """Planted pairs just above the threshold among unrelated vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((9_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 2_000, 2):
+        off = rng.standard_normal(64)
+        off -= (off @ x[i]) * x[i]
+        c = rng.uniform(0.9505, 0.97)
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * off / np.linalg.norm(off)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert 0.99 * near.sum() <= found <= near.sum()
+
+
+def test_vectors_of_several_lengths_and_repeated_ids(spark):
+    one, two = [1.0, 0.0, 2.0], [1.0, 0.0, 2.0, 3.0]
+    rows = [(1, one), (2, one), (3, two), (4, [2 * c for c in two]), (5, [0.0, 1.0, 0.0]), (5, two), (6, None), (None, one), (5, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("rep", F.lit(1))
+    found = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=repr)
+    assert found == sorted([(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 0, 3), (5, 2, 3), (6, 0, 6), (None, 0, None), (5, 0, 5)], key=repr)
+    near = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id").isin(1, 3), k=9).collect())
+    assert near == [(1, 1, 2), (1, 2, 5), (3, 1, 4), (3, 2, 5)]
+
+
+def test_nearest_recall_ties_and_exact_scores(spark):
     df, good = vectors(spark)
-    rows = ann.nearest(df, F.col("vec_id") % 20 == 0, k=7).collect()
+    rows = ann.nearest(df.withColumn("dim", F.lit("clash")), F.col("vec_id") % 20 == 0, k=7, block=200, query_block=16).collect()
     hits = total = 0
     by = collections.defaultdict(list)
     for r in sorted(rows, key=lambda r: r["rank"]):
@@ -140,7 +187,22 @@ def test_nearest_recall_and_exact_scores(spark):
     for q in (i for i in good if i % 20 == 0):
         want = sorted((i for i in good if i != q), key=lambda i: (-(good[q] @ good[i]), i))[:7]
         hits, total = hits + len(set(want) & set(by[q])), total + 7
-    assert hits / total >= 0.9
+    assert hits / total >= 0.97
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id) for r in sorted(ann.nearest(same, F.col("vec_id") == 4, k=3).collect())] == [(1, 0), (2, 1), (3, 2)]
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_recall_of_64_dimensions(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6_000, 64)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, k=20, block=1_000).collect():
+        found[r.query_id].add(r.vec_id)
+    near = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(near, -np.inf)
+    assert np.mean([len(found[q] & set(np.argsort(-near[q])[:20].tolist())) / 20 for q in range(0, 6_000, 100)]) >= 0.97
 
 
 def components_of(held, k, percent):
@@ -165,27 +227,34 @@ def components_of(held, k, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("k", "percent", "frequent"), [(4, 85, 32), (5, 80, 3)])
-def test_jaccard_join_is_brute_force(spark, docs, k, percent, frequent):
+@pytest.mark.parametrize(("k", "percent", "frequent", "hot"), [(4, 85, 32, 2048), (5, 80, 3, 6)])
+def test_jaccard_join_is_brute_force(spark, docs, k, percent, frequent, hot):
     want = components_of(texts(docs), k, percent)
-    rows = jaccard_join.similar_documents(docs, k, percent, frequent=frequent).collect()
+    rows = jaccard_join.similar_documents(docs, k, percent, frequent=frequent, hot=hot).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
     assert len(rows) == docs.count()
 
 
-def test_jaccard_join_of_overlapping_boilerplate(spark):
+@pytest.mark.parametrize(("length", "hot"), [(30, 2048), (30, 40), (150, 2048), (150, 20)])
+def test_jaccard_join_of_overlapping_boilerplate(spark, length, hot):
     """Documents mostly of shared passages: frequent shingles alone must not hide or make links."""
     rng = random.Random(5)
-    passages = [[f"p{i}w{j}" for j in range(30)] for i in range(6)]
+    passages = [[f"p{i}w{j}" for j in range(length)] for i in range(6)]
     rows = []
     for i in range(120):
-        chosen = rng.sample(passages, 4)
+        chosen = [p[: length - rng.randrange(length // 5)] for p in rng.sample(passages, 4)]
         rows.append((i, " ".join(w for p in chosen for w in p) + " " + " ".join(f"u{rng.randrange(400)}" for _ in range(rng.randrange(12)))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, 4, 85, frequent=5).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, 4, 85, frequent=5, hot=hot).collect()}
     assert got == components_of(dict(rows), 4, 85)
 
 
+def test_jaccard_join_of_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (3, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.similar_documents(df).collect()), key=repr)
+    assert got == [(3, 2, 3), (3, 2, 3), (4, 2, 3), (None, 2, None), (None, 2, None)]
+
+
 def test_empty_joins(spark):
     assert jaccard_join.similar_documents(empty(spark)).count() == 0
 
@@ -204,24 +273,89 @@ def scored(held, trained, c):
     return {i: sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws) for i, ws in held.items()}, n
 
 
+def context_of(ws, at, bits, start_bits, need, depth=6):
+    """The shortest run of words before a place that holds enough information, the start being one; or None."""
+    held = 0
+    for back in range(1, depth + 1):
+        if at - back < 0:
+            return ("start", *ws[:at]) if held + start_bits >= need else None
+        held += bits(ws[at - back])
+        if held >= need:
+            return tuple(ws[at - back : at])
+    return None
+
+
+def tree_scores(held, out):
+    """The word tree's scores by plain dictionaries."""
+    trained = {i: ws for i, ws in held.items() if not out[i]}
+    c = collections.Counter(w for ws in trained.values() for w in ws)
+    n, once = sum(c.values()), sum(x == 1 for x in c.values())
+    whole, rest = n / (n + once + 1), 1 - n / (n + once + 1)
+
+    def bits(w):
+        return min(15, int(np.log2(n / c[w]))) if c[w] * 2**15 >= n else 15
+
+    start_bits, need = min(15, int(np.log2(n / len(trained)))), int(np.ceil(np.log2(n)))
+    follows = collections.defaultdict(collections.Counter)
+    for ws in trained.values():
+        for at, w in enumerate(ws):
+            if context := context_of(ws, at, bits, start_bits, need):
+                follows[context][w] += 1
+    states = {}
+    for context, after in follows.items():
+        total, single = sum(after.values()), sum(x == 1 for x in after.values())
+        gain = sum(x * (np.log2((x - 1) / total) + bits(w)) for w, x in after.items() if x > 1)
+        gain += single * np.log2(max(single, 1) / total)
+        if single < total and gain > 0:
+            states[context] = after, total, single
+    scores = {}
+    for i, ws in held.items():
+        scores[i] = 0
+        for at, w in enumerate(ws):
+            root = whole * c[w] / n if c[w] else rest
+            after, total, single = states.get(context_of(ws, at, bits, start_bits, need), ({}, 0, 0))
+            scores[i] += np.log10(after[w] / (total + 1) if after and after[w] > 1 else root * ((single + 1) / (total + 1) if after else 1))
+    return scores, len(states)
+
+
 @pytest.mark.parametrize("head", [1 << 18, 50])
 def test_suffix_tree_counts_and_scores(spark, docs, head):
     held = {i: [*WORD.findall(lower(t)), None] for i, t in texts(docs).items()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in held}
     c = collections.Counter(w for i, ws in held.items() if not out[i] for w in ws)
     base, n = scored(held, out, c)
+    want, states = tree_scores(held, out)
     rows = suffix_tree.score_documents(docs, fold("doc_id", 7) != 2, fold("doc_id", 7) == 2, head=head).collect()
-    assert len(rows) == len(held)
+    assert len(rows) == len(held) and states > 1000
     for r in rows:
         assert r.held_out == out[r.doc_id] and r.n_tokens == len(held[r.doc_id]) and r.train_tokens == n
         assert r.n_known == sum(c[w] > 0 for w in held[r.doc_id])
-        assert abs(r.base_score - base[r.doc_id]) < 1e-6 * abs(base[r.doc_id]) and np.isfinite(r.score) and r.score < 0
+        assert abs(r.base_score - base[r.doc_id]) < 1e-6 * abs(base[r.doc_id])
+        assert abs(r.score - want[r.doc_id]) < 1e-5 * abs(want[r.doc_id]) + 1e-5 + 1e-7 * r.n_tokens
+        assert (r.spelling < -1e-9) == (r.n_known < r.n_tokens) and np.isfinite(r.spelling)
 
 
 def test_suffix_tree_scores_every_learnt_word(spark, docs):
     """How many words are sent to the tasks changes the work, never the score."""
-    few, all_ = ({r.doc_id: r.score for r in suffix_tree.score_documents(docs, fold("doc_id", 7) != 2, fold("doc_id", 7) == 2, head=head).collect()} for head in (50, 1 << 18))
-    assert few.keys() == all_.keys() and all(abs(few[i] - all_[i]) <= 1e-9 * abs(all_[i]) for i in few)
+    few, all_ = ({r.doc_id: r for r in suffix_tree.score_documents(docs, fold("doc_id", 7) != 2, fold("doc_id", 7) == 2, head=head).collect()} for head in (50, 1 << 18))
+    assert few.keys() == all_.keys() and all(abs(few[i][c] - all_[i][c]) <= 1e-5 + 1e-6 * abs(all_[i][c]) for i in few for c in ("score", "spelling"))
+
+
+def test_suffix_tree_beats_the_base_and_knows_repeated_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = suffix_tree.score_documents(rows, fold("doc_id", 7) != 2, fold("doc_id", 7) == 2)
+    held, base, score = found.filter("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert score / held > base / held + 0.5
+    often = rows.filter(fold("doc_id", 7) != 2).groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n > 1 AND length(text) > 400")
+    twice = found.join(often, "doc_id").select((F.col("score") / F.col("n_tokens")).alias("x")).agg(F.avg("x")).first()[0]
+    once = found.filter("NOT held_out").select((F.col("score") / F.col("n_tokens")).alias("x")).agg(F.percentile("x", F.lit(0.5))).first()[0]
+    assert twice > once + 1
+
+
+def test_suffix_tree_without_training(spark, docs):
+    rows = suffix_tree.score_documents(docs.limit(20), F.lit(False), F.lit(True)).collect()
+    assert len(rows) == 20 and all(r.n_known == 0 and r.score == 0 and np.isfinite(r.spelling) and r.base_score == 0 for r in rows)
+    assert suffix_tree.score_documents(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
 
 
 def test_tree_is_a_distribution():
@@ -295,6 +429,116 @@ def test_tool_calls_order_and_errors(spark):
     assert rows[("zz", 9)].status == "orphan" and rows[(None, 7)].status == "unanswered"
 
 
+def test_conversations_hold_calls_or_are_calls(spark):
+    turns = [
+        (1, 0, "system", "be short"),
+        (1, 1, "user", "hello"),
+        (1, 2, "assistant", "hi"),
+        (1, 3, "user", '{"name":"f","id":"k1","arguments":{"b":2,"a":"x","x[0":{"b":"deep"}},"depends_on":["1:4"]}'),
+        (1, 4, "user", None),
+        (1, 5, "tool", '{"id":"k1","result":{"z":1,"y":[true]}}'),
+        (1, 6, "critic", "no"),
+        (1, 7, None, None),
+        (2, 1, "assistant", "alone"),
+    ]
+    schemas = spark.createDataFrame([("reply", [("prompt", "string"), ("turn", "integer")]), ("configure", [("text", "string")]), ("f", [("a", "string"), ("b", "string"), ("x[0", "object")])], "name string, fields array<struct<key:string,kind:string>>")
+    rows = {(r.conv_id, r.turn): r for r in tool_calls.link_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash")), schemas).collect()}
+    assert len(rows) == 7 and rows[(1, 0)].place > rows[(1, 1)].place and rows[(1, 0)].status == "unanswered"
+    assert rows[(1, 1)].status == "linked" and '"result":"hi"' in rows[(1, 1)].message
+    assert rows[(1, 3)].errors == "kind of b" and rows[(1, 3)].place > rows[(1, 4)].place
+    assert rows[(1, 3)].message == '{"arguments":{"a":"x","b":2,"x[0":{"b":"deep"}},"id":"k1","name":"f","result":"{\\"y\\":[true],\\"z\\":1}"}'
+    assert rows[(1, 4)].errors == "missing prompt" and rows[(1, 6)].status == rows[(1, 7)].status == "no call" and rows[(2, 1)].status == "orphan"
+    assert tool_calls.link_conversations(empty(spark, "conv_id long, turn long, role string, text string"), schemas).count() == 0
+
+
+def test_pii_columns_that_clash_and_empty_tables(spark):
+    far = [(i, f"{w} Roedelkramm wrote to jane.roe@corp.example.com") for i, w in enumerate(("alpha", "gamma"))] + [(None, None), (7, ""), (7, "")]
+    rest = [(100 + i, f"wrote alpha gamma to {i}") for i in range(500)]
+    df = spark.createDataFrame(far + rest, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("pii_key", "pii_terms", "word", "t", "base")})
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns and clean.filter("pii_key = 'clash' AND pii_terms = 'clash'").count() == df.count()
+    assert {r.text for r in clean.filter("doc_id < 2").collect()} == {"alpha  wrote to [EMAIL]", "gamma  wrote to [EMAIL]"}
+    assert pii.report(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
+
+
+def test_pii_information_is_brute_force(spark):
+    """Pairs and their mutual information against plain counting over distinct texts."""
+    rng = random.Random(8)
+    names = ["Zwettl", "Quorn", "Ostheim"]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(["wrote", "asked", "called", "sent", "met"]) for _ in range(5)]
+        if i % 5 == 0:
+            k = i // 5 % 3
+            words += [names[k] if rng.random() < 0.8 else "nobody", f"p{k}@corp.example.com", f"note{i % 25}"]
+        rows.append(" ".join(words))
+    rows += rows[:40]
+    marked = spark.createDataFrame([(t,) for t in rows], "t string").withColumn("base", pii.base_spans(F.col("t")))
+    found = {(r.word, r.entity): (r.n_both, r.n_word, r.n_entity, round(r.information, 9)) for r in pii.judged(marked, bits=1.0, share=0.3).collect()}
+    texts_, want = set(rows), {}
+    held = [({w for w in re.split(r"[^\w]+|_", t.lower()) if len(w) >= 3}, set(re.findall(BASE["email"].pattern.replace("(", "(?:"), t))) for t in texts_]
+    for word in set().union(*(w for w, _ in held)):
+        for entity in set().union(*(e for _, e in held)):
+            a, b = sum(word in w for w, _ in held), sum(entity in e for _, e in held)
+            both = sum(word in w and entity in e for w, e in held)
+            near = sum(word in w and bool(e) for w, e in held)
+            if both >= 2 and max(a, b) <= len(texts_) / 2 and near >= 0.3 * a and word not in entity:
+                want[word, entity] = (both, a, b, round(np.log2(both * len(texts_) / (a * b)), 9))
+    assert found == want and any(w == "zwettl" for w, _ in found)
+
+
+def test_urls_are_brute_force(spark):
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    rows = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
+    rows += [(None, "http://a.net/"), (9001, "x" * 100_000), (9002, "http://" + "h" * 50_000 + ".example/" + "p" * 50_000), (9003, ""), (9003, ""), (9004, "://"), (9005, "HTTP://A.ORG/FR/1"), (9006, "a\nhttp://b.org\n/fr/")]
+    weights, bias = urls.train(urls.built_in())
+    for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect():
+        rest = (r.url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = lower(host)
+        fitting = [rule for rule, _ in rules if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith("/" + rule.split("/", 1)[1])]
+        rule = max(fitting, key=len, default=None)
+        grams = urls.buckets(host, path)
+        score = 1 / (1 + np.exp(-np.clip(bias + weights[grams].sum() / np.sqrt(max(len(grams), 1)), -50, 50)))
+        assert (r.host, r.path, r.rule) == (host, path, rule) and abs(r.block_score - score) < 1e-4
+        assert r.verdict == (dict(rules)[rule] if rule else "block" if r.block_score >= 0.5 else "allow")
+
+
+def test_urls_of_the_pages_table(spark):
+    """Held-out addresses: none of the table's hosts is in the training table."""
+    rows = urls.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").filter("url LIKE '%://%'"), []).collect()
+    known = {h for h, _, _ in urls.built_in()}
+    bad = [bool(re.search("spam|pills|casino|bets|adult|ads-", r.host)) for r in rows]
+    assert not known & {r.host for r in rows} and 0 < sum(bad) < len(bad)
+    assert all((r.verdict == "block") == b for r, b in zip(rows, bad))
+
+
+def test_packing_keeps_large_and_missing_ids(spark):
+    rows = [(9007199254740993, "big"), (None, "none"), (None, "none"), (5, None), (5, "a b " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece", F.lit("clash"))
+    found = packing.pack_documents(df.coalesce(1)).collect()
+    assert sorted({r.doc_id for r in found}, key=lambda i: i or 0) == [None, 5, 9007199254740993] and sum(r.doc_id is None for r in found) == 2
+
+
+def test_sql_of_the_operators(spark):
+    """The operators' SQL gives the queries' rows."""
+    import duckdb
+    from adsignal.llm import queries
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        cursor = con.execute(sql)
+        names = sorted(c[0] for c in cursor.description)
+        order = [[c[0] for c in cursor.description].index(n) for n in names]
+        mine = queries.QUERIES[name](spark, SF)
+        assert sorted(mine.columns) == names
+        assert sorted(map(repr, (tuple(r[c] for c in names) for r in mine.collect()))) == sorted(map(repr, (tuple(r[i] for i in order) for r in cursor.fetchall())))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
@@ -307,3 +551,16 @@ def test_pipeline_stages(spark):
     assert clean.columns == docs.columns == one.columns and all(base_spans(r.text or "") == "" for r in clean.collect())
     packed = p.packing_stage(spark, clean, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in one.collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    long_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, long_), (3, long_), (3, long_), (3, "another text of one id, with words enough"), (None, long_), (None, "no id " + long_), (None, "no id " + long_), (8, None), (8, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema).withColumn("row", F.lit("clash"))
+    one = p.dedup_stage(spark, docs, SF)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(repr, [(3, long_), (3, "another text of one id, with words enough"), (8, None), (8, None), (9, ""), (9, "")]))
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, SF).columns and stage(spark, docs.limit(0), SF).count() == 0
+    assert p.pii_stage(spark, docs, SF).count() == len(rows) and p.packing_stage(spark, docs, SF).count() == len(rows)
