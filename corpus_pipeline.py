@@ -1,7 +1,11 @@
 """The corpus pipeline: reject poor documents, keep one of each near-duplicate group, sanitise, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Null and empty texts are kept by every stage; of documents in one near-duplicate group the smallest id stays.
+
+Defined cases: null and empty texts are kept by every stage, as empty ones; every row is a document of its own, also
+where ids repeat or are missing: equal rows are copies, of which one stays; of a near-duplicate group the row with the
+smallest id stays, one without an id only where no other has one; extra columns are dropped; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -23,10 +27,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares at least 80 of 100 five-word shingles, directly or by links."""
-    found = stored(jaccard_join.similar_documents(docs, k=5, percent=80), "groups")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_join.similar_documents(rows, k=5, percent=80, key="row")
+    found = stored(found.select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    several = found.filter("row <> component_id").select("component_id").distinct()
+    grouped = found.join(several, "component_id").join(rows.select("row", "doc_id"), "row")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row"))["row"].alias("first"))
+    gone = stored(grouped.join(first, "component_id").filter("row <> first").select("row"), "gone")
     gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone  # 8 MB; beyond that a shuffled join
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
