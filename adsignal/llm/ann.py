@@ -6,9 +6,10 @@ less nothing is rotated alike and rounded to four bits a component; its inner pr
 of (bits and plane).  From it, with two correction scalars, an inner product is estimated without bias, and an error
 bound holds it with high probability.
 
-1. Block by block, the k largest lower bounds of each query; the k-th of all blocks is the query's floor.
+1. Block by block, the ``first`` vectors of largest estimate for each query; of all blocks' the best get their original
+   vectors, by joins, for exact products.  The k-th largest of these is the query's floor.
 2. Block by block again, the vectors whose upper bound reaches the floor are candidates.
-3. Candidates alone get their original vectors, by two joins, for exact products; the k best stay.
+3. Candidates alone get their original vectors for exact products; the k best stay.
 
 Bounds: the mean is fitted on at most ``sample`` vectors; every vector is indexed and compared.  Work is the number of
 queries times the number of vectors, as a search of a stated query set against all rows is; a task holds the codes of
@@ -32,16 +33,16 @@ from pyspark.sql import functions as F
 from .common import stored
 from .vectors import matrix, usable
 
-SIGMAS = 3.0  # width of the error bound
+SIGMAS = 2.0  # width of the error bound
 PLANES = 4  # bits of a query's component
 CODE = "vec_id long, dim int, bits binary, length double, own double"
-ASKED = "vec_id long, dim int, planes binary, base double, step double, total double, length double"
+ASKED = "vec_id long, dim int, planes binary, base double, step double, total double, with_centre double, length double"
 
 
 class Codes:
     """The random rotation of one vector length and its codes."""
 
-    def __init__(self, centre: np.ndarray, bits: int = 256, seed: int = 5):
+    def __init__(self, centre: np.ndarray, bits: int = 512, seed: int = 5):
         self.centre, dim = centre, len(centre)
         self.bits = 64 * -(-max(bits, dim) // 64)
         turned = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.bits, dim)))[0]
@@ -55,14 +56,15 @@ class Codes:
         own = np.abs(turned).sum(axis=1) / np.sqrt(self.bits)
         return np.packbits(turned > 0, axis=1), length, np.maximum(own, 1e-6)
 
-    def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The bit planes of the rotated query's rounded components, their base and step, the sum of what they stand for."""
+    def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bit planes of the rotated query's rounded components, their base and step, the sum of what they stand for,
+        and the query's product with the mean."""
         turned = q @ self.rotation
         base = turned.min(axis=1)
         step = np.maximum((turned.max(axis=1) - base) / (2**PLANES - 1), 1e-300)
         level = np.rint((turned - base[:, None]) / step[:, None]).astype("uint8")
         planes = np.concatenate([np.packbits((level >> p) & 1, axis=1) for p in range(PLANES)], axis=1)
-        return planes, base, step, base * self.bits + step * level.sum(axis=1)
+        return planes, base, step, base * self.bits + step * level.sum(axis=1), q @ self.centre
 
 
 def bounds(planes: np.ndarray, base: np.ndarray, step: np.ndarray, total: np.ndarray, q_length: np.ndarray, bits: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def _coded(rows: DataFrame, codes: dict[int, Codes], queries: bool) -> DataFrame
                 ids, dims = part.column(0), pa.array(np.full(len(part), dim, "int32"))
                 found = code.asked(x) if queries else code.of(x)
                 packed = pa.array([row.tobytes() for row in found[0]], pa.binary())
-                rest = [pa.array(c) for c in (*found[1:], np.linalg.norm(x, axis=1))[: 4 if queries else 2]]
+                rest = [pa.array(c) for c in (*found[1:], np.linalg.norm(x, axis=1))[: 5 if queries else 2]]
                 yield pa.RecordBatch.from_arrays([ids, dims, packed, *rest], names=[c.split()[0] for c in (ASKED if queries else CODE).split(", ")])
 
     return rows.mapInArrow(run, ASKED if queries else CODE)
@@ -127,8 +129,21 @@ def _pairs(asked: DataFrame, held: DataFrame, n_query_blocks: int, n_blocks: int
     return q.groupBy("dim", "i", "j").cogroup(v.groupBy("dim", "i", "j")).applyInArrow(run, schema)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, block: int = 8192, query_block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: the k candidates of largest inner product of every query row."""
+def _exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
+    """(query_id, vec_id, score): the exact products of pairs of ids, in double precision."""
+    double = lambda c: F.transform(c, lambda e: e.cast("double"))
+    asking = queries.select(F.col("vec_id").alias("query_id"), "x")
+    both = pairs.join(vectors.select("vec_id", F.col("x").alias("y")), "vec_id").join(F.broadcast(asking) if small else asking, "query_id").filter("size(x) = size(y)")
+    score = F.aggregate(F.zip_with(double("x"), double("y"), lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
+    return both.select("query_id", "vec_id", score.alias("score"))
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, first: int | None = None, block: int = 8192, query_block: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score: the k candidates of largest inner product of every query row.
+
+    first: how many vectors of largest estimate give a query's floor, 3 * k if not said.
+    """
+    first = first or 3 * k
     good = stored(usable(df.select(F.col(key).alias("vec_id"), F.col(vector).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vec_id", "x", "asks"), "vectors")
     asking = stored(good.filter("asks").groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
     some = good.orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(sample).select("x").collect()
@@ -137,29 +152,32 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
         own = [r["x"] for r in some if len(r["x"]) == dim]
         codes[dim] = Codes(np.array(own, float).mean(axis=0) if own else np.zeros(dim))
     held, asked = stored(_coded(good.select("vec_id", "x"), codes, False), "codes"), stored(_coded(asking, codes, True), "asked")
-    n_blocks, n_query_blocks = max(1, -(-held.count() // block)), max(1, -(-asked.count() // query_block))
-
-    # What query . centre adds is the same for all vectors of a length, so it is left out until the exact products.
-    def lowest(names, ids, estimate, wide, own, _):
-        low = np.where(own, -np.inf, estimate - wide)
-        need = min(k, low.shape[1])
-        top = np.partition(low, low.shape[1] - need, axis=1)[:, low.shape[1] - need :]
-        rows, columns = np.nonzero(np.isfinite(top))
-        return names[rows], top[rows, columns], np.empty(0)
+    n_queries = asked.count()
+    n_blocks, n_query_blocks = max(1, -(-held.count() // block)), max(1, -(-n_queries // query_block))
+    small = n_queries * max(codes, default=0) <= 4_000_000  # 32 MB; beyond that a shuffled join
+
+    # What query . centre adds is the same for all vectors of a length, so that estimates go without it.
+    def likeliest(names, ids, estimate, wide, own, _):
+        estimate = np.where(own, -np.inf, estimate)
+        need = min(first, estimate.shape[1])
+        top = np.argpartition(estimate, estimate.shape[1] - need, axis=1)[:, estimate.shape[1] - need :]
+        values = np.take_along_axis(estimate, top, 1)
+        rows, columns = np.nonzero(np.isfinite(values))
+        return names[rows], ids[top[rows, columns]], values[rows, columns]
 
     def reaching(names, ids, estimate, wide, own, floor):
         rows, columns = np.nonzero((estimate + wide >= floor[:, None]) & ~own)
         return names[rows], ids[columns], np.empty(0)
 
-    lows = _pairs(asked, held, n_query_blocks, n_blocks, lowest, "query_id long, low double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
-    floors = lows.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("floor"))
-    floors = stored(floors, "floors")
-    bounded = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = stored(_pairs(bounded, held, n_query_blocks, n_blocks, reaching, "query_id long, vec_id long").distinct(), "candidates")
+    likely = _pairs(asked, held, n_query_blocks, n_blocks, likeliest, "query_id long, vec_id long, estimate double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
+    likely = stored(likely.withColumn("place", place).filter(F.col("place") <= first).select("query_id", "vec_id").distinct(), "likely")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    floors = _exact(likely, good, asking, small).withColumn("place", best).filter(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    floor = F.coalesce(F.col("kth") - F.col("with_centre"), F.lit(float("-inf")))
+    bounded = stored(asked.join(floors, "vec_id", "left").withColumn("floor", floor).drop("kth"), "bounded")
+    reached = _pairs(bounded, held, n_query_blocks, n_blocks, reaching, "query_id long, vec_id long")
+    found = stored(reached.unionByName(likely).distinct(), "candidates")
 
-    double = lambda c: F.transform(c, lambda e: e.cast("double"))
-    both = found.join(good.select("vec_id", F.col("x").alias("y")), "vec_id").join(asking.select(F.col("vec_id").alias("query_id"), "x"), "query_id").filter("size(x) = size(y)")
-    score = F.aggregate(F.zip_with(double("x"), double("y"), lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return both.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _exact(found, good, asking, small).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
