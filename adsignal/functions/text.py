@@ -72,10 +72,11 @@ def duration_bucket(first: Column, last: Column) -> Column:
 
 
 def dimensions(url: Column) -> tuple[Column, Column]:
-    """(width, height) of width=/height=, w=/h= or 300x250 in a url."""
-    part = lambda p: F.nullif(F.regexp_extract(url, p, 1), F.lit(""))
-    width = F.coalesce(part(r"[?&]width=(\d+)"), part(r"[?&]w=(\d+)"), part(r"(\d{2,4})x\d{2,4}"))
-    height = F.coalesce(part(r"[?&]height=(\d+)"), part(r"[?&]h=(\d+)"), part(r"\d{2,4}x(\d{2,4})"))
+    """(width, height) of a url or text: width=/height=, w=/h=, 'width: 300', 'w300-h250' or '300x250' (also with \u00d7)."""
+    part = lambda p, i=1: F.nullif(F.regexp_extract(url, p, i), F.lit(""))
+    pair, short = r"(\d{2,4})\s*[x\u00d7]\s*(\d{2,4})", r"\bw(\d+)[^\dh]*h(\d+)"
+    width = F.coalesce(part(r"\bwidth\s*[=:]\s*(\d+)"), part(r"[?&]w=(\d+)"), part(short), part(pair))
+    height = F.coalesce(part(r"\bheight\s*[=:]\s*(\d+)"), part(r"[?&]h=(\d+)"), part(short, 2), part(pair, 2))
     return width.try_cast("int"), height.try_cast("int")
 
 
@@ -90,7 +91,7 @@ def size_bucket(html: Column) -> Column:
     out = F.when(w.isNull() | h.isNull(), "Unknown")
     for (x, y), name in SIZES.items():
         out = out.when((w == x) & (h == y), name)
-    return out.when(h > 1.5 * w, "Vertical").when(w > 2 * h, "Banner").otherwise("Square/Rectangle")
+    return out.when(h > w, "Vertical").when(w > 2 * h, "Banner").otherwise("Square/Rectangle")
 
 
 def display_date(text: Column) -> Column:
@@ -112,13 +113,43 @@ def json_array_in_reply(reply: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), schema)
 
 
-def sections(reply: Column, names: list[str]) -> Column:
-    """map<name, text> of a reply whose numbered headings ('2. Brand:') come in the given order."""
-    body = lambda i, name: F.trim(F.regexp_extract(reply, rf"(?is)(?:^|\n)\s*\**{i}[.)]\s*\**{name}\**\s*:?\**\s*(.*?)(?=\n\s*\**\d+[.)]|\Z)", 1))
-    whole = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), body(i, n.replace("_", "[ _/]")))])
+#: How lines begin that talk about an ad instead of quoting it.
+COMMENTS = ["more details:", "additional context:", "additional details:", "analysis:", "interpretation:", "overall", "the ad ", "this ad ", "the image ", "this image ", "it shows", "it features", "it highlights"]
+
+
+def without_comments(lines: Column, comments: list[str]) -> Column:
+    said = lambda line: F.exists(F.array(*map(F.lit, comments)), lambda c: F.startswith(F.lower(line), c))
+    return F.filter(lines, lambda line: (line != "") & ~said(line))
+
+
+def sections(reply: Column, names: list[str], comments: list[str] = COMMENTS) -> Column:
+    """map<name, text> of a reply with numbered headings ('2. Brand: ...'), the i-th name for number i.
+
+    A heading's text begins behind its colon and goes on to the next heading; comments and empty lines are left out.
+    """
+    kind = "struct<n:int,rows:array<struct<n:int,line:string>>>"
+    start = F.struct(F.lit(None).cast("int").alias("n"), F.array().cast("array<struct<n:int,line:string>>").alias("rows")).cast(kind)
+
+    def step(done: Column, raw: Column) -> Column:
+        line = F.trim(F.regexp_replace(raw, r"\*\*", ""))
+        number = F.regexp_extract(line, r"^(\d+)[.)]", 1).try_cast("int")
+        body = F.when(number.isNull(), line).otherwise(F.trim(F.regexp_extract(line, r"^\d+[.)][^:]*:(.*)$", 1)))
+        n = F.coalesce(number, done["n"])
+        row = F.array(F.struct(n.alias("n"), body.alias("line"))).cast("array<struct<n:int,line:string>>")
+        return F.struct(n.alias("n"), F.when(n.isNull() | (body == ""), done["rows"]).otherwise(F.concat(done["rows"], row)).alias("rows")).cast(kind)
+
+    rows = F.aggregate(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), start, step, lambda x: x["rows"])
+    text = lambda i: F.array_join(without_comments(F.transform(F.filter(rows, lambda r: r["n"] == i), lambda r: r["line"]), comments), "\n")
+    whole = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), text(i))])
     return F.map_filter(whole, lambda _, v: v != "")
 
 
+def visible_text(reply: Column, names: list[str], comments: list[str] = COMMENTS) -> Column:
+    """What the ad itself says: the first section, or without it the whole reply, comments left out."""
+    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), lambda line: F.trim(line))
+    return F.coalesce(sections(reply, names, comments)[names[0]], F.array_join(without_comments(lines, comments), "\n"))
+
+
 def merged_transcripts(parts: Column, least_share: float = 0.3) -> Column:
     """The longest transcript, then those of at least 30 % of its length that what is there does not contain."""
     ordered = F.transform(F.array_sort(F.transform(F.filter(parts, lambda p: F.coalesce(F.trim(p), F.lit("")) != ""), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda s: s["p"])
@@ -140,10 +171,39 @@ def composed(parts: Column) -> Column:
 
 
 def slug_title(slug: Column) -> Column:
-    """'a-big-shop_2' -> 'A Big Shop': words of letters, one-letter words upper-cased; null for less than three letters."""
-    words = F.filter(F.split(slug, "[-_]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    """'a-big-shop-2' -> 'A Big Shop 2': words with a capital; null for numbers alone and for less than three letters."""
+    words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
     out = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
-    return F.when(F.length(out) > 2, out)
+    return F.when(~slug.rlike("^[0-9]+$") & (F.length(out) > 2), out)
+
+
+def capitals(word: Column) -> Column:
+    """A word with a capital after each apostrophe or hyphen; words of two letters stay."""
+    one = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    by = lambda w, sign: F.array_join(F.transform(F.split(w, sign), one), sign)
+    return F.when(F.length(word) <= 2, word).when(F.contains(word, F.lit("-")), by(word, "-")).otherwise(by(word, "'"))
+
+
+def trimmed_name(name: Column, stop: list[str], most: int = 5) -> Column:
+    """The words of a name before the first stop word, at most so many, with capitals; '' for none."""
+    words = F.filter(F.split(F.regexp_replace(name, r"^[\s|\u2013-]+|[\s|\u2013-]+$", ""), r"\s+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"(?U)[^\w'-]+", "")))
+    ends = F.array_position(F.transform(bare, lambda w: F.array_contains(F.array(*map(F.lit, stop)), w)), True)
+    kept = F.slice(words, F.lit(1), F.least(F.when(ends > 0, ends.cast("int") - 1).otherwise(F.size(words)), F.lit(most)))
+    return F.array_join(F.transform(kept, capitals), " ")
+
+
+def placed(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct(start, value)> of every match (or of a group in it), start being the match's, from 0."""
+    kind = "array<struct<start:int,value:string>>"
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+
+    def step(done: Column, x: Column) -> Column:
+        at = done["at"] + F.length(x["gap"])
+        return F.struct((at + F.length(x["whole"])).alias("at"), F.concat(done["rows"], F.array(F.struct(at.alias("start"), x["value"].alias("value"))).cast(kind)).alias("rows"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("rows"))
+    return F.aggregate(F.filter(found, lambda x: x["whole"].isNotNull()), start, step, lambda x: x["rows"])
 
 
 def product_name(brand: Column, food: Column, category: Column, subscription: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import size_bucket
+
 WINDOW_DAYS = {"week": 7, "7d": 7, "month": 30, "30d": 30, "quarter": 90, "90d": 90}
 
 
@@ -27,6 +29,12 @@ def percent(part: Column, whole: Column) -> Column:
     return F.round(100.0 * part.cast("double") / whole.cast("double"), 1)
 
 
+def shared(found: DataFrame, column: str, name: str) -> DataFrame:
+    """found with the percent that each row has of a column's sum, which is summed up first and sent as one row."""
+    total = found.agg(F.sum(column).alias("_total"))
+    return found.crossJoin(F.broadcast(total)).withColumn(name, percent(F.col(column), F.col("_total"))).drop("_total")
+
+
 def title(column: str) -> Column:
     return F.initcap(F.translate(column, "_", " "))
 
@@ -39,15 +47,14 @@ def share_breakdown(ads: DataFrame, dim: str, collect: dict[str, str], known: Co
     rows = ads.filter(F.col(dim).isNotNull() if known is None else known)
     small = rows.groupBy(dim, *collect.values()).agg(F.count("*").alias("n"))
     sets = [F.array_join(F.array_sort(F.collect_set(column)), "|").alias(name) for name, column in collect.items()]
-    found = small.groupBy(dim).agg(F.sum("n").alias("ad_count"), *sets)
-    return found.withColumn("percentage", percent(F.col("ad_count"), F.sum("ad_count").over(Window.partitionBy())))
+    return shared(small.groupBy(dim).agg(F.sum("n").alias("ad_count"), *sets), "ad_count", "percentage")
 
 
 def offers_breakdown(ads: DataFrame) -> DataFrame:
-    """Offer types by share, their advertisers and up to three details."""
-    found = share_breakdown(valid(ads), "offer_type", {"advertisers": "advertiser_id"}, F.col("offer_type").isNotNull())
-    details = valid(ads).groupBy("offer_type", "offer_details").agg(F.lit(1).alias("one")).groupBy("offer_type").agg(F.array_join(F.slice(F.array_sort(F.collect_set("offer_details")), 1, 3), "|").alias("samples"))
-    return found.join(details, "offer_type").withColumn("label", title("offer_type"))
+    """Offer types by share, their advertisers and up to three details, from one pass over the ads."""
+    small = valid(ads).filter("offer_type IS NOT NULL").groupBy("offer_type", "advertiser_id", "offer_details").agg(F.count("*").alias("n"))
+    found = small.groupBy("offer_type").agg(F.sum("n").alias("ad_count"), F.array_join(F.array_sort(F.collect_set("advertiser_id")), "|").alias("advertisers"), F.array_join(F.slice(F.array_sort(F.collect_set("offer_details")), 1, 3), "|").alias("samples"))
+    return shared(found, "ad_count", "percentage").withColumn("label", title("offer_type"))
 
 
 def product_focus(ads: DataFrame, as_of: str) -> DataFrame:
@@ -81,7 +88,7 @@ def theme_share(ads: DataFrame, themes: list[str], time_range: str = "all", as_o
 def theme_rollup(shares: DataFrame) -> DataFrame:
     """Per theme: sum of percents over advertisers, share of all, advertisers with any."""
     rows = shares.groupBy("theme").agg(F.sum("pct").alias("total_pct"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("pct") > 0, F.col("advertiser_id")))), "|").alias("advertisers"))
-    return rows.withColumn("share", percent(F.col("total_pct"), F.sum("total_pct").over(Window.partitionBy()))).filter("theme IS NOT NULL")
+    return shared(rows, "total_pct", "share").filter("theme IS NOT NULL")
 
 
 def daily_counts(events: DataFrame, key: str, days: int, as_of: str, ts: str = "ts") -> DataFrame:
@@ -111,7 +118,7 @@ def store_stats(ads: DataFrame) -> DataFrame:
 
 def market_share(ads: DataFrame) -> DataFrame:
     found = ads.groupBy("advertiser_id").agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"))
-    return found.withColumn("market_pct", percent(F.col("total"), F.sum("total").over(Window.partitionBy())))
+    return shared(found, "total", "market_pct")
 
 
 def competitor_list(ads: DataFrame, names: DataFrame, files: DataFrame) -> DataFrame:
@@ -160,6 +167,17 @@ def campaign_aggregate(rows: DataFrame, dims: list[str]) -> DataFrame:
     return found.select("metric", "key", "n", percent(F.col("n"), F.col("total")).alias("pct"))
 
 
+def campaign_terms(rows: DataFrame, lists: dict[str, str], k: int = 20) -> DataFrame:
+    """(metric, key, n, kinds): the k commonest values of array columns (lower-cased, trimmed, longer than two letters) and
+    how many different ones each has."""
+    each = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(column).alias("values")) for name, column in lists.items()])
+    terms = rows.select(F.explode(each).alias("x")).select("x.metric", F.explode("x.values").alias("raw")).filter(F.length("raw") > 2)
+    counts = terms.groupBy("metric", F.trim(F.lower("raw")).alias("key")).agg(F.count("*").alias("n"))
+    kinds = counts.groupBy("metric").agg(F.count("*").alias("kinds"))
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= k)
+    return top.join(F.broadcast(kinds), "metric").select("metric", "key", "n", "kinds")
+
+
 def one_liner(aggregate: DataFrame, metric: str, k: int = 3) -> DataFrame:
     """The top k of a metric in a sentence."""
     top = aggregate.filter(F.col("metric") == metric).orderBy(F.desc("n"), "key").limit(k)
@@ -167,6 +185,14 @@ def one_liner(aggregate: DataFrame, metric: str, k: int = 3) -> DataFrame:
     return top.agg(F.format_string("Top %s: %s", F.lit(metric), F.array_join(F.transform(listed, lambda x: F.format_string("%s (%.1f%%)", x["key"], x["pct"])), ", ")).alias("summary"))
 
 
+def report(aggregate: DataFrame, metrics: list[str], k: int = 3) -> DataFrame:
+    """One row of text: a line a metric with its top k, 'none' where it has no value."""
+    rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "key"))
+    top = aggregate.withColumn("r", rank).filter(F.col("r") <= k)
+    line = lambda m: F.coalesce(F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("metric") == m, F.struct("r", "key", "pct")))), lambda x: F.format_string("%s (%.1f%%)", x["key"], x["pct"])), ", "), F.lit("")), F.lit("none"))
+    return top.agg(F.concat_ws("\n", *[F.concat(F.lit(f"{m}: "), line(m)) for m in metrics]).alias("report"))
+
+
 def audience_flow(ads: DataFrame) -> DataFrame:
     """Volumes advertiser -> segment -> category with node totals, as a cube."""
     return valid(ads).cube("advertiser_id", "audience_segment", "product_category").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
@@ -179,17 +205,31 @@ def segment_gaps(ads: DataFrame, most: int, what: str = "product_category") -> D
     return counts.unionByName(none).filter(F.col("advertisers") <= most)
 
 
-def visual_profile(ads: DataFrame, as_of: str) -> DataFrame:
-    """Per advertiser: ads, with image, recent week, top category and theme, share with details."""
-    rows = valid(ads)
-    best = {}
-    for column in ("product_category", "primary_theme"):
-        counts = rows.groupBy("advertiser_id", column).agg(F.count("*").alias("n"))
-        rank = F.row_number().over(Window.partitionBy("advertiser_id").orderBy(F.desc("n"), column))
-        best[column] = counts.withColumn("r", rank).filter("r = 1").select("advertiser_id", F.col(column).alias(f"top_{column}"))
+def visual_profile(ads: DataFrame, as_of: str, emotion: str = "audience_segment") -> DataFrame:
+    """Per advertiser: ads, with image, recent week, share with details, top category, theme and emotion, the counts of
+    all categories ('name:count', by name) and three sample names."""
     week = F.col("first_seen_date") >= F.date_sub(F.lit(as_of).cast("date"), 7).cast("timestamp_ntz")
-    base = rows.groupBy("advertiser_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce("image_url", F.lit("")) != "").alias("with_image"), F.count_if(week).alias("recent"), F.round(F.avg(F.col("offer_details").isNotNull().cast("double")) * 100, 1).alias("text_pct"))
-    return base.join(best["product_category"], "advertiser_id").join(best["primary_theme"], "advertiser_id")
+    dims = ("product_category", "primary_theme", emotion)
+    small = valid(ads).groupBy("advertiser_id", *dims).agg(F.count("*").alias("n"), F.count_if(F.coalesce("image_url", F.lit("")) != "").alias("with_image"), F.count_if(week).alias("recent"), F.count("offer_details").alias("texts"), F.min("product_name").alias("sample"))
+    base = small.groupBy("advertiser_id").agg(F.sum("n").alias("total"), F.sum("with_image").alias("with_image"), F.sum("recent").alias("recent"), percent(F.sum("texts"), F.sum("n")).alias("text_pct"), F.array_join(F.slice(F.array_sort(F.collect_set("sample")), 1, 3), "|").alias("samples"))
+    for column in dims:
+        counts = small.groupBy("advertiser_id", column).agg(F.sum("n").alias("n"))
+        best = F.min_by(column, F.struct(-F.col("n"), column)).alias(f"top_{column}")
+        listed = [F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", column, "n"))), "|").alias("categories")] if column == dims[0] else []
+        base = base.join(counts.groupBy("advertiser_id").agg(best, *listed), "advertiser_id")
+    return base
+
+
+def visual_rollup(profiles: DataFrame, emotion: str = "audience_segment") -> DataFrame:
+    """(metric, key, n) over all advertisers: ads by category; how many advertisers lead with a theme, and an emotion."""
+    each = profiles.select(F.explode(F.split("categories", r"\|")).alias("x")).select(F.lit("category").alias("metric"), F.regexp_extract("x", "^(.*):", 1).alias("key"), F.regexp_extract("x", ":(\\d+)$", 1).cast("long").alias("n"))
+    led = profiles.select(F.explode(F.array(F.struct(F.lit("theme").alias("metric"), F.col("top_primary_theme").alias("key")), F.struct(F.lit("emotion").alias("metric"), F.col(f"top_{emotion}").alias("key")))).alias("x")).select("x.*", F.lit(1).cast("long").alias("n"))
+    return each.unionByName(led).groupBy("metric", "key").agg(F.sum("n").alias("n"))
+
+
+def format_histogram(rows: DataFrame, html: str = "html_content") -> DataFrame:
+    """How many ads there are of each named size, by the html's dimensions."""
+    return rows.groupBy(size_bucket(F.col(html)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def coverage_buckets(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -220,3 +260,31 @@ def split_ratio(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("service_pair").orderBy("run").rowsBetween(-5, -1)
     r = F.try_divide(F.avg("slow_s").over(w), F.avg("fast_s").over(w))
     return runs.withColumn("ratio", r).withColumn("share", F.least(F.lit(0.7), F.greatest(F.lit(0.3), F.col("ratio") / (F.col("ratio") + 1))))
+
+
+def latency_profile(runs: DataFrame) -> DataFrame:
+    """Per pair of services: runs, mean times of either, failures and the share of runs that failed."""
+    return runs.groupBy("service_pair").agg(F.count("*").alias("runs"), F.round(F.avg("slow_s"), 3).alias("slow_s"), F.round(F.avg("fast_s"), 3).alias("fast_s"), F.count_if("failed").alias("failures"), F.round(F.avg(F.col("failed").cast("double")), 3).alias("failure_rate"))
+
+
+def named_like(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose name contains a text, whatever its case."""
+    return rows.filter(F.contains(F.lower(column), F.lit(part.lower())))
+
+
+def of_categories(rows: DataFrame, column: str, parts: list[str]) -> DataFrame:
+    """Rows whose category contains any of the texts."""
+    keep = F.lit(False)
+    for part in parts:
+        keep = keep | F.contains(F.col(column), F.lit(part))
+    return rows.filter(keep)
+
+
+def progress(ads: DataFrame, k: int = 10, latest: int = 5, key: tuple[str, ...] = ("ad_order", "ad_line")) -> DataFrame:
+    """(metric, key, n): all ads, labelled ones, percent, the k commonest categories and the latest ads."""
+    named = F.col("product_category").isNotNull()
+    totals = ads.agg(F.count("*").alias("total"), F.count_if(named).alias("enriched")).withColumn("enriched_pct", F.floor(F.try_divide(100 * F.col("enriched"), F.col("total"))))
+    long = totals.unpivot([], ["total", "enriched", "enriched_pct"], "metric", "n").select("metric", F.lit("").alias("key"), "n")
+    top = ads.filter(named).groupBy(F.col("product_category").alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(k).select(F.lit("category").alias("metric"), "key", "n")
+    new = ads.orderBy(F.desc("first_seen_date"), *key, "product_name").limit(latest).select(F.lit("latest").alias("metric"), F.concat_ws(":", *key, "product_name").alias("key"), F.lit(1).cast("long").alias("n"))
+    return long.unionByName(top).unionByName(new)

@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import sent_if_small
+from ..functions.contains import containing
 
 
 def lookup(queries: DataFrame, known: DataFrame) -> DataFrame:
     """(query, product_name, how): equal name whatever its case, else the shortest name that contains the query.
 
-    Only queries without an equal name go on to the containment join, with the smaller, distinct side of queries sent.
+    Only queries without an equal name go on to the containment join, which goes by n-grams.
     """
     asked = queries.select("query").filter("query <> ''").distinct()
-    equal = asked.join(known.select("product_name"), F.lower("query") == F.lower("product_name")).groupBy("query").agg(F.min("product_name").alias("product_name")).withColumn("how", F.lit("exact"))
-    rest = asked.join(equal, "query", "left_anti")
-    rest = sent_if_small(rest)
     names = known.select("product_name").distinct()
-    near = names.join(rest, F.contains(F.lower("product_name"), F.lower("query"))).groupBy("query").agg(F.min(F.struct(F.length("product_name").alias("n"), "product_name"))["product_name"].alias("product_name"))
+    equal = asked.join(names, F.lower("query") == F.lower("product_name")).groupBy("query").agg(F.min("product_name").alias("product_name")).withColumn("how", F.lit("exact"))
+    rest = asked.join(equal, "query", "left_anti")
+    near = containing(names, "product_name", rest, "query").groupBy(F.col("needle").alias("query")).agg(F.min(F.struct(F.length("hay").alias("n"), "hay"))["hay"].alias("product_name"))
     return equal.unionByName(near.withColumn("how", F.lit("contains")))
 
 
+def stats(known: DataFrame) -> DataFrame:
+    """How many items there are, by what they are flagged as, and their mean confidence."""
+    flags = ("is_restaurant", "is_subscription", "is_unknown_category")
+    return known.agg(F.count("*").alias("total"), *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c.removeprefix("is_")) for c in flags], F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+
+
+def pending_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of the queue of items that wait to be indexed (JSON files, one item a line); broken lines are left out."""
+    queue = spark.read.schema("product_name string, product_type string, category string, confidence double, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return documents(queue.filter("_broken IS NULL AND coalesce(product_name, '') <> ''"))
+
+
+def index(stored: DataFrame, found: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The index with new documents embedded (id, document, metadata -> and embedding); of one id the new one counts.
+
+    Of several new documents of one id the last by text counts, so that a queue may be read twice.
+    """
+    latest = found.groupBy("id").agg(F.max(F.struct("document", "metadata")).alias("x")).select("id", "x.*")
+    kept = stored.join(latest.select("id"), "id", "left_anti")
+    return kept.select("id", "document", "metadata", "embedding").unionByName(embed(latest).select("id", "document", "metadata", "embedding"))
+
+
 def upsert(known: DataFrame, found: DataFrame, key: str = "product_name", least: float = 0.7) -> DataFrame:
     """Sure enough findings replace what is known; of several for one name the surest counts."""
     both = known.withColumn("_new", F.lit(0)).unionByName(found.filter(F.col("confidence") >= least).withColumn("_new", F.lit(1)))
@@ -39,42 +62,56 @@ def documents(items: DataFrame) -> DataFrame:
 
 
 def gate(labels: DataFrame, known: DataFrame, least: float = 0.75, trusted: float = 0.5) -> DataFrame:
-    """Unsure product types take the verdict of the knowledge base where that is trusted; ``source`` records it."""
+    """Unsure product types take the verdict and confidence of the knowledge base where that is trusted; ``source`` records it."""
     k = known.select(F.lower("product_name").alias("_name"), F.col("product_type").alias("_type"), F.col("confidence").alias("_sure"))
     joined = labels.join(k, F.lower("brand") == F.col("_name"), "left")
-    use = (F.col("confidence") < least) & F.coalesce(F.col("_sure") > trusted, F.lit(False))
-    return joined.withColumn("product_type", F.when(use, F.col("_type")).otherwise(F.col("product_type"))).withColumn("source", F.when(use, "knowledge").otherwise("rules")).drop("_name", "_type", "_sure")
+    use = (joined["confidence"] < least) & F.coalesce(F.col("_sure") > trusted, F.lit(False))
+    joined = joined.withColumn("_use", use)
+    use = F.col("_use")
+    return joined.withColumn("product_type", F.when(use, F.col("_type")).otherwise(F.col("product_type"))).withColumn("confidence", F.when(use, F.col("_sure")).otherwise(F.col("confidence"))).withColumn("source", F.when(use, "knowledge").otherwise("rules")).drop("_name", "_type", "_sure", "_use")
 
 
-def search(queries: DataFrame, stored: DataFrame, k: int = 3, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_id, rank, vec_id): the k nearest stored vectors of each query, in blocks of at most most_queries queries.
+def search(queries: DataFrame, stored: DataFrame, k: int = 3, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", query_block: int = 4096, block: int = 16_384) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest stored vectors of each query, ties (of nine digits) to smaller ids.
 
-    A block's matrix is sent to the tasks; each batch gives its k best rows, and one window keeps the k best of all.
+    Queries and stored vectors are dealt into blocks, and every two blocks meet in a task, which returns k rows a query;
+    nothing passes through the driver.  Vectors that are null, zero or hold null or non-finite numbers take no part, nor
+    do those of another length than the query's.  ``carried`` joins a result with documents.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // most_queries))
-    numbered = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
-    found = None
-    for block in range(blocks):
-        rows = numbered.filter(F.col("b") == block).select("q", "v").toPandas()
-        if rows.empty:
-            continue
-        held = queries.sparkSession.sparkContext.broadcast((rows["q"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(float)))
-
-        def run(batches, held=held):
-            ids, matrix = held.value
-            for batch in batches:
-                x, own = np.stack(batch["v"].to_numpy()).astype(float), batch["i"].to_numpy()
-                if metric == "cosine":
-                    far = 1 - (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                else:
-                    far = np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * matrix @ x.T, 0))
-                best = np.argsort(far, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": own[best].ravel(), "distance": np.take_along_axis(far, best, 1).ravel()})
-
-        part = stored.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v")).mapInPandas(run, "query_id long, vec_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id")
+
+    def usable(rows: DataFrame) -> DataFrame:
+        x = F.col(vector).cast("array<double>")
+        finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+        return rows.select(F.col(key).cast("long").alias("id"), x.alias("v")).filter("id IS NOT NULL AND size(v) > 0").filter(finite & F.exists(x, lambda c: c != 0))
+
+    n_query_blocks, n_blocks = max(1, -(-queries.count() // query_block)), max(1, -(-stored.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = usable(queries).withColumn("dim", F.size("v")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int")).withColumn("j", every(n_blocks))
+    held = usable(stored).withColumn("dim", F.size("v")).withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("i", every(n_query_blocks))
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        q, x, own = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy()), two["id"].to_numpy()
+        ids, others, distances = [], [], []
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            if metric == "cosine":
+                far = 1 - (part / np.linalg.norm(part, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            else:
+                far = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T, 0))
+            far = np.round(far, 9)
+            best = np.lexsort((np.broadcast_to(own, far.shape), far))[:, :k]
+            ids.append(np.repeat(one["id"].to_numpy()[at : at + 256], best.shape[1]))
+            others.append(own[best].ravel())
+            distances.append(np.take_along_axis(far, best, 1).ravel())
+        return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(others), "distance": np.concatenate(distances)})
+
+    found = asked.groupBy("dim", "i", "j").cogroup(held.groupBy("dim", "i", "j")).applyInPandas(run, "query_id long, vec_id long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+
+
+def carried(found: DataFrame, items: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Search results with the stored items' other columns (document, metadata)."""
+    return found.join(items.withColumnRenamed(key, "vec_id"), "vec_id")

@@ -1,4 +1,4 @@
-"""Labels from an ad's text by rules, row by row and without a shuffle.
+"""Labels from an ad's text by rules, row by row; only the brand catalog is joined.
 
 Lexicons are arguments; those given here are small examples.  A term hits if the lower-cased text contains it, so
 overlapping terms all count, each once.  Ties go to the lexicon's order.
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizes import sent_if_small
+from ..functions.text import placed, product_name, slug_title, trimmed_name
+from . import knowledge
 
 REGIONS = {
     "QA": {"domain": [".qa"], "phone": ["+974"], "currency": ["qar"], "keyword": ["doha", "qatar", "قطر"]},
@@ -49,7 +51,7 @@ def scores(text: Column, lexicon: dict[str, list[str]]) -> Column:
 
 
 def region(text: Column, expected: str = "QA", regions: dict = REGIONS) -> Column:
-    """struct(detected, confidence, signals, is_valid)."""
+    """struct(detected, confidence, signals, mismatches, is_valid); mismatches: the script, or other regions' terms."""
     text = F.coalesce(text, F.lit(""))
     script = F.lit(None).cast("string")
     for name, letters in reversed(SCRIPTS.items()):
@@ -66,8 +68,10 @@ def region(text: Column, expected: str = "QA", regions: dict = REGIONS) -> Colum
     best = _first_best(totals)
     detected = F.when(script.isNotNull(), "INVALID").when(city.isNotNull(), city).when(best["score"] > 0, best["name"]).otherwise(expected)
     sure = F.when(script.isNotNull(), 0.98).when(city.isNotNull(), 0.95).when(best["score"] > 0, F.least(F.lit(0.98), 0.6 + best["score"] / 20)).otherwise(0.40)
-    signals = F.concat(*[hits(text, sum(kinds.values(), [])) for kinds in regions.values()])
-    return F.struct(detected.alias("detected"), F.round(sure, 3).alias("confidence"), signals.alias("signals"), (detected == expected).alias("is_valid"))
+    found = {code: hits(text, sum(kinds.values(), [])) for code, kinds in regions.items()}
+    none = F.array().cast("array<string>")
+    other = F.when(script.isNotNull(), F.array(script)).otherwise(F.concat(none, *[terms for code, terms in found.items() if code != expected]))
+    return F.struct(detected.alias("detected"), F.round(sure, 3).alias("confidence"), F.concat(*found.values()).alias("signals"), F.when(detected == expected, none).otherwise(other).alias("mismatches"), (detected == expected).alias("is_valid"))
 
 
 def only_region(text: Column, foreign: list[str]) -> Column:
@@ -75,29 +79,47 @@ def only_region(text: Column, foreign: list[str]) -> Column:
     return ~F.exists(F.array(*[F.lit(t) for t in foreign]), lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t))
 
 
-PERCENT = [r"(?iU)(\d{1,2})\s*%\s*(?:off|discount)", r"(?iU)(?:خصم|save|discount of)\s*(\d{1,2})\s*%"]
-FIXED = [r"(?iU)(?:QAR|SAR|AED)\s*(\d+)\s*off", r"(?iU)(\d+)\s*(?:QAR|SAR|AED)\s*off"]
-ONCE = {"free_delivery": (r"(?iU)free\s+delivery|توصيل مجاني", 0.92), "bogo": (r"(?iU)buy\s*1\s*get\s*1|buy one get one|\bbogo\b|اشتر واحد", 0.95), "first_order": (r"(?iU)first\s+order|new customer", 0.88)}
+PERCENT = [r"(?iU)(\d+)\s*%\s*(?:off|discount|خصم)", r"(?iU)(?:خصم|تخفيض)\s*(\d+)\s*%", r"(?iU)\bsave\s*(\d+)\s*%"]
+FIXED = [r"(?iU)(?:QAR|SAR|AED|\$|ريال)\s*(\d+)\s*(?:off|discount|خصم)", r"(?iU)(?:خصم|تخفيض)\s*(\d+)\s*(?:QAR|SAR|ريال)"]
+FIRST_ORDER = r"(?iU)(?:first|1st)\s*order|new\s*customer|الطلب\s*الأول|عملاء\s*جدد"
+LIMITED = r"(?iU)today\s*only|limited\s*time|for\s*\d+\s*days?\s*only|لفترة\s*محدودة|عرض\s*محدود"
+MINIMUM = r"(?iU)(?:min(?:imum)?\.?\s*order|orders?\s*above|حد\s*أدنى)\D{0,12}(\d+)"
+#: Offers that count once: what is said of them, confidence.
+ONCE = {
+    "free_delivery": (r"(?iU)(?:free\s*delivery|no\s*delivery\s*fee|توصيل\s*مجاني|بدون\s*رسوم\s*توصيل)", "Free delivery", 0.95),
+    "bogo": (r"(?iU)buy\s*(?:\d+|one)\s*get\s*(?:\d+|one)|\bbogo\b|\bb\d+g\d+\b|اشتر.+مجان", "Buy one, get one offer", 0.88),
+    "first_order": (FIRST_ORDER, "First order discount", 0.85),
+}
+NEW = ["new", "launch", "جديد", "إطلاق", "تقديم"], ["product", "item", "menu", "منتج", "قائمة"]
+VAGUE = ["special offer", "deal", "عرض"]
 
 
 def offers(text: Column) -> Column:
-    """array<struct(type, details, conditions, confidence)>; the first is the primary one."""
+    """array<struct(type, details, conditions, confidence, signals)>; the first is the primary one.
+
+    Percentages and amounts give one entry a match; general wording counts only where nothing else was found.
+    """
     text = F.coalesce(text, F.lit(""))
-    minimum = F.regexp_extract(text, r"(?iU)(?:min(?:imum)?\.? order|orders? above)\s*(?:QAR|SAR|AED)?\s*(\d+)", 1)
-    listed = F.filter(F.array(F.when(text.rlike(ONCE["first_order"][0]), "first order only"), F.when(minimum != "", F.concat(F.lit("min order QAR "), minimum)), F.when(text.rlike(r"(?iU)limited time|today only"), "limited time")), lambda c: c.isNotNull())
+    minimum = F.regexp_extract(text, MINIMUM, 1)
+    listed = F.filter(F.array(F.when(text.rlike(FIRST_ORDER), "first order only"), F.when(minimum != "", F.concat(F.lit("min order QAR "), minimum)), F.when(text.rlike(LIMITED), "limited time")), lambda c: c.isNotNull())
     conditions = F.array_join(listed, "; ")
-    kind = "array<struct<type:string,details:string,conditions:string,confidence:double>>"
+    kind = "array<struct<type:string,details:string,conditions:string,confidence:double,signals:array<string>>>"
+
+    def one(name: str, details: Column, said: Column, sure: float, signal: Column) -> Column:
+        return F.struct(F.lit(name).alias("type"), details.alias("details"), said.alias("conditions"), F.lit(sure).alias("confidence"), F.array(signal).alias("signals"))
 
     def each(name: str, pattern: str, sure: float, form: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: F.struct(F.lit(name).alias("type"), F.format_string(form, m).alias("details"), conditions.alias("conditions"), F.lit(sure).alias("confidence"))).cast(kind)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: one(name, F.format_string(form, m), conditions, sure, F.concat(F.lit(f"{name}:"), m))).cast(kind)
 
-    def once(name: str, pattern: str, sure: float) -> Column:
-        one = F.array(F.struct(F.lit(name).alias("type"), F.lit(name.replace("_", " ")).alias("details"), conditions.alias("conditions"), F.lit(sure).alias("confidence"))).cast(kind)
-        return F.when(text.rlike(pattern), one).otherwise(F.array().cast(kind))
+    def once(name: str, holds: Column, details: str, sure: float, said: Column = conditions) -> Column:
+        return F.when(holds, F.array(one(name, F.lit(details), said, sure, F.lit(name))).cast(kind)).otherwise(F.array().cast(kind))
 
-    found = F.concat(*[each("percentage_discount", p, 0.95, "%s%% off") for p in PERCENT], *[each("fixed_discount", p, 0.93, "QAR %s off") for p in FIXED], *[once(n, p, c) for n, (p, c) in ONCE.items()])
-    general = F.concat(once("new_product", r"(?iU)\bnew\b|جديد", 0.75), once("special_offer", r"(?iU)special offer|\bdeal\b|\boffer\b", 0.60))
-    none = F.array(F.struct(F.lit("none").alias("type"), F.lit("").alias("details"), F.lit("").alias("conditions"), F.lit(0.95).alias("confidence"))).cast(kind)
+    found = F.concat(*[each("percentage_discount", p, 0.92, "%s%% off") for p in PERCENT], *[each("fixed_discount", p, 0.90, "QAR %s off") for p in FIXED], *[once(n, text.rlike(p), d, c) for n, (p, d, c) in ONCE.items()])
+    fresh = (hit_count(text, NEW[0]) > 0) & (hit_count(text, NEW[1]) > 0)
+    vague = hit_count(text, VAGUE) > 0
+    nothing = F.lit("")
+    general = F.when(fresh, once("new_product", F.lit(True), "New product/menu item", 0.75, nothing)).otherwise(once("special_offer", vague, "Special offer (details unclear)", 0.60, nothing))
+    none = once("none", F.lit(True), "", 0.95, nothing)
     return F.when(F.size(found) > 0, found).when(F.size(general) > 0, general).otherwise(none)
 
 
@@ -197,101 +219,245 @@ def audit(type_: Column, food_category: Column, brand: Column, confidence: Colum
     return F.filter(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]), lambda c: c.isNotNull())
 
 
-def brand_catalog_hits(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text") -> DataFrame:
-    """(key, brand, alias, confidence): aliases found as whole words; one row a brand, the surest.
+MATCH = "struct<name:string,confidence:double,alias:string,source:string,entity_type:string,priority:int>"
+TOKENS = r"[^\p{L}\p{N}]+"
 
-    catalog: canonical_name, alias, entity_type; sent to the tasks if it is small.
-    """
-    small = sent_if_small(catalog.filter("entity_type <> 'platform'"))
-    pattern = F.concat(F.lit(r"(?iU)\b\Q"), F.col("alias"), F.lit(r"\E\b"))
-    rows = ads.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(small, F.contains(F.lower("t"), F.lower("alias"))).filter(F.regexp("t", pattern))
-    n, at = F.regexp_count("t", pattern), F.regexp_instr("t", pattern) - 1
-    early = F.when(at <= 0.2 * F.length("t"), 0.05).when(at <= 0.4 * F.length("t"), 0.03).otherwise(0.0)
-    sure = F.when(F.lower("alias") == F.lower("canonical_name"), 0.92).otherwise(0.87) + early + F.least(F.lit(0.05), 0.02 * (n - 1))
-    found = rows.select(key, F.col("canonical_name").alias("brand"), "alias", F.round(F.least(F.lit(0.99), sure), 3).alias("confidence"))
-    return found.groupBy(key, "brand").agg(F.max(F.struct("confidence", "alias")).alias("x")).select(key, "brand", "x.alias", "x.confidence")
 
+def boosted(base: Column, start: Column, length: Column, times: Column) -> Column:
+    """A confidence raised for an early place in the text and for repetition, at most .99."""
+    share = start / F.greatest(length, F.lit(1))
+    early = F.when(share <= 0.2, 0.05).when(share <= 0.4, 0.03).otherwise(0.0)
+    return F.round(F.least(F.lit(0.99), base + early + F.least(F.lit(0.05), 0.02 * (times - 1))), 3)
 
-def fuzzy_brands(texts: DataFrame, aliases: list[str], key: str, text: str = "ad_text", least: float = 0.86) -> DataFrame:
-    """(key, alias, ratio): words whose similarity ratio to an alias is at least ``least``.
 
-    Ratios are computed for distinct words alone, after bounds on length and shared letters.
-    """
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+"))).alias("word")).filter("length(word) >= 4")
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), TOKENS), lambda w: w != "")
+
+
+def _runs(words: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many words."""
+    one = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.when(F.size(words) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+
 
+def brand_scan(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text", least: float = 0.86, ignored: tuple[str, ...] = ("platform",)) -> DataFrame:
+    """(key, brand, alias, source, confidence, entity_type, priority): one row an ad and brand, the surest.
+
+    catalog: canonical_name, alias, entity_type, priority.  An alias is found as whole words (.92, or .87 if it is not the
+    brand's own name), else between signs that are no letters or digits (.85), else by a run of as many words whose
+    similarity ratio is at least ``least`` (.75 and a quarter of what is over).  Aliases and texts meet on equal runs of
+    words, never all with all; ratios are computed for distinct runs and aliases of like length alone.
+    """
+    words = _tokens(F.col("alias"))
+    known = catalog.filter(~F.col("entity_type").isin(*ignored)).select("canonical_name", "alias", "entity_type", "priority", F.array_join(words, " ").alias("run"), F.size(words).alias("size")).filter("size > 0").distinct()
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # how many words aliases have: a few numbers
+    rows = ads.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
+    runs = rows.select(key, "t", F.explode(_runs(_tokens(F.col("t")), sizes)).alias("run"))
+    small = sent_if_small(known)
+    quoted = F.concat(F.lit(r"\Q"), F.col("alias"), F.lit(r"\E"))
+    whole, between = F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")), F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9\u0600-\u06FF])"), quoted, F.lit(r"(?![A-Za-z0-9\u0600-\u06FF])"))
+    met = runs.join(small, "run")
+    exact = F.regexp("t", whole)
+    pattern = F.when(exact, whole).otherwise(between)
+    met = met.filter(exact | (F.regexp("t", between) & (F.length("alias") >= 3)))
+    base = F.when(~exact, 0.85).when(F.lower("alias") == F.lower("canonical_name"), 0.92).otherwise(0.87)
+    sure = boosted(base, F.regexp_instr("t", pattern) - 1, F.length("t"), F.regexp_count("t", pattern))
+    direct = met.select(key, "canonical_name", "alias", F.when(exact, "catalog").otherwise("catalog_substring").alias("source"), sure.alias("confidence"), "entity_type", "priority")
+
+    distinct_runs = runs.select("run").distinct().withColumn("size", F.size(F.split("run", " "))).withColumn("n", F.length("run"))
+    low, high = F.ceil(F.length("run") * least / (2 - least)).cast("int"), F.floor(F.length("run") * (2 - least) / least).cast("int")
+    banded = known.select("alias", "run", "size", F.explode(F.sequence(low, high)).alias("n")).withColumnRenamed("run", "wanted")
+    scored = distinct_runs.join(sent_if_small(banded), ["size", "n"]).select("run", "alias", "wanted").mapInPandas(_ratios(least), "run string, alias string, ratio double")
+    near = runs.join(scored, "run").join(small.drop("run", "size"), "alias").join(direct.select(key, "alias").distinct(), [key, "alias"], "left_anti")
+    at = F.regexp_instr(F.lower("t"), F.concat(F.lit(r"(?U)\b\Q"), F.col("run"), F.lit(r"\E\b"))) - 1
+    first = near.groupBy(key, "canonical_name", "alias", "entity_type", "priority").agg(F.min(F.struct(F.greatest(at, F.lit(0)).alias("at"), "run", "ratio", F.length("t").alias("length"))).alias("x"))
+    fuzzy = first.select(key, "canonical_name", F.col("x.run").alias("alias"), F.lit("catalog_fuzzy").alias("source"), boosted(0.75 + (F.col("x.ratio") - least) * 0.25, F.col("x.at"), F.col("x.length"), F.lit(1)).alias("confidence"), "entity_type", "priority")
+    best = direct.unionByName(fuzzy).groupBy(key, F.col("canonical_name").alias("brand")).agg(F.max(F.struct("confidence", "alias", "source", "entity_type", "priority")).alias("x"))
+    return best.select(key, "brand", "x.alias", "x.source", "x.confidence", "x.entity_type", "x.priority")
+
+
+def _ratios(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for word in batch["word"]:
-                for alias in aliases:
-                    if 2 * min(len(word), len(alias)) >= least * (len(word) + len(alias)):
-                        match = difflib.SequenceMatcher(None, word, alias.lower())
-                        if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
-                            out.append((word, alias, r))
-            yield pd.DataFrame(out, columns=["word", "alias", "ratio"])
+            for found, alias, wanted in zip(batch["run"], batch["alias"], batch["wanted"], strict=True):
+                if found != wanted:
+                    match = difflib.SequenceMatcher(None, wanted, found)
+                    if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
+                        out.append((found, alias, r))
+            yield pd.DataFrame(out, columns=["run", "alias", "ratio"])
+
+    return run
+
 
-    found = words.select("word").distinct().mapInPandas(run, "word string, alias string, ratio double")
-    return words.join(found, "word").groupBy(key, "alias").agg(F.round(F.max("ratio"), 3).alias("ratio"))
+#: Words that end a brand's name in a sentence, and words that are no brand; small examples.
+SUFFIX_STOP = ["online", "with", "delivery", "delivered", "in", "fast", "today", "now", "order", "buy", "shop", "offer", "offers", "deal", "deals", "free", "get", "your", "to", "the", "and", "on", "from", "at", "by", "via", "using", "download", "app", "website"]
+GENERIC = ["meal", "meals", "deal", "deals", "combo", "offer", "offers", "special", "limited", "restaurant", "restaurants", "pizza", "burger", "coffee", "shop", "store", "sale", "free", "new", "best", "fresh", "order", "delivery", "doha", "qatar", "dubai", "today"]
+SAID = r"(?U)\b(?i:(?:shop|order|buy|available|delivered|delivery)\s+(?:online\s+)?from|at|by|from)\s+(\p{Lu}[\p{L}'&.-]*(?:\s+[\p{L}'&.-]+){0,5})"
+TITLE = r"(?U)\b\p{Lu}\p{L}+(?:\s+\p{Lu}\p{L}+){0,2}\b"
+ARABIC = r"[\u0600-\u06FF]{3,}(?:\s+[\u0600-\u06FF]{3,})*"
+SLUG = r"https?://[^/\s]+/[A-Za-z-]+/([a-z0-9-]+)"
 
 
-def unknown_brands(text: Column, stop: list[str]) -> Column:
-    """array<struct(name, confidence, source)>: 'from X', title-case phrases, in that order, each name once."""
+def unknown_brands(text: Column, known: Column | None = None, catalog: list[str] | None = None, platforms: list[str] | None = None, stop: list[str] = SUFFIX_STOP, generic: list[str] = GENERIC) -> Column:
+    """array<struct(name, confidence, source)> of names that no catalog has found, each once, in the order of the rules:
+    'order from X' (.90), the slug of a marketplace link (.72), phrases of capitals (.68), Arabic phrases (.70).
+
+    ``known`` are names found before.  Single words count only where the catalog has them; phrases with general words,
+    platforms and names of two letters don't count.
+    """
     kind = "array<struct<name:string,confidence:double,source:string>>"
     text = F.coalesce(text, F.lit(""))
-    form = lambda found, sure, source: F.transform(found, lambda m: F.struct(F.trim(m).alias("name"), F.lit(sure).alias("confidence"), F.lit(source).alias("source"))).cast(kind)
-    said = form(F.regexp_extract_all(text, F.lit(r"(?U)\b(?:from|at|by)\s+((?:\p{Lu}[\p{L}'&-]+)(?:\s+\p{Lu}[\p{L}'&-]+){0,3})"), F.lit(1)), 0.90, "said")
-    phrase = form(F.regexp_extract_all(text, F.lit(r"(?U)\b(\p{Lu}[\p{L}'-]+(?:\s+\p{Lu}[\p{L}'-]+){1,2})\b"), F.lit(1)), 0.68, "phrase")
-    both = F.filter(F.concat(said, phrase), lambda s: ~F.lower(s["name"]).isin(*[w.lower() for w in stop]) & (F.length(s["name"]) > 2))
-    add = lambda done, s: F.when(F.exists(done, lambda d: F.contains(F.lower(d["name"]), F.lower(s["name"]))), done).otherwise(F.concat(done, F.array(s)))
-    return F.aggregate(both, F.array().cast(kind), add)
+    names, other = [c.lower() for c in catalog or []], [p.lower() for p in platforms or []]
+    within = lambda word, words: F.array_contains(F.array(*map(F.lit, words)).cast("array<string>"), F.lower(word))
+    several = lambda name: (F.size(F.split(name, r"\s+")) > 1) | within(name, names)
+    plain = lambda name: ~F.exists(F.split(F.lower(name), r"\s+"), lambda w: within(w, [*generic, *other]))
+
+    def form(pattern: str, group: int, base: float, source: str, name: Callable[[Column], Column], keep: Callable[[Column], Column]) -> Column:
+        found = F.transform(placed(text, pattern, group), lambda m: F.struct(name(m["value"]).alias("name"), boosted(F.lit(base), m["start"], F.length(text), F.lit(1)).alias("confidence"), F.lit(source).alias("source")))
+        return F.filter(found, lambda m: m["name"].isNotNull() & (F.length(m["name"]) > 2) & (F.length(m["name"]) <= 50) & ~within(m["name"], other) & keep(m["name"])).cast(kind)
+
+    said = form(SAID, 1, 0.90, "said", lambda v: trimmed_name(F.regexp_replace(v, r"[.,;!?-]+$", ""), [*stop, *generic]), several)
+    slug = form(SLUG, 1, 0.72, "link", slug_title, lambda name: ~within(name, generic))
+    phrase = form(TITLE, 0, 0.68, "phrase", lambda v: v, lambda name: several(name) & plain(name))
+    arabic = form(ARABIC, 0, 0.70, "arabic", F.trim, lambda name: ~within(name, generic))
+    done = F.transform(F.coalesce(known, F.array().cast("array<string>")) if known is not None else F.array().cast("array<string>"), lambda n: F.lower(n))
 
+    def add(state: Column, m: Column) -> Column:
+        seen = F.array_contains(state["seen"], F.lower(m["name"]))
+        return F.when(seen, state).otherwise(F.struct(F.concat(state["seen"], F.array(F.lower(m["name"]))).alias("seen"), F.concat(state["rows"], F.array(m)).alias("rows")))
 
-def with_hints(matches: Column, hints: Column) -> Column:
-    """struct(matches, inferred, conflict): hinted brands rise by .12; without one, the first hint is added."""
-    kind = "array<struct<name:string,confidence:double>>"
+    start = F.struct(done.alias("seen"), F.array().cast(kind).alias("rows"))
+    return F.aggregate(F.concat(said, slug, phrase, arabic), start, add, lambda state: state["rows"])
+
+
+def with_hints(matches: Column, hints: Column, catalog: list[str] | None = None) -> Column:
+    """struct(matches, inferred, conflict): hinted brands rise by .12; without one, the first hint is added (.82 if the
+    catalog has it, else .75).  conflict: another brand is as sure as .8.  matches: array<struct(name, confidence, ...)>.
+    """
     hints = F.coalesce(hints, F.array().cast("array<string>"))
-    raised = F.transform(matches, lambda m: F.struct(m["name"].alias("name"), F.when(F.array_contains(hints, m["name"]), F.least(F.lit(0.99), m["confidence"] + 0.12)).otherwise(m["confidence"]).alias("confidence"))).cast(kind)
-    agreed = F.exists(matches, lambda m: F.array_contains(hints, m["name"]))
-    missing = (F.size(hints) > 0) & ~agreed
-    others = F.exists(matches, lambda m: m["confidence"] >= 0.8)
-    added = F.array(F.struct(F.try_element_at(hints, F.lit(1)).alias("name"), F.when(F.size(matches) == 0, 0.82).otherwise(0.75).alias("confidence"))).cast(kind)
-    return F.struct(F.when(missing, F.concat(raised, added)).otherwise(raised).alias("matches"), missing.alias("inferred"), (missing & others).alias("conflict"))
-
-
-def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected: str = "QA") -> DataFrame:
-    """The whole chain in one select; ads of a wrong region keep null labels."""
-    t = F.col(text)
-    first = ads.withColumn("region", region(t, expected)).withColumn("offers", offers(t))
-    one = F.col("offers")[0]
-    off = F.regexp_extract(one["details"], r"(\d+)", 1).try_cast("int")
-    out = first.withColumn("product_type", product_type(t, F.lit(None).cast("string"), F.lit(0.0))).withColumn("food", food(t, F.lit(None).cast("string"))).withColumn("themes", themes(t, one["type"])).withColumn("audience", audience(t, one["type"], off))
-    keep = F.col("region.is_valid")
-    sure = F.array(F.col("region.confidence"), F.col("themes.confidence"), F.col("audience.confidence"), F.col("product_type.confidence"))
-    return out.select(
+    kind = "array<struct<name:string,confidence:double,hinted:boolean>>"
+    hinted = lambda m: F.exists(hints, lambda h: F.lower(h) == F.lower(m["name"]))
+    raised = F.transform(matches, lambda m: F.struct(m["name"].alias("name"), F.when(hinted(m), F.round(F.least(F.lit(0.99), m["confidence"] + 0.12), 3)).otherwise(m["confidence"]).alias("confidence"), hinted(m).alias("hinted"))).cast(kind)
+    missing = (F.size(hints) > 0) & ~F.exists(matches, hinted)
+    others = F.exists(matches, lambda m: ~hinted(m) & (m["confidence"] >= 0.8))
+    first = F.try_element_at(hints, F.lit(1))
+    listed = F.array_contains(F.array(*[F.lit(c.lower()) for c in catalog or []]).cast("array<string>"), F.lower(first))
+    added = F.array(F.struct(first.alias("name"), F.when(listed, 0.82).otherwise(0.75).alias("confidence"), F.lit(True).alias("hinted"))).cast(kind)
+    return F.struct(F.when(missing, F.concat(raised, added)).otherwise(raised).alias("matches"), missing.alias("inferred"), ((F.size(hints) > 0) & others).alias("conflict"))
+
+
+def ranked(matches: Column) -> Column:
+    """Matches in order: hinted first, then priority, confidence, length of the name, the name itself."""
+    order = F.transform(matches, lambda m: F.struct(m["hinted"].alias("hinted"), m["priority"].alias("priority"), m["confidence"].alias("confidence"), F.length(m["name"]).alias("n"), m["name"].alias("name")))
+    return F.transform(F.sort_array(order, asc=False), lambda m: m["name"])
+
+
+#: How product types are called as categories.
+CATEGORIES = {"restaurant": "Specific Restaurant/Brand Promo", "unknown_category": "Consumer Electronics", "service": "Platform Subscription Service", "grocery": "Grocery Delivery", "pharmacy": "Pharmacy & Health"}
+OTHER_CATEGORY = "Meal Deals & Combos"
+
+
+def brands_of(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text", hints: DataFrame | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """ads with ``brand``, ``brand_confidence``, ``brand_type``, ``brand_inferred``, ``brand_conflict``.
+
+    Catalog first; ``resolve`` (key, text -> key, brand, confidence) is asked for ads of which the catalog knows nothing,
+    and for no others; then names that no catalog has, then hints (advertiser_id, brands).
+    """
+    stored = sent_if_small(catalog.select("canonical_name", "entity_type", "priority").distinct())
+    found = brand_scan(ads, catalog, key, text).select(key, F.struct(F.col("brand").alias("name"), "confidence", "entity_type", "priority").alias("m"))
+    if resolve is not None:
+        asked = resolve(ads.join(found.select(key).distinct(), key, "left_anti").select(key, text))
+        found = found.unionByName(asked.join(stored, F.col("brand") == F.col("canonical_name"), "left").select(key, F.struct(F.col("brand").alias("name"), "confidence", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"), F.coalesce("priority", F.lit(-1)).alias("priority")).alias("m")))
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("m"))
+    listed_names = catalog.select("canonical_name", "alias", "entity_type").distinct().limit(MOST_NAMES + 1).collect()
+    if len(listed_names) > MOST_NAMES:
+        raise ValueError(f"the catalog's names are written into the plan, so it may have {MOST_NAMES} aliases at most")
+    platforms = sorted({r["canonical_name"] for r in listed_names if r["entity_type"] == "platform"})
+    names = sorted({n for r in listed_names for n in (r["canonical_name"], r["alias"])})
+    rows = ads.join(listed, key, "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<name:string,confidence:double,entity_type:string,priority:int>>")))
+    others = F.transform(unknown_brands(F.col(text), F.transform("m", lambda m: m["name"]), names, platforms), lambda m: F.struct(m["name"].alias("name"), m["confidence"].alias("confidence"), F.lit("unknown").alias("entity_type"), F.lit(-1).alias("priority")))
+    rows = rows.withColumn("m", F.concat("m", others))
+    if hints is not None:
+        rows = rows.join(sent_if_small(hints.select("advertiser_id", F.col("brands").alias("hinted_brands"))), "advertiser_id", "left")
+    else:
+        rows = rows.withColumn("hinted_brands", F.lit(None).cast("array<string>"))
+    rows = rows.withColumn("h", with_hints(F.col("m"), F.col("hinted_brands"), names))
+    full = F.transform("h.matches", lambda m: F.struct(m["name"].alias("name"), m["confidence"].alias("confidence"), m["hinted"].alias("hinted"), F.coalesce(F.try_element_at(F.transform(F.filter("m", lambda x: x["name"] == m["name"]), lambda x: x["priority"]), F.lit(1)), F.lit(1)).alias("priority")))
+    rows = rows.withColumn("full", full).withColumn("brand", F.try_element_at(ranked(F.col("full")), F.lit(1)))
+    first = lambda array, field: F.try_element_at(F.transform(F.filter(array, lambda x: x["name"] == F.col("brand")), lambda x: x[field]), F.lit(1))
+    rows = rows.withColumn("brand_confidence", first("full", "confidence")).withColumn("brand_type", first("m", "entity_type"))
+    return rows.withColumn("brand_inferred", F.col("h.inferred")).withColumn("brand_conflict", F.col("h.conflict")).drop("m", "h", "full", "hinted_brands")
+
+
+MOST_NAMES = 5000
+NO_CATALOG = "canonical_name string, alias string, entity_type string, priority int"
+NO_SUBSCRIPTIONS = "advertiser_id string, name string, keywords array<string>, platform_terms array<string>, enabled boolean"
+NO_KNOWLEDGE = "product_name string, product_type string, confidence double"
+
+
+def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected: str = "QA", catalog: DataFrame | None = None, subscriptions: DataFrame | None = None, hints: DataFrame | None = None, known: DataFrame | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The whole chain: region, subscription, brand, product type, knowledge, food, offers, audience, themes, name.
+
+    Ads of a wrong region go no further: their labels are null.  ads: key, text, advertiser_id.
+    """
+    spark = ads.sparkSession
+    empty = lambda found, kind: spark.createDataFrame([], kind) if found is None else found
+    rows = ads.select(key, text, "advertiser_id").withColumn("region", region(F.col(text), expected))
+    kept = rows.filter("region.is_valid").select(key, text, "advertiser_id")
+    kept = subscription(kept, empty(subscriptions, NO_SUBSCRIPTIONS), text)
+    kept = brands_of(kept, empty(catalog, NO_CATALOG), key, text, hints, resolve)
+    kept = kept.withColumn("type", product_type(F.col(text), F.when(F.col("brand_type") != "unknown", F.col("brand_type")), F.col("subscription_confidence")))
+    kept = kept.withColumn("product_type", F.col("type.type")).withColumn("confidence", F.col("type.confidence"))
+    kept = knowledge.gate(kept, empty(known, NO_KNOWLEDGE))
+    kept = kept.withColumn("offer", offers(F.col(text))[0]).withColumn("food", food(F.col(text), F.col("brand")))
+    kept = kept.withColumn("off", F.regexp_extract("offer.details", r"(\d+)%", 1).try_cast("int"))
+    kept = kept.withColumn("themes", themes(F.col(text), F.col("offer.type"))).withColumn("audience", audience(F.col(text), F.col("offer.type"), F.col("off")))
+    eats = F.when(F.col("product_type") == "restaurant", F.col("food.category"))
+    kept = kept.withColumn("food_category", eats).withColumn("product_category", F.coalesce(F.create_map(*[F.lit(x) for p in CATEGORIES.items() for x in p])[F.col("product_type")], F.lit(OTHER_CATEGORY)))
+    kept = kept.withColumn("product_name", product_name(F.col("brand"), F.col("food_category"), F.col("product_category"), F.col("subscription_name")))
+    sure = F.filter(F.array("brand_confidence", "confidence", "offer.confidence", "audience.confidence"), lambda x: F.coalesce(x, F.lit(0.0)) > 0)
+    labels = kept.select(
         key,
-        F.col("region.detected").alias("detected_region"),
-        (~keep).alias("rejected_wrong_region"),
-        F.when(keep, F.col("product_type.type")).alias("product_type"),
-        F.when(keep & (F.col("product_type.type") == "restaurant"), F.col("food.category")).alias("food_category"),
-        F.when(keep, one["type"]).alias("offer_type"),
-        F.when(keep, one["details"]).alias("offer_details"),
-        F.when(keep, F.col("themes.primary")).alias("primary_theme"),
-        F.when(keep, F.col("audience.segment")).alias("audience_segment"),
-        F.when(keep, F.round(F.aggregate(sure, F.lit(0.0), lambda a, x: a + x) / F.size(sure), 3)).alias("confidence_score"),
+        "product_category",
+        "product_name",
+        "product_type",
+        F.col("source").alias("type_source"),
+        "food_category",
+        "brand",
+        "brand_inferred",
+        "brand_conflict",
+        "subscription_name",
+        F.col("offer.type").alias("offer_type"),
+        F.col("offer.details").alias("offer_details"),
+        F.col("offer.conditions").alias("offer_conditions"),
+        F.col("themes.primary").alias("primary_theme"),
+        F.col("audience.segment").alias("audience_segment"),
+        F.round(F.aggregate(sure, F.lit(0.0), lambda a, x: a + x) / F.size(sure), 2).alias("confidence_score"),
     )
+    return rows.select(key, F.col("region.detected").alias("detected_region"), (~F.col("region.is_valid")).alias("rejected_wrong_region")).join(labels, key, "left")
 
 
 def with_batches(df: DataFrame, analyse: Callable[[pd.DataFrame], pd.DataFrame], schema: str, fallback: dict) -> DataFrame:
-    """A caller's batch function over rows: a batch that fails gives the fallback's values and the error's text.
+    """A caller's batch function over rows.  A batch that fails is tried row by row; a row that fails gives the fallback's
+    values and the error's text.
 
     ``schema`` is of the whole result, and ends with ``enrichment_error string``.
     """
 
+    def row_by_row(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for at in range(len(batch)):
+            row = batch.iloc[at : at + 1]
+            try:
+                yield analyse(row).assign(enrichment_error=None)
+            except Exception as error:  # noqa: BLE001  a caller's function may fail in any way
+                yield row.assign(**fallback, enrichment_error=str(error))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 yield analyse(batch).assign(enrichment_error=None)
-            except Exception as error:  # noqa: BLE001  a caller's function may fail in any way
-                yield batch.assign(**fallback, enrichment_error=str(error))
+            except Exception:  # noqa: BLE001
+                yield from row_by_row(batch)
 
     return df.mapInPandas(run, schema)

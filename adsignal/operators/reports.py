@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .insights import percent, valid
+from .insights import percent, shared, valid
 
 
 def monthly(ads: DataFrame, *keys: str) -> DataFrame:
@@ -34,9 +34,9 @@ def category_entries(ads: DataFrame, k: int = 10) -> DataFrame:
 
 
 def day_counts(ads: DataFrame) -> DataFrame:
-    """The latest ads with how many their advertiser launched in the category that day."""
-    w = Window.partitionBy("advertiser_id", F.to_date("first_seen_date"), "product_category")
-    return ads.withColumn("same_day", F.count("*").over(w)).groupBy("advertiser_id", "product_category", F.to_date("first_seen_date").alias("day")).agg(F.max("same_day").alias("same_day"), F.count("*").alias("ads"))
+    """Per advertiser, category and day: how many ads were launched, and the name of the latest of them."""
+    latest = F.max_by("product_name", F.struct("first_seen_date", "product_name"))
+    return ads.groupBy("advertiser_id", "product_category", F.to_date("first_seen_date").alias("day")).agg(F.count("*").alias("same_day"), latest.alias("latest_name"))
 
 
 def trends(events: DataFrame, as_of: str, who: str, what: str, ts: str = "ts") -> DataFrame:
@@ -46,9 +46,10 @@ def trends(events: DataFrame, as_of: str, who: str, what: str, ts: str = "ts") -
     rows = events.groupBy(who, what).agg(F.count_if(t >= day(7)).alias("week"), F.count_if((t >= day(14)) & (t < day(7))).alias("before"), F.count_if(t >= day(30)).alias("month"))
     rank = F.row_number().over(Window.partitionBy(who).orderBy(F.desc("month"), what))
     found = rows.withColumn("r", rank).groupBy(who).agg(F.sum("week").alias("week"), F.sum("before").alias("before"), F.sum("month").alias("month"), F.max(F.when(F.col("r") == 1, F.col(what))).alias("top"), F.max(F.when(F.col("r") == 1, F.col("month"))).alias("top_n"))
+    found = shared(found, "month", "share_of_voice")
     change = F.try_divide(100.0 * (F.col("week") - F.col("before")), F.col("before"))
     direction = F.when(F.col("week") > F.col("before"), "up").when(F.col("week") < F.col("before"), "down").otherwise("stable")
-    return found.select(who, "week", "before", direction.alias("trend"), F.round(F.abs(change), 0).alias("change_pct"), percent(F.col("month"), F.sum("month").over(Window.partitionBy())).alias("share_of_voice"), F.round(F.col("month") / 30.0, 2).alias("velocity"), "top", F.coalesce(F.round(F.try_divide(100.0 * F.col("top_n"), F.col("month")), 1), F.lit(0.0)).alias("top_pct"))
+    return found.select(who, "week", "before", direction.alias("trend"), F.round(F.abs(change), 0).alias("change_pct"), "share_of_voice", F.round(F.col("month") / 30.0, 2).alias("velocity"), "top", F.coalesce(F.round(F.try_divide(100.0 * F.col("top_n"), F.col("month")), 1), F.lit(0.0)).alias("top_pct"))
 
 
 def theme_shift(ads: DataFrame) -> DataFrame:
@@ -87,6 +88,22 @@ def day_blitz(ads: DataFrame, own: str, day: str) -> DataFrame:
     return found.withColumn("ratio", F.coalesce(F.round(F.try_divide(F.col("others").cast("double"), F.col("own")), 2), F.lit(0.0)))
 
 
+def day_breakdown(ads: DataFrame, own: str, day: str, by: str = "offer_type") -> DataFrame:
+    """One day's launches by kind: own, competitors'."""
+    start = F.lit(day).cast("timestamp_ntz")
+    mine = F.col("advertiser_id") == own
+    rows = ads.filter((F.col("first_seen_date") >= start) & (F.col("first_seen_date") < start + F.expr("INTERVAL 1 DAY")))
+    return rows.groupBy(by).agg(F.count_if(mine).alias("own"), F.count_if(~mine).alias("others"))
+
+
+def single_category(ads: DataFrame, own: str, category: str, column: str = "product_category") -> DataFrame:
+    """Per advertiser the ads of one category, with the ratio to one's own (null for none) and the gap."""
+    counts = valid(ads).filter(F.col(column) == category).groupBy("advertiser_id").agg(F.count("*").alias("n"))
+    mine = counts.filter(F.col("advertiser_id") == own).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own"))
+    found = counts.filter(F.col("advertiser_id") != own).crossJoin(F.broadcast(mine))
+    return found.withColumn("gap", F.col("n") - F.col("own")).withColumn("ratio", F.round(F.try_divide(F.col("n").cast("double"), F.col("own")), 2))
+
+
 def visibility_what_if(ads: DataFrame, own: str) -> DataFrame:
     """Own share of all ads, and what it were with as many ads as the mean competitor."""
     mine = F.col("advertiser_id") == own
@@ -97,12 +114,14 @@ def visibility_what_if(ads: DataFrame, own: str) -> DataFrame:
 
 
 def module_profile(ads: DataFrame, modules: dict[str, str]) -> DataFrame:
-    """Per module (a column whose values may list several, split at ', '), advertiser: keys, top one, its share."""
+    """Per module (a column whose values may list several, split at ', '), advertiser: keys, top one, its share, and what
+    percent it has of all keys that the market has there."""
     rows = valid(ads).select("advertiser_id", F.explode(F.array(*[F.struct(F.lit(m).alias("module"), F.col(c).alias("value")) for m, c in modules.items()])).alias("x")).select("advertiser_id", "x.module", F.explode(F.split("x.value", ", ")).alias("key"))
     counts = rows.groupBy("module", "advertiser_id", "key").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("module", "advertiser_id").orderBy(F.desc("n"), "key"))
     found = counts.withColumn("r", rank).groupBy("module", "advertiser_id").agg(F.count("*").alias("keys"), F.sum("n").alias("total"), F.max(F.when(F.col("r") == 1, F.col("key"))).alias("top"), F.max(F.when(F.col("r") == 1, F.col("n"))).alias("top_n"))
-    return found.withColumn("top_pct", percent(F.col("top_n"), F.col("total")))
+    market = counts.groupBy("module").agg(F.countDistinct("key").alias("market"))
+    return found.join(F.broadcast(market), "module").withColumn("top_pct", percent(F.col("top_n"), F.col("total"))).withColumn("coverage_pct", percent(F.col("keys"), F.col("market"))).drop("market")
 
 
 def quick_actions(ads: DataFrame, own: str) -> DataFrame:
@@ -117,9 +136,12 @@ def quick_actions(ads: DataFrame, own: str) -> DataFrame:
 def weekly_summary(ads: DataFrame) -> DataFrame:
     """Leader, second, weakest, their counts, ratio, share and intensity of the market."""
     counts = valid(ads).groupBy("advertiser_id").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "advertiser_id"))).withColumn("last", F.count("*").over(Window.partitionBy()))
-    at = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
-    found = ranked.agg(at(F.lit(1), "advertiser_id").alias("leader"), at(F.lit(1), "n").alias("leader_n"), at(F.lit(2), "advertiser_id").alias("second"), at(F.lit(2), "n").alias("second_n"), at(F.col("last"), "advertiser_id").alias("weakest"), at(F.col("last"), "n").alias("weakest_n"), F.sum("n").alias("total"), F.count("*").alias("advertisers"))
+    rank = F.struct((-F.col("n")).alias("r"), "advertiser_id")
+    ends = counts.agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.sum("n").alias("total"), F.count("*").alias("advertisers"))
+    second = counts.select(rank.alias("rank")).orderBy("rank").limit(2).agg(F.max("rank").alias("second"), F.count("*").alias("rows"))
+    both = ends.crossJoin(second)
+    at = lambda c: (F.col(f"{c}.advertiser_id"), -F.col(f"{c}.r"))
+    found = both.select(at("first")[0].alias("leader"), at("first")[1].alias("leader_n"), *[F.when(F.col("rows") > 1, x).alias(n) for x, n in zip(at("second"), ("second", "second_n"), strict=True)], at("last")[0].alias("weakest"), at("last")[1].alias("weakest_n"), "total", "advertisers")
     mean = F.floor(F.col("total") / F.col("advertisers"))
     found = found.withColumn("mean", mean).withColumn("dominant", F.col("leader_n") >= 2.0 * F.col("second_n")).withColumn("leader_pct", F.floor(100 * F.col("leader_n") / F.col("total")))
     return found.withColumn("intensity", F.when(F.col("mean") > 90, "high").when(F.col("mean") < 40, "low").otherwise("medium")).withColumn("gap", F.col("leader_n") - F.col("weakest_n"))

@@ -5,10 +5,12 @@ The key of an ad is (advertiser, text, image) with nulls as ''.  Joins use its 6
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import sent_if_small
+from ..functions.contains import containing
 
 KEY = ["advertiser_id", "ad_text", "image_url"]
 
@@ -82,9 +84,9 @@ def soft_delete(labels: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def contamination(rows: DataFrame, platforms: DataFrame) -> DataFrame:
     """Rows whose product name holds the name of a platform that another advertiser runs."""
-    small = sent_if_small(platforms.select("platform", F.col("advertiser_id").alias("runs_it")))
-    hit = F.contains(F.lower("product_name"), F.lower("platform")) & (F.col("advertiser_id") != F.col("runs_it"))
-    return rows.join(small, hit, "left_semi")
+    held = containing(rows.select("product_name").distinct(), "product_name", platforms.select("platform").distinct(), "platform")
+    foreign = held.join(platforms.select(F.col("platform").alias("needle"), F.col("advertiser_id").alias("runs_it")), "needle").select(F.col("hay").alias("product_name"), "runs_it")
+    return rows.join(foreign, (rows["product_name"] == foreign["product_name"]) & (rows["advertiser_id"] != foreign["runs_it"]), "left_semi")
 
 
 def repair(rows: DataFrame, platforms: list[tuple[str, str]]) -> DataFrame:
@@ -96,7 +98,14 @@ def repair(rows: DataFrame, platforms: list[tuple[str, str]]) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
+    """The first row of each key by order, which must tell rows of a key apart.
+
+    Keys are sent as hashes with the order columns; whole rows stay where they are until the semi-join.
+    """
+    whole = [c for k in key for c in (F.col(k), F.isnull(k))]
+    hashed = rows.withColumn("_h", F.xxhash64(*whole)).withColumn("_g", F.xxhash64(*whole, F.lit(1)))
+    first = hashed.groupBy("_h", "_g").agg(F.min(F.struct(*order)).alias("_first"))
+    return hashed.withColumn("_first", F.struct(*order)).join(first, ["_h", "_g", "_first"], "left_semi").drop("_h", "_g", "_first")
 
 
 def sample_per_group(rows: DataFrame, group: str, n: int, first: Column, key: str) -> DataFrame:
@@ -107,8 +116,23 @@ def sample_per_group(rows: DataFrame, group: str, n: int, first: Column, key: st
 
 def random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The same n rows every time for a seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))), key).limit(n)
 
 
 def retention(rows: DataFrame, column: str, as_of: str, days: int) -> DataFrame:
     return rows.filter(F.col(column) >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz"))
+
+
+def incremental_run(scraped: DataFrame, existing: DataFrame, label: Callable[[DataFrame], DataFrame], now: str, key: list[str] = KEY, batch: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run as a job: (new version of the ads, labels of new ads, one record an advertiser).
+
+    Only ads that the store lacks are labelled, at most ``batch`` of them if given (a feature of the run: the first by
+    key; the others stay new and are labelled by a later run).  An advertiser of whom the store has nothing has a
+    ``first`` run.
+    """
+    versions = upsert(existing, scraped, now, key)
+    fresh = versions.filter("change = 'new'").select(*key)
+    fresh = fresh.orderBy(*key).limit(batch) if batch else fresh
+    had = keyed(existing, key).select("advertiser_id").distinct().withColumn("_had", F.lit(True))
+    record = run_record(versions).join(had, "advertiser_id", "left").withColumn("kind", F.when(F.col("_had"), "update").otherwise("first")).drop("_had")
+    return versions, label(fresh), record.withColumn("run_at", F.lit(now).cast("timestamp_ntz"))

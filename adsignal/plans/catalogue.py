@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,26 +9,15 @@ from ..operators import gallery
 from ..operators import insights as i
 from ..operators import knowledge, labels, reports, tracking
 from ..streaming import jobs
-from .views import ADS_SQL, ads, load
+from .registry import ORACLES, QUERIES, register
+from .views import ads, load
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 OWN = "NATION_1"
 AS_OF = "2001-12-01"
 EVENTS_AS_OF = "2024-01-31"
 THEMES = ["1-URGENT", "2-HIGH", "gone"]
 
 
-def register(sql: str | None = None, with_ads: bool = True):
-    def add(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[query.__name__] = query
-        if sql:
-            ORACLES[query.__name__] = (f"WITH {ADS_SQL}\n" if with_ads else "") + sql
-        return query
-
-    return add
-
-
 _SHARE = """, b AS (SELECT {dim}, count(*) AS ad_count, {sets} FROM valid WHERE {dim} IS NOT NULL GROUP BY {dim})
 SELECT *, round(100.0 * ad_count / (SELECT sum(ad_count) FROM b), 1) AS percentage FROM b"""
 _SET = "array_to_string(list_sort(list(DISTINCT {c})), '|') AS {name}"
@@ -194,7 +180,7 @@ def category_entry(spark, sf):
     return reports.category_entries(ads(spark, sf))
 
 
-@register("SELECT advertiser_id, product_category, CAST(first_seen_date AS DATE) AS day, count(*) AS same_day, count(*) AS ads FROM ads GROUP BY 1, 2, 3")
+@register("SELECT advertiser_id, product_category, CAST(first_seen_date AS DATE) AS day, count(*) AS same_day, arg_max(product_name, (first_seen_date, product_name)) AS latest_name FROM ads GROUP BY 1, 2, 3")
 def window_count(spark, sf):
     return reports.day_counts(ads(spark, sf))
 
@@ -215,11 +201,14 @@ def trend_sov(spark, sf):
     return reports.trends(load(spark, sf, "events").withColumn("what", F.col("user_id") % 7), EVENTS_AS_OF, "event_type", "what")
 
 
-@register(""", u AS (SELECT advertiser_id, 'products' AS module, product_category AS key FROM valid UNION ALL SELECT advertiser_id, 'promos', offer_type FROM valid UNION ALL SELECT advertiser_id, 'messaging', primary_theme FROM valid UNION ALL SELECT advertiser_id, 'brands', brand FROM valid),
-c AS (SELECT module, advertiser_id, key, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY module, advertiser_id ORDER BY n DESC, key) AS r FROM c)
-SELECT module, advertiser_id, count(*) AS keys, CAST(sum(n) AS BIGINT) AS total, max(CASE WHEN r = 1 THEN key END) AS top, max(CASE WHEN r = 1 THEN n END) AS top_n, round(100.0 * max(CASE WHEN r = 1 THEN n END) / sum(n), 1) AS top_pct FROM r GROUP BY 1, 2""")
+MODULES = {"products": "product_category", "promos": "offer_type", "messaging": "primary_theme", "brands": "brand", "audience": "audience_segment", "names": "product_name"}
+
+
+@register(", u AS (" + " UNION ALL ".join(f"SELECT advertiser_id, '{m}' AS module, {c} AS key FROM valid" for m, c in MODULES.items()) + """),
+c AS (SELECT module, advertiser_id, key, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY module, advertiser_id ORDER BY n DESC, key) AS r FROM c), m AS (SELECT module, count(DISTINCT key) AS market FROM c GROUP BY 1)
+SELECT module, advertiser_id, count(*) AS keys, CAST(sum(n) AS BIGINT) AS total, max(CASE WHEN r = 1 THEN key END) AS top, max(CASE WHEN r = 1 THEN n END) AS top_n, round(100.0 * max(CASE WHEN r = 1 THEN n END) / sum(n), 1) AS top_pct, round(100.0 * count(*) / any_value(market), 1) AS coverage_pct FROM r JOIN m USING (module) GROUP BY 1, 2""")
 def module_profile(spark, sf):
-    return reports.module_profile(ads(spark, sf), {"products": "product_category", "promos": "offer_type", "messaging": "primary_theme", "brands": "brand"})
+    return reports.module_profile(ads(spark, sf), MODULES)
 
 
 @register(""", c AS (SELECT advertiser_id, count(*) AS n FROM valid GROUP BY 1), o AS (SELECT coalesce(CAST(sum(n) AS BIGINT), 0) AS own FROM c WHERE advertiser_id = 'NATION_1')
@@ -275,15 +264,23 @@ def segment_gaps(spark, sf):
     return i.segment_gaps(ads(spark, sf), 1, "image_url")
 
 
-@register(""", c AS (SELECT advertiser_id, product_category, row_number() OVER (PARTITION BY advertiser_id ORDER BY count(*) DESC, product_category) AS r FROM valid GROUP BY 1, 2),
-t AS (SELECT advertiser_id, primary_theme, row_number() OVER (PARTITION BY advertiser_id ORDER BY count(*) DESC, primary_theme) AS r FROM valid GROUP BY 1, 2)
-SELECT v.advertiser_id, count(*) AS total, count(*) FILTER (WHERE image_url <> '') AS with_image, count(*) FILTER (WHERE first_seen_date >= TIMESTAMP '2001-10-25') AS recent,
-round(avg(CASE WHEN offer_details IS NULL THEN 0.0 ELSE 1.0 END) * 100, 1) AS text_pct, any_value(c.product_category) AS top_product_category, any_value(t.primary_theme) AS top_primary_theme
-FROM valid v JOIN c ON c.advertiser_id = v.advertiser_id AND c.r = 1 JOIN t ON t.advertiser_id = v.advertiser_id AND t.r = 1 GROUP BY 1""")
+_VISUAL = """, c AS (SELECT advertiser_id, product_category, count(*) AS n FROM valid GROUP BY 1, 2), t AS (SELECT advertiser_id, primary_theme, count(*) AS n FROM valid GROUP BY 1, 2), e AS (SELECT advertiser_id, audience_segment, count(*) AS n FROM valid GROUP BY 1, 2),
+g AS (SELECT advertiser_id, product_category, primary_theme, audience_segment, min(product_name) AS sample FROM valid GROUP BY ALL), s AS (SELECT advertiser_id, array_to_string(list_slice(list_sort(list(DISTINCT sample)), 1, 3), '|') AS samples FROM g GROUP BY 1),
+f AS (SELECT v.advertiser_id, count(*) AS total, count(*) FILTER (WHERE image_url <> '') AS with_image, count(*) FILTER (WHERE first_seen_date >= TIMESTAMP '2001-10-25') AS recent, round(100.0 * count(offer_details) / count(*), 1) AS text_pct FROM valid v GROUP BY 1),
+p AS (SELECT f.*, s.samples, (SELECT arg_min(product_category, (-n, product_category)) FROM c WHERE c.advertiser_id = f.advertiser_id) AS top_product_category, (SELECT arg_min(primary_theme, (-n, primary_theme)) FROM t WHERE t.advertiser_id = f.advertiser_id) AS top_primary_theme,
+ (SELECT arg_min(audience_segment, (-n, audience_segment)) FROM e WHERE e.advertiser_id = f.advertiser_id) AS top_audience_segment, (SELECT array_to_string(list_sort(list(product_category || ':' || n)), '|') FROM c WHERE c.advertiser_id = f.advertiser_id) AS categories FROM f JOIN s ON s.advertiser_id = f.advertiser_id)"""
+
+
+@register(_VISUAL + " SELECT * FROM p")
 def visual_profile(spark, sf):
     return i.visual_profile(ads(spark, sf), "2001-11-01")
 
 
+@register(_VISUAL + """ SELECT 'category' AS metric, product_category AS key, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 2 UNION ALL SELECT 'theme', top_primary_theme, count(*) FROM p GROUP BY 2 UNION ALL SELECT 'emotion', top_audience_segment, count(*) FROM p GROUP BY 2""")
+def visual_rollup(spark, sf):
+    return i.visual_rollup(i.visual_profile(ads(spark, sf), "2001-11-01"))
+
+
 @register("""SELECT CASE WHEN offer_details IS NOT NULL THEN 'both' ELSE 'brand only' END AS bucket, count(*) AS n FROM ads GROUP BY 1""")
 def coverage_buckets(spark, sf):
     return i.coverage_buckets(ads(spark, sf), "brand", "offer_details")
@@ -468,34 +465,6 @@ def food_scores(spark, sf):
     return found.select("doc_id", "f.score", "f.category")
 
 
-@register("""SELECT doc_id, len(regexp_extract_all(text, '([0-9]{1,2})[ ]*%')) AS percents, CASE WHEN regexp_matches(lower(text), 'free') THEN 1 ELSE 0 END AS is_free FROM documents""", with_ads=False)
-def offers_regex(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([0-9]{1,2})[ ]*%"), F.lit(1))).cast("long").alias("percents"), F.col("text").rlike("(?i)free").cast("int").alias("is_free"))
-
-
-@register("WITH s AS (SELECT doc_id, 2 * contains(lower(text), 'license')::INT + 2 * contains(lower(text), 'free')::INT AS x, 2 * contains(lower(text), 'der')::INT + 2 * contains(lower(text), 'die')::INT AS y FROM documents) SELECT doc_id, x, y, CASE WHEN x = 0 AND y = 0 THEN 'none' WHEN x >= y THEN 'x' ELSE 'y' END AS region FROM s", with_ads=False)
-def region_scores(spark, sf):
-    t = F.col("text")
-    x, y = 2 * labels.hit_count(t, ["license", "free"]), 2 * labels.hit_count(t, ["der", "die"])
-    return load(spark, sf, "documents").select("doc_id", x.alias("x"), y.alias("y"), F.when((x == 0) & (y == 0), "none").otherwise(labels._first_best({"x": x, "y": y})["name"]).alias("region"))
-
-
-@register()
-def label_chain(spark, sf):
-    return labels.enrich(load(spark, sf, "documents").select(F.col("doc_id").alias("ad_id"), F.col("text").alias("ad_text")))
-
-
-@register()
-def brand_fuzzy(spark, sf):
-    return labels.fuzzy_brands(load(spark, sf, "documents"), ["thingand", "ention", "license", "restaurant"], "doc_id", "text")
-
-
-@register()
-def brand_heuristics(spark, sf):
-    found = load(spark, sf, "documents").select("doc_id", labels.unknown_brands(F.col("text"), ["the", "and"]).alias("b"))
-    return found.filter(F.size("b") > 0).select("doc_id", F.size("b").alias("n"), F.col("b")[0]["name"].alias("first"))
-
-
 # --- links and JSON
 
 @register("SELECT page_id, split_part(split_part(url, '://', 2), '/', 2) AS lang, coalesce(nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), ''), 'QA') AS ref FROM pages", with_ads=False)
@@ -529,7 +498,7 @@ def kb_lookup(spark, sf):
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id FROM d QUALIFY rank <= 3""", with_ads=False)
 def knn_topk(spark, sf):
     vectors = load(spark, sf, "embeddings")
-    return knowledge.search(vectors.filter("vec_id % 50 = 0"), vectors, 3)
+    return knowledge.search(vectors.filter("vec_id % 50 = 0"), vectors, 3).select("query_id", "rank", "vec_id")
 
 
 # --- streams over the events file; results on closed windows or complete tables
@@ -570,3 +539,7 @@ def stream_sessions(spark, sf):
 @register("SELECT date_trunc('day', ts) AS day, CAST(count(DISTINCT user_id) AS INTEGER) AS who, count(*) AS n FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 3", with_ads=False)
 def stream_coordinated(spark, sf):
     return jobs.drained(jobs.coordinated(_events(spark, sf), "user_id"), "coordinated", "complete").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+# The other queries register themselves.
+from . import label_queries, more_queries, row_queries, source_queries  # noqa: E402, F401

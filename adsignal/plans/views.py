@@ -52,3 +52,30 @@ JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.
 JOIN region r ON n.n_regionkey = r.r_regionkey
 JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey),
 valid AS (SELECT * FROM ads WHERE is_active AND NOT coalesce(rejected_wrong_region, false))"""
+
+
+#: One ad text an order, of sixteen kinds; the same expression in both engines.
+TEXT = """CASE o_orderkey % 16
+  WHEN 0 THEN concat('Get ', o_custkey % 90 + 5, '% off your first order')
+  WHEN 1 THEN concat('QAR ', o_custkey % 50 + 1, ' off orders above QAR ', o_custkey % 50 + 51)
+  WHEN 2 THEN 'Free delivery in Doha, limited time'
+  WHEN 3 THEN concat('Buy ', o_custkey % 3 + 1, ' get 1 free burger and fries at Tasty House')
+  WHEN 4 THEN concat('خصم ', o_custkey % 60 + 1, '% شاورما')
+  WHEN 5 THEN 'New menu item: pizza slice for family and kids'
+  WHEN 6 THEN 'Special offer, today only'
+  WHEN 7 THEN 'Order from Golden Spoon Kitchen online'
+  WHEN 8 THEN concat('Made in Dubai with love, AED ', o_custkey % 100)
+  WHEN 9 THEN 'see https://market.example/qatar/golden-spoon-2 today'
+  WHEN 10 THEN 'MacDonalds combo for students on campus'
+  WHEN 11 THEN 'talabat pro saves on delivery'
+  WHEN 12 THEN '限时优惠 快来买'
+  WHEN 13 THEN 'مطعم الشرق الكبير'
+  WHEN 14 THEN 'pharmacy medicine and vitamin for the office'
+  ELSE '' END"""
+
+TEXTS_SQL = f"texts AS (SELECT o_orderkey AS ad_id, concat('adv', o_custkey % 7) AS advertiser_id, o_custkey AS c, o_orderkey % 16 AS k, o_orderdate AS at, {TEXT} AS ad_text FROM orders)"
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ad texts: ad_id, advertiser_id, c (a number in the text), k (its kind), at, ad_text."""
+    return load(spark, sf_dir, "orders").selectExpr("o_orderkey AS ad_id", "concat('adv', o_custkey % 7) AS advertiser_id", "o_custkey AS c", "o_orderkey % 16 AS k", "o_orderdate AS at", f"{TEXT} AS ad_text")

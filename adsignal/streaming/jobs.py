@@ -6,12 +6,13 @@ query over what there is and returns its rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -35,6 +36,18 @@ def trend(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return counts.select(F.col("window.start").alias("start"), key, "n")
 
 
+def compared(counts: DataFrame, key: str, at: str = "start") -> DataFrame:
+    """Seven-day counts next to those of the seven days before: direction and whole percent (null without any before).
+
+    ``counts`` is what ``trend`` has written so far, or a batch of it in ``foreachBatch`` joined with what is stored.
+    """
+    before = counts.select(F.col(key), (F.col(at) + F.expr("INTERVAL 7 DAYS")).alias(at), F.col("n").alias("before"))
+    joined = counts.join(before, [key, at], "left")
+    change = F.round(F.try_divide(100.0 * (F.col("n") - F.col("before")), F.col("before")), 0)
+    way = F.when(F.col("before").isNull(), "new").when(F.col("n") > F.col("before"), "up").when(F.col("n") < F.col("before"), "down").otherwise("stable")
+    return joined.withColumn("change_pct", change).withColumn("trend", way)
+
+
 def coordinated(events: DataFrame, who: str, least: int = 3, late: str = "1 day") -> DataFrame:
     """Days on which at least so many different ones are active."""
     days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.size(F.collect_set(who)).alias("who"), F.count("*").alias("n"))
@@ -46,6 +59,12 @@ def state(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
 
 
+def retired(states: DataFrame, key: str, gap: str = "7 days") -> DataFrame:
+    """``state``'s rows with ``is_active``: seen within the gap before the latest time of all."""
+    latest = states.agg(F.max("last_seen").alias("latest"))
+    return states.crossJoin(F.broadcast(latest)).withColumn("is_active", F.col("last_seen") >= F.col("latest") - F.expr(f"INTERVAL {gap}")).drop("latest")
+
+
 def bursts(events: DataFrame, key: str, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     counts = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
     return counts.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
@@ -58,8 +77,7 @@ def progress(events: DataFrame, key: str) -> DataFrame:
 def drained(query: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """All rows that the query gives for what is there now, written to a folder that driver and executors share."""
     spark = query.sparkSession
-    shared = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="adsignal-stream-")
-    place = f"{shared}/{name}-{uuid.uuid4().hex}"
+    place = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/{'all' if mode == 'complete' else number}")
@@ -68,3 +86,20 @@ def drained(query: DataFrame, name: str, mode: str = "append", folder: str | Non
     run = query.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
     return spark.read.schema(query.schema).option("recursiveFileLookup", True).parquet(f"{place}/out")
+
+
+def days_with_late_events(events: DataFrame, late: Column, lateness: str) -> DataFrame:
+    """Counts a day where some events come after all others: two runs of one query, on what is there and on what came."""
+    spark = events.sparkSession
+    place = scratch(spark, "late")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/{number}")
+
+    for part in (events.filter(~late), events.filter(late)):
+        part.write.mode("append").parquet(f"{place}/in")
+        days = events_stream(spark, f"{place}/in", "*.parquet", events.schema).withWatermark("ts", lateness).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+        query = days.select(F.col("window.start").alias("start"), "n")
+        query.writeStream.outputMode("update").option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    out = spark.read.schema(query.schema).option("recursiveFileLookup", True).parquet(f"{place}/out")
+    return out.groupBy("start").agg(F.max("n").alias("n"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adsignal.functions import text as tx
+from adsignal.functions.contains import containing
 from adsignal.operators import insights, knowledge, labels, reports, tracking
 from adsignal.sources import readers
 
@@ -23,6 +24,11 @@ def one(spark, value, make):
         ("QAR 20 off orders above QAR 50", "fixed_discount", "20", "min order"),
         ("Free delivery today", "free_delivery", "", ""),
         ("Buy 1 Get 1 Free", "bogo", "", ""),
+        ("buy 3 get 2", "bogo", "", ""),
+        ("today b1g1 only", "bogo", "", ""),
+        ("No delivery fee, for 3 days only", "free_delivery", "", "limited time"),
+        ("تخفيض 20 ريال عملاء جدد", "fixed_discount", "20", "first order"),
+        ("عرض خاص", "special_offer", "", ""),
         ("40% off, limited time, first order", "percentage_discount", "40", "limited time"),
         ("Taste happiness every day", "none", "", ""),
         ("Try our new menu item", "new_product", "", ""),
@@ -47,17 +53,28 @@ def test_food(spark, text, brand, category):
 
 
 def test_chain_leaves_rejected_ads_unlabelled(spark):
-    ads = spark.createDataFrame([(1, "Free delivery in Doha pizza"), (2, "Dubai mall 20% off"), (3, None)], "ad_id long, ad_text string")
+    ads = spark.createDataFrame([(1, "Free delivery in Doha pizza"), (2, "Dubai mall 20% off"), (3, None)], "ad_id long, ad_text string").withColumn("advertiser_id", F.lit("a"))
     rows = {r.ad_id: r for r in labels.enrich(ads).collect()}
     assert rows[1].offer_type == "free_delivery" and rows[2].rejected_wrong_region and rows[2].offer_type is None and rows[3].offer_type == "none"
 
 
 def test_brands(spark):
-    catalog = spark.createDataFrame([("McDonald's", "McDonald's", "brand"), ("Lulu", "lulu", "brand"), ("Talabat", "talabat", "platform")], "canonical_name string, alias string, entity_type string")
-    ads = spark.createDataFrame([(1, "McDonald's on talabat"), (2, "absolutely great")], "ad_id long, ad_text string")
-    assert [(r.ad_id, r.brand) for r in labels.brand_catalog_hits(ads, catalog, "ad_id").collect()] == [(1, "McDonald's")]
-    fuzzy = labels.fuzzy_brands(spark.createDataFrame([(1, "macdonalds meal")], "ad_id long, ad_text string"), ["mcdonald"], "ad_id").collect()
-    assert fuzzy[0]["ratio"] == 0.889
+    catalog = spark.createDataFrame([("McDonald's", "McDonald's", "brand", 1), ("McDonald's", "mcdonald", "brand", 1), ("Lulu", "lulu", "brand", 1), ("NutriBullet", "nutri bullet", "brand", 1), ("Talabat", "talabat", "platform", 0)], labels.NO_CATALOG)
+    ads = spark.createDataFrame([(1, "McDonald's on talabat"), (2, "absolutely great"), (3, "the new nutri bullet, nutri bullet"), (4, "x_lulu_y"), (5, "a macdonalds meal"), (6, None), (7, "MCDONALD'S")], "ad_id long, ad_text string")
+    found = {(r.ad_id, r.brand): (r.source, r.confidence) for r in labels.brand_scan(ads, catalog, "ad_id").collect()}
+    assert found[(1, "McDonald's")] == ("catalog", 0.97) and found[(5, "McDonald's")][0] == "catalog_fuzzy" and 0.75 <= found[(5, "McDonald's")][1] < 0.85
+    assert set(found) == {(1, "McDonald's"), (3, "NutriBullet"), (4, "Lulu"), (5, "McDonald's"), (7, "McDonald's")} and found[(4, "Lulu")][0] == "catalog_substring"
+    assert labels.brand_scan(ads, catalog.limit(0), "ad_id").count() == 0
+
+
+def test_unknown_brands_and_hints(spark):
+    asked = lambda text: [(m["name"], m["source"]) for m in one(spark, text, lambda c: labels.unknown_brands(c, None, ["Zara"], ["Talabat"]))]
+    assert asked("Order online from DE'LONGHI HOME ONLINE WITH ONE HOUR DELIVERY")[0] == ("De'Longhi Home", "said")
+    assert asked("https://talabat.example/qatar/the-big-grill-2 Meal Deals at Zara") == [("Zara", "said"), ("The Big Grill 2", "link")]
+    assert asked("Try Blue Palm Kitchen. Talabat Market") == [("Blue Palm Kitchen", "phrase")] and asked(None) == []
+    match = F.array(F.struct(F.lit("A").alias("name"), F.lit(0.9).alias("confidence")))
+    held = spark.range(1).select(labels.with_hints(match, F.array(F.lit("a"))).alias("x"), labels.with_hints(match, F.array(F.lit("B")), ["b"]).alias("y")).first()
+    assert held.x.matches[0].confidence == 0.99 and not held.x.inferred and held.y.inferred and held.y.conflict and held.y.matches[1].confidence == 0.82
 
 
 def test_subscription(spark):
@@ -73,7 +90,8 @@ def test_links_dates_and_sizes(spark):
     assert one(spark, '<img src="a.png">', tx.image_source) == "a.png" and one(spark, None, tx.image_source) == ""
     assert one(spark, 'width="300" height="250"', tx.size_bucket) == "Medium Rectangle" and one(spark, 'width="800" height="90"', tx.size_bucket) == "Banner"
     assert str(one(spark, "Jan 2, 2024 - Feb 3, 2024", lambda c: tx.date_range(c)[1])) == "2024-02-03"
-    assert one(spark, "a-big-shop_2", tx.slug_title) == "A Big Shop"
+    assert one(spark, "a-big-shop_2", tx.slug_title) == "A Big Shop 2" and one(spark, "123", tx.slug_title) is None
+    assert one(spark, 'width="300" height="400"', tx.size_bucket) == "Vertical"
     assert one(spark, "http://i.ytimg.com/vi/abcdefghijk/0.jpg", tx.youtube_id) == "abcdefghijk"
     assert one(spark, "1. Visible Text: SALE\n2. Brand: **Acme**", lambda c: tx.sections(c, ["visible_text", "brand"]))["visible_text"] == "SALE"
     assert one(spark, '```json\n{"a": 1}\n```', lambda c: tx.json_in_reply(c, "a int"))["a"] == 1
@@ -114,12 +132,58 @@ def test_knowledge(spark):
     assert knowledge.gate(typed, known).first().product_type == "food"
 
 
-def test_failing_batches_fall_back(spark):
+def test_failing_rows_fall_back_alone(spark):
     def broken(batch: pd.DataFrame) -> pd.DataFrame:
-        raise ValueError("no")
+        if (batch["a"] == 2).any():
+            raise ValueError("no")
+        return batch.assign(label="ok")
+
+    out = labels.with_batches(spark.range(1, 4).toDF("a").coalesce(1), broken, "a long, label string, enrichment_error string", {"label": "none"}).collect()
+    assert sorted((r.a, r.label, r.enrichment_error) for r in out) == [(1, "ok", None), (2, "none", "no"), (3, "ok", None)]
+
+
+def test_search_ties_nulls_and_lengths(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(10)] + [(20, None), (21, [0.0, 0.0]), (22, [float("nan"), 1.0]), (23, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = knowledge.search(df.filter("vec_id IN (4, 20, 21)"), df, 3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(4, 1, 0), (4, 2, 1), (4, 3, 2)]
+    assert knowledge.search(df.limit(0), df, 3).count() == 0
+
+
+def test_containing_by_rarest_grams(spark):
+    hays = spark.createDataFrame([("Red Widget",), ("bored",), ("x",), (None,), ("",)], "h string")
+    needles = spark.createDataFrame([("red",), ("RE",), ("x",), ("widgets",), ("",), (None,)], "n string")
+    got = sorted(map(tuple, containing(hays, "h", needles, "n").collect()))
+    assert got == [("Red Widget", "RE"), ("Red Widget", "red"), ("bored", "RE"), ("bored", "red"), ("x", "x")]
 
-    out = labels.with_batches(spark.createDataFrame([(1,)], "a long"), broken, "a long, label string, enrichment_error string", {"label": "none"}).first()
-    assert (out.label, out.enrichment_error) == ("none", "no")
+
+def test_sections_of_replies(spark):
+    names = ["visible_text", "product_service", "brand", "offers", "visual_elements"]
+    reply = "1. ALL visible text:\nRafeeq\nFree delivery on your first order\n\n2. Product or service being advertised:\nFood delivery application\n\n5. Visual elements (colors):\nOrange background"
+    found = one(spark, reply, lambda c: tx.sections(c, names))
+    assert found == {"visible_text": "Rafeeq\nFree delivery on your first order", "product_service": "Food delivery application", "visual_elements": "Orange background"}
+    assert one(spark, "1. The visible text in the image is:\nPro\nJoin now!\n\nMore details: it is an ad.", lambda c: tx.visible_text(c, names)) == "Pro\nJoin now!"
+    assert one(spark, "Burger King\nOnly 25 QAR", lambda c: tx.visible_text(c, names)) == "Burger King\nOnly 25 QAR"
+
+
+def test_images_and_tables(spark, tmp_path):
+    (tmp_path / "AR1").mkdir()
+    (tmp_path / "AR1" / "CR7.jpg").write_bytes(b"jpg")
+    rows = spark.createDataFrame([("CR7",), ("CR8",)], "creative_id string")
+    held = {r.creative_id: r.content for r in readers.with_images(rows, readers.images(spark, str(tmp_path))).collect()}
+    assert held == {"CR7": bytearray(b"jpg"), "CR8": None}
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    readers.write_table(rows, url, "creatives")
+    assert readers.table(spark, url, "creatives").count() == 2
+
+
+def test_incremental_run_labels_new_ads_alone(spark):
+    kind = "advertiser_id string, ad_text string, image_url string"
+    old = spark.createDataFrame([("a", "x", "")], kind).withColumns({c: F.lit("2024-01-01").cast("timestamp_ntz") for c in ("first_seen_date", "last_seen_date")}).withColumn("is_active", F.lit(True))
+    scraped = spark.createDataFrame([("a", "x", ""), ("a", "y", ""), ("b", "z", ""), ("b", "zz", "")], kind)
+    versions, found, record = tracking.incremental_run(scraped, old, lambda rows: rows, "2024-02-01", batch=2)
+    assert sorted(r.ad_text for r in found.collect()) == ["y", "z"] and versions.count() == 4
+    assert sorted((r.advertiser_id, r.kind, r.ads_new) for r in record.collect()) == [("a", "update", 1), ("b", "first", 2)]
 
 
 def test_shares_add_up_and_gaps(spark):
