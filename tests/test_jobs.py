@@ -71,7 +71,7 @@ def test_unknown_brands_and_hints(spark):
     asked = lambda text: [(m["name"], m["source"]) for m in one(spark, text, lambda c: labels.unknown_brands(c, None, ["Zara"], ["Talabat"]))]
     assert asked("Order online from DE'LONGHI HOME ONLINE WITH ONE HOUR DELIVERY")[0] == ("De'Longhi Home", "said")
     assert asked("https://talabat.example/qatar/the-big-grill-2 Meal Deals at Zara") == [("Zara", "said"), ("The Big Grill 2", "link")]
-    assert asked("Try Blue Palm Kitchen. Talabat Market") == [("Blue Palm Kitchen", "phrase")] and asked(None) == []
+    assert asked("we love Blue Palm Kitchen. Talabat Market") == [("Blue Palm Kitchen", "phrase")] and asked(None) == []
     match = F.array(F.struct(F.lit("A").alias("name"), F.lit(0.9).alias("confidence")))
     held = spark.range(1).select(labels.with_hints(match, F.array(F.lit("a"))).alias("x"), labels.with_hints(match, F.array(F.lit("B")), ["b"]).alias("y")).first()
     assert held.x.matches[0].confidence == 0.99 and not held.x.inferred and held.y.inferred and held.y.conflict and held.y.matches[1].confidence == 0.82
