@@ -201,7 +201,8 @@ def audience_flow(ads: DataFrame) -> DataFrame:
 def segment_gaps(ads: DataFrame, most: int, what: str = "product_category") -> DataFrame:
     """(segment, category) pairs that at most so many advertisers address, those of none included."""
     counts = valid(ads).select("audience_segment", what, "advertiser_id").distinct().groupBy("audience_segment", what).agg(F.count("*").alias("advertisers"))
-    none = missing_pairs(ads, "audience_segment", what).withColumn("advertisers", F.lit(0).cast("long"))
+    grid = counts.select("audience_segment").distinct().crossJoin(counts.select(what).distinct())  # distinct values alone, which the result lists
+    none = grid.join(counts, ["audience_segment", what], "left_anti").withColumn("advertisers", F.lit(0).cast("long"))
     return counts.unionByName(none).filter(F.col("advertisers") <= most)
 
 

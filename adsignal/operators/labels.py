@@ -31,8 +31,8 @@ FOODS = {"Burgers": {"burger": 4.0, "fries": 2.0}, "Pizza": {"pizza": 4.0, "slic
 
 
 def hits(text: Column, terms: list[str]) -> Column:
-    """The distinct terms that the lower-cased text contains."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower(text), t))
+    """The distinct terms that the lower-cased text contains.  The text is lowered once, not for each term."""
+    return F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)))[0]
 
 
 def hit_count(text: Column, terms: list[str]) -> Column:
@@ -76,7 +76,7 @@ def region(text: Column, expected: str = "QA", regions: dict = REGIONS) -> Colum
 
 def only_region(text: Column, foreign: list[str]) -> Column:
     """False if any indicator of another region occurs."""
-    return ~F.exists(F.array(*[F.lit(t) for t in foreign]), lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t))
+    return hit_count(F.coalesce(text, F.lit("")), foreign) == 0
 
 
 PERCENT = [r"(?iU)(\d+)\s*%\s*(?:off|discount|خصم)", r"(?iU)(?:خصم|تخفيض)\s*(\d+)\s*%", r"(?iU)\bsave\s*(\d+)\s*%"]
@@ -162,11 +162,12 @@ def subscription(ads: DataFrame, catalog: DataFrame, text: str = "ad_text") -> D
 
 def food(text: Column, brand: Column, lexicon: dict[str, dict[str, float]] = FOODS, brands: dict[str, str] | None = None, least: float = 3.0) -> Column:
     """struct(category, confidence, score): weighted hits, 10 for a known brand; close seconds make it mixed."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
     own = F.create_map(*[F.lit(x) for p in (brands or {"Chipotle": "Mexican"}).items() for x in p])[brand]
     each = {}
     for name, terms in lexicon.items():
-        score = sum((F.when(F.contains(lower, F.lit(t)), w).otherwise(0.0) for t, w in terms.items()), F.lit(0.0))
+        weights = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+        score = F.aggregate(hits(text, list(terms)), F.lit(0.0), lambda total, t: total + weights[t])
         each[name] = score + F.when(own == name, 10.0).otherwise(0.0)
     ordered = F.sort_array(F.array(*each.values()), asc=False)
     best = _first_best(each)
