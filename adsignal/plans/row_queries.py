@@ -21,13 +21,14 @@ def link_parse(spark, sf):
 
 
 HTML = "CASE o_orderkey % 4 WHEN 0 THEN concat('<img src=\"https://i.example/', o_orderkey, '.png\" width=\"', w, '\" height=\"', h, '\">') WHEN 1 THEN concat('<iframe src = \"//v.example/', o_orderkey, '\">') WHEN 2 THEN 'no tag' ELSE '' END"
-_SHAPES = "SELECT *, CASE o_custkey % 9 WHEN 0 THEN 300 WHEN 1 THEN 728 WHEN 2 THEN 160 WHEN 3 THEN 320 WHEN 4 THEN 300 WHEN 5 THEN 970 WHEN 6 THEN 400 WHEN 7 THEN 900 ELSE 500 END AS w, CASE o_custkey % 9 WHEN 0 THEN 250 WHEN 1 THEN 90 WHEN 2 THEN 600 WHEN 3 THEN 50 WHEN 4 THEN 600 WHEN 5 THEN 250 WHEN 6 THEN 401 WHEN 7 THEN 300 ELSE 450 END AS h FROM orders"
+_WIDTH = "CASE o_custkey % 9 WHEN 0 THEN 300 WHEN 1 THEN 728 WHEN 2 THEN 160 WHEN 3 THEN 320 WHEN 4 THEN 300 WHEN 5 THEN 970 WHEN 6 THEN 400 WHEN 7 THEN 900 ELSE 500 END"
+_HEIGHT = "CASE o_custkey % 9 WHEN 0 THEN 250 WHEN 1 THEN 90 WHEN 2 THEN 600 WHEN 3 THEN 50 WHEN 4 THEN 600 WHEN 5 THEN 250 WHEN 6 THEN 401 WHEN 7 THEN 300 ELSE 450 END"
+_SHAPES = f"SELECT *, {_WIDTH} AS w, {_HEIGHT} AS h FROM orders"
 _BUCKET = "CASE WHEN o_orderkey % 4 <> 0 THEN 'Unknown' ELSE CASE o_custkey % 9 WHEN 0 THEN 'Medium Rectangle' WHEN 1 THEN 'Leaderboard' WHEN 2 THEN 'Wide Skyscraper' WHEN 3 THEN 'Mobile Banner' WHEN 4 THEN 'Half Page' WHEN 5 THEN 'Billboard' WHEN 6 THEN 'Vertical' WHEN 7 THEN 'Banner' ELSE 'Square/Rectangle' END END"
 
 
 def _shapes(spark, sf):
-    load(spark, sf, "orders").createOrReplaceTempView("adsignal_orders")
-    return spark.sql(_SHAPES.replace("FROM orders", "FROM adsignal_orders")).withColumn("html", F.expr(HTML))
+    return load(spark, sf, "orders").selectExpr("*", f"{_WIDTH} AS w", f"{_HEIGHT} AS h").withColumn("html", F.expr(HTML))
 
 
 @register(f"""WITH o AS ({_SHAPES}) SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'https://i.example/' || o_orderkey || '.png' WHEN 1 THEN '//v.example/' || o_orderkey WHEN 2 THEN 'no tag' ELSE '' END AS source, {_BUCKET} AS bucket,
