@@ -14,8 +14,10 @@
    frequent or three hot ones must be in one group.  g follows from the smaller document's size as a power of two, so
    both documents of a pair take the same; a document between two powers is indexed under either.  Keys are the rare
    shingles and the combinations that different components hold.  A document adds to each key how many shingles it can
-   share at most if that key is the first one shared; pairs that this rules out aren't made.  All other pairs are
-   verified, so no link between two components is lost; pairs inside a component are never made.
+   share at most if that key is the first one shared; pairs of components for which this rules a link out aren't made.
+   Of any other two the smaller one's documents visit the larger one: tasks hold blocks of both, count shared shingles by
+   an index of the block, and return one link of a visitor at most.  So no link between two components is lost, and
+   pairs of documents are never listed.
 
 The frequent class is broadcast, at most ``most_frequent`` shingles: where there are more, its least count is doubled
 until it fits, which costs work and no result.  A key of very many documents is salted; its parts meet in step 4.
@@ -41,6 +43,7 @@ from .shingles import lots, mixed, release, sets
 
 SALTED = 20_000  # documents of a key that one task looks at
 STAR = 2_000  # documents that one task compares with one partner
+GUESTS = 500  # documents that one task holds as visitors
 GROUPED = 8  # a group for so many of the first p shingles
 REPEATED_BITS = 27  # 16 MB; with more repeated shingles than bits it tells fewer of the unique ones, at a cost in work alone
 
@@ -200,22 +203,6 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= 1_000_000 else rows
 
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column(2), batch.column(3)
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                ok[i] = similar(np.frombuffer(one[i].as_buffer(), "uint64"), np.frombuffer(two[i].as_buffer(), "uint64"), percent)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
-
-    left = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
-
-
 def stars(docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs of ``first`` (a, b), one for each a, that are similar enough: (a, b).
 
@@ -249,16 +236,87 @@ def stars(docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def cross_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of documents of different components that share a key; keys: doc_id, n, component, key, left.
+    """Distinct pairs of components (a, b) that share a key by which documents of theirs may be linked.
 
-    ``left``: how many shingles the document can share at most, if the key is the first thing that it shares.  A pair
-    that is similar enough passes at its first key.
+    keys: n, component, key, left.  ``left``: how many shingles the document can share at most, if the key is the first
+    thing that it shares.  A pair that is similar enough passes at its first key.
     """
-    several = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    keys = keys.join(several, "key")
-    one, two = (keys.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("left").alias(f"l_{x}")) for x in "ab")
+    held = keys.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"))
+    one, two = (held.select("key", F.col("component").alias(x), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"l_{x}")) for x in "ab")
     enough = F.expr(f"least(l_a, l_b) * {100 + percent} >= {percent} * (n_a + n_b)")
-    return one.join(two, (one["key"] == two["key"]) & (F.col("c_a") < F.col("c_b")) & enough).select("a", "b").distinct()
+    return one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+
+
+def visits(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between documents of the paired components, one of each visitor and block at most.
+
+    pairs: components a, b.  members: doc_id, component.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"))
+    both = pairs.join(sizes.select(F.col("component").alias("a"), F.col("m").alias("m_a")), "a").join(sizes.select(F.col("component").alias("b"), F.col("m").alias("m_b")), "b")
+    larger = F.col("m_a") >= F.col("m_b")
+    turned = stored(both.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("guest")), "turned")
+    guests = stored(turned.join(members.withColumnRenamed("component", "guest"), "guest").select("home", "doc_id"), "guests")
+    homes = guests.groupBy("home").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("guest_blocks")).join(sizes.select(F.col("component").alias("home"), F.ceil(F.col("m") / STAR).cast("int").alias("home_blocks")), "home")
+    homes = stored(homes, "homes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    came = guests.join(homes, "home").select("home", every("home_blocks").alias("i"), own("guest_blocks").alias("j"), "doc_id", F.lit(True).alias("is_guest"))
+    stay = members.join(homes, members["component"] == homes["home"]).select("home", own("home_blocks").alias("i"), every("guest_blocks").alias("j"), "doc_id", F.lit(False).alias("is_guest"))
+    rows = stored(came.unionByName(stay), "visits")
+    n = rows.count()
+    held = full_sets(docs.join(_sent(rows.select("doc_id").distinct(), n), "doc_id", "left_semi"), k)
+    dealt = held.join(_sent(rows, n), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        visitors: list[tuple[int, np.ndarray]] = []
+        here: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def meet() -> Iterator[pa.RecordBatch]:
+            """Compare all visitors with the documents gathered; who is linked visits no more here."""
+            if here and visitors:
+                tokens = np.concatenate([x for _, x in here])
+                lengths = np.array([len(x) for _, x in here])
+                order = np.argsort(tokens)
+                tokens, owner = tokens[order], np.repeat(np.arange(len(here)), lengths)[order]
+                found, rest = [], []
+                for name, x in visitors:
+                    low, high = np.searchsorted(tokens, x, side="left"), np.searchsorted(tokens, x, side="right")
+                    times = high - low
+                    spots = np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+                    shared = np.bincount(owner[spots], minlength=len(here))
+                    linked = np.flatnonzero(100 * shared >= percent * (len(x) + lengths - shared))
+                    if len(linked):
+                        found.append((name, here[int(linked[0])][0]))
+                    else:
+                        rest.append((name, x))
+                visitors[:] = rest
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            here.clear()
+
+        for batch in batches:
+            for home, i, j, name, is_guest, own_set in zip(*(batch.column(c).to_pylist() for c in ("home", "i", "j", "doc_id", "is_guest")), batch.column("shingles"), strict=True):
+                if at != (home, i, j):
+                    yield from meet()
+                    at, size = (home, i, j), 0
+                    visitors.clear()
+                x = np.frombuffer(own_set.as_buffer(), "uint64").copy()
+                if is_guest:
+                    visitors.append((name, x))
+                else:
+                    here.append((name, x))
+                    size += len(x)
+                    if size > 500_000:
+                        yield from meet()
+                        size = 0
+        yield from meet()
+        release()
+
+    parts = partitions(docs.sparkSession, n, 20_000)
+    return dealt.repartition(parts, "home", "i", "j").sortWithinPartitions("home", "i", "j", F.desc("is_guest")).mapInArrow(run, "a long, b long")
 
 
 def combinations(held: DataFrame, percent: int) -> DataFrame:
@@ -324,9 +382,8 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     placed = stored(placed.join(open_, "key"), "open")
     single = placed.filter("k = 1").select("doc_id", "n", "component", "key", "left")
     pairs = stored(cross_pairs(single.unionByName(combinations(placed.filter("k > 1"), percent)), percent), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held_sets = stored(full_sets(found.join(_sent(needed, 2 * pairs.count()), "doc_id", "left_semi"), k), "sets")
-    more = stored(verified(pairs, held_sets, percent), "links")
+    members = placed.select("doc_id", "component").distinct()
+    more = stored(visits(found, pairs, members, k, percent), "links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
     ends = classes.select("doc_id", "rep").distinct().join(final, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("found"))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(ends.groupBy("doc_id").agg(F.min("found").alias("found")), "doc_id", "left")
