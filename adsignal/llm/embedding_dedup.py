@@ -193,9 +193,11 @@ LOT = 50_000  # rows that a task looks at together
 
 def linked(listed: DataFrame, cosine: float, block: int = 512) -> DataFrame:
     """(a, b, n): for b null a part of a's number of links, else a link of a spanning forest."""
+    counts = listed.select(F.explode("filters").alias("filter")).groupBy("filter").count()
+    large = stored(counts.filter(F.col("count") > block).select("filter", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
+    large = F.broadcast(large) if large.count() <= 1_000_000 else large  # 12 MB; beyond that a shuffled join
     dealt = listed.select("vec_id", "copies", "x", "filters", F.explode("filters").alias("filter"))
-    held = listed.select(F.explode("filters").alias("filter")).groupBy("filter").count().filter("count > 1")
-    dealt = dealt.join(held.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "filter")
+    dealt = dealt.join(large, "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("vec_id", "copies", "x", "filters", "filter", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
