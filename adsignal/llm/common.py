@@ -50,3 +50,16 @@ def fold(key: str, modulus: int) -> Column:
 def partitions(spark: SparkSession, rows: int, per_task: int) -> int:
     """How many partitions hold so many rows: at least two for each core there is."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
+def met(left: DataFrame, right: DataFrame, on: list[str], row: str, how: str = "inner", bound: int = 1_000_000, salts: int = 16) -> DataFrame:
+    """Equi-join with a right side of one row a key: sent to all tasks up to a counted bound of rows, else shuffled.
+
+    In a shuffle the left rows of one key are dealt over so many salts by a hash of their row number, and each right
+    row goes to all salts, so that no task gets all rows of a frequent key.
+    """
+    if right.count() <= bound:
+        return left.join(F.broadcast(right), on, how)
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    copies = right.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return dealt.join(copies, [*on, "salt"], how).drop("salt")

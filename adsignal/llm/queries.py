@@ -17,6 +17,7 @@ from . import (
     suffix_tree,
     tool_calls,
     urls,
+    winnow,
 )
 from .common import fold, load
 
@@ -70,6 +71,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_tool_call_linking": op1_tool_call_linking,
     "op2_quality_compression": op2_quality_compression,
@@ -81,6 +87,7 @@ QUERIES = {
     "op8_one_bit_codes": op8_one_bit_codes,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_information_pii": op10_information_pii,
+    "op11_winnowing": op11_winnowing,
 }
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6, "op11_winnowing": sql.OP11}

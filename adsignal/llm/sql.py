@@ -54,3 +54,24 @@ links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT r.a AS doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN sizes s ON s.doc_id = r.a GROUP BY r.a
 """
+
+OP11 = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s FROM item_words WHERE len(w) > 0
+), doc_windows AS (
+  SELECT row, l.n, unnest(range(1, len(w) - l.n + 2)) AS i, unnest(list_transform(range(1, len(w) - l.n + 2), lambda i: array_to_string(w[i:i + l.n - 1], ' '))) AS s
+  FROM doc_words, (SELECT DISTINCT n FROM item_windows) l WHERE len(w) >= l.n
+), hits AS (
+  SELECT d.row, d.n, d.i, t.item FROM doc_windows d JOIN item_windows t ON d.n = t.n AND d.s = t.s
+), places AS (
+  SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS p FROM hits) GROUP BY row
+), named AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(a.n_items, 0) AS n_items, sha256(coalesce(a.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN places p ON p.row = d.row LEFT JOIN named a ON a.row = d.row
+"""
