@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     ann,
     bpe,
+    conversation_repair,
     embedding_dedup,
     jaccard_join,
     packing,
@@ -76,6 +77,11 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op13_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(load(spark, sf_dir, "conversations"))
+    return conversation_repair.summarised(conversation_repair.repaired(rows))
+
+
 QUERIES = {
     "op1_tool_call_linking": op1_tool_call_linking,
     "op2_quality_compression": op2_quality_compression,
@@ -88,6 +94,7 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_information_pii": op10_information_pii,
     "op11_winnowing": op11_winnowing,
+    "op13_viterbi_repair": op13_viterbi_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6, "op11_winnowing": sql.OP11}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6, "op11_winnowing": sql.OP11, "op13_viterbi_repair": sql.OP13}

@@ -75,3 +75,59 @@ WITH doc_words AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(a.n_items, 0) AS n_items, sha256(coalesce(a.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN places p ON p.row = d.row LEFT JOIN named a ON a.row = d.row
 """
+
+
+def _dearer(x: str, cost: str, letter: str) -> str:
+    """A state's text (six digits of cost, then edits) with one more edit; null stays null."""
+    return f"(printf('%06d', CAST(left({x}, 6) AS INTEGER) + {cost}) || substr({x}, 7) || '{letter}')"
+
+
+OP13 = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 20 AS kind
+  FROM named, crc_table
+), damage AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM kinds JOIN (VALUES (0), (1)) copies(copy) ON copy = 0 OR kind = 3 WHERE kind <> 0
+), ids AS (
+  SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+), faults AS (
+  SELECT c, d.*, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM damage d JOIN ids ON ids.conv_id IS NOT DISTINCT FROM d.conv_id
+), turns AS (
+  SELECT *, left(role, 1) AS r, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, fault = 'duplicate') AS i FROM faults
+), health AS (
+  SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) AS n FROM turns GROUP BY c
+), pairs AS (
+  SELECT c, count(*) FILTER (NOT (r || after IN ('su', 'ua', 'au'))) AS illegal FROM (SELECT c, r, lead(r) OVER (PARTITION BY c ORDER BY i) AS after FROM turns) WHERE after IS NOT NULL GROUP BY c
+), steps AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, CAST('000000' AS VARCHAR) AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM ids
+  UNION ALL
+  SELECT c, i, {_dearer("e", "3", "D")},
+    least({_dearer("s", "3", "D")}, CASE WHEN NOT must AND r = 's' THEN {_dearer("e", "late", "K")} END),
+    least({_dearer("u1", "3", "D")}, CASE WHEN NOT must AND r = 'u' THEN {_dearer("least(e, s, a1)", "late", "K")} END, CASE WHEN NOT must THEN {_dearer("least(e, s, a1)", "late + 2", "R")} END),
+    least({_dearer("a1", "3", "D")}, CASE WHEN NOT must AND r = 'a' THEN {_dearer("u1", "late", "K")} END, CASE WHEN NOT must THEN {_dearer("u1", "late + 2", "R")} END)
+  FROM (SELECT *, least(a, {_dearer("u1", "2", "I")}) AS a1 FROM (
+    SELECT v.c, t.i, t.r, t.must, t.late, v.e, v.s, v.a, least(v.u, {_dearer("v.e", "2", "I")}, {_dearer("v.s", "2", "I")}, {_dearer("v.a", "2", "I")}) AS u1 FROM steps v JOIN turns t ON t.c = v.c AND t.i = v.i + 1))
+), chosen AS (
+  SELECT v.c, least(e, a, {_dearer("u", "2", "I")}, {_dearer(_dearer("s", "2", "I"), "2", "I")}) AS best FROM steps v LEFT JOIN health h ON h.c = v.c WHERE v.i = coalesce(h.n, 0)
+), letters AS (
+  SELECT c, p, substr(best, 6 + p, 1) AS x, count(*) FILTER (substr(best, 6 + p, 1) <> 'I') OVER w AS i, count(*) FILTER (substr(best, 6 + p, 1) <> 'D') OVER w AS place
+  FROM (SELECT c, best, unnest(range(1, length(best) - 5)) AS p FROM chosen) WINDOW w AS (PARTITION BY c ORDER BY p)
+), systems AS (
+  SELECT DISTINCT l.c FROM letters l JOIN turns t ON t.c = l.c AND t.i = l.i WHERE l.x = 'K' AND l.place = 1 AND t.r = 's'
+), mended AS (
+  SELECT l.c, sha256(string_agg(CASE WHEN x = 'K' THEN t.role WHEN (place - CASE WHEN y.c IS NULL THEN 0 ELSE 1 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY p)) AS digest
+  FROM letters l LEFT JOIN turns t ON t.c = l.c AND t.i = l.i LEFT JOIN systems y ON y.c = l.c WHERE x <> 'D' GROUP BY l.c
+)
+SELECT ids.conv_id, coalesce(h.gaps, 0) AS gaps, coalesce(h.blank, 0) AS blank, coalesce(h.duplicate, 0) AS duplicate, coalesce(h.truncated, 0) AS truncated, coalesce(p.illegal, 0) AS illegal,
+  CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit, coalesce(m.digest, sha256('')) AS repaired_sha256
+FROM ids JOIN chosen USING (c) LEFT JOIN health h USING (c) LEFT JOIN pairs p USING (c) LEFT JOIN mended m USING (c)
+"""
