@@ -9,6 +9,7 @@ from . import (
     ann,
     bpe,
     conversation_repair,
+    cover_lloyd,
     embedding_dedup,
     jaccard_join,
     packing,
@@ -20,7 +21,7 @@ from . import (
     urls,
     winnow,
 )
-from .common import fold, load
+from .common import fold, load, met, stored
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -77,6 +78,18 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op12_cover_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cover_lloyd.Quantiser(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    code = F.lower(F.array_join(F.transform("code", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    # Equal labels, nulls together, by their text and whether they are missing.
+    label = F.col("others.label")
+    rows = found.encode().select(F.col("key").alias("vec_id"), code.alias("code"), "error", F.isnull(label).alias("none"), F.coalesce(label.cast("string"), F.lit("")).alias("label"))
+    rows = stored(rows, "codes")
+    sums = stored(rows.groupBy("none", "label").agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error")), "label-errors")
+    out = met(rows, sums, ["none", "label"], "vec_id")
+    return out.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(found.text()), 256).alias("codebooks_sha256"))
+
+
 def op13_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(load(spark, sf_dir, "conversations"))
     return conversation_repair.summarised(conversation_repair.repaired(rows))
@@ -94,7 +107,8 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_information_pii": op10_information_pii,
     "op11_winnowing": op11_winnowing,
+    "op12_cover_lloyd": op12_cover_lloyd,
     "op13_viterbi_repair": op13_viterbi_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6, "op11_winnowing": sql.OP11, "op13_viterbi_repair": sql.OP13}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": sql.OP1, "op5_spherical_caps": sql.OP5, "op6_token_combinations": sql.OP6, "op11_winnowing": sql.OP11, "op12_cover_lloyd": sql.OP12, "op13_viterbi_repair": sql.OP13}

@@ -131,3 +131,33 @@ SELECT ids.conv_id, coalesce(h.gaps, 0) AS gaps, coalesce(h.blank, 0) AS blank,
   CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit, coalesce(m.digest, sha256('')) AS repaired_sha256
 FROM ids JOIN chosen USING (c) LEFT JOIN health h USING (c) LEFT JOIN pairs p USING (c) LEFT JOIN mended m USING (c)
 """
+
+
+def _lloyd(n: int) -> str:
+    """One round: the parts' nearest entries in the codebooks before it, and the codebooks after it."""
+    return f"""
+a{n} AS (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, p, e, list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS d FROM parts JOIN b{n} USING (p)) GROUP BY r, p
+), m{n} AS (
+  SELECT p, e, list(m ORDER BY i) AS y FROM (SELECT p, e, i, floor(sum(v) / count(*)) AS m FROM (SELECT p, e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM parts JOIN a{n} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e
+), b{n + 1} AS (
+  SELECT b{n}.p, b{n}.e, coalesce(m{n}.y, b{n}.y) AS y FROM b{n} LEFT JOIN m{n} ON m{n}.p = b{n}.p AND m{n}.e = b{n}.e
+)"""
+
+
+# Whole numbers as doubles: exact up to 2^53.  All vectors of a table have one length, a multiple of four.
+OP12 = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+), parts AS (
+  SELECT r, p, v[len(v) // 4 * p + 1:len(v) // 4 * (p + 1)] AS x FROM kept, range(4) t(p)
+), b0 AS (
+  SELECT p, r - 1 AS e, x AS y FROM parts WHERE r <= 256
+), {", ".join(_lloyd(n) for n in range(5))}, coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(y, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY p, e)) AS digest FROM b4
+)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, books.digest AS codebooks_sha256 FROM kept k JOIN coded c USING (r), books
+"""
