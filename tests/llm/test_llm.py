@@ -542,7 +542,7 @@ def test_sql_of_the_operators(spark):
 
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         cursor = con.execute(sql)
