@@ -111,6 +111,7 @@ def text_parts(spark, sf):
     )
 
 
+#: The sections that replies are asked for, by number.
 SECTIONS = ["visible_text", "product_service", "brand", "offers", "visual_elements"]
 REPLY = "concat('1. ALL visible text:', chr(10), ad_text, chr(10), 'The ad shows food', chr(10), chr(10), '2. Product or service being advertised: food', chr(10), '3. **Brand:** Acme', chr(10), 'More details: none', chr(10), '7. Other: x')"
 
