@@ -6,7 +6,6 @@ overlapping terms all count, each once.  Ties go to the lexicon's order.
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similar import similar
 from ..functions.sizes import sent_if_small
 from ..functions.text import placed, product_name, slug_title, trimmed_name
 from . import knowledge
@@ -277,7 +277,7 @@ def brand_scan(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_tex
     catalog: canonical_name, alias, entity_type, priority.  An alias is found as whole words (.92, or .87 if it is not the
     brand's own name), else between signs that are no letters or digits (.85), else by a run of as many words whose
     similarity ratio is at least ``least`` (.75 and a quarter of what is over).  Aliases and texts meet on equal runs of
-    words, never all with all; ratios are computed for distinct runs and aliases of like length alone.
+    words, and likely ones through an index of their segments, never all with all.
     """
     words = _tokens(F.col("alias"))
     known = catalog.filter(~F.col("entity_type").isin(*ignored)).select("canonical_name", "alias", "entity_type", "priority", F.array_join(words, " ").alias("run"), F.size(words).alias("size")).filter("size > 0").distinct()
@@ -295,10 +295,9 @@ def brand_scan(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_tex
     sure = boosted(base, F.regexp_instr("t", pattern) - 1, F.length("t"), F.regexp_count("t", pattern))
     direct = met.select(key, "canonical_name", "alias", F.when(exact, "catalog").otherwise("catalog_substring").alias("source"), sure.alias("confidence"), "entity_type", "priority")
 
-    distinct_runs = runs.select("run").distinct().withColumn("size", F.size(F.split("run", " "))).withColumn("n", F.length("run"))
-    low, high = F.ceil(F.length("run") * least / (2 - least)).cast("int"), F.floor(F.length("run") * (2 - least) / least).cast("int")
-    banded = known.select("alias", "run", "size", F.explode(F.sequence(low, high)).alias("n")).withColumnRenamed("run", "wanted")
-    scored = distinct_runs.join(sent_if_small(banded), ["size", "n"]).select("run", "alias", "wanted").mapInPandas(_ratios(least), "run string, alias string, ratio double")
+    size = lambda run: F.size(F.split(run, " "))
+    likely = similar(runs.select(F.col("run").alias("text"), size("run").alias("kind")), known.select(F.col("run").alias("name"), F.col("size").alias("kind")), least)
+    scored = likely.select(F.col("text").alias("run"), F.col("name").alias("wanted"), "ratio").join(sent_if_small(known.select("alias", F.col("run").alias("wanted")).distinct()), "wanted").select("run", "alias", "ratio")
     near = runs.join(scored, "run").join(small.drop("run", "size"), "alias").join(direct.select(key, "alias").distinct(), [key, "alias"], "left_anti")
     at = F.regexp_instr(F.lower("t"), F.concat(F.lit(r"(?U)\b\Q"), F.col("run"), F.lit(r"\E\b"))) - 1
     first = near.groupBy(key, "canonical_name", "alias", "entity_type", "priority").agg(F.min(F.struct(F.greatest(at, F.lit(0)).alias("at"), "run", "ratio", F.length("t").alias("length"))).alias("x"))
@@ -307,20 +306,6 @@ def brand_scan(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_tex
     return best.select(key, "brand", "x.alias", "x.source", "x.confidence", "x.entity_type", "x.priority")
 
 
-def _ratios(least: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for found, alias, wanted in zip(batch["run"], batch["alias"], batch["wanted"], strict=True):
-                if found != wanted:
-                    match = difflib.SequenceMatcher(None, wanted, found)
-                    if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
-                        out.append((found, alias, r))
-            yield pd.DataFrame(out, columns=["run", "alias", "ratio"])
-
-    return run
-
-
 #: Examples, to be replaced by a market's own lists: words at which a name in a sentence ends, and words of no name.
 NAME_ENDS = ["and", "at", "for", "in", "is", "now", "on", "online", "the", "to", "today", "with", "your"]
 NO_NAMES = ["meal", "meals", "deal", "deals", "offer", "offers", "shop", "sale", "new", "free", "delivery"]
@@ -330,19 +315,39 @@ ARABIC = r"[\u0600-\u06FF]{3,}(?:\s+[\u0600-\u06FF]{3,})*"
 SLUG = r"https?://[^/\s]+/[A-Za-z-]+/([a-z0-9-]+)"
 
 
-def unknown_brands(text: Column, known: Column | None = None, catalog: list[str] | None = None, platforms: list[str] | None = None, stop: list[str] = NAME_ENDS, generic: list[str] = NO_NAMES) -> Column:
+def _possible_names(text: Column, hints: Column) -> Column:
+    """All names and words of a text, in lower case, that a rule may look up in the catalog."""
+    said = F.transform(placed(text, SAID, 1), lambda m: trimmed_name(F.regexp_replace(m["value"], r"[.,;!?-]+$", ""), [*NAME_ENDS, *NO_NAMES]))
+    slugs = F.transform(placed(text, SLUG, 1), lambda m: slug_title(m["value"]))
+    phrases = F.transform(placed(text, TITLE), lambda m: m["value"])
+    whole = F.concat(said, slugs, phrases, F.transform(placed(text, ARABIC), lambda m: F.trim(m["value"])), F.coalesce(hints, F.array().cast("array<string>")))
+    words = F.flatten(F.transform(phrases, lambda p: F.split(p, r"\s+")))
+    return F.array_distinct(F.transform(F.filter(F.concat(whole, words), lambda n: n.isNotNull()), lambda n: F.lower(n)))
+
+
+def _listed(rows: DataFrame, catalog: DataFrame, key: str, text: str) -> DataFrame:
+    """rows with ``listed`` and ``platforms``: which of the names that a row may hold are the catalog's, and platforms'."""
+    names = catalog.select(F.explode(F.array(F.lower("canonical_name"), F.lower("alias"))).alias("name"), F.when(F.col("entity_type") == "platform", F.lower("canonical_name")).alias("platform"))
+    names = names.groupBy("name").agg(F.coalesce(F.bool_or(F.col("platform") == F.col("name")), F.lit(False)).alias("is_platform"))
+    asked = rows.select(key, F.explode(_possible_names(F.coalesce(text, F.lit("")), F.col("hinted_brands"))).alias("name"))
+    found = asked.join(names, "name").groupBy(key).agg(F.collect_set("name").alias("listed"), F.collect_set(F.when(F.col("is_platform"), F.col("name"))).alias("platforms"))
+    none = F.array().cast("array<string>")
+    return rows.join(found, key, "left").withColumn("listed", F.coalesce("listed", none)).withColumn("platforms", F.coalesce("platforms", none))
+
+
+def unknown_brands(text: Column, known: Column | None = None, catalog: list[str] | Column | None = None, platforms: list[str] | Column | None = None, stop: list[str] = NAME_ENDS, generic: list[str] = NO_NAMES) -> Column:
     """array<struct(name, confidence, source)> of names that no catalog has found, each once, in the order of the rules:
     'order from X' (.90), the slug of a marketplace link (.72), phrases of capitals (.68), Arabic phrases (.70).
 
-    ``known`` are names found before.  Single words count only where the catalog has them; phrases with general words,
+    ``known`` are names found before; ``catalog`` and ``platforms`` are lists, or columns of lower-case names.  Single words count only where the catalog has them; phrases with general words,
     platforms and names of two letters don't count.
     """
     kind = "array<struct<name:string,confidence:double,source:string>>"
     text = F.coalesce(text, F.lit(""))
-    names, other = [c.lower() for c in catalog or []], [p.lower() for p in platforms or []]
-    within = lambda word, words: F.array_contains(F.array(*map(F.lit, words)).cast("array<string>"), F.lower(word))
+    names, other = _column(catalog), _column(platforms)
+    within = lambda word, words: F.array_contains(words if isinstance(words, Column) else _column(words), F.lower(word))
     several = lambda name: (F.size(F.split(name, r"\s+")) > 1) | within(name, names)
-    plain = lambda name: ~F.exists(F.split(F.lower(name), r"\s+"), lambda w: within(w, [*generic, *other]))
+    plain = lambda name: ~F.exists(F.split(F.lower(name), r"\s+"), lambda w: within(w, generic) | within(w, other))
 
     def form(pattern: str, group: int, base: float, source: str, name: Callable[[Column], Column], keep: Callable[[Column], Column]) -> Column:
         found = F.transform(placed(text, pattern, group), lambda m: F.struct(name(m["value"]).alias("name"), boosted(F.lit(base), m["start"], F.length(text), F.lit(1)).alias("confidence"), F.lit(source).alias("source")))
@@ -362,7 +367,12 @@ def unknown_brands(text: Column, known: Column | None = None, catalog: list[str]
     return F.aggregate(F.concat(said, slug, phrase, arabic), start, add, lambda state: state["rows"])
 
 
-def with_hints(matches: Column, hints: Column, catalog: list[str] | None = None) -> Column:
+def _column(names: list[str] | Column | None) -> Column:
+    """Lower-case names as one array."""
+    return names if isinstance(names, Column) else F.array(*[F.lit(n.lower()) for n in names or []]).cast("array<string>")
+
+
+def with_hints(matches: Column, hints: Column, catalog: list[str] | Column | None = None) -> Column:
     """struct(matches, inferred, conflict): hinted brands rise by .12; without one, the first hint is added (.82 if the
     catalog has it, else .75).  conflict: another brand is as sure as .8.  matches: array<struct(name, confidence, ...)>.
     """
@@ -373,7 +383,7 @@ def with_hints(matches: Column, hints: Column, catalog: list[str] | None = None)
     missing = (F.size(hints) > 0) & ~F.exists(matches, hinted)
     others = F.exists(matches, lambda m: ~hinted(m) & (m["confidence"] >= 0.8))
     first = F.try_element_at(hints, F.lit(1))
-    listed = F.array_contains(F.array(*[F.lit(c.lower()) for c in catalog or []]).cast("array<string>"), F.lower(first))
+    listed = F.array_contains(_column(catalog), F.lower(first))
     added = F.array(F.struct(first.alias("name"), F.when(listed, 0.82).otherwise(0.75).alias("confidence"), F.lit(True).alias("hinted"))).cast(kind)
     return F.struct(F.when(missing, F.concat(raised, added)).otherwise(raised).alias("matches"), missing.alias("inferred"), ((F.size(hints) > 0) & others).alias("conflict"))
 
@@ -401,27 +411,28 @@ def brands_of(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text
         asked = resolve(ads.join(found.select(key).distinct(), key, "left_anti").select(key, text))
         found = found.unionByName(asked.join(stored, F.col("brand") == F.col("canonical_name"), "left").select(key, F.struct(F.col("brand").alias("name"), "confidence", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"), F.coalesce("priority", F.lit(-1)).alias("priority")).alias("m")))
     listed = found.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("m"))
-    listed_names = catalog.select("canonical_name", "alias", "entity_type").distinct().limit(MOST_NAMES + 1).collect()
-    if len(listed_names) > MOST_NAMES:
-        raise ValueError(f"the catalog's names are written into the plan, so it may have {MOST_NAMES} aliases at most")
-    platforms = sorted({r["canonical_name"] for r in listed_names if r["entity_type"] == "platform"})
-    names = sorted({n for r in listed_names for n in (r["canonical_name"], r["alias"])})
     rows = ads.join(listed, key, "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<name:string,confidence:double,entity_type:string,priority:int>>")))
-    others = F.transform(unknown_brands(F.col(text), F.transform("m", lambda m: m["name"]), names, platforms), lambda m: F.struct(m["name"].alias("name"), m["confidence"].alias("confidence"), F.lit("unknown").alias("entity_type"), F.lit(-1).alias("priority")))
-    rows = rows.withColumn("m", F.concat("m", others))
     if hints is not None:
         rows = rows.join(sent_if_small(hints.select("advertiser_id", F.col("brands").alias("hinted_brands"))), "advertiser_id", "left")
     else:
         rows = rows.withColumn("hinted_brands", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("h", with_hints(F.col("m"), F.col("hinted_brands"), names))
+    few = catalog.select("canonical_name", "alias", "entity_type").distinct().limit(MOST_NAMES + 1).collect()
+    if len(few) <= MOST_NAMES:  # written into the plan; a larger catalog is joined with the names that texts hold
+        names = [n for r in few for n in (r["canonical_name"], r["alias"])]
+        rows = rows.withColumn("listed", _column(sorted(set(names)))).withColumn("platforms", _column(sorted({r["canonical_name"] for r in few if r["entity_type"] == "platform"})))
+    else:
+        rows = _listed(rows, catalog, key, text)
+    others = F.transform(unknown_brands(F.col(text), F.transform("m", lambda m: m["name"]), F.col("listed"), F.col("platforms")), lambda m: F.struct(m["name"].alias("name"), m["confidence"].alias("confidence"), F.lit("unknown").alias("entity_type"), F.lit(-1).alias("priority")))
+    rows = rows.withColumn("m", F.concat("m", others)).withColumn("h", with_hints(F.col("m"), F.col("hinted_brands"), F.col("listed")))
     full = F.transform("h.matches", lambda m: F.struct(m["name"].alias("name"), m["confidence"].alias("confidence"), m["hinted"].alias("hinted"), F.coalesce(F.try_element_at(F.transform(F.filter("m", lambda x: x["name"] == m["name"]), lambda x: x["priority"]), F.lit(1)), F.lit(1)).alias("priority")))
     rows = rows.withColumn("full", full).withColumn("brand", F.try_element_at(ranked(F.col("full")), F.lit(1)))
     first = lambda array, field: F.try_element_at(F.transform(F.filter(array, lambda x: x["name"] == F.col("brand")), lambda x: x[field]), F.lit(1))
     rows = rows.withColumn("brand_confidence", first("full", "confidence")).withColumn("brand_type", first("m", "entity_type"))
-    return rows.withColumn("brand_inferred", F.col("h.inferred")).withColumn("brand_conflict", F.col("h.conflict")).drop("m", "h", "full", "hinted_brands")
+    return rows.withColumn("brand_inferred", F.col("h.inferred")).withColumn("brand_conflict", F.col("h.conflict")).drop("m", "h", "full", "hinted_brands", "listed", "platforms")
 
 
-MOST_NAMES = 5000
+#: Names that are written into a plan; what they give is the same as by a join.
+MOST_NAMES = 500
 NO_CATALOG = "canonical_name string, alias string, entity_type string, priority int"
 NO_SUBSCRIPTIONS = "advertiser_id string, name string, keywords array<string>, platform_terms array<string>, enabled boolean"
 NO_KNOWLEDGE = "product_name string, product_type string, confidence double"

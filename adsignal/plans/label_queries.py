@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import lexicon, similar
 from ..operators import insights, labels
 from .registry import register
-from .views import texts
+from .views import load, texts
 
 
 def _by_kind(cases: dict[int, str], other: str) -> str:
@@ -163,3 +164,35 @@ def custom_analyser(spark, sf):
 def offers_in_documents(spark, sf):
     found = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.size(F.filter(labels.offers(F.col("text")), lambda o: o["type"] == "percentage_discount")).cast("long").alias("percents"))
     return found
+
+
+_WORDS = """WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), w AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS term FROM benchmark), k AS (SELECT DISTINCT term FROM w WHERE length(term) > 3),
+h AS (SELECT doc_id, term, (length(t) - length(replace(t, term, ''))) // length(term) AS n, instr(t, term) - 1 AS first_at FROM d JOIN k ON contains(t, term))"""
+
+
+def _benchmark_words(spark, sf):
+    rows = load(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
+    return rows.filter(F.length("term") > 3)
+
+
+@register(_WORDS + " SELECT doc_id, term, n, first_at FROM h", with_ads=False)
+def lexicon_hits(spark, sf):
+    """Every word of the benchmark in every document: a thousand terms and more, one pass."""
+    return lexicon.term_hits(load(spark, sf, "documents").select("doc_id", "text"), "text", _benchmark_words(spark, sf))
+
+
+@register(_WORDS + """, s AS (SELECT doc_id, item_id, count(*) AS hits, CAST(sum(length(w.term)) AS DOUBLE) AS score FROM h JOIN w USING (term) GROUP BY ALL)
+SELECT doc_id, arg_min(item_id, (-score, item_id)) AS name, arg_min(hits, (-score, item_id)) AS hits, max(score) AS score FROM s WHERE score >= 100 GROUP BY 1""", with_ads=False)
+def lexicon_labels(spark, sf):
+    """The item whose words a document holds most of, by letters: labels from a table of terms with weights."""
+    entries = _benchmark_words(spark, sf).select(F.col("item_id").alias("name"), "term", F.length("term").alias("weight"))
+    return lexicon.best_names(load(spark, sf, "documents"), ["doc_id"], "text", entries, least=100.0)
+
+
+@register("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT DISTINCT substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2 - p_partkey % 2) || CASE p_partkey % 3 WHEN 0 THEN 'e' ELSE '' END AS text FROM part)
+SELECT text, name, levenshtein(text, name) AS distance FROM t JOIN n ON text <> name AND abs(length(text) - length(name)) <= 2 AND levenshtein(text, name) <= 2""", with_ads=False)
+def names_within_edits(spark, sf):
+    """Altered product names against all names, at most two edits apart."""
+    part = load(spark, sf, "part")
+    altered = part.selectExpr("concat(substr(p_name, 1, p_partkey % length(p_name)), substr(p_name, cast(p_partkey % length(p_name) + 2 - p_partkey % 2 AS int)), CASE p_partkey % 3 WHEN 0 THEN 'e' ELSE '' END) AS text", "0 AS kind")
+    return similar.within_edits(altered, part.selectExpr("p_name AS name", "0 AS kind"), 2).withColumn("distance", F.col("distance").cast("long"))
