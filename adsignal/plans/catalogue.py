@@ -542,4 +542,4 @@ def stream_coordinated(spark, sf):
 
 
 # The other queries register themselves.
-from . import label_queries, more_queries, row_queries, source_queries  # noqa: E402, F401
+from . import label_queries, more_queries, row_queries, source_queries, stream_queries  # noqa: E402, F401

@@ -7,10 +7,12 @@ query over what there is and returns its rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.distinct import SIZE
 from ..sources.scratch import scratch
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -54,6 +56,13 @@ def coordinated(events: DataFrame, who: str, least: int = 3, late: str = "1 day"
     return days.select(F.col("window.start").alias("day"), "who", "n").filter(F.col("who") >= least)
 
 
+def coordinated_at_size(events: DataFrame, who: str, least: int = 3, late: str = "1 day", size: int = SIZE) -> DataFrame:
+    """``coordinated`` with a sketch of fixed size as the state of a day, in place of the set of all: ``who`` is an estimate
+    (``distinct.error``), and ``sketch`` goes into the store of daily sketches."""
+    days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.hll_sketch_agg(who, F.lit(size)).alias("sketch"), F.count("*").alias("n"))
+    return days.select(F.col("window.start").alias("day"), F.hll_sketch_estimate("sketch").alias("who"), "n", "sketch").filter(F.col("who") >= least)
+
+
 def state(events: DataFrame, key: str) -> DataFrame:
     """First and last time of each key, for update mode."""
     return events.groupBy(key).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
@@ -88,6 +97,24 @@ def drained(query: DataFrame, name: str, mode: str = "append", folder: str | Non
     return spark.read.schema(query.schema).option("recursiveFileLookup", True).parquet(f"{place}/out")
 
 
+def in_runs(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a query gives over several runs, each of which begins where the one before has stopped: new files come between
+    them, one part at a time.  ``make`` gets the stream of all parts' rows."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    place = scratch(spark, "runs")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/{number}")
+
+    kinds = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{place}/in")
+        query = make(events_stream(spark, f"{place}/in", "*.parquet", schema))
+        kinds = query.schema
+        query.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(f"{place}/out")
+
+
 def days_with_late_events(events: DataFrame, late: Column, lateness: str) -> DataFrame:
     """Counts a day where some events come after all others: two runs of one query, on what is there and on what came."""
     spark = events.sparkSession
