@@ -14,10 +14,12 @@
    frequent or three hot ones must be in one group.  g follows from the smaller document's size as a power of two, so
    both documents of a pair take the same; a document between two powers is indexed under either.  Keys are the rare
    shingles and the combinations that different components hold.  A document adds to each key how many shingles it can
-   share at most if that key is the first one shared; pairs of components for which this rules a link out aren't made.
-   Of any other two the smaller one's documents visit the larger one: tasks hold blocks of both, count shared shingles by
-   an index of the block, and return one link of a visitor at most.  So no link between two components is lost, and
-   pairs of documents are never listed.
+   share at most if that key is the first one shared, at most all that some other document has too; so who has no
+   possible partner at a key is dropped from it, and pairs of components for which this rules a link out aren't made.
+   Of the other pairs at keys of few components the smaller one's documents visit the larger one: tasks hold blocks of
+   both, count shared shingles by an index of the block, and return one link of a visitor at most.  The documents of
+   keys that more components hold are dealt into blocks, and each two blocks meet in a task, which returns a forest of
+   links: neither pairs of components nor of documents are made there, though the comparing is that of all blocks.
 
 The frequent class is broadcast, at most ``most_frequent`` shingles: where there are more, its least count is doubled
 until it fits, which costs work and no result.  A key of very many documents is salted; its parts meet in step 4.
@@ -44,6 +46,7 @@ from .shingles import lots, mixed, release, sets
 SALTED = 20_000  # documents of a key that one task looks at
 STAR = 2_000  # documents that one task compares with one partner
 GUESTS = 500  # documents that one task holds as visitors
+FEW = 64  # components of a key whose pairs are made
 GROUPED = 8  # a group for so many of the first p shingles
 REPEATED_BITS = 27  # 16 MB; with more repeated shingles than bits it tells fewer of the unique ones, at a cost in work alone
 
@@ -131,7 +134,7 @@ def frequent_class(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     return rows["token"].to_numpy(), rows["n"].to_numpy()
 
 
-SIGNED = "doc_id long, n long, h long, g long, n_hot long, keys array<struct<key:bigint,k:int,left:bigint>>"
+SIGNED = "doc_id long, n long, h long, g long, n_hot long, cap long, keys array<struct<key:bigint,k:int,left:bigint>>"
 
 
 def _needed(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -145,8 +148,9 @@ def _dealt(levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int, percent: int, bits: int, hot: int, frequent) -> DataFrame:
-    """Per document: size and two sums of its set, its number of hot shingles, and those that may be keys: rare ones of
-    the first p (k 1), frequent (k 2) and hot ones (k 3) of the first p + e.  ``left``: how many come from it on.
+    """Per document: size and two sums of its set, its number of hot shingles, how many shingles another document may have
+    too (``cap``), and those that may be keys: rare ones of the first p (k 1), frequent (k 2) and hot ones (k 3) of the
+    first p + e.  ``left``: how many come from it on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +171,7 @@ def signed(docs: DataFrame, k: int, percent: int, bits: int, hot: int, frequent)
                 value_, count_ = value[order], count[order]
                 rank = np.arange(len(value)) - np.repeat(at[:-1], sizes)
                 n_hot = np.bincount(owner[count_ >= hot], minlength=len(sizes))
+                cap = sizes - np.bincount(owner[count_ < 0], minlength=len(sizes))
                 p = sizes - _needed(sizes, percent) + 1
                 groups = _dealt(np.log2(np.maximum(sizes, 1)).astype("int64"), percent)
                 far = p + groups + np.minimum(2 * groups, n_hot)
@@ -175,7 +180,7 @@ def signed(docs: DataFrame, k: int, percent: int, bits: int, hot: int, frequent)
                 keys = pa.StructArray.from_arrays([pa.array(value_[held].view("int64")), pa.array(kind.astype("int32")), pa.array((sizes[owner] - rank)[held])], names=["key", "k", "left"])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[held], minlength=len(sizes)))]), pa.int32()), keys)
                 sums = [np.add.reduceat(np.append(x, np.uint64(0)), at[:-1]) * (sizes > 0).astype("uint64") if len(sizes) else np.empty(0, "uint64") for x in (value, mixed(value + np.uint64(7)))]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s.view("int64")) for s in sums), pa.array(n_hot.astype("int64")), lists], names=["doc_id", "n", "h", "g", "n_hot", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(s.view("int64")) for s in sums), pa.array(n_hot.astype("int64")), pa.array(cap.astype("int64")), lists], names=["doc_id", "n", "h", "g", "n_hot", "cap", "keys"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -235,18 +240,100 @@ def stars(docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub")).mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of components (a, b) that share a key by which documents of theirs may be linked.
+def may_link(keys: DataFrame, percent: int) -> DataFrame:
+    """keys (doc_id, n, component, key, left) by (key, component), without those that no other of their key can link with:
+    key, component, n, left, components (how many the key has), same (a sum by which equal sets of components are told).
 
-    keys: n, component, key, left.  ``left``: how many shingles the document can share at most, if the key is the first
-    thing that it shares.  A pair that is similar enough passes at its first key.
+    ``left``: how many shingles the document can share at most, if the key is the first thing that it shares.  So its
+    partner has at most (100 + percent) / percent * left - n shingles, and has to allow for as many as it has itself.
     """
-    held = keys.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"))
-    one, two = (held.select("key", F.col("component").alias(x), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"l_{x}")) for x in "ab")
+    held = keys.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("left").alias("left")).withColumn("most", F.expr(f"({100 + percent} * left - {percent} * n) DIV {percent}"))
+    bounds = held.groupBy("key").agg(F.min("n").alias("least_n"), F.max("most").alias("largest"))
+    kept = held.join(bounds, "key").filter("least_n <= most AND n <= largest").drop("least_n", "largest", "most")
+    sums = kept.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("same"))
+    return kept.join(sums.filter("components > 1"), "key")
+
+
+def cross_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of components (a, b) that share a key of few components by which documents of theirs may be linked.
+
+    held: ``may_link``.  A pair that is similar enough passes at its first key.
+    """
+    few = held.filter(F.col("components") <= FEW)
+    one, two = (few.select("key", F.col("component").alias(x), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"l_{x}")) for x in "ab")
     enough = F.expr(f"least(l_a, l_b) * {100 + percent} >= {percent} * (n_a + n_b)")
     return one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
 
 
+def crowds(docs: DataFrame, held: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between documents of keys that more components hold: a forest of them for any two blocks.
+
+    Keys of the same components are one crowd.  Its documents are dealt into blocks, and each two blocks meet in a task,
+    where components that were found to be linked are one from then on: no pairs of components are made.
+    """
+    many = held.filter(F.col("components") > FEW)
+    crowd_of = many.select("key", "components", "same").distinct().join(many.groupBy("components", "same").agg(F.min("key").alias("crowd")), ["components", "same"]).select("key", "crowd")
+    rows = keys.select("key", "doc_id", "component").join(many.select("key", "component"), ["key", "component"], "left_semi").join(crowd_of, "key").select("crowd", "doc_id", "component").distinct()
+    rows = stored(rows, "crowds")
+    sizes = rows.groupBy("crowd").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    met = rows.join(sizes, "crowd").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = stored(met.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", (F.col("own") <= F.col("other")).alias("is_guest"), (F.col("own") >= F.col("other")).alias("is_host")), "meetings")
+    n = met.count()
+    sets_ = full_sets(docs.join(_sent(met.select("doc_id").distinct(), n), "doc_id", "left_semi"), k)
+    dealt = sets_.join(_sent(met, n), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        guests: list[tuple[int, int, np.ndarray]] = []
+        hosts: list[tuple[int, int, np.ndarray]] = []
+
+        def meet() -> Iterator[pa.RecordBatch]:
+            root: dict[int, int] = {}
+
+            def of(c: int) -> int:
+                while root.setdefault(c, c) != c:
+                    c = root[c] = root[root[c]]
+                return c
+
+            found = []
+            if guests and hosts:
+                lengths = np.array([len(x) for _, _, x in hosts])
+                tokens = np.concatenate([x for _, _, x in hosts])
+                order = np.argsort(tokens)
+                tokens, owner = tokens[order], np.repeat(np.arange(len(hosts)), lengths)[order]
+                for name, component, x in guests:
+                    low, high = np.searchsorted(tokens, x, side="left"), np.searchsorted(tokens, x, side="right")
+                    times = high - low
+                    spots = np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+                    shared = np.bincount(owner[spots], minlength=len(hosts))
+                    for h in np.flatnonzero(100 * shared >= percent * (len(x) + lengths - shared)).tolist():
+                        if of(component) != of(hosts[h][1]):
+                            root[of(component)] = of(hosts[h][1])
+                            found.append((name, hosts[h][0]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            guests.clear()
+            hosts.clear()
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("crowd", "i", "j", "doc_id", "component", "is_guest", "is_host")]
+            for crowd, i, j, name, component, is_guest, is_host, own_set in zip(*columns, batch.column("shingles"), strict=True):
+                if at != (crowd, i, j):
+                    yield from meet()
+                    at = (crowd, i, j)
+                x = np.frombuffer(own_set.as_buffer(), "uint64").copy()
+                if is_guest:
+                    guests.append((name, component, x))
+                if is_host:
+                    hosts.append((name, component, x))
+        yield from meet()
+        release()
+
+    parts = partitions(docs.sparkSession, n, 20_000)
+    return dealt.repartition(parts, "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def visits(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between documents of the paired components, one of each visitor and block at most.
 
@@ -322,7 +409,7 @@ def visits(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int, percen
 def combinations(held: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, component, key, left) for the combinations of two frequent or three hot shingles of one group.
 
-    held: doc_id, n, component, n_hot, key, k, left.
+    held: doc_id, n, component, n_hot, cap, key, k, left.
     """
     needed = F.ceil(F.col("n") * percent / 100)
     levels = F.sequence(F.floor(F.log2(needed)), F.floor(F.log2("n")))
@@ -330,7 +417,7 @@ def combinations(held: DataFrame, percent: int) -> DataFrame:
     dealt = held.withColumn("level", F.explode(levels)).withColumn("groups", groups)
     dealt = dealt.withColumn("more", F.col("groups") + F.least(2 * F.col("groups"), F.col("n_hot")))
     dealt = dealt.filter(F.col("n") - F.col("left") < F.col("n") - needed + 1 + F.col("more"))
-    lists = dealt.groupBy("doc_id", "n", "component", "level", "more", "k", F.pmod(F.xxhash64("key"), "groups").alias("group"))
+    lists = dealt.groupBy("doc_id", "n", "component", "cap", "level", "more", "k", F.pmod(F.xxhash64("key"), "groups").alias("group"))
     # In the order of all documents: what comes later leaves less to share.
     lists = lists.agg(F.sort_array(F.collect_set(F.struct("left", "key")), asc=False).alias("keys")).filter(F.size("keys") >= F.col("k"))
 
@@ -338,7 +425,7 @@ def combinations(held: DataFrame, percent: int) -> DataFrame:
         return F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y, j: make(y, i + 1 + j))
 
     def key(last: Column, *others: Column) -> Column:
-        return F.struct(F.xxhash64("level", *[x["key"] for x in others], last["key"]).alias("key"), (last["left"] + F.col("more")).alias("left"))
+        return F.struct(F.xxhash64("level", *[x["key"] for x in others], last["key"]).alias("key"), F.least(last["left"] + F.col("more"), F.col("cap")).alias("left"))
 
     two = F.flatten(F.transform("keys", lambda x, i: after(i, lambda y, _: key(y, x))))
     three = F.flatten(F.flatten(F.transform("keys", lambda x, i: after(i, lambda y, j: after(j, lambda z, _: key(z, x, y))))))
@@ -362,13 +449,13 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     whole = some.groupBy("n", "h", "g").agg(F.min("doc_id").alias("rep"))
     classes = stored(some.select("doc_id", "n", "h", "g").join(whole, ["n", "h", "g"]).select("doc_id", "rep", "n"), "classes")
     own = classes.filter("doc_id = rep").select("doc_id").distinct()
-    reps = some.filter("size(keys) > 0").select("doc_id", "n", "n_hot", "keys").join(_sent(own, classes.count()), "doc_id", "left_semi")
-    postings = reps.select("doc_id", "n", "n_hot", F.explode("keys").alias("x")).select("doc_id", "n", "n_hot", "x.*")
+    reps = some.filter("size(keys) > 0").select("doc_id", "n", "n_hot", "cap", "keys").join(_sent(own, classes.count()), "doc_id", "left_semi")
+    postings = reps.select("doc_id", "n", "n_hot", "cap", F.explode("keys").alias("x")).select("doc_id", "n", "n_hot", "cap", "x.*")
     many = known.filter(F.col("n") > SALTED).select("token", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
     postings = postings.withColumn("token", F.shiftrightunsigned("key", 32 - bits)).join(F.broadcast(many) if many.count() < 100_000 else many, "token", "left").drop("token")
     place = Window.partitionBy("key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0)))
     postings = postings.withColumn("leader", F.min("doc_id").over(place)).withColumn("docs", F.count("*").over(place)).filter("docs > 1 OR salts > 1")
-    postings = stored(postings.select("doc_id", "n", "n_hot", "key", "k", "left", "leader"), "postings")
+    postings = stored(postings.select("doc_id", "n", "n_hot", "cap", "key", "k", "left", "leader"), "postings")
 
     named = postings.filter("leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
     best = named.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
@@ -380,10 +467,14 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     placed = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     placed = stored(placed.join(open_, "key"), "open")
-    single = placed.filter("k = 1").select("doc_id", "n", "component", "key", "left")
-    pairs = stored(cross_pairs(single.unionByName(combinations(placed.filter("k > 1"), percent)), percent), "pairs")
+    single = placed.filter("k = 1").select("doc_id", "n", "component", "key", F.least("left", "cap").alias("left"))
+    keys = stored(single.unionByName(combinations(placed.filter("k > 1"), percent)), "keys")
+    linkable = stored(may_link(keys, percent), "linkable")
+    pairs = stored(cross_pairs(linkable, percent), "pairs")
     members = placed.select("doc_id", "component").distinct()
     more = stored(visits(found, pairs, members, k, percent), "links")
+    if linkable.filter(F.col("components") > FEW).head(1):
+        more = more.unionByName(stored(crowds(found, linkable, keys, k, percent), "links"))
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
     ends = classes.select("doc_id", "rep").distinct().join(final, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("found"))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(ends.groupBy("doc_id").agg(F.min("found").alias("found")), "doc_id", "left")

@@ -263,6 +263,23 @@ def test_jaccard_join_of_overlapping_boilerplate(spark, length, hot):
     assert got == components_of(dict(rows), 4, 85)
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_jaccard_join_of_a_shared_template(spark, monkeypatch, few):
+    """Many documents of one template that just miss the threshold, some of which have partners of their own."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "GUESTS", 50)
+    common = " ".join(f"c{i}" for i in range(270))
+    rows = [(d, f"{common} " + " ".join(f"o{d}x{i}" for i in range(24))) for d in range(200)]
+    rows += [(1000 + d, f"{common} " + " ".join(f"p{d // 2}x{i}" for i in range(23)) + f" last{d % 2}") for d in range(160)]
+    rows += [(2000 + d, f"{common} " + " ".join(f"q{d}x{i}" for i in range(20 + d % 6))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, 4, 85).collect()}
+    assert got == components_of(dict(rows), 4, 85)
+    alone = spark.createDataFrame(rows[:360], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(alone, 4, 85).collect()}
+    assert got == components_of(dict(rows[:360]), 4, 85) and len({c for _, c in got.values()}) == 280
+
+
 def test_jaccard_join_of_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (3, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")
     got = sorted(map(tuple, jaccard_join.similar_documents(df).collect()), key=repr)
