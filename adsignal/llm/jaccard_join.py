@@ -47,6 +47,7 @@ SALTED = 20_000  # documents of a key that one task looks at
 STAR = 2_000  # documents that one task compares with one partner
 GUESTS = 500  # documents that one task holds as visitors
 FEW = 64  # components of a key whose pairs are made
+BLOCK = 250_000  # shingles of a crowd's documents that meet those of another block in a task
 GROUPED = 8  # a group for so many of the first p shingles
 REPEATED_BITS = 27  # 16 MB; with more repeated shingles than bits it tells fewer of the unique ones, at a cost in work alone
 
@@ -273,9 +274,9 @@ def crowds(docs: DataFrame, held: DataFrame, keys: DataFrame, k: int, percent: i
     """
     many = held.filter(F.col("components") > FEW)
     crowd_of = many.select("key", "components", "same").distinct().join(many.groupBy("components", "same").agg(F.min("key").alias("crowd")), ["components", "same"]).select("key", "crowd")
-    rows = keys.select("key", "doc_id", "component").join(many.select("key", "component"), ["key", "component"], "left_semi").join(crowd_of, "key").select("crowd", "doc_id", "component").distinct()
+    rows = keys.select("key", "doc_id", "component", "n").join(many.select("key", "component"), ["key", "component"], "left_semi").join(crowd_of, "key").select("crowd", "doc_id", "component", "n").distinct()
     rows = stored(rows, "crowds")
-    sizes = rows.groupBy("crowd").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("blocks"))
+    sizes = rows.groupBy("crowd").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     met = rows.join(sizes, "crowd").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = stored(met.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", (F.col("own") <= F.col("other")).alias("is_guest"), (F.col("own") >= F.col("other")).alias("is_host")), "meetings")
@@ -311,6 +312,7 @@ def crowds(docs: DataFrame, held: DataFrame, keys: DataFrame, k: int, percent: i
                         if of(component) != of(hosts[h][1]):
                             root[of(component)] = of(hosts[h][1])
                             found.append((name, hosts[h][0]))
+                del tokens, owner, order
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
             guests.clear()

@@ -267,7 +267,7 @@ def test_jaccard_join_of_overlapping_boilerplate(spark, length, hot):
 def test_jaccard_join_of_a_shared_template(spark, monkeypatch, few):
     """Many documents of one template that just miss the threshold, some of which have partners of their own."""
     monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(jaccard_join, "GUESTS", 50)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 15_000)
     common = " ".join(f"c{i}" for i in range(270))
     rows = [(d, f"{common} " + " ".join(f"o{d}x{i}" for i in range(24))) for d in range(200)]
     rows += [(1000 + d, f"{common} " + " ".join(f"p{d // 2}x{i}" for i in range(23)) + f" last{d % 2}") for d in range(160)]
