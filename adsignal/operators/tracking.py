@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contains import containing
+from ..functions.sizes import sent_if_small
 
 KEY = ["advertiser_id", "ad_text", "image_url"]
 
@@ -41,16 +42,18 @@ def retired_ads(existing: DataFrame, scraped: DataFrame, key: list[str] = KEY, o
     return keyed(existing.filter("is_active"), key).join(covered, owner, "left_semi").join(keyed(scraped, key).select(*key), key, "left_anti")
 
 
-def upsert(existing: DataFrame, scraped: DataFrame, now: str, key: list[str] = KEY, retire: bool = True) -> DataFrame:
+def upsert(existing: DataFrame, scraped: DataFrame, now: str, key: list[str] = KEY, retire: bool = True, whole_keys: bool = False) -> DataFrame:
     """One full outer join gives updates, inserts and retirements; ``change`` names what happened to each row, and
     ``was_active`` says what it was before.
 
     Snapshot rows without an advertiser are skipped; equal snapshot rows are one.  Advertisers that the snapshot lacks
-    are left alone.
+    are left alone.  ``whole_keys``: the store has no null in its key, which is then used as it is; a store in buckets of
+    the key is merged without an exchange of its own.
     """
     snapshot = keyed(scraped.filter(F.col("advertiser_id").isNotNull()), key).select(*key, F.lit(True).alias("in_snapshot")).distinct()
-    covered = snapshot.select("advertiser_id").distinct().withColumn("covered", F.lit(True))
-    both = keyed(existing, key).withColumn("in_store", F.lit(True)).join(snapshot, key, "full_outer").join(covered, "advertiser_id", "left")
+    covered = sent_if_small(snapshot.select("advertiser_id").distinct().withColumn("covered", F.lit(True)))
+    held = existing if whole_keys else keyed(existing, key)
+    both = held.withColumn("in_store", F.lit(True)).join(snapshot, key, "full_outer").join(covered, "advertiser_id", "left")
     at, there, stored = F.lit(now).cast("timestamp_ntz"), F.coalesce("in_snapshot", F.lit(False)), F.coalesce("in_store", F.lit(False))
     gone = stored & ~there & F.coalesce("covered", F.lit(False)) & F.col("is_active") & F.lit(retire)
     change = F.when(there & stored, "updated").when(there, "new").when(gone, "retired").otherwise("kept")

@@ -115,13 +115,31 @@ _RUN = """WITH old AS (SELECT DISTINCT source AS advertiser_id, text AS ad_text,
 f AS (SELECT s.* FROM scraped s WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.advertiser_id = s.advertiser_id AND o.ad_text = s.ad_text AND o.image_url = s.image_url))"""
 
 
-@register(_RUN + " SELECT advertiser_id, md5(ad_text) AS h, CASE WHEN contains(lower(ad_text), 'new') AND (contains(lower(ad_text), 'product') OR contains(lower(ad_text), 'item') OR contains(lower(ad_text), 'menu')) THEN 'new_product' WHEN contains(lower(ad_text), 'special offer') OR contains(lower(ad_text), 'deal') THEN 'special_offer' ELSE 'none' END AS offer_type FROM f WHERE NOT regexp_matches(lower(ad_text), '% *off|% *discount|free *delivery|bogo|b[0-9]+g[0-9]+|first *order|new *customer|launch')", with_ads=False)
+#: What offers are called, once more, as patterns over lower-case text: nothing of a text goes before these words.
+_AMOUNT, _OFF, _MONEY = "[0-9]+[ \\t\\n]*", "(off|discount|خصم)", "(qar|aed|sar|[$]|ريال)[ \\t\\n]*"
+_OFFER_TYPES = {
+    "percentage_discount": f"{_AMOUNT}%[ \\t\\n]*{_OFF}|((^|[^a-z])save|خصم|تخفيض)[ \\t\\n]*{_AMOUNT}%",
+    "fixed_discount": f"(^|[^a-z]){_MONEY}{_AMOUNT}{_OFF}|((^|[^a-z])save|خصم|تخفيض)[ \\t\\n]*{_AMOUNT}{_MONEY}",
+    "free_delivery": "(^|[^a-z])(free[ \\t\\n]*delivery|no[ \\t\\n]*delivery[ \\t\\n]*fee|delivery[ \\t\\n]*on[ \\t\\n]*us)|توصيل[ \\t\\n]*مجاني",
+    "bogo": "(^|[^a-z])(buy[ \\t\\n]*([0-9]+|one)[ \\t\\n]*get[ \\t\\n]*([0-9]+|one)|b([0-9]+|one)g([0-9]+|one)|bogo)",
+    "first_order": "(^|[^a-z])(first[ \\t\\n]*order|new[ \\t\\n]*customer|welcome[ \\t\\n]*offer)|عملاء[ \\t\\n]*جدد",
+    "new_product": "(new|launch|جديد).*(product|item|menu|منتج)|(product|item|menu|منتج).*(new|launch|جديد)",
+    "special_offer": "special offer|deal|عرض",
+}
+_OFFER_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower(ad_text), '(?s){p}') THEN '{n}'" for n, p in _OFFER_TYPES.items()) + " ELSE 'none' END"
+
+
+@register(_RUN + f" SELECT advertiser_id, md5(ad_text) AS h, {_OFFER_TYPE} AS offer_type FROM f", with_ads=False)
 def incremental_labels(spark, sf):
-    """What a run labels: new ads alone (those without wording that the SQL leaves out)."""
+    """What a run labels: new ads alone."""
     old, scraped = _snapshots(spark, sf)
     _, found, _ = tracking.incremental_run(scraped, old, _short_labels, "2024-02-01")
-    hard = scraped.filter(F.lower("ad_text").rlike("% *off|% *discount|free *delivery|bogo|b[0-9]+g[0-9]+|first *order|new *customer|launch")).select(F.md5("ad_text").alias("h")).distinct()
-    return found.join(hard, "h", "left_anti").select("advertiser_id", "h", "offer_type")
+    return found.select("advertiser_id", "h", "offer_type")
+
+
+@register(f"SELECT doc_id, {_OFFER_TYPE} AS offer_type FROM (SELECT doc_id, coalesce(text, '') AS ad_text FROM documents)", with_ads=False)
+def offer_types_of_documents(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", labels.offers(F.col("text"))[0]["type"].alias("offer_type"))
 
 
 @register(_RUN + " SELECT advertiser_id, count(*) AS ads_new, CASE WHEN advertiser_id IN (SELECT advertiser_id FROM old) THEN 'update' ELSE 'first' END AS kind FROM f GROUP BY 1", with_ads=False)

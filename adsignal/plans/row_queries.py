@@ -153,9 +153,9 @@ def filled_creatives(spark, sf):
     return readers.not_empty(rows).select("o_orderkey")
 
 
-@register("SELECT page_id, 'https://www.youtube.com/watch?v=' AS start, length(url) AS n FROM pages WHERE contains(lower(url), 'th')", with_ads=False)
+@register("SELECT page_id, length(url) AS n FROM pages WHERE contains(lower(url), 'th')", with_ads=False)
 def named_pages(spark, sf):
-    return insights.named_like(load(spark, sf, "pages"), "url", "TH").select("page_id", F.lit("https://www.youtube.com/watch?v=").alias("start"), F.length("url").cast("long").alias("n"))
+    return insights.named_like(load(spark, sf, "pages"), "url", "TH").select("page_id", F.length("url").cast("long").alias("n"))
 
 
 @register("SELECT p_partkey FROM part WHERE contains(p_type, 'ECON') OR contains(p_type, 'SMALL')", with_ads=False)
@@ -178,3 +178,11 @@ def enriched_advertiser(spark, sf):
     ads = orders.select(F.col("o_orderkey").alias("ad_id"), F.concat(F.lit("adv"), F.col("o_custkey") % 7).alias("advertiser_id"), F.lit(False).alias("is_active"))
     own = orders.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("ad_id"), (F.col("o_orderkey") % 9 == 0).alias("rejected_wrong_region"))
     return gallery.enriched(ads, own, advertiser="adv3", active_only=False).select("ad_id")
+
+
+@register("""SELECT page_id, CAST(x AS BIGINT) AS n, 'c' || (page_id % 3) AS name FROM pages, range(3) t(x) WHERE x <= page_id % 3""", with_ads=False)
+def json_arrays(spark, sf):
+    """Replies that hold a JSON array, in a fence with words around it: one row an element."""
+    item = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), lambda n: F.struct(n.alias("n"), F.concat(F.lit("c"), F.col("page_id") % 3).alias("name")))
+    rows = load(spark, sf, "pages").select("page_id", F.concat(F.lit("Here it is:\n```json\n"), F.to_json(item), F.lit("\n```\nDone.")).alias("reply"))
+    return rows.select("page_id", F.explode(tx.json_array_in_reply(F.col("reply"), "array<struct<n:long,name:string>>")).alias("x")).select("page_id", "x.n", "x.name")
