@@ -16,6 +16,7 @@ each; extra columns stay; a column that is named like an output is replaced.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -122,23 +123,28 @@ class Vocabulary:
         return ids, last
 
     def exact(self, word: str) -> list[int]:
-        if len(word) > 200:  # the loop above is quadratic: merge all places of the lowest rank at once
-            ids = self.start(word + END)
-            while True:
-                ranks = [self.ranks.get(p, (1 << 30, -1)) for p in zip(ids, ids[1:], strict=False)]
-                lowest = min(ranks, default=(1 << 30, -1))
-                if lowest[1] < 0:
-                    return ids
-                out, i = [], 0
-                while i < len(ids):
-                    if i + 1 < len(ids) and ranks[i] == lowest:
-                        out.append(lowest[1])
-                        i += 2
-                    else:
-                        out.append(ids[i])
-                        i += 1
-                ids = out
-        return self._merge(self.start(word + END))[0]
+        """Exact merging of a word; long ones by a heap of neighbours, in n log n steps, where ``_merge`` takes n * n."""
+        ids = self.start(word + END)
+        if len(ids) <= 200:
+            return self._merge(ids)[0]
+        get, n = self.ranks.get, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (found := get((a, b)))]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, a, b = heapq.heappop(waiting)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue  # one of the two has been merged meanwhile
+            ids[i], ids[j] = get((a, b))[1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                right = after[left] if left >= 0 else n
+                if right < n and (found := get((ids[left], ids[right]))):
+                    heapq.heappush(waiting, (found[0], left, ids[left], ids[right]))
+        return [i for i in ids if i >= 0]
 
     def speculate(self, word: str) -> list[int] | None:
         """Greedy longest match over tokens that stand for themselves; None where a letter is unknown."""

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -140,6 +141,19 @@ def test_bpe_and_byte_ids_on_random_letters():
         assert tokens.ids_of(text, byte_path).tolist() == byte.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_of_long_words_and_empty_tables(spark):
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(2), tokens.default_path("word_bpe_49k.json")
+    made, v = Tokenizer.from_file(path), bpe.vocabulary(path)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "eéaü", "aaab") for n in (201, 1999, 40_000)]
+    began = time.process_time()
+    for word in words:
+        assert v.exact(word if word.isascii() else "".join(v.letters[b] for b in word.encode())) == made.encode(word, add_special_tokens=False).ids
+    assert time.process_time() - began < 30
+    assert bpe.digests(bpe.decode(bpe.encode(empty(spark)))).count() == 0
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))
