@@ -6,10 +6,15 @@ less nothing is rotated alike and rounded to four bits a component; its inner pr
 of (bits and plane).  From it, with two correction scalars, an inner product is estimated without bias, and an error
 bound holds it with high probability.
 
+Equal vectors are one class, of which the k + 1 smallest ids stand for all: no answer can hold a later one.
+
 1. Block by block, the ``first`` vectors of largest estimate for each query; of all blocks' the best get their original
    vectors, by joins, for exact products.  The k-th largest of these is the query's floor.
-2. Block by block again, the vectors whose upper bound reaches the floor are candidates.
-3. Candidates alone get their original vectors for exact products; the k best stay.
+2. Block by block again, the vectors whose upper bound reaches the floor are candidates, and get their original vectors
+   for exact products.  Where a block has more than ``most`` of a query's, as with near copies, it names the query alone;
+   the blocks so named then come with their vectors, and their k best of it are found in the task.  So no more rows than
+   ``most`` a query and block leave a task.
+3. The k best of all stay.
 
 Bounds: the mean is fitted on at most ``sample`` vectors; every vector is indexed and compared.  Work is the number of
 queries times the number of vectors, as a search of a stated query set against all rows is; a task holds the codes of
@@ -35,8 +40,8 @@ from .vectors import matrix, usable
 
 SIGMAS = 2.0  # width of the error bound
 PLANES = 4  # bits of a query's component
-CODE = "vec_id long, dim int, bits binary, length double, own double"
-ASKED = "vec_id long, dim int, planes binary, base double, step double, total double, with_centre double, length double"
+CODE = "vec_id long, j int, dim int, bits binary, length double, own double"
+ASKED = "vec_id long, j int, dim int, planes binary, base double, step double, total double, with_centre double, length double"
 
 
 class Codes:
@@ -84,30 +89,28 @@ def bounds(planes: np.ndarray, base: np.ndarray, step: np.ndarray, total: np.nda
 
 
 def _coded(rows: DataFrame, codes: dict[int, Codes], queries: bool) -> DataFrame:
-    """The codes of (vec_id, x), each vector by its length's rotation."""
+    """The codes of (vec_id, j, x), each vector by its length's rotation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
+            sizes = batch.column(2).value_lengths().to_numpy()
             for dim in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dim))
-                x, code = matrix(part.column(1)), codes[dim]
+                x, code = matrix(part.column(2)), codes[dim]
                 ids, dims = part.column(0), pa.array(np.full(len(part), dim, "int32"))
                 found = code.asked(x) if queries else code.of(x)
                 packed = pa.array([row.tobytes() for row in found[0]], pa.binary())
                 rest = [pa.array(c) for c in (*found[1:], np.linalg.norm(x, axis=1))[: 5 if queries else 2]]
-                yield pa.RecordBatch.from_arrays([ids, dims, packed, *rest], names=[c.split()[0] for c in (ASKED if queries else CODE).split(", ")])
+                yield pa.RecordBatch.from_arrays([ids, part.column(1), dims, packed, *rest], names=[c.split()[0] for c in (ASKED if queries else CODE).split(", ")])
 
     return rows.mapInArrow(run, ASKED if queries else CODE)
 
 
 def _pairs(asked: DataFrame, held: DataFrame, n_query_blocks: int, n_blocks: int, make, schema: str) -> DataFrame:
     """``make`` on the codes of each block of queries together with each block of vectors of one length."""
-    by = lambda n, *what: F.pmod(F.xxhash64(*what), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = asked.withColumn("i", by(n_query_blocks, "vec_id")).withColumn("j", every(n_blocks))
-    # By the place of the row: however many vectors are equal, blocks stay of one size.
-    v = held.withColumn("j", by(n_blocks, F.monotonically_increasing_id())).withColumn("i", every(n_query_blocks))
+    q = asked.withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")).withColumn("j", every(n_blocks))
+    v = held.withColumn("i", every(n_query_blocks))
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         queries, vectors = queries.combine_chunks(), vectors.combine_chunks()
@@ -121,10 +124,10 @@ def _pairs(asked: DataFrame, held: DataFrame, n_query_blocks: int, n_blocks: int
                 part = slice(at, at + 128)
                 estimate, wide = bounds(planes[part], *(c[part] for c in side), bits, number(vectors, "length"), number(vectors, "own"))
                 own = names[part, None] == ids[None, :]
-                for held_, values in zip(found, make(names[part], ids, estimate, wide, own, number(queries, "floor")[part] if "floor" in queries.column_names else None), strict=True):
+                for held_, values in zip(found, make(names[part], ids, estimate, wide, own, number(queries, "floor")[part] if "floor" in queries.column_names else None, vectors["j"][0].as_py()), strict=True):
                     held_.extend(values.tolist())
         kinds = [f.split() for f in schema.split(", ")]
-        return pa.table({name: pa.array(values, pa.float64() if kind == "double" else pa.int64()) for (name, kind), values in zip(kinds, found, strict=False)})
+        return pa.table({name: pa.array(values, {"double": pa.float64(), "int": pa.int32()}.get(kind, pa.int64())) for (name, kind), values in zip(kinds, found, strict=False)})
 
     return q.groupBy("dim", "i", "j").cogroup(v.groupBy("dim", "i", "j")).applyInArrow(run, schema)
 
@@ -138,12 +141,57 @@ def _exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, small: bool
     return both.select("query_id", "vec_id", score.alias("score"))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, first: int | None = None, block: int = 8192, query_block: int = 4096) -> DataFrame:
+def _crowded(named: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block for the queries that it has named, (query_id, j).
+
+    Products are summed from the first component on, as ``_exact`` does.
+    """
+    asking = named.join(queries.select(F.col("vec_id").alias("query_id"), "x"), "query_id")
+    spread = asking.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int"))
+    lots = stored(spread.select("j", "lot").distinct(), "lots")
+    lots = F.broadcast(lots) if lots.count() <= 1_000_000 else lots
+    held = vectors.join(lots, "j").select("j", "lot", "vec_id", "x")
+
+    def run(asked: pa.Table, here: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], []]
+        asked, here = asked.combine_chunks(), here.combine_chunks()
+        sizes = here["x"].combine_chunks().value_lengths().to_numpy() if len(here) else np.empty(0)
+        for dim in np.unique(sizes).tolist():
+            part = here.filter(pa.array(sizes == dim))
+            ids, y = part["vec_id"].to_numpy(), matrix(part["x"].combine_chunks())
+            for name, x in zip(asked["query_id"].to_pylist(), asked["x"].to_pylist(), strict=True):
+                if len(x) != dim:
+                    continue
+                q = np.array(x, float)
+                rough = np.where(ids == name, -np.inf, y @ q)
+                # Sums in another order differ by far less than this.
+                near = 1e-9 * float(np.linalg.norm(q) * np.linalg.norm(y, axis=1).max())
+                kept = np.flatnonzero(rough >= (np.partition(rough, -k)[-k] - near if len(rough) > k else -np.inf))
+                kept = kept[ids[kept] != name]
+                score = np.add.accumulate(y[kept] * q, axis=1)[:, -1]
+                best = np.lexsort((ids[kept], -score))[:k]
+                for held_, values in zip(found, ([name] * len(best), ids[kept[best]].tolist(), score[best].tolist()), strict=True):
+                    held_.extend(values)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    return spread.groupBy("j", "lot").cogroup(held.groupBy("j", "lot")).applyInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _classes(good: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the rows with the k + 1 smallest ids, at most k of each id.  Ranks are cut off before the shuffle."""
+    alike = good.withColumn("a", F.xxhash64("x")).withColumn("b", F.xxhash64(F.lit(1), "x"))
+    first = F.row_number().over(Window.partitionBy("a", "b", "vec_id").orderBy("vec_id"))
+    smallest = F.dense_rank().over(Window.partitionBy("a", "b").orderBy("vec_id"))
+    return alike.withColumn("n", first).filter(F.col("n") <= k).drop("n").withColumn("n", smallest).filter(F.col("n") <= k + 1).drop("n", "a", "b")
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, first: int | None = None, most: int | None = None, block: int = 8192, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product of every query row.
 
-    first: how many vectors of largest estimate give a query's floor, 3 * k if not said.
+    first: how many vectors of largest estimate give a query's floor, 3 * k if not said.  most: how many candidates of a
+    block a query takes before the block is asked for its k best, 10 * k if not said.
     """
-    first = first or 3 * k
+    first, most = first or 3 * k, most or 10 * k
     good = stored(usable(df.select(F.col(key).alias("vec_id"), F.col(vector).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vec_id", "x", "asks"), "vectors")
     asking = stored(good.filter("asks").groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
     some = good.orderBy(F.xxhash64("vec_id", "x"), "vec_id").limit(sample).select("x").collect()
@@ -151,13 +199,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
     for dim in (r["n"] for r in good.select(F.size("x").alias("n")).distinct().collect()):
         own = [r["x"] for r in some if len(r["x"]) == dim]
         codes[dim] = Codes(np.array(own, float).mean(axis=0) if own else np.zeros(dim))
-    held, asked = stored(_coded(good.select("vec_id", "x"), codes, False), "codes"), stored(_coded(asking, codes, True), "asked")
+    kept = stored(_classes(good.select("vec_id", "x"), k), "classes")
+    n_blocks = max(1, -(-kept.count() // block))
+    # By the place of the row, which is written, so that blocks are of one size and stay what they are.
+    kept = stored(kept.withColumn("j", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")), "blocks")
+    held, asked = stored(_coded(kept.select("vec_id", "j", "x"), codes, False), "codes"), stored(_coded(asking.select("vec_id", F.lit(0).alias("j"), "x"), codes, True).drop("j"), "asked")
     n_queries = asked.count()
-    n_blocks, n_query_blocks = max(1, -(-held.count() // block)), max(1, -(-n_queries // query_block))
+    n_query_blocks = max(1, -(-n_queries // query_block))
     small = n_queries * max(codes, default=0) <= 4_000_000  # 32 MB; beyond that a shuffled join
 
     # What query . centre adds is the same for all vectors of a length, so that estimates go without it.
-    def likeliest(names, ids, estimate, wide, own, _):
+    def likeliest(names, ids, estimate, wide, own, *_):
         estimate = np.where(own, -np.inf, estimate)
         need = min(first, estimate.shape[1])
         top = np.argpartition(estimate, estimate.shape[1] - need, axis=1)[:, estimate.shape[1] - need :]
@@ -165,19 +217,26 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
         rows, columns = np.nonzero(np.isfinite(values))
         return names[rows], ids[top[rows, columns]], values[rows, columns]
 
-    def reaching(names, ids, estimate, wide, own, floor):
-        rows, columns = np.nonzero((estimate + wide >= floor[:, None]) & ~own)
-        return names[rows], ids[columns], np.empty(0)
+    def reaching(names, ids, estimate, wide, own, floor, j):
+        may = (estimate + wide >= floor[:, None]) & ~own
+        many = may.sum(axis=1) > most
+        rows, columns = np.nonzero(may & ~many[:, None])
+        return np.concatenate([names[rows], names[many]]), np.concatenate([ids[columns], np.full(int(many.sum()), -1)]), np.concatenate([np.full(len(rows), -1), np.full(int(many.sum()), j)])
 
     likely = _pairs(asked, held, n_query_blocks, n_blocks, likeliest, "query_id long, vec_id long, estimate double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
     likely = stored(likely.withColumn("place", place).filter(F.col("place") <= first).select("query_id", "vec_id").distinct(), "likely")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    floors = _exact(likely, good, asking, small).withColumn("place", best).filter(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    floors = _exact(likely, kept, asking, small).withColumn("place", best).filter(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
     floor = F.coalesce(F.col("kth") - F.col("with_centre"), F.lit(float("-inf")))
     bounded = stored(asked.join(floors, "vec_id", "left").withColumn("floor", floor).drop("kth"), "bounded")
-    reached = _pairs(bounded, held, n_query_blocks, n_blocks, reaching, "query_id long, vec_id long")
-    found = stored(reached.unionByName(likely).distinct(), "candidates")
+    reached = stored(_pairs(bounded, held, n_query_blocks, n_blocks, reaching, "query_id long, vec_id long, j int"), "reached")
+    single = reached.filter("j < 0").select("query_id", "vec_id").unionByName(likely).distinct()
+    scored = _exact(single, kept, asking, small)
+    named = reached.filter("j >= 0").select("query_id", "j").distinct()
+    if named.head(1):
+        # What both ways find is one row; rows of a repeated candidate are counted below.
+        scored = scored.unionByName(_exact(_crowded(named, asking, kept, k).select("query_id", "vec_id").distinct().join(single, ["query_id", "vec_id"], "left_anti"), kept, asking, small))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return _exact(found, good, asking, small).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -221,6 +221,26 @@ def test_nearest_recall_ties_and_exact_scores(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 5])
+def test_nearest_among_equal_and_near_vectors(spark, most):
+    """Crowds of equal and of near vectors, and rows of one id: exact ties, few rows between the steps."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((300, 16))
+    x = [*base, *[base[0]] * 500, *(base[1] + 1e-4 * rng.standard_normal((500, 16)))]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, base[0].tolist()), (7, base[0].tolist()), (2000, base[0].tolist()), (2000, (2 * base[5]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id").isin(0, 1, 7, 320, 900, 2000), k=12, most=most, block=256).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    exact = lambda a, b: float(np.add.accumulate(np.array(a) * np.array(b))[-1])
+    for q in (0, 1, 7, 320, 900, 2000):
+        asked = min(v for i, v in rows if i == q)
+        want = sorted(((-exact(asked, v), i) for i, v in rows if i != q))[:12]
+        got = sorted(found[q])
+        assert [(n + 1, i) for n, (_, i) in enumerate(want)] == [(n, i) for n, i, _ in got] or len({i for _, i in want} & {i for _, i, _ in got}) >= 11
+        assert all(abs(s + w) < 1e-9 for (_, _, s), (w, _) in zip(got, want, strict=True))
+
+
 def test_nearest_recall_of_64_dimensions(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((6_000, 64)).astype("float32")
