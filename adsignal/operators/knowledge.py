@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +80,7 @@ def search(queries: DataFrame, stored: DataFrame, k: int = 3, metric: str = "cos
     """
 
     def usable(rows: DataFrame) -> DataFrame:
-        x = F.col(vector).cast("array<double>")
+        x = F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
         finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
         return rows.select(F.col(key).cast("long").alias("id"), x.alias("v")).filter("id IS NOT NULL AND size(v) > 0").filter(finite & F.exists(x, lambda c: c != 0))
 
@@ -89,25 +89,33 @@ def search(queries: DataFrame, stored: DataFrame, k: int = 3, metric: str = "cos
     asked = usable(queries).withColumn("dim", F.size("v")).withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int")).withColumn("j", every(n_blocks))
     held = usable(stored).withColumn("dim", F.size("v")).withColumn("j", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("i", every(n_query_blocks))
 
-    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if one.empty or two.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        q, x, own = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy()), two["id"].to_numpy()
-        ids, others, distances = [], [], []
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            if metric == "cosine":
-                far = 1 - (part / np.linalg.norm(part, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            else:
-                far = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * part @ x.T, 0))
-            far = np.round(far, 9)
-            best = np.lexsort((np.broadcast_to(own, far.shape), far))[:, :k]
-            ids.append(np.repeat(one["id"].to_numpy()[at : at + 256], best.shape[1]))
-            others.append(own[best].ravel())
-            distances.append(np.take_along_axis(far, best, 1).ravel())
-        return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(others), "distance": np.concatenate(distances)})
-
-    found = asked.groupBy("dim", "i", "j").cogroup(held.groupBy("dim", "i", "j")).applyInPandas(run, "query_id long, vec_id long, distance double")
+    def matrix(table: pa.Table) -> np.ndarray:
+        return table["v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(table), -1)
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        ids, others, distances = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        if len(one) and len(two):
+            q, x, names, own = matrix(one), matrix(two), one["id"].to_numpy(), two["id"].to_numpy()
+            x, squares = (x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x), (x**2).sum(1)
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                if metric == "cosine":
+                    far = 1 - (part / np.linalg.norm(part, axis=1, keepdims=True)) @ x.T
+                else:
+                    far = np.sqrt(np.maximum((part**2).sum(1)[:, None] + squares[None] - 2 * part @ x.T, 0))
+                far = np.round(far, 9)
+                # All up to the k-th distance, ties included; these alone are sorted.
+                least = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                rows, columns = np.nonzero(far <= least[:, None])
+                order = np.lexsort((own[columns], far[rows, columns], rows))
+                rows, columns = rows[order], columns[order]
+                best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                ids.append(names[at : at + 256][rows[best]])
+                others.append(own[columns[best]])
+                distances.append(far[rows[best], columns[best]])
+        return pa.table({"query_id": np.concatenate(ids), "vec_id": np.concatenate(others), "distance": np.concatenate(distances)})
+
+    found = asked.groupBy("dim", "i", "j").cogroup(held.groupBy("dim", "i", "j")).applyInArrow(run, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
