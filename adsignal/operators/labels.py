@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import lexicon_scores
 from ..functions.similar import similar
 from ..functions.sizes import sent_if_small
 from ..functions.text import placed, product_name, slug_title, trimmed_name
@@ -160,19 +161,22 @@ def vertical(text: Column, rules: list[tuple[str, list[str]]] = VERTICALS, fallb
     return out
 
 
-def themes(text: Column, offer_type: Column, lexicon: dict[str, list[str]] = THEMES, priced: tuple[str, ...] = ("percentage_discount", "fixed_discount", "bogo")) -> Column:
-    """struct(scores map, primary, confidence): hits / 3 up to 1, price raised by an offer; confidence by the gap."""
-    text = F.coalesce(text, F.lit(""))
-    each = {n: F.least(F.lit(1.0), F.round(hit_count(text, t) / 3.0, 2) + (F.when(offer_type.isin(*priced), 0.3).otherwise(0.0) if n == "price" else F.lit(0.0))) for n, t in lexicon.items()}
+def themes(text: Column, offer_type: Column, lexicon: dict[str, list[str]] = THEMES, priced: tuple[str, ...] = ("percentage_discount", "fixed_discount", "bogo"), counts: dict[str, Column] | None = None) -> Column:
+    """struct(scores map, primary, confidence): hits / 3 up to 1, price raised by an offer; confidence by the gap.
+
+    ``counts`` are hits counted before, by ``counted``, for names of a table in place of the lexicon's.
+    """
+    counts = counts or {n: hit_count(F.coalesce(text, F.lit("")), t) for n, t in lexicon.items()}
+    each = {n: F.least(F.lit(1.0), F.round(count / 3.0, 2) + (F.when(offer_type.isin(*priced), 0.3).otherwise(0.0) if n == "price" else F.lit(0.0))) for n, count in counts.items()}
     best = _first_best(each)
-    ordered = F.sort_array(F.array(*each.values()), asc=False)
+    ordered = F.sort_array(F.array(*each.values(), F.lit(0.0)), asc=False)
     gap = ordered[0] - ordered[1]
     return F.struct(F.create_map(*[x for n, s in each.items() for x in (F.lit(n), s)]).alias("scores"), best["name"].alias("primary"), F.when(gap >= 0.5, 0.95).when(gap >= 0.2, 0.85).otherwise(0.70).alias("confidence"))
 
 
-def audience(text: Column, offer_type: Column, percent_off: Column, lexicon: dict[str, list[str]] = AUDIENCES) -> Column:
+def audience(text: Column, offer_type: Column, percent_off: Column, lexicon: dict[str, list[str]] = AUDIENCES, counts: dict[str, Column] | None = None) -> Column:
     """struct(segment, confidence): three points a keyword; else by offer; else the general audience."""
-    points = {n: 3 * hit_count(F.coalesce(text, F.lit("")), t) for n, t in lexicon.items()}
+    points = {n: 3 * count for n, count in (counts or {n: hit_count(F.coalesce(text, F.lit("")), t) for n, t in lexicon.items()}).items()}
     best = _first_best(points)
     segment = F.when(best["score"] >= 3, best["name"]).when(offer_type == "first_order", "New Customers").when(percent_off >= 40, "Budget-Conscious").otherwise("General Audience")
     sure = F.when(best["score"] >= 3, F.least(F.lit(0.95), 0.70 + best["score"] / 30)).when(offer_type == "first_order", 0.88).when(percent_off >= 40, 0.75).otherwise(0.60)
@@ -190,16 +194,16 @@ def subscription(ads: DataFrame, catalog: DataFrame, text: str = "ad_text") -> D
     return joined.withColumn("subscription_name", F.when(known & on & both, F.col("name"))).withColumn("subscription_confidence", sure).drop("name", "keywords", "platform_terms", "enabled")
 
 
-def food(text: Column, brand: Column, lexicon: dict[str, dict[str, float]] = FOODS, brands: dict[str, str] | None = None, least: float = 3.0) -> Column:
+def food(text: Column, brand: Column, lexicon: dict[str, dict[str, float]] = FOODS, brands: dict[str, str] | None = None, least: float = 3.0, scored: dict[str, Column] | None = None) -> Column:
     """struct(category, confidence, score): weighted hits, 10 for a known brand; close seconds make it mixed."""
     text = F.coalesce(text, F.lit(""))
     own = F.create_map(*[F.lit(x) for p in (brands or {"Chipotle": "Mexican"}).items() for x in p])[brand]
-    each = {}
-    for name, terms in lexicon.items():
+    each = {name: score + F.when(own == name, 10.0).otherwise(0.0) for name, score in (scored or {}).items()}
+    for name, terms in lexicon.items() if scored is None else ():
         weights = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
         score = F.aggregate(hits(text, list(terms)), F.lit(0.0), lambda total, t: total + weights[t])
         each[name] = score + F.when(own == name, 10.0).otherwise(0.0)
-    ordered = F.sort_array(F.array(*each.values()), asc=False)
+    ordered = F.sort_array(F.array(*each.values(), F.lit(0.0)), asc=False)
     best = _first_best(each)
     mixed = (ordered[1] >= least) & (ordered[1] / ordered[0] >= 0.7)
     category = F.when(best["score"] < least, None).when(mixed, "Mixed").otherwise(best["name"])
@@ -219,18 +223,43 @@ def food_first(text: Column, brand: Column, lexicon: dict[str, list[str]], brand
 FAMILIES = {"pharmacy": ["pharmacy", "medicine", "vitamin"], "beauty": ["makeup", "skincare", "perfume"], "flowers": ["flowers", "bouquet"], "entertainment": ["cinema", "tickets"], "sweets": ["chocolate", "cake"], "beverages": ["coffee", "juice"], "toys": ["toys", "games"], "pet": ["pet food", "dog food"]}
 
 
-def product_type(text: Column, brand_type: Column, subscription_sure: Column, families: dict[str, list[str]] = FAMILIES) -> Column:
+def product_type(text: Column, brand_type: Column, subscription_sure: Column, families: dict[str, list[str]] = FAMILIES, counts: dict[str, Column] | None = None) -> Column:
     """struct(type, confidence): the brand's type, families with two hits in order, subscription, then guesses."""
     text = F.coalesce(text, F.lit(""))
     device = text.rlike(r"(?iU)\b(phone|laptop|tablet|blender)\b")
-    guess = F.when(hit_count(text, sum(families.values(), [])) >= 2, F.struct(F.lit("unknown_category").alias("type"), F.lit(0.7).alias("confidence"))).when(hit_count(text, sum(families.values(), [])) == 1, F.struct(F.lit("category_promotion").alias("type"), F.lit(0.6).alias("confidence"))).otherwise(F.struct(F.lit("restaurant").alias("type"), F.lit(0.4).alias("confidence")))
-    out = F.when(subscription_sure >= 0.9, F.struct(F.lit("subscription").alias("type"), F.lit(0.9).alias("confidence"))).otherwise(guess)
-    for name, terms in reversed(families.items()):
-        out = F.when(hit_count(text, terms) >= 2, F.struct(F.lit(name).alias("type"), F.lit(0.85).alias("confidence"))).otherwise(out)
+    every = sum(counts.values(), F.lit(0)) if counts else hit_count(text, sum(families.values(), []))
+    label = lambda name, sure: F.struct(F.lit(name).alias("type"), F.lit(sure).alias("confidence"))
+    guess = F.when(every >= 2, label("unknown_category", 0.7)).when(every == 1, label("category_promotion", 0.6)).otherwise(label("restaurant", 0.4))
+    out = F.when(subscription_sure >= 0.9, label("subscription", 0.9)).otherwise(guess)
+    for name, count in reversed((counts or {n: hit_count(text, t) for n, t in families.items()}).items()):
+        out = F.when(count >= 2, label(name, 0.85)).otherwise(out)
     out = F.when(brand_type.isNotNull(), F.struct(brand_type.alias("type"), F.lit(0.92).alias("confidence"))).otherwise(out)
     return F.when(device, F.struct(F.lit("electronics").alias("type"), F.lit(0.8).alias("confidence"))).otherwise(out)
 
 
+LEXICON = "kind string, name string, term string, weight double, place int"
+
+
+def counted(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -> tuple[DataFrame, Callable[[str, str], dict[str, Column]]]:
+    """Hits and scores of all names of a table of terms (``LEXICON``), in one pass however many terms there are.
+
+    Returns the rows with a column ``counted``, and a function that gives, for a kind ('theme', 'audience', 'food',
+    'family') and a measure (hits, score), the columns by name, in order of their least ``place``: what ``themes``,
+    ``audience``, ``food`` and ``product_type`` take in place of their own lexicons.  Rows are told apart by ``key``.
+    """
+    entries = lexicon.select(F.concat_ws("\0", "kind", "name").alias("name"), "term", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    found = lexicon_scores(rows.select(key, text), [key], text, entries)
+    maps = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("hits", "score")))).alias("counted"))
+    # Names of labels: few, whatever the number of terms.
+    names = [(r["kind"], r["name"]) for r in lexicon.groupBy("kind", "name").agg(F.min("place").alias("place")).orderBy("kind", "place", "name").collect()]
+
+    def columns(kind: str, measure: str) -> dict[str, Column]:
+        zero = F.lit(0).cast("long") if measure == "hits" else F.lit(0.0)
+        return {n: F.coalesce(F.try_element_at("counted", F.lit(f"{k}\0{n}"))[measure], zero) for k, n in names if k == kind}
+
+    return rows.join(maps, key, "left"), columns
+
+
 def simple_label(offer_type: Column, brand: Column) -> Column:
     theme = F.when(F.coalesce(offer_type, F.lit("none")) == "none", "brand_awareness").otherwise(offer_type)
     return F.struct(theme.alias("primary_theme"), F.create_map(theme, F.lit(1.0)).alias("messaging_themes"), brand.alias("product_name"))
@@ -438,23 +467,28 @@ NO_SUBSCRIPTIONS = "advertiser_id string, name string, keywords array<string>, p
 NO_KNOWLEDGE = "product_name string, product_type string, confidence double"
 
 
-def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected: str = "QA", catalog: DataFrame | None = None, subscriptions: DataFrame | None = None, hints: DataFrame | None = None, known: DataFrame | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected: str = "QA", catalog: DataFrame | None = None, subscriptions: DataFrame | None = None, hints: DataFrame | None = None, known: DataFrame | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None, lexicon: DataFrame | None = None, regions: dict = REGIONS, words: OfferWords = OFFER_WORDS) -> DataFrame:
     """The whole chain: region, subscription, brand, product type, knowledge, food, offers, audience, themes, name.
 
-    Ads of a wrong region go no further: their labels are null.  ads: key, text, advertiser_id.
+    Ads of a wrong region go no further: their labels are null.  ads: key, text, advertiser_id.  ``lexicon`` (``LEXICON``)
+    takes the place of the examples of themes, audiences, foods and families; a kind that it lacks keeps them.
     """
     spark = ads.sparkSession
     empty = lambda found, kind: spark.createDataFrame([], kind) if found is None else found
-    rows = ads.select(key, text, "advertiser_id").withColumn("region", region(F.col(text), expected))
+    rows = ads.select(key, text, "advertiser_id").withColumn("region", region(F.col(text), expected, regions))
     kept = rows.filter("region.is_valid").select(key, text, "advertiser_id")
     kept = subscription(kept, empty(subscriptions, NO_SUBSCRIPTIONS), text)
     kept = brands_of(kept, empty(catalog, NO_CATALOG), key, text, hints, resolve)
-    kept = kept.withColumn("type", product_type(F.col(text), F.when(F.col("brand_type") != "unknown", F.col("brand_type")), F.col("subscription_confidence")))
+    own = lambda kind, measure="hits": None
+    if lexicon is not None:
+        kept, columns = counted(kept, key, text, lexicon)
+        own = lambda kind, measure="hits": columns(kind, measure) or None
+    kept = kept.withColumn("type", product_type(F.col(text), F.when(F.col("brand_type") != "unknown", F.col("brand_type")), F.col("subscription_confidence"), counts=own("family")))
     kept = kept.withColumn("product_type", F.col("type.type")).withColumn("confidence", F.col("type.confidence"))
     kept = knowledge.gate(kept, empty(known, NO_KNOWLEDGE))
-    kept = kept.withColumn("offer", offers(F.col(text))[0]).withColumn("food", food(F.col(text), F.col("brand")))
+    kept = kept.withColumn("offer", offers(F.col(text), words)[0]).withColumn("food", food(F.col(text), F.col("brand"), scored=own("food", "score")))
     kept = kept.withColumn("off", F.regexp_extract("offer.details", r"(\d+)%", 1).try_cast("int"))
-    kept = kept.withColumn("themes", themes(F.col(text), F.col("offer.type"))).withColumn("audience", audience(F.col(text), F.col("offer.type"), F.col("off")))
+    kept = kept.withColumn("themes", themes(F.col(text), F.col("offer.type"), counts=own("theme"))).withColumn("audience", audience(F.col(text), F.col("offer.type"), F.col("off"), counts=own("audience")))
     eats = F.when(F.col("product_type") == "restaurant", F.col("food.category"))
     kept = kept.withColumn("food_category", eats).withColumn("product_category", F.coalesce(F.create_map(*[F.lit(x) for p in CATEGORIES.items() for x in p])[F.col("product_type")], F.lit(OTHER_CATEGORY)))
     kept = kept.withColumn("product_name", product_name(F.col("brand"), F.col("food_category"), F.col("product_category"), F.col("subscription_name")))

@@ -114,3 +114,26 @@ def test_catalogs_of_any_size_give_the_same_brands(spark, monkeypatch):
     few = sorted(map(str, labels.brands_of(ads, catalog, "ad_id", hints=hints).select(*columns).collect()))
     monkeypatch.setattr(labels, "MOST_NAMES", 0)
     assert sorted(map(str, labels.brands_of(ads, catalog, "ad_id", hints=hints).select(*columns).collect())) == few
+
+
+def test_labels_from_a_table_are_those_of_the_same_lists(spark):
+    rows = [("theme", n, t, None, i) for i, (n, ts) in enumerate(labels.THEMES.items()) for t in ts]
+    rows += [("audience", n, t, None, i) for i, (n, ts) in enumerate(labels.AUDIENCES.items()) for t in ts]
+    rows += [("food", n, t, w, i) for i, (n, ts) in enumerate(labels.FOODS.items()) for t, w in ts.items()]
+    rows += [("family", n, t, None, i) for i, (n, ts) in enumerate(labels.FAMILIES.items()) for t in ts]
+    table = spark.createDataFrame(rows, labels.LEXICON)
+    texts = ["50% off burger and fries, save, best deal", "fresh tacos, burrito for kids, new menu", "pharmacy medicine vitamin for students on campus", "makeup perfume", "shawarma شاورما", "pizza slice burger", "coffee", "nothing", "", None]
+    ads = spark.createDataFrame([(n, t, "a") for n, t in enumerate(texts)], "ad_id long, ad_text string, advertiser_id string")
+    kept, columns = labels.counted(ads, "ad_id", "ad_text", table)
+    t, none = F.col("ad_text"), F.lit("none")
+    pairs = [
+        (labels.themes(t, none), labels.themes(t, none, counts=columns("theme", "hits"))),
+        (labels.audience(t, none, F.lit(0)), labels.audience(t, none, F.lit(0), counts=columns("audience", "hits"))),
+        (labels.food(t, none), labels.food(t, none, scored=columns("food", "score"))),
+        (labels.product_type(t, F.lit(None).cast("string"), F.lit(0.0)), labels.product_type(t, F.lit(None).cast("string"), F.lit(0.0), counts=columns("family", "hits"))),
+    ]
+    for own, of_table in pairs:
+        assert all(str(r.x) == str(r.y) for r in kept.select(own.alias("x"), of_table.alias("y")).collect())
+    one = table.filter("kind = 'food'").unionByName(spark.createDataFrame([("food", "Plain", "nothing", 5.0, 9)], labels.LEXICON))
+    found = {r.ad_id: (r.food_category, r.primary_theme) for r in labels.enrich(ads, lexicon=one).collect()}
+    assert found[7] == ("Plain", "price") and found[1][0] == "Mexican" and found[0][0] == "Burgers"
