@@ -93,8 +93,8 @@ def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
     A user or system turn is a call.  If its text is a JSON object with a ``name``, that is the tool, and ``id``,
     ``arguments`` and ``depends_on`` (a list) are read from it.  Otherwise a user turn calls ``reply`` with its text as
-    prompt, and depends on the turn two before it; a system turn calls ``configure``, which takes effect behind the turn
-    after it.  An assistant or tool turn is a result: of the call that its text names, if that is a JSON object with an
+    prompt and a system turn ``configure``; plain text names no dependency, so these keep their turn's place.  An
+    assistant or tool turn is a result: of the call that its text names, if that is a JSON object with an
     ``id`` (content is then its ``result``), else of the turn before it.  Turns of any other role, or of none, come third
     (conv_id, turn, role, text).
     """
@@ -110,7 +110,7 @@ def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         F.when(explicit, read("id", "string")).otherwise(name(F.col("turn"))).alias("call_id"),
         F.when(explicit, read("name", "string")).when(is_user, "reply").otherwise("configure").alias("name"),
         F.when(explicit, F.to_json(F.try_element_at("own", F.lit("arguments")))).otherwise(plain).alias("arguments"),
-        F.when(explicit, F.coalesce(read("depends_on", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(name(F.col("turn") + F.when(is_user, -2).otherwise(1)))).alias("depends_on"),
+        F.when(explicit, F.coalesce(read("depends_on", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
     answers = known.filter("role IN ('assistant', 'tool')").withColumn("named", F.coalesce(read("id", "string").isNotNull(), F.lit(False)))
     result = F.try_element_at("own", F.lit("result"))

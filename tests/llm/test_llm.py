@@ -496,7 +496,7 @@ def test_tool_calls_order_and_errors(spark):
 
 def test_conversations_hold_calls_or_are_calls(spark):
     turns = [
-        (1, 0, "system", "be short"),
+        (1, 0, "system", "be short " * 20_000),
         (1, 1, "user", "hello"),
         (1, 2, "assistant", "hi"),
         (1, 3, "user", '{"name":"f","id":"k1","arguments":{"b":2,"a":"x","x[0":{"b":"deep"}},"depends_on":["1:4"]}'),
@@ -508,7 +508,8 @@ def test_conversations_hold_calls_or_are_calls(spark):
     ]
     schemas = spark.createDataFrame([("reply", [("prompt", "string"), ("turn", "integer")]), ("configure", [("text", "string")]), ("f", [("a", "string"), ("b", "string"), ("x[0", "object")])], "name string, fields array<struct<key:string,kind:string>>")
     rows = {(r.conv_id, r.turn): r for r in tool_calls.link_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash")), schemas).collect()}
-    assert len(rows) == 7 and rows[(1, 0)].place > rows[(1, 1)].place and rows[(1, 0)].status == "unanswered"
+    assert len(rows) == 7 and rows[(1, 0)].place < rows[(1, 1)].place < rows[(1, 4)].place and rows[(1, 0)].status == "unanswered"
+    assert len(rows[(1, 0)].message) > 180_000 and rows[(1, 0)].errors == ""
     assert rows[(1, 1)].status == "linked" and '"result":"hi"' in rows[(1, 1)].message
     assert rows[(1, 3)].errors == "kind of b" and rows[(1, 3)].place > rows[(1, 4)].place
     assert rows[(1, 3)].message == '{"arguments":{"a":"x","b":2,"x[0":{"b":"deep"}},"id":"k1","name":"f","result":"{\\"y\\":[true],\\"z\\":1}"}'
