@@ -69,7 +69,7 @@ def train(rows: list[tuple[str, str, int]], bits: int = BITS, rounds: int = 200,
 
 
 #: Common beginnings of hosts and common paths, which say nothing of an address.
-PLAIN = [("www.", "/"), ("m.", "/en/1"), ("blog.", "/de/27.html"), ("", "/fr/385/"), ("", "/es/4960")]
+PLAIN = [("www.", "/"), ("m.", "/home"), ("blog.", "/archive"), ("", "/index.html"), ("", "/contact")]
 
 
 def built_in() -> list[tuple[str, str, int]]:
