@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contains import containing
 from ..functions.sizes import sent_if_small
+from ..sources.scratch import scratch
 
 KEY = ["advertiser_id", "ad_text", "image_url"]
 
@@ -51,8 +52,9 @@ def upsert(existing: DataFrame, scraped: DataFrame, now: str, key: list[str] = K
     the key is merged without an exchange of its own.
     """
     snapshot = keyed(scraped.filter(F.col("advertiser_id").isNotNull()), key).select(*key, F.lit(True).alias("in_snapshot")).distinct()
-    covered = sent_if_small(snapshot.select("advertiser_id").distinct().withColumn("covered", F.lit(True)))
-    held = existing if whole_keys else keyed(existing, key)
+    covered = snapshot.select("advertiser_id").distinct().withColumn("covered", F.lit(True))
+    # Joined as Spark sees fit, unless that would shuffle a store that needs none.
+    held, covered = (existing, sent_if_small(covered)) if whole_keys else (keyed(existing, key), covered)
     both = held.withColumn("in_store", F.lit(True)).join(snapshot, key, "full_outer").join(covered, "advertiser_id", "left")
     at, there, stored = F.lit(now).cast("timestamp_ntz"), F.coalesce("in_snapshot", F.lit(False)), F.coalesce("in_store", F.lit(False))
     gone = stored & ~there & F.coalesce("covered", F.lit(False)) & F.col("is_active") & F.lit(retire)
@@ -134,7 +136,9 @@ def incremental_run(scraped: DataFrame, existing: DataFrame, label: Callable[[Da
     key; the others stay new and are labelled by a later run).  An advertiser of whom the store has nothing has a
     ``first`` run.
     """
-    versions = upsert(existing, scraped, now, key)
+    place = scratch(existing.sparkSession, "version")
+    upsert(existing, scraped, now, key).write.parquet(place)  # read by all three results
+    versions = existing.sparkSession.read.parquet(place)
     fresh = versions.filter("change = 'new'").select(*key)
     fresh = fresh.orderBy(*key).limit(batch) if batch else fresh
     had = keyed(existing, key).select("advertiser_id").distinct().withColumn("_had", F.lit(True))
