@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import lexicon_scores
+from ..functions.lexicon import lexicon_scores, term_hits
 from ..functions.similar import similar
 from ..functions.sizes import sent_if_small
 from ..functions.text import placed, product_name, slug_title, trimmed_name
@@ -56,9 +56,6 @@ def scores(text: Column, lexicon: dict[str, list[str]]) -> Column:
 def region(text: Column, expected: str = "QA", regions: dict = REGIONS) -> Column:
     """struct(detected, confidence, signals, mismatches, is_valid); mismatches: the script, or other regions' terms."""
     text = F.coalesce(text, F.lit(""))
-    script = F.lit(None).cast("string")
-    for name, letters in reversed(SCRIPTS.items()):
-        script = F.when(F.length(F.regexp_replace(text, f"[^{letters}]", "")) >= 3, name).otherwise(script)
     city = F.lit(None).cast("string")
     for code, kinds in reversed(regions.items()):
         if code != expected:
@@ -68,13 +65,47 @@ def region(text: Column, expected: str = "QA", regions: dict = REGIONS) -> Colum
                 found = found | (text.rlike(rf"(?iU)\b{w}\b") if w.isascii() else F.contains(text, F.lit(w)))
             city = F.when(found, code).otherwise(city)
     totals = {code: sum((F.lit(WEIGHTS[kind]) * (F.regexp_count(text, F.lit("|".join(t.replace("+", r"\+") for t in terms))) if kind == "phone" else hit_count(text, terms)) for kind, terms in kinds.items()), F.lit(0)) for code, kinds in regions.items()}
+    found = {code: hits(text, sum(kinds.values(), [])) for code, kinds in regions.items()}
+    return _region(text, expected, city, totals, found)
+
+
+REGION_TERMS = "name string, part string, term string, place int"
+
+
+def with_region(rows: DataFrame, key: str, text: str, terms: DataFrame, expected: str = "QA") -> DataFrame:
+    """rows with ``region``, as ``region`` gives it, from a table of terms of any size (``REGION_TERMS``).
+
+    ``part`` is domain, phone, currency or keyword; ``place`` orders regions and their terms.  A phone code counts as often
+    as it occurs, other terms once.  Rows are told apart by ``key``.
+    """
+    table = terms.filter("term <> ''").groupBy("name", "part", "term").agg(F.min("place").alias("place")).withColumn("low", F.lower("term"))
+    hits = term_hits(rows.select(key, text), text, table, "low").select(key, F.col("term").alias("low"), "n")
+    met = hits.join(table, "low").join(rows.select(key, F.col(text).alias("t_")), key)
+    word = F.when(F.octet_length("term") == F.length("term"), F.regexp("t_", F.concat(F.lit(r"(?iU)\b\Q"), F.col("term"), F.lit(r"\E\b")))).otherwise(F.contains("t_", "term"))
+    found = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "name", "part", "low", "n", (word & (F.col("part") == "keyword")).alias("word")))).alias("found_"))
+    out = rows.join(found, key, "left").withColumn("found_", F.coalesce("found_", F.array().cast("array<struct<place:int,name:string,part:string,low:string,n:bigint,word:boolean>>")))
+    codes = [r["name"] for r in terms.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()]  # a few regions
+    weights = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
+    of = lambda code: F.filter("found_", lambda x: x["name"] == code)
+    totals = {c: F.aggregate(of(c), F.lit(0).cast("long"), lambda total, x: total + F.coalesce(F.try_element_at(weights, x["part"]), F.lit(0)) * F.when(x["part"] == "phone", x["n"]).otherwise(1)) for c in codes}
+    city = F.lit(None).cast("string")
+    for code in reversed([c for c in codes if c != expected]):
+        city = F.when(F.exists(of(code), lambda x: x["word"]), code).otherwise(city)
+    signals = {c: F.transform(of(c), lambda x: x["low"]) for c in codes}
+    return out.withColumn("region", _region(F.coalesce(text, F.lit("")), expected, city, totals, signals)).drop("found_")
+
+
+def _region(text: Column, expected: str, city: Column, totals: dict[str, Column], found: dict[str, Column]) -> Column:
+    """The verdict from a foreign city, the regions' scores and their terms found."""
+    script = F.lit(None).cast("string")
+    for name, letters in reversed(SCRIPTS.items()):
+        script = F.when(F.length(F.regexp_replace(text, f"[^{letters}]", "")) >= 3, name).otherwise(script)
     best = _first_best(totals)
     detected = F.when(script.isNotNull(), "INVALID").when(city.isNotNull(), city).when(best["score"] > 0, best["name"]).otherwise(expected)
     sure = F.when(script.isNotNull(), 0.98).when(city.isNotNull(), 0.95).when(best["score"] > 0, F.least(F.lit(0.98), 0.6 + best["score"] / 20)).otherwise(0.40)
-    found = {code: hits(text, sum(kinds.values(), [])) for code, kinds in regions.items()}
     none = F.array().cast("array<string>")
     other = F.when(script.isNotNull(), F.array(script)).otherwise(F.concat(none, *[terms for code, terms in found.items() if code != expected]))
-    return F.struct(detected.alias("detected"), F.round(sure, 3).alias("confidence"), F.concat(*found.values()).alias("signals"), F.when(detected == expected, none).otherwise(other).alias("mismatches"), (detected == expected).alias("is_valid"))
+    return F.struct(detected.alias("detected"), F.round(sure, 3).alias("confidence"), F.concat(none, *found.values()).alias("signals"), F.when(detected == expected, none).otherwise(other).alias("mismatches"), (detected == expected).alias("is_valid"))
 
 
 def only_region(text: Column, foreign: list[str]) -> Column:
@@ -467,15 +498,17 @@ NO_SUBSCRIPTIONS = "advertiser_id string, name string, keywords array<string>, p
 NO_KNOWLEDGE = "product_name string, product_type string, confidence double"
 
 
-def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected: str = "QA", catalog: DataFrame | None = None, subscriptions: DataFrame | None = None, hints: DataFrame | None = None, known: DataFrame | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None, lexicon: DataFrame | None = None, regions: dict = REGIONS, words: OfferWords = OFFER_WORDS) -> DataFrame:
+def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected: str = "QA", catalog: DataFrame | None = None, subscriptions: DataFrame | None = None, hints: DataFrame | None = None, known: DataFrame | None = None, resolve: Callable[[DataFrame], DataFrame] | None = None, lexicon: DataFrame | None = None, regions: dict | DataFrame = REGIONS, words: OfferWords = OFFER_WORDS) -> DataFrame:
     """The whole chain: region, subscription, brand, product type, knowledge, food, offers, audience, themes, name.
 
     Ads of a wrong region go no further: their labels are null.  ads: key, text, advertiser_id.  ``lexicon`` (``LEXICON``)
     takes the place of the examples of themes, audiences, foods and families; a kind that it lacks keeps them.
+    ``regions`` is a dict like the example's or a table (``REGION_TERMS``).
     """
     spark = ads.sparkSession
     empty = lambda found, kind: spark.createDataFrame([], kind) if found is None else found
-    rows = ads.select(key, text, "advertiser_id").withColumn("region", region(F.col(text), expected, regions))
+    rows = ads.select(key, text, "advertiser_id")
+    rows = with_region(rows, key, text, regions, expected) if isinstance(regions, DataFrame) else rows.withColumn("region", region(F.col(text), expected, regions))
     kept = rows.filter("region.is_valid").select(key, text, "advertiser_id")
     kept = subscription(kept, empty(subscriptions, NO_SUBSCRIPTIONS), text)
     kept = brands_of(kept, empty(catalog, NO_CATALOG), key, text, hints, resolve)

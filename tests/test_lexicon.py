@@ -137,3 +137,15 @@ def test_labels_from_a_table_are_those_of_the_same_lists(spark):
     one = table.filter("kind = 'food'").unionByName(spark.createDataFrame([("food", "Plain", "nothing", 5.0, 9)], labels.LEXICON))
     found = {r.ad_id: (r.food_category, r.primary_theme) for r in labels.enrich(ads, lexicon=one).collect()}
     assert found[7] == ("Plain", "price") and found[1][0] == "Mexican" and found[0][0] == "Burgers"
+
+
+def test_regions_from_a_table_are_those_of_the_same_lists(spark):
+    rows = [(code, part, t, 100 * i + n) for i, (code, parts) in enumerate(labels.REGIONS.items()) for n, (part, t) in enumerate((p, t) for p, ts in parts.items() for t in ts)]
+    table = spark.createDataFrame(rows, labels.REGION_TERMS)
+    texts = ["限时优惠 快来买", "Order in Dubai, call +971 or +971", "Delivery in Doha, QAR 5, shop.qa", "dubaian QAR", "AED 10", "riyadh and Dubai, doha", "دبي", "", None, "+974 +974 aed"]
+    ads = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "ad_id long, ad_text string")
+    found = labels.with_region(ads, "ad_id", "ad_text", table).withColumn("own", labels.region(F.col("ad_text")))
+    kept = found.collect()
+    assert len(kept) == len(texts)
+    for r in kept:
+        assert r.region.asDict() == r.own.asDict(), r.ad_text
