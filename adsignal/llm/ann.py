@@ -185,7 +185,7 @@ def _classes(good: DataFrame, k: int) -> DataFrame:
     return alike.withColumn("n", first).filter(F.col("n") <= k).drop("n").withColumn("n", smallest).filter(F.col("n") <= k + 1).drop("n", "a", "b")
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, first: int | None = None, most: int | None = None, block: int = 8192, query_block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = 4096, first: int | None = None, most: int | None = None, block: int = 32_768, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product of every query row.
 
     first: how many vectors of largest estimate give a query's floor, 3 * k if not said.  most: how many candidates of a
