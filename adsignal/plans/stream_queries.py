@@ -15,10 +15,11 @@ _MARK = "m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS ma
 
 
 def _split(spark, sf):
-    """The events in two parts that overlap by about half a day."""
-    rows, place = load(spark, sf, "events"), F.col("event_id") + F.col("event_id") % 5 * F.lit(0.01) * F.lit(4000)
-    half = rows.count() * 0.6
-    return [rows.filter(place < half), rows.filter(place >= half)]
+    """The events in two parts that overlap by some ten hours."""
+    rows = load(spark, sf, "events").withColumn("at_", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    first, last = rows.agg(F.min("at_"), F.max("at_")).first()
+    early = F.col("at_") + F.col("event_id") % 5 * 8640 < (first or 0) + 0.6 * ((last or 0) - (first or 0))
+    return [rows.filter(early).drop("at_"), rows.filter(~early).drop("at_")]
 
 
 @register(f"""WITH {_MARK}, o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events, m WHERE ts <= mark WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
