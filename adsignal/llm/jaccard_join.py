@@ -294,7 +294,8 @@ def crowds(docs: DataFrame, held: DataFrame, keys: DataFrame, k: int, percent: i
 
             def of(c: int) -> int:
                 while root.setdefault(c, c) != c:
-                    c = root[c] = root[root[c]]
+                    root[c] = root[root[c]]
+                    c = root[c]
                 return c
 
             found = []
