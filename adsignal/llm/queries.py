@@ -29,7 +29,7 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = "array<struct<key:string,kind:string>>"
     schemas = spark.createDataFrame([("reply", [("prompt", "string"), ("turn", "integer")]), ("configure", [("text", "string")])], f"name string, fields {fields}")
-    return tool_calls.link_conversations(load(spark, sf_dir, "conversations"), schemas)
+    return tool_calls.link_conversations(load(spark, sf_dir, "conversations"), schemas, turns_depend=True)
 
 
 def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,21 +88,27 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     return linked.unionByName(lost)
 
 
-def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def from_conversations(rows: DataFrame, turns_depend: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and other turns of conversations.
 
     A user or system turn is a call.  If its text is a JSON object with a ``name``, that is the tool, and ``id``,
     ``arguments`` and ``depends_on`` (a list) are read from it.  Otherwise a user turn calls ``reply`` with its text as
-    prompt and a system turn ``configure``; plain text names no dependency, so these keep their turn's place.  An
-    assistant or tool turn is a result: of the call that its text names, if that is a JSON object with an
-    ``id`` (content is then its ``result``), else of the turn before it.  Turns of any other role, or of none, come third
-    (conv_id, turn, role, text).
+    prompt and a system turn ``configure``; plain text names no dependency, so these keep their turn's place, but with
+    ``turns_depend``: then a plain user turn depends on the turn two before it, and a plain system turn takes effect
+    behind the user turn right after it.  An assistant or tool turn is a result: of the call that its text names, if
+    that is a JSON object with an ``id`` (content is then its ``result``), else of the turn before it.  Turns of any
+    other role, or of none, come third (conv_id, turn, role, text).
     """
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     known = rows.select("conv_id", "turn", "role", "text", F.try_parse_json("text").try_cast("map<string,variant>").alias("own"))
     read = lambda key, kind: F.try_element_at("own", F.lit(key)).try_cast(kind)
     asked = known.filter("role IN ('user', 'system')").withColumn("named", F.coalesce(read("name", "string").isNotNull(), F.lit(False)))
     is_user, explicit = F.col("role") == "user", F.col("named")
+    needs = F.array().cast("array<string>")
+    if turns_depend:
+        before_user = rows.filter("role = 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit(True).alias("before_user")).distinct()
+        asked = asked.join(before_user, ["conv_id", "turn"], "left")
+        needs = F.when(is_user, F.array(name(F.col("turn") - 2))).when(F.col("before_user"), F.array(name(F.col("turn") + 1))).otherwise(needs)
     plain = F.when(is_user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct("text")))
     calls = asked.select(
         "conv_id",
@@ -110,7 +116,7 @@ def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         F.when(explicit, read("id", "string")).otherwise(name(F.col("turn"))).alias("call_id"),
         F.when(explicit, read("name", "string")).when(is_user, "reply").otherwise("configure").alias("name"),
         F.when(explicit, F.to_json(F.try_element_at("own", F.lit("arguments")))).otherwise(plain).alias("arguments"),
-        F.when(explicit, F.coalesce(read("depends_on", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when(explicit, F.coalesce(read("depends_on", "array<string>"), F.array().cast("array<string>"))).otherwise(needs).alias("depends_on"),
     )
     answers = known.filter("role IN ('assistant', 'tool')").withColumn("named", F.coalesce(read("id", "string").isNotNull(), F.lit(False)))
     result = F.try_element_at("own", F.lit("result"))
@@ -120,9 +126,9 @@ def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return calls, results, others
 
 
-def link_conversations(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+def link_conversations(rows: DataFrame, schemas: DataFrame, turns_depend: bool = False) -> DataFrame:
     """``link`` for conversations, with one more row for every turn that is neither a call nor a result (``no call``)."""
-    calls, results, others = from_conversations(rows)
+    calls, results, others = from_conversations(rows, turns_depend)
     none = F.lit(None).cast("string")
     rest = others.select("conv_id", "turn", F.format_string("%019d.%06d", "turn", F.lit(0)).alias("place"), none.alias("call_id"), none.alias("name"), F.lit("no call").alias("status"), F.lit("").alias("errors"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("message"))
     return link(calls, results, schemas).unionByName(rest)

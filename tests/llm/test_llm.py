@@ -541,6 +541,21 @@ def test_conversations_hold_calls_or_are_calls(spark):
     assert tool_calls.link_conversations(empty(spark, "conv_id long, turn long, role string, text string"), schemas).count() == 0
 
 
+def test_the_query_orders_plain_turns_by_dependency(spark, tmp_path):
+    """A system turn stands behind the user turn right after it, as in the SQL; no other turn moves."""
+    import duckdb
+
+    from adsignal.llm import queries, sql
+
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", "v"), (2, 0, "system", "s"), (2, 1, "system", None), (2, 2, "user", "u"), (2, 3, "system", "t"), (2, 5, "user", "w"), (3, 0, None, "x"), (3, 1, "tool", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.op1_tool_call_linking(spark, str(tmp_path))
+    want = duckdb.sql(f"WITH conversations AS (FROM '{tmp_path}/conversations.parquet/*.parquet') SELECT * FROM ({sql.OP1})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    places = {(r.conv_id, r.turn): r.place for r in found.collect()}
+    assert places[1, 0] > places[1, 1] and places[2, 1] > places[2, 2] and places[2, 0] < places[2, 1] and places[2, 3] < places[2, 5]
+
+
 def test_pii_columns_that_clash_and_empty_tables(spark):
     far = [(i, f"{w} Roedelkramm wrote to jane.roe@corp.example.com") for i, w in enumerate(("alpha", "gamma"))] + [(None, None), (7, ""), (7, "")]
     rest = [(100 + i, f"wrote alpha gamma to {i}") for i in range(500)]
