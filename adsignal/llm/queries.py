@@ -20,6 +20,7 @@ from . import (
     tool_calls,
     urls,
     winnow,
+    word_tree,
 )
 from .common import fold, load, met, stored
 
@@ -57,7 +58,7 @@ def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score_documents(load(spark, sf_dir, "documents"), training=fold("doc_id", 7) != 2, held_out=fold("doc_id", 7) == 2)
+    return suffix_tree.score_documents(load(spark, sf_dir, "documents"), training=fold("doc_id", 7) != 2, held_out=fold("doc_id", 7) == 2, tree=word_tree.gains)
 
 
 def op10_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

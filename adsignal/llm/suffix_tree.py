@@ -30,7 +30,7 @@ empty training set makes every token one never seen; extra columns are not carri
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -444,8 +444,10 @@ def _root(key: np.ndarray, head: tuple[np.ndarray, np.ndarray], weights: tuple[f
     return np.where(c == 0, log_rest, np.log10(each_whole * np.maximum(c, 1) + (c == 0))), c
 
 
-def score_documents(docs: DataFrame, training: Column, held_out: Column, key: str = "doc_id", text: str = "text", depth: int = 6, letters: int = 5, least_share: float = 1e-5, head: int = 1 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelling."""
+def score_documents(docs: DataFrame, training: Column, held_out: Column, key: str = "doc_id", text: str = "text", depth: int = 6, letters: int = 5, least_share: float = 1e-5, head: int = 1 << 20, tree: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelling.
+
+    ``tree``: what adds to the root's score (``word_tree.gains``); by default one context a place, as said above."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"), held_out.alias("held_out"), training.alias("train"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
@@ -464,16 +466,18 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column, key: st
     common = keys, np.log2(max(n_words, 1) / np.maximum(n, 1)).astype("int64").clip(0, BITS)
     most = by_key(*frequent_class(counts.select(F.col("key").alias("token"), "n"), head))
     held_common = send(common)
-    tree = Tree(retained(stored(spelling_counts(texts, letters, held_common), "spelling"), letters, least_share))
-    bucket_bits = min(18, max(5, int(np.ceil(np.log2(max(n_words, 1) / LOT)))))
-    start_bits = min(BITS, int(np.log2(max(n_words, 1) / max(n_docs, 1))))
-    sizes = start_bits, int(np.ceil(np.log2(max(n_words, 2)))), depth, bucket_bits
-    states = stored(learnt(texts, sizes, held_common), "states")
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), "uint8")
-    piece = len(bitmap) >> bucket_bits
-    for row in states.select("bucket", "bitmap").toLocalIterator():  # 16 MB at any size of corpus
-        bitmap[row["bucket"] * piece : (row["bucket"] + 1) * piece] = np.frombuffer(row["bitmap"], "uint8")
-    sent = send((common, most, tree, (each_whole, log_rest), bitmap))
+    speller = Tree(retained(stored(spelling_counts(texts, letters, held_common), "spelling"), letters, least_share))
+    bitmap, states, sizes = None, None, None
+    if tree is None:
+        bucket_bits = min(18, max(5, int(np.ceil(np.log2(max(n_words, 1) / LOT)))))
+        start_bits = min(BITS, int(np.log2(max(n_words, 1) / max(n_docs, 1))))
+        sizes = start_bits, int(np.ceil(np.log2(max(n_words, 2)))), depth, bucket_bits
+        states = stored(learnt(texts, sizes, held_common), "states")
+        bitmap = np.zeros(1 << (BITMAP_BITS - 3), "uint8")
+        piece = len(bitmap) >> bucket_bits
+        for row in states.select("bucket", "bitmap").toLocalIterator():  # 16 MB at any size of corpus
+            bitmap[row["bucket"] * piece : (row["bucket"] + 1) * piece] = np.frombuffer(row["bitmap"], "uint8")
+    sent = send((common, most, speller, (each_whole, log_rest), bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, head_words, speller, weights, _ = sent.value
@@ -500,7 +504,11 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column, key: st
     kind = docs.schema[key].dataType.simpleString()
     rows = plain.select("doc_id", "held_out", "h", "t").mapInArrow(run, f"doc_id {kind}, held_out boolean, h long, n_tokens long, known long, sums double, score double, rare array<long>, times array<int>, spelt array<double>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
-    found = stored(answered(plain, states, sizes, sent), "answers")
+    if tree is None:
+        found = stored(answered(plain, states, sizes, sent), "answers")
+    else:
+        n_all = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        found = tree(plain, counts, n_words, n_docs, n_all, common, most, len(most[0]) == n_kinds, (each_whole, log_rest))
     sent.destroy()  # both tables are written
     held_common.destroy()
 
