@@ -121,10 +121,10 @@ class _Counter:
             self.close()
 
     def close(self) -> None:
-        keys = np.concatenate([self.keys, *self.open])
-        n = np.concatenate([self.n, np.ones(len(keys) - len(self.n), "int64")])
+        fresh, times = np.unique(np.concatenate([self.keys[:0], *self.open]), return_counts=True)
+        keys, n = np.concatenate([self.keys, fresh]), np.concatenate([self.n, times])
         self.open, self.size = [], 0
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # two sorted runs are merged
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, "int64")
         self.keys, self.n = keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n

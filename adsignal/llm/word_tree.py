@@ -70,6 +70,19 @@ class Crowds(NamedTuple):
         return looked_up(context, self.hashes, np.arange(len(self.hashes)), -1)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, where each one is first, and each row's number of its hash: np.unique by a sort without indirection."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype="uint64")) & low).astype("int64")
+    along = keys[order]
+    new = np.concatenate([[True], along[1:] != along[:-1]]) if len(keys) else np.empty(0, bool)
+    if (new[1:] & (along[1:] & ~low == along[:-1] & ~low)).any():  # hashes that differ in the low bits alone
+        return np.unique(keys, return_index=True, return_inverse=True)
+    number = np.empty(len(keys), "int64")
+    number[order] = np.cumsum(new) - 1
+    return along[new], order[new], number
+
+
 def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hashes of contexts with one word more before them."""
     return mixed(context * BASE + mixed(word + BASE))
@@ -201,15 +214,15 @@ def scores(word: np.ndarray, before: list[np.ndarray], train: np.ndarray, bits:
     for w in before[len(crowded) :]:
         inside = w[open_] != NONE
         open_, context = open_[inside], longer(context[inside], w[open_[inside]])
-        _, state = np.unique(context, return_inverse=True)
+        _, _, state = grouped(context)
         total = _wide(state, train[open_], 0)
         taught = total[state] > 0  # others, and all that are longer, are no states
         open_, context = open_[taught], context[taught]
         if not len(open_):
             break
-        at, state = np.unique(state[taught], return_inverse=True)
-        total = total[at]
-        _, one, edge = np.unique(mixed(context * BASE + word[open_]), return_index=True, return_inverse=True)
+        state = (np.cumsum(total > 0) - 1)[state[taught]]
+        total = total[total > 0]
+        _, one, edge = grouped(mixed(context * BASE + word[open_]))
         n, of = _wide(edge, train[open_], 0), state[one]
         seen = n > 0
         mine, left_ = given[open_[one]], rest[open_[one]]
@@ -281,7 +294,7 @@ def gains(texts: DataFrame, counts: DataFrame, n_words: int, n_docs: int, n_all:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
             bucket = columns.pop(0)
-            order = np.argsort(bucket, kind="stable")
+            order = np.sort(bucket << 32 | np.arange(len(bucket))) & 0xFFFFFFFF
             bucket, columns = bucket[order], [c[order] for c in columns]
             rows = [(lot % n_buckets, NAMES, np.concatenate(names).tobytes())]
             names.clear()
@@ -331,8 +344,9 @@ def gains(texts: DataFrame, counts: DataFrame, n_words: int, n_docs: int, n_all:
             rare = hit & (word >= len(root) - 1)
             for i, (lot, _) in enumerate(pieces):
                 s = slice(cuts[i], cuts[i + 1])
-                of, place = np.unique(doc[s], return_inverse=True)
-                sums.setdefault(lot, []).append((of, _wide(place, gain[s], 0)))
+                own = doc[s]  # in order
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                sums.setdefault(lot, []).append((own[starts], np.add.reduceat(gain[s], starts)))
                 if rare[s].any():
                     yield lot, doc[s][rare[s]].tobytes() + word[s][rare[s]].tobytes()
 
