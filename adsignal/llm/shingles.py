@@ -71,14 +71,14 @@ def release() -> None:
         pass
 
 
-def lots(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, offsets) of consecutive documents; null texts are empty."""
+def lots(column: pa.Array, size: int = LOT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets) of consecutive documents of about ``size`` bytes together; null texts are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     ends = np.frombuffer(column.buffers()[1], "int64")[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], "uint8") if column.buffers()[2] else np.empty(0, "uint8")
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + LOT, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + size, side="right")) - 1)
         yield first, last, data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
     release()

@@ -53,6 +53,7 @@ BITS = 15  # of information at most that one word counts for
 SPELT = 12  # bits of information from which on a training word teaches spelling
 SMOOTH = 1.0
 LOT = 1 << 22  # tokens that a bucket holds in the mean; a task packs half as many together
+SMALL, LETTERS = 1 << 17, 1 << 20  # bytes of text that are cut into words at once, and where each of a lot's words is spelt once
 BITMAP_BITS = 27  # 16 MB
 CONTEXT_BITS, NEXT_BITS = 28, 18  # of a context beside its bucket; of what follows: 14 of the word, 4 of its information
 
@@ -76,6 +77,34 @@ def looked_up(key: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int)
     return np.where(keys[place] == key, values[place], other)
 
 
+class Held:
+    """Sorted, well-mixed hashes that are looked up by an index of their first bits, which each worker makes for itself."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, len(keys).bit_length())
+        self.first: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"first": None}
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(key), -1, "int32")
+        shift = np.uint64(64 - self.bits)
+        if self.first is None:
+            self.first = np.zeros((1 << self.bits) + 1, "int32")
+            np.cumsum(np.bincount((self.keys >> shift).astype("int64"), minlength=1 << self.bits), out=self.first[1:])
+        last = len(self.keys) - 1
+        place = np.minimum(self.first[key >> shift], last)
+        less = np.flatnonzero(self.keys[place] < key)
+        while len(less):
+            less = less[place[less] < last]
+            place[less] += 1
+            less = less[self.keys[place[less]] < key[less]]
+        return np.where(self.keys[place] == key, place, np.int32(-1))
+
+
 def contexts(key: np.ndarray, doc: np.ndarray, begins: np.ndarray, bits: np.ndarray, start_bits: int, need: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Each token's context as a hash, and whether it has one."""
     first = begins[doc]
@@ -136,13 +165,13 @@ class _Counter:
         self.__init__()
 
 
-def _counted(texts: DataFrame, keys) -> DataFrame:
+def _counted(texts: DataFrame, keys, lot: int) -> DataFrame:
     """(key, n): how often the keys of all texts ``t`` occur; a task gives what it has counted every few million keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            for _, _, data, ends in lots(batch.column(0)):
+            for _, _, data, ends in lots(batch.column(0), lot):
                 counter.add(keys(data, ends))
                 if len(counter.keys) > 1 << 21:
                     yield from counter.rows()
@@ -154,7 +183,7 @@ def _counted(texts: DataFrame, keys) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(key, n): the tokens of texts ``t`` by hash."""
-    return _counted(texts, lambda data, ends: stream(data, ends)[0])
+    return _counted(texts, lambda data, ends: stream(data, ends)[0], SMALL)
 
 
 def spelling_counts(texts: DataFrame, letters: int, common) -> DataFrame:
@@ -162,17 +191,20 @@ def spelling_counts(texts: DataFrame, letters: int, common) -> DataFrame:
 
     def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key, _, a, b, _ = stream(data, ends)
-        rare = (looked_up(key, *common.value, BITS) >= SPELT) & (b > a)
-        out, begins, stops = spelling(data, a[rare], b[rare], letters)
+        held, bits = common.value
+        rare = np.flatnonzero((np.append(bits, BITS)[held.find(key)] >= SPELT) & (b > a))
+        _, one, times = np.unique(key[rare], return_index=True, return_counts=True)  # each word is spelt once
+        a, b = a[rare[one]], b[rare[one]]
+        out, begins, stops = spelling(data, a, b, letters)
         code = np.zeros(max(0, len(out) - letters), "int64")
         for i in range(letters + 1 if len(code) else 0):
             code = (code << 8) | out[i : len(out) - letters + i]
         inside = np.zeros(len(out) + 1, "int64")
         inside[begins] += 1
         inside[stops] -= 1
-        return code[np.cumsum(inside)[letters : len(out)] > 0].view("uint64")
+        return np.repeat(code[np.cumsum(inside)[letters : len(out)] > 0].view("uint64"), np.repeat(times, b - a + 1))
 
-    return _counted(texts, grams)
+    return _counted(texts, grams, LETTERS)
 
 
 def retained(grams: DataFrame, depth: int, least_share: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -465,8 +497,10 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column, key: st
     keys, n = by_key(*(often[c].to_numpy() for c in ("key", "n")))
     common = keys, np.log2(max(n_words, 1) / np.maximum(n, 1)).astype("int64").clip(0, BITS)
     most = by_key(*frequent_class(counts.select(F.col("key").alias("token"), "n"), head))
+    indexed_common = send((Held(common[0]), common[1]))
+    speller = Tree(retained(stored(spelling_counts(texts, letters, indexed_common), "spelling"), letters, least_share))
+    indexed_common.destroy()  # the table is written
     held_common = send(common)
-    speller = Tree(retained(stored(spelling_counts(texts, letters, held_common), "spelling"), letters, least_share))
     bitmap, states, sizes = None, None, None
     if tree is None:
         bucket_bits = min(18, max(5, int(np.ceil(np.log2(max(n_words, 1) / LOT)))))
@@ -477,16 +511,17 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column, key: st
         piece = len(bitmap) >> bucket_bits
         for row in states.select("bucket", "bitmap").toLocalIterator():  # 16 MB at any size of corpus
             bitmap[row["bucket"] * piece : (row["bucket"] + 1) * piece] = np.frombuffer(row["bitmap"], "uint8")
-    sent = send((common, most, speller, (each_whole, log_rest), bitmap))
+    sent = send((common, most, None, (each_whole, log_rest), bitmap) if tree is None else None)
+    sent_head = send((Held(most[0]), np.append(np.log10(each_whole * most[1]), log_rest), np.append(np.log10(most[1] + 1.0), 0.0), speller))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, head_words, speller, weights, _ = sent.value
+        head_words, by_root, by_count, speller = sent_head.value
         for batch in batches:
-            for first, last, data, ends in lots(batch.column(3)):
+            for first, last, data, ends in lots(batch.column(3), SMALL):
                 own, doc, a, b, _ = stream(data, ends)
-                root, c = _root(own, head_words, weights)
+                place = head_words.find(own)  # -1, what is last, for others
                 n_docs_ = last - first
-                rare = np.flatnonzero(c == 0)
+                rare = np.flatnonzero(place < 0)
                 rare = rare[np.lexsort((own[rare], doc[rare]))]
                 words_, of = own[rare], doc[rare]
                 out, begins, stops = spelling(data, a[rare], b[rare], letters)
@@ -496,8 +531,8 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column, key: st
                 at = pa.array(np.searchsorted(of[fresh], np.arange(n_docs_ + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (words_[fresh].view("int64"), times, spelt[fresh])]
                 part = batch.slice(first, n_docs_)
-                sums = [np.bincount(doc, weights=w, minlength=n_docs_) for w in (np.log10(c + 1.0), root)]
-                whole = [np.bincount(doc, weights=w, minlength=n_docs_).astype("int64") for w in (np.ones(len(doc)), c > 0)]
+                sums = [np.bincount(doc, weights=w, minlength=n_docs_) for w in (by_count[place], by_root[place])]
+                whole = [np.bincount(d, minlength=n_docs_) for d in (doc, doc[place >= 0])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, (*whole, *sums)), *lists], names=["doc_id", "held_out", "h", "n_tokens", "known", "sums", "score", "rare", "times", "spelt"])
         release()
 
@@ -510,6 +545,7 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column, key: st
         n_all = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
         found = tree(plain, counts, n_words, n_docs, n_all, common, most, len(most[0]) == n_kinds, (each_whole, log_rest))
     sent.destroy()  # both tables are written
+    sent_head.destroy()
     held_common.destroy()
 
     whole_word = F.log10(F.lit(each_whole) * F.col("n")) - F.lit(log_rest)  # what a word learnt, but not in the head, adds

@@ -15,8 +15,9 @@ The subtree below a word is made in one task: each token of each text goes once,
 bucket of its last word, where training tokens are counted, contexts judged, and all tokens scored.  A context that more
 than ``crowd`` tokens follow is crowded.  What follows it is counted first, from sums of tasks; its tokens go to buckets of
 its own by the word before (by the token where the context cannot be longer), and the counts of the context and of its
-suffixes, which are crowded too, go along.  So no task holds more than about a crowd, however common words or runs of
-them are.  ``crowd`` and the list of words known to all tasks change the work, never the scores.  Contexts are known by 64
+suffixes, which are crowded too, go along.  So no task holds more than some crowds, however common words or runs of them
+are; a bucket in which several contexts of nearly a crowd meet is judged in shares, by the last word that tells contexts
+apart.  ``crowd`` and the list of words known to all tasks change the work, never the scores.  Contexts are known by 64
 bits.  Sums return by lots of texts.
 """
 
@@ -33,30 +34,34 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored
 from .shingles import lots, mixed, release
-from .suffix_tree import BASE, BITS, END_WORD, _packed, _unpacked, looked_up, stream
+from .suffix_tree import BASE, BITS, END_WORD, SMALL, Held, _packed, _unpacked, looked_up, stream
 
 NONE, BEGIN = np.uint64(0), np.uint64(1)  # instead of a word: nothing, the text's start
 CROWD = 1 << 18
 ASKED = 1 << 20  # tokens that a task packs together
+SENT = 1 << 22  # bytes of packed tokens that a task sends at once
 NAMES, TOKENS = 0, 100  # kinds of rows in a bucket; those between are the counts of a crowded context so long
 ROWS = "bucket long, kind int, lot long, part binary"
 
 
 class Words(NamedTuple):
-    """The words that all tasks know: hashes in order, ranks and counts; and those whose information is less than BITS."""
+    """The words that all tasks know: hashes in order, ranks, information; and those whose information is less than BITS."""
 
-    keys: np.ndarray
+    keys: Held
     rank: np.ndarray
-    n: np.ndarray
+    bits: np.ndarray
     common: tuple[np.ndarray, np.ndarray]
     whole: bool  # all training words are among them
 
     def ids(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words as numbers, by rank or else the hash itself, and counts (0: not known here)."""
-        place = looked_up(key, self.keys, np.arange(len(self.keys)), -1)
-        if not len(self.keys):
-            return key.copy(), np.zeros(len(key), "int64")
-        return np.where(place < 0, key, (self.rank[place] + 2).astype("uint64")), np.where(place < 0, 0, self.n[place])
+        """Words as numbers, by rank or else the hash itself, and information."""
+        place = self.keys.find(key)
+        other = np.flatnonzero(place < 0)
+        if len(other) == len(key):
+            return key.copy(), looked_up(key, *self.common, BITS).astype("uint8")
+        ids, bits = self.rank[place].astype("uint64") + np.uint64(2), self.bits[place]
+        ids[other], bits[other] = key[other], looked_up(key[other], *self.common, BITS)
+        return ids, bits
 
 
 class Crowds(NamedTuple):
@@ -88,14 +93,18 @@ def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(context * BASE + mixed(word + BASE))
 
 
-def preceding(ids: np.ndarray, doc: np.ndarray, begins: np.ndarray, depth: int) -> list[np.ndarray]:
+def lined(ids: np.ndarray, doc: np.ndarray, begins: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in a line, each one after what precedes it, and the tokens' places; the words before one stand before it."""
+    at = np.arange(len(ids)) + depth * (doc + 1)
+    line = np.full(len(ids) + depth * len(begins), NONE)
+    line[at] = ids
+    line[at[begins] - 1] = BEGIN
+    return line, at
+
+
+def preceding(line: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
     """The words before each token, the last one first."""
-    place, first = np.arange(len(ids)), begins[doc]
-    out = []
-    for back in range(1, depth + 1):
-        at = place - back
-        out.append(np.where(at >= first, ids[np.maximum(at, 0)], np.where(at == first - 1, BEGIN, NONE)))
-    return out
+    return [line[at - back] for back in range(1, depth + 1)]
 
 
 def dealt(word: np.ndarray, before: list[np.ndarray], crowds: Crowds, bucket_bits: int) -> np.ndarray:
@@ -117,12 +126,12 @@ def dealt(word: np.ndarray, before: list[np.ndarray], crowds: Crowds, bucket_bit
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], text: int, known: Words, depth: int):
-    """For lots of a batch's texts: batch, first and last text, words, counts, information, texts, words before."""
+    """For lots of a batch's texts: batch, first and last text, all words in a line, the tokens' places, information, texts."""
     for batch in batches:
-        for first, last, data, ends in lots(batch.column(text)):
+        for first, last, data, ends in lots(batch.column(text), SMALL):
             key, doc, _, _, begins = stream(data, ends)
-            word, n = known.ids(key)
-            yield batch, first, last, word, n, looked_up(key, *known.common, BITS).astype("uint8"), doc, preceding(word, doc, begins, depth)
+            ids, bits = known.ids(key)
+            yield batch, first, last, *lined(ids, doc, begins, depth), bits, doc
 
 
 def _added(word: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,6 +145,7 @@ def followed(texts: DataFrame, sent, contexts: list[tuple[int, ...]], hashes: np
     """(context, part, often): what follows crowded contexts of one length, in parts, and which words do so in a crowd."""
     depth = len(contexts[0])
     order = np.argsort(hashes)
+    most = np.uint64(max(c[0] for c in contexts))  # of the numbers of contexts' last words, which are small
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -155,15 +165,16 @@ def followed(texts: DataFrame, sent, contexts: list[tuple[int, ...]], hashes: np
                     rows.append((i, s, _packed(w[salt == s], n[salt == s].astype("uint32"), b[salt == s])))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["context", "salt", "part"])
 
-        for _, _, _, word, _, bits, _, before in _tokens(batches, 0, sent.value, depth):
-            context = np.zeros(len(word), "uint64")
-            for w in before:
+        for _, _, _, line, at, bits, _ in _tokens(batches, 0, sent.value, depth):
+            likely = np.flatnonzero(line[at - 1] <= most)
+            context = np.zeros(len(likely), "uint64")
+            for w in preceding(line, at[likely], depth):
                 context = longer(context, w)
             found = looked_up(context, hashes[order], order, -1)
-            some = found >= 0
-            if some.any():
-                held.append((found[some], word[some], bits[some]))
-                size += int(some.sum())
+            some = likely[found >= 0]
+            if len(some):
+                held.append((found[found >= 0], line[at[some]], bits[some]))
+                size += len(some)
             if size > ASKED:
                 yield flush()
                 size = 0
@@ -246,7 +257,7 @@ def gains(texts: DataFrame, counts: DataFrame, n_words: int, n_docs: int, n_all:
     spark = texts.sparkSession
     rank = np.empty(len(most[0]), "int64")
     rank[np.argsort(-most[1], kind="stable")] = np.arange(len(rank))
-    known = Words(most[0], rank, most[1], common, whole)
+    known = Words(Held(most[0]), rank.astype("uint32"), looked_up(most[0], *common, BITS).astype("uint8"), common, whole)
     sent_words = spark.sparkContext.broadcast(known)
     taught = texts.filter("train")
     least = crowd * max(n_words, 1) / max(n_all, 1)  # of training tokens, where others are as they are
@@ -282,67 +293,103 @@ def gains(texts: DataFrame, counts: DataFrame, n_words: int, n_docs: int, n_all:
     crowds = Crowds(hashes[order], first[order], np.array(sizes, "int64")[order])
     n_buckets = (1 << bucket_bits) + sum(sizes)
     sent = spark.sparkContext.broadcast((known, crowds))
+    own_counts = spark.sparkContext.broadcast(most[1][np.argsort(rank)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, crowds = sent.value
+        n_known = len(known.rank) + 2
+        lines: list[np.ndarray] = []  # of words, each held once: those before a token are taken from it as pieces are packed
         held: list[tuple[np.ndarray, ...]] = []
         names: list[np.ndarray] = []
-        size = n_docs = 0
+        size = n_docs = long = 0
         lot = TaskContext.get().partitionId() << 32
 
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        def flush() -> Iterator[pa.RecordBatch]:
+            line = np.concatenate(lines)
+            lines.clear()
+            bucket, at, doc, flags = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            bucket = columns.pop(0)
-            order = np.sort(bucket << 32 | np.arange(len(bucket))) & 0xFFFFFFFF
-            bucket, columns = bucket[order], [c[order] for c in columns]
+            order = bucket << 32
+            order |= np.arange(len(bucket))
+            order.sort()
+            order &= 0xFFFFFFFF
             rows = [(lot % n_buckets, NAMES, np.concatenate(names).tobytes())]
             names.clear()
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
-            rows += [(int(bucket[a]), TOKENS, _packed(*(c[a:b] for c in columns))) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=False)]
+            along = bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], along[1:] != along[:-1]])) if len(along) else along
+            packed = 0
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(along)], strict=False):
+                some = order[a:b]
+                place = at[some].astype("int64")
+                rows.append((int(along[a]), TOKENS, _packed(doc[some], line[place], *preceding(line, place, depth), flags[some])))
+                packed += len(rows[-1][2])
+                if packed > SENT:
+                    yield out(rows)
+                    packed = 0
+            if rows:
+                yield out(rows)
+
+        def out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             b, kind, part = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind, pa.int32()), pa.array([lot] * len(rows), pa.int64()), pa.array(part, pa.binary())], names=["bucket", "kind", "lot", "part"])
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind, pa.int32()), pa.array([lot] * len(b), pa.int64()), pa.array(part, pa.binary())], names=["bucket", "kind", "lot", "part"])
 
-        for batch, a, b, word, n, bits, doc, before in _tokens(batches, 2, known, depth):
-            some = (before[0] == BEGIN) | (np.concatenate([[0], n[:-1]]) > 0) | (not known.whole)  # words never seen lead to no state
+        for batch, a, b, line, at, bits, doc in _tokens(batches, 2, known, depth):
             flags = bits << np.uint8(1) | batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)[doc].astype("uint8")
-            word, flags, doc, *before = (c[some] for c in (word, flags, doc, *before))
-            held.append((dealt(word, before, crowds, bucket_bits), (doc + n_docs).astype("uint32"), word, *before, flags))
+            if known.whole:  # words never seen lead to no state
+                some = line[at - 1] < n_known
+                at, flags, doc = at[some], flags[some], doc[some]
+            bucket = dealt(line[at], preceding(line, at, depth), crowds, bucket_bits)
+            held.append((bucket, (at + long).astype("uint32"), (doc + n_docs).astype("uint32"), flags))
+            lines.append(line)
             names.append(batch.column(0).slice(a, b - a).to_numpy())
-            size, n_docs = size + len(word), n_docs + b - a
+            size, n_docs, long = size + len(at), n_docs + b - a, long + len(line)
             if size > ASKED:
-                yield flush()
-                size = n_docs = 0
+                yield from flush()
+                size = n_docs = long = 0
                 lot += 1
         if names:
-            yield flush()
+            yield from flush()
         release()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = sent.value
-        by_rank = np.empty(len(known.n), "int64")
-        by_rank[known.rank] = known.n
-        root = np.concatenate([[weights[1]] * 2, np.log10(weights[0] * np.maximum(by_rank, 1)), [weights[1]]])
+        root = np.concatenate([[weights[1]] * 2, np.log10(weights[0] * np.maximum(own_counts.value, 1)), [weights[1]]])
         sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         held_sums = 0
         now, tables, pieces = -1, {}, []
 
         def judged() -> Iterator[tuple[int, bytes]]:
             """Scores the bucket that was read; gives words that not all tasks know."""
-            columns = [_unpacked(p, "uint32", *["uint64"] * (depth + 1), "uint8") for _, p in pieces]
-            doc, word, *before, flags = (np.concatenate(c) for c in zip(*columns, strict=True))
-            cuts = np.cumsum([0, *(len(c[0]) for c in columns)])
-            columns.clear()
+            kinds = ["uint32", *["uint64"] * (depth + 1), "uint8"]
+            cuts = np.cumsum([0, *(int.from_bytes(p[:8], "little") for _, p in pieces)])
+            doc, word, *before, flags = columns = [np.empty(cuts[-1], kind) for kind in kinds]
+            lots_ = [lot for lot, _ in pieces]
+            for i in range(len(lots_)):
+                for column, part in zip(columns, _unpacked(pieces[i][1], *kinds), strict=True):
+                    column[cuts[i] : cuts[i + 1]] = part
+                pieces[i] = None
             chain = []
             for level in sorted(tables):
                 w, n, b = (np.concatenate(c) for c in zip(*(_unpacked(p, "uint64", "int64", "uint8") for p in tables[level]), strict=True))
                 along = np.argsort(w)
                 chain.append((w[along], n[along], b[along].astype("int64")))
-            given, rest = scores(word, before, (flags & 1).astype("float64"), (flags >> 1).astype("int64"), chain, discount)
+            given, rest = np.empty(len(word)), np.empty(len(word))
+            # A large bucket goes in shares by the word that tells its contexts apart.
+            shares = len(word) // crowd + 1
+            share = (mixed((word if len(chain) == depth else before[len(chain)]) + BASE) % np.uint64(shares)).astype("int64" if shares > 256 else "uint8")
+            for k in range(shares):
+                some = np.flatnonzero(share == k)
+                w, words_ = word[some], [c[some] for c in before]
+                same = w
+                for c in words_:
+                    same = longer(same, c)
+                _, one, same = grouped(same)  # tokens that are equal up to all words before them are judged as one
+                of_one = scores(w[one], [c[one] for c in words_], _wide(same, flags[some] & 1, len(one)), (flags[some[one]] >> 1).astype("int64"), chain, discount)
+                given[some], rest[some] = (x[same] for x in of_one)
             hit = given > 0
             gain = np.where(hit, np.log10(np.where(hit, given, 1)) - root[np.minimum(word, len(root) - 1).astype("int64")], np.log10(rest))
             rare = hit & (word >= len(root) - 1)
-            for i, (lot, _) in enumerate(pieces):
+            for i, lot in enumerate(lots_):
                 s = slice(cuts[i], cuts[i + 1])
                 own = doc[s]  # in order
                 starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -376,7 +423,8 @@ def gains(texts: DataFrame, counts: DataFrame, n_words: int, n_docs: int, n_all:
             pieces.clear()
 
         for batch in batches:
-            for bucket, kind, lot, part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for bucket, kind, lot, part in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                part = part.as_py()
                 if bucket != now:
                     yield from closed()
                     now = bucket
@@ -419,5 +467,6 @@ def gains(texts: DataFrame, counts: DataFrame, n_words: int, n_docs: int, n_all:
     back = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "lot long, kind int, part binary")
     out = stored(back.groupBy("lot").applyInArrow(returned, "h long, gain double, word long"), "answers")
     sent.destroy()  # the table is written
+    own_counts.destroy()
     sent_words.destroy()
     return out
