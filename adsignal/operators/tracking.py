@@ -43,9 +43,9 @@ def retired_ads(existing: DataFrame, scraped: DataFrame, key: list[str] = KEY, o
     return keyed(existing.filter("is_active"), key).join(covered, owner, "left_semi").join(keyed(scraped, key).select(*key), key, "left_anti")
 
 
-def upsert(existing: DataFrame, scraped: DataFrame, now: str, key: list[str] = KEY, retire: bool = True, whole_keys: bool = False) -> DataFrame:
-    """One full outer join gives updates, inserts and retirements; ``change`` names what happened to each row, and
-    ``was_active`` says what it was before.
+def upsert(existing: DataFrame, scraped: DataFrame, now: str, key: list[str] = KEY, retire: bool = True, whole_keys: bool = False, before: bool = False) -> DataFrame:
+    """One full outer join gives updates, inserts and retirements; ``change`` names what happened to each row, and, if
+    asked for by ``before``, ``was_active`` says what it was before.
 
     Snapshot rows without an advertiser are skipped; equal snapshot rows are one.  Advertisers that the snapshot lacks
     are left alone.  ``whole_keys``: the store has no null in its key, which is then used as it is; a store in buckets of
@@ -59,7 +59,7 @@ def upsert(existing: DataFrame, scraped: DataFrame, now: str, key: list[str] = K
     at, there, stored = F.lit(now).cast("timestamp_ntz"), F.coalesce("in_snapshot", F.lit(False)), F.coalesce("in_store", F.lit(False))
     gone = stored & ~there & F.coalesce("covered", F.lit(False)) & F.col("is_active") & F.lit(retire)
     change = F.when(there & stored, "updated").when(there, "new").when(gone, "retired").otherwise("kept")
-    return both.select(*key, F.coalesce("first_seen_date", at).alias("first_seen_date"), F.when(there | gone, at).otherwise(F.col("last_seen_date")).alias("last_seen_date"), F.when(there, True).when(gone, False).otherwise(F.col("is_active")).alias("is_active"), change.alias("change"), (stored & F.coalesce("is_active", F.lit(False))).alias("was_active"))
+    return both.select(*key, F.coalesce("first_seen_date", at).alias("first_seen_date"), F.when(there | gone, at).otherwise(F.col("last_seen_date")).alias("last_seen_date"), F.when(there, True).when(gone, False).otherwise(F.col("is_active")).alias("is_active"), change.alias("change"), *[(stored & F.coalesce("is_active", F.lit(False))).alias("was_active")] * before)
 
 
 def run_record(versions: DataFrame, key: str = "advertiser_id") -> DataFrame:

@@ -120,7 +120,7 @@ def cube_of_runs(spark, sf):
     cube, version = store.Cube(spark, scratch(spark, "cube"), "day date, advertiser_id string, image_url string", ["ads", "active"]), spark.createDataFrame([], store.STORE)
     for number, (rows, at) in enumerate(_snapshots(spark, sf)):
         kept = scratch(spark, "version")
-        tracking.upsert(version, rows, at).write.parquet(kept)
+        tracking.upsert(version, rows, at, before=True).write.parquet(kept)
         version = spark.read.parquet(kept)
         for _ in range(1 + number % 2):
             cube.add(store.changes_of(version, by), number)

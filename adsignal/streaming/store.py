@@ -94,6 +94,6 @@ class Cube:
 
 
 def changes_of(versions: DataFrame, by: dict[str, Column]) -> DataFrame:
-    """What a run's ``tracking.upsert`` means for a cube: by, ads (new ones) and active (less those that were before)."""
+    """What a run's ``tracking.upsert(before=True)`` means for a cube: by, ads (new ones) and active (less those that were before)."""
     ads, active = (F.col("change") == "new").cast("long"), F.col("is_active").cast("long") - F.col("was_active").cast("long")
     return versions.select(*[c.alias(n) for n, c in by.items()], ads.alias("ads"), active.alias("active")).filter("ads <> 0 OR active <> 0")
