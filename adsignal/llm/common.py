@@ -26,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def stored(df: DataFrame, tag: str, gathered: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    gathered: for small rows out of long tasks.  They pass through a shuffle into files of a reasonable size, so that no
+    task writes a small file of its own while Python works beside it.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if gathered else df
     path = f"{shared_dir(spark)}/adsignal-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

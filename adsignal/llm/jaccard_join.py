@@ -442,10 +442,10 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     size = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = min(24, max(2, int(np.ceil(np.log2(max(size, 1) / 6 / 1_000_000 + 1)))))
-    counts = stored(shingle_counts(plain, k, bits, frequent), "counts")
+    counts = stored(shingle_counts(plain, k, bits, frequent), "counts", gathered=True)
     known = counts.filter("n IS NOT NULL")
     held = spark.sparkContext.broadcast((*frequent_class(known, most_frequent), repeated_bitmap(counts, bits)))
-    table = stored(signed(plain, k, percent, bits, hot, held), "signed")
+    table = stored(signed(plain, k, percent, bits, hot, held), "signed", gathered=True)
     held.destroy()  # the table is written
 
     some = table.filter("n > 0 AND doc_id IS NOT NULL")
@@ -464,7 +464,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     best = named.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
     first = best.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     found = plain.filter("doc_id IS NOT NULL")
-    links = stored(stars(found, first, k, percent), "links")
+    links = stored(stars(found, first, k, percent), "links", gathered=True)
 
     groups = components(links)
     placed = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -475,9 +475,9 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85, key: str =
     linkable = stored(may_link(keys, percent), "linkable")
     pairs = stored(cross_pairs(linkable, percent), "pairs")
     members = placed.select("doc_id", "component").distinct()
-    more = stored(visits(found, pairs, members, k, percent), "links")
+    more = stored(visits(found, pairs, members, k, percent), "links", gathered=True)
     if linkable.filter(F.col("components") > FEW).head(1):
-        more = more.unionByName(stored(crowds(found, linkable, keys, k, percent), "links"))
+        more = more.unionByName(stored(crowds(found, linkable, keys, k, percent), "links", gathered=True))
     final = components(links.unionByName(more)).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
     ends = classes.select("doc_id", "rep").distinct().join(final, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("found"))
     out = table.select("doc_id", F.col("n").alias("n_shingles")).join(ends.groupBy("doc_id").agg(F.min("found").alias("found")), "doc_id", "left")

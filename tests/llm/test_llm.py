@@ -331,6 +331,24 @@ def test_jaccard_join_of_rows_without_an_id(spark):
     assert got == [(3, 2, 3), (3, 2, 3), (4, 2, 3), (None, 2, None), (None, 2, None)]
 
 
+def test_jaccard_join_gathers_what_python_tasks_return(spark, monkeypatch):
+    """Small results of 16 Python tasks are not 16 files, each written beside Python at work."""
+    files = collections.defaultdict(list)
+    inner = jaccard_join.stored
+
+    def stored(df, tag, **how):
+        out = inner(df, tag, **how)
+        files[tag].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    rows = [(d, " ".join(f"w{d // 2}x{i}" for i in range(40)) + f" end{d}") for d in range(320)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, 4, 85).collect()}
+    assert got == components_of(dict(rows), 4, 85)
+    assert {tag: max(files[tag]) for tag in ("counts", "signed", "links")} == {"counts": 1, "signed": 1, "links": 1}
+
+
 def test_empty_joins(spark):
     assert jaccard_join.similar_documents(empty(spark)).count() == 0
 
