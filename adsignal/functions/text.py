@@ -5,6 +5,8 @@ Missing values give null unless a function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,10 +120,15 @@ COMMENTS = ["the ad ", "more details", "note:"]
 
 
 def without_comments(lines: Column, comments: list[str]) -> Column:
-    said = lambda line: F.exists(F.array(*map(F.lit, comments)), lambda c: F.startswith(F.lower(line), c))
+    said = lambda line: held(F.lower(line), lambda low: F.exists(F.array(*map(F.lit, comments)), lambda c: F.startswith(low, c)))
     return F.filter(lines, lambda line: (line != "") & ~said(line))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sections(reply: Column, names: list[str], comments: list[str] = COMMENTS) -> Column:
     """map<name, text> of a reply with numbered headings ('2. Brand: ...'), the i-th name for number i.
 
@@ -130,24 +137,30 @@ def sections(reply: Column, names: list[str], comments: list[str] = COMMENTS) ->
     kind = "struct<n:int,rows:array<struct<n:int,line:string>>>"
     start = F.struct(F.lit(None).cast("int").alias("n"), F.array().cast("array<struct<n:int,line:string>>").alias("rows")).cast(kind)
 
-    def step(done: Column, raw: Column) -> Column:
-        line = F.trim(F.regexp_replace(raw, r"\*\*", ""))
-        number = F.regexp_extract(line, r"^(\d+)[.)]", 1).try_cast("int")
-        body = F.when(number.isNull(), line).otherwise(F.trim(F.regexp_extract(line, r"^\d+[.)][^:]*:(.*)$", 1)))
-        n = F.coalesce(number, done["n"])
-        row = F.array(F.struct(n.alias("n"), body.alias("line"))).cast("array<struct<n:int,line:string>>")
-        return F.struct(n.alias("n"), F.when(n.isNull() | (body == ""), done["rows"]).otherwise(F.concat(done["rows"], row)).alias("rows")).cast(kind)
+    def parsed(line: Column) -> Column:
+        number = F.when(F.substring(line, 1, 1).between("0", "9"), F.regexp_extract(line, r"^(\d+)[.)]", 1).try_cast("int"))
+        return held(number, lambda n: F.struct(n.alias("n"), F.when(n.isNull(), line).otherwise(F.trim(F.regexp_extract(line, r"^\d+[.)][^:]*:(.*)$", 1))).alias("line")))
+
+    def step(done: Column, x: Column) -> Column:
+        n = F.coalesce(x["n"], done["n"])
+        row = F.array(F.struct(n.alias("n"), x["line"].alias("line")))
+        return F.struct(n.alias("n"), F.when(n.isNull() | (x["line"] == ""), done["rows"]).otherwise(F.concat(done["rows"], row)).alias("rows"))
+
+    def named_texts(rows: Column) -> Column:
+        text = lambda i: F.array_join(without_comments(F.transform(F.filter(rows, lambda r: r["n"] == i), lambda r: r["line"]), comments), "\n")
+        return F.map_filter(F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), text(i))]), lambda _, v: v != "")
 
-    rows = F.aggregate(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), start, step, lambda x: x["rows"])
-    text = lambda i: F.array_join(without_comments(F.transform(F.filter(rows, lambda r: r["n"] == i), lambda r: r["line"]), comments), "\n")
-    whole = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), text(i))])
-    return F.map_filter(whole, lambda _, v: v != "")
+    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), lambda raw: held(F.trim(F.replace(raw, F.lit("**"), F.lit(""))), parsed))
+    return held(F.aggregate(lines, start, step, lambda x: x["rows"]), named_texts)
 
 
-def visible_text(reply: Column, names: list[str], comments: list[str] = COMMENTS) -> Column:
-    """What the ad itself says: the first section, or without it the whole reply, comments left out."""
+def visible_text(reply: Column, names: list[str], comments: list[str] = COMMENTS, found: Column | None = None) -> Column:
+    """What the ad itself says: the first section, or without it the whole reply, comments left out.
+
+    ``found`` is what ``sections`` gives, where that is a column already.
+    """
     lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), lambda line: F.trim(line))
-    return F.coalesce(sections(reply, names, comments)[names[0]], F.array_join(without_comments(lines, comments), "\n"))
+    return F.coalesce((sections(reply, names, comments) if found is None else found)[names[0]], F.array_join(without_comments(lines, comments), "\n"))
 
 
 def merged_transcripts(parts: Column, least_share: float = 0.3) -> Column:
