@@ -547,26 +547,58 @@ def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected:
     return rows.select(key, F.col("region.detected").alias("detected_region"), (~F.col("region.is_valid")).alias("rejected_wrong_region")).join(labels, key, "left")
 
 
-def with_batches(df: DataFrame, analyse: Callable[[pd.DataFrame], pd.DataFrame], schema: str, fallback: dict) -> DataFrame:
-    """A caller's batch function over rows.  A batch that fails is tried row by row; a row that fails gives the fallback's
-    values and the error's text.
+def with_batches(df: DataFrame, analyse: Callable[[pd.DataFrame], pd.DataFrame], schema: str, fallback: dict, partitions: int | None = None) -> DataFrame:
+    """A caller's batch function over rows.  A batch that fails is cut until the rows that fail stand alone; these give the
+    fallback's values and the error's text, the others what the function says of them.
 
-    ``schema`` is of the whole result, and ends with ``enrichment_error string``.
+    ``schema`` is of the whole result, and ends with ``enrichment_error string``.  With ``partitions`` rows are dealt into
+    so many tasks first: small files come as few tasks, and a batch function costs more than a shuffle.
     """
 
-    def row_by_row(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for at in range(len(batch)):
-            row = batch.iloc[at : at + 1]
+    def tried(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame | Exception]]:
+        """(place, result or error) of pieces that succeed and of single rows that fail, in order.
+
+        Pieces are about as long as the rows between two failures so far, and one that fails is halved towards its first
+        failing row: where few rows fail there are few calls, and where all do one a row.
+        """
+
+        def one(at: int, end: int) -> pd.DataFrame | Exception:
             try:
-                yield analyse(row).assign(enrichment_error=None)
+                return analyse(batch.iloc[at:end])
             except Exception as error:  # noqa: BLE001  a caller's function may fail in any way
-                yield row.assign(**fallback, enrichment_error=str(error))
+                return error
+
+        at, size, failed = 0, len(batch), 0
+        while at < len(batch):
+            end = min(len(batch), at + size)
+            found = one(at, end)
+            while isinstance(found, Exception) and end - at > 1:
+                middle = (at + end) // 2
+                found = one(at, middle)
+                if isinstance(found, Exception):
+                    end = middle
+                else:
+                    yield at, found
+                    at = middle
+                    found = one(at, end) if end - at == 1 else ValueError()
+            yield at, found
+            failed += isinstance(found, Exception)
+            at = end
+            size = max(1, int(0.7 * at / failed)) if failed else len(batch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield analyse(batch).assign(enrichment_error=None)
-            except Exception:  # noqa: BLE001
-                yield from row_by_row(batch)
-
-    return df.mapInPandas(run, schema)
+            alike: dict[tuple, list[pd.DataFrame]] = {}
+            places, errors = [], []
+            for at, found in tried(batch):
+                if isinstance(found, Exception):
+                    places.append(at)
+                    errors.append(str(found))
+                else:  # results of other types stay apart, so that none is converted
+                    alike.setdefault(tuple(zip(found.columns, found.dtypes, strict=True)), []).append(found)
+            for results in alike.values():
+                yield pd.concat(results, ignore_index=True).assign(enrichment_error=None)
+            if places:
+                yield batch.iloc[places].assign(**fallback, enrichment_error=errors)
+
+    return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)

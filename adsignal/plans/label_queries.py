@@ -157,7 +157,7 @@ def _analysed(batch: pd.DataFrame) -> pd.DataFrame:
 @register("SELECT ad_id, CASE WHEN k = 15 THEN 'none' ELSE substr(ad_text, 1, 3) END AS label, CASE WHEN k = 15 THEN 'no text' END AS enrichment_error FROM texts", with_texts=True)
 def custom_analyser(spark, sf):
     rows = texts(spark, sf).select("ad_id", "ad_text")
-    return labels.with_batches(rows, _analysed, "ad_id long, ad_text string, label string, enrichment_error string", {"label": "none"}).select("ad_id", "label", "enrichment_error")
+    return labels.with_batches(rows, _analysed, "ad_id long, ad_text string, label string, enrichment_error string", {"label": "none"}, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("ad_id", "label", "enrichment_error")
 
 
 @register("SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '([0-9]+)[ \\t\\n]*%[ \\t\\n]*(?:off|discount)')) + len(regexp_extract_all(lower(coalesce(text, '')), 'save[ \\t\\n]*([0-9]+)[ \\t\\n]*%')) AS percents FROM documents", with_ads=False)
