@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import lexicon_scores, term_hits
+from ..functions.repeated import ID, once_each, written
 from ..functions.similar import similar
 from ..functions.sizes import sent_if_small
 from ..functions.text import placed, product_name, slug_title, trimmed_name
@@ -337,32 +338,43 @@ def brand_scan(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_tex
     catalog: canonical_name, alias, entity_type, priority.  An alias is found as whole words (.92, or .87 if it is not the
     brand's own name), else between signs that are no letters or digits (.85), else by a run of as many words whose
     similarity ratio is at least ``least`` (.75 and a quarter of what is over).  Aliases and texts meet on equal runs of
-    words, and likely ones through an index of their segments, never all with all.
+    words, and likely ones through an index of their segments, never all with all.  A text that several ads have is
+    scanned once.
     """
+    rows = ads.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return once_each(rows, ["t"], lambda texts: _scanned(texts, catalog, ID, least, ignored), "inner").drop("t")
+
+
+def _scanned(rows: DataFrame, catalog: DataFrame, key: str, least: float = 0.86, ignored: tuple[str, ...] = ("platform",)) -> DataFrame:
+    """``brand_scan`` of rows (key, t), each scanned by itself.  Likely runs are written, so that texts are cut into runs
+    twice: to find these, and to meet them and the catalog's own runs at once."""
     words = _tokens(F.col("alias"))
     known = catalog.filter(~F.col("entity_type").isin(*ignored)).select("canonical_name", "alias", "entity_type", "priority", F.array_join(words, " ").alias("run"), F.size(words).alias("size")).filter("size > 0").distinct()
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # how many words aliases have: a few numbers
-    rows = ads.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
     runs = rows.select(key, "t", F.explode(_runs(_tokens(F.col("t")), sizes)).alias("run"))
-    small = sent_if_small(known)
+    size = lambda run: F.size(F.split(run, " "))
+    likely = similar(runs.select(F.col("run").alias("text"), size("run").alias("kind")), known.select(F.col("run").alias("name"), F.col("size").alias("kind")), least)
+    likely = written(likely, "likely").select(F.col("text").alias("likely"), F.col("name").alias("run"), "ratio")
+    wanted = known.select(F.col("run").alias("likely"), "run", F.lit(None).cast("double").alias("ratio")).unionByName(likely)
+    wanted = wanted.join(sent_if_small(known.drop("size")), "run").drop("run").withColumnRenamed("likely", "run").distinct()
+
     quoted = F.concat(F.lit(r"\Q"), F.col("alias"), F.lit(r"\E"))
     whole, between = F.concat(F.lit(r"(?iU)\b"), quoted, F.lit(r"\b")), F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9\u0600-\u06FF])"), quoted, F.lit(r"(?![A-Za-z0-9\u0600-\u06FF])"))
-    met = runs.join(small, "run")
-    exact = F.regexp("t", whole)
-    pattern = F.when(exact, whole).otherwise(between)
-    met = met.filter(exact | (F.regexp("t", between) & (F.length("alias") >= 3)))
-    base = F.when(~exact, 0.85).when(F.lower("alias") == F.lower("canonical_name"), 0.92).otherwise(0.87)
+    equal, exact = F.col("ratio").isNull(), F.regexp("t", whole)
+    met = runs.join(sent_if_small(wanted), "run").withColumn("exact", F.when(equal, exact))
+    met = met.filter(~equal | F.col("exact") | (F.regexp("t", between) & (F.length("alias") >= 3)))
+    pattern = F.when(F.col("exact"), whole).otherwise(between)
+    base = F.when(~F.col("exact"), 0.85).when(F.lower("alias") == F.lower("canonical_name"), 0.92).otherwise(0.87)
     sure = boosted(base, F.regexp_instr("t", pattern) - 1, F.length("t"), F.regexp_count("t", pattern))
-    direct = met.select(key, "canonical_name", "alias", F.when(exact, "catalog").otherwise("catalog_substring").alias("source"), sure.alias("confidence"), "entity_type", "priority")
-
-    size = lambda run: F.size(F.split(run, " "))
-    likely = similar(runs.select(F.col("run").alias("text"), size("run").alias("kind")), known.select(F.col("run").alias("name"), F.col("size").alias("kind")), least)
-    scored = likely.select(F.col("text").alias("run"), F.col("name").alias("wanted"), "ratio").join(sent_if_small(known.select("alias", F.col("run").alias("wanted")).distinct()), "wanted").select("run", "alias", "ratio")
-    near = runs.join(scored, "run").join(small.drop("run", "size"), "alias").join(direct.select(key, "alias").distinct(), [key, "alias"], "left_anti")
+    direct = F.when(equal, F.struct(sure.alias("confidence"), F.when(F.col("exact"), "catalog").otherwise("catalog_substring").alias("source")))
     at = F.regexp_instr(F.lower("t"), F.concat(F.lit(r"(?U)\b\Q"), F.col("run"), F.lit(r"\E\b"))) - 1
-    first = near.groupBy(key, "canonical_name", "alias", "entity_type", "priority").agg(F.min(F.struct(F.greatest(at, F.lit(0)).alias("at"), "run", "ratio", F.length("t").alias("length"))).alias("x"))
-    fuzzy = first.select(key, "canonical_name", F.col("x.run").alias("alias"), F.lit("catalog_fuzzy").alias("source"), boosted(0.75 + (F.col("x.ratio") - least) * 0.25, F.col("x.at"), F.col("x.length"), F.lit(1)).alias("confidence"), "entity_type", "priority")
-    best = direct.unionByName(fuzzy).groupBy(key, F.col("canonical_name").alias("brand")).agg(F.max(F.struct("confidence", "alias", "source", "entity_type", "priority")).alias("x"))
+    near = F.when(~equal, F.struct(F.greatest(at, F.lit(0)).alias("at"), "run", "ratio", F.length("t").alias("length")))
+    # An alias that stands in the text is not looked for among the likely runs.
+    found = met.groupBy(key, "canonical_name", "alias", "entity_type", "priority").agg(F.max(direct).alias("direct"), F.min(near).alias("x"))
+    fuzzy = F.struct(boosted(0.75 + (F.col("x.ratio") - least) * 0.25, F.col("x.at"), F.col("x.length"), F.lit(1)).alias("confidence"), F.col("x.run").alias("alias"), F.lit("catalog_fuzzy").alias("source"))
+    match = F.when(F.col("direct").isNotNull(), F.struct("direct.confidence", "alias", "direct.source")).otherwise(fuzzy)
+    found = found.select(key, "canonical_name", match.alias("m"), "entity_type", "priority")
+    best = found.groupBy(key, F.col("canonical_name").alias("brand")).agg(F.max(F.struct("m.confidence", "m.alias", "m.source", "entity_type", "priority")).alias("x"))
     return best.select(key, "brand", "x.alias", "x.source", "x.confidence", "x.entity_type", "x.priority")
 
 
@@ -463,15 +475,26 @@ def brands_of(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text
     """ads with ``brand``, ``brand_confidence``, ``brand_type``, ``brand_inferred``, ``brand_conflict``.
 
     Catalog first; ``resolve`` (key, text -> key, brand, confidence) is asked for ads of which the catalog knows nothing,
-    and for no others; then names that no catalog has, then hints (advertiser_id, brands).
+    and for no others; then names that no catalog has, then hints (advertiser_id, brands).  What is equal in all of these
+    is worked out once.
     """
-    stored = sent_if_small(catalog.select("canonical_name", "entity_type", "priority").distinct())
-    found = brand_scan(ads, catalog, key, text).select(key, F.struct(F.col("brand").alias("name"), "confidence", "entity_type", "priority").alias("m"))
+    own, told = [text, *(["advertiser_id"] if hints is not None else [])], []
     if resolve is not None:
-        asked = resolve(ads.join(found.select(key).distinct(), key, "left_anti").select(key, text))
-        found = found.unionByName(asked.join(stored, F.col("brand") == F.col("canonical_name"), "left").select(key, F.struct(F.col("brand").alias("name"), "confidence", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"), F.coalesce("priority", F.lit(-1)).alias("priority")).alias("m")))
-    listed = found.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("m"))
-    rows = ads.join(listed, key, "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<name:string,confidence:double,entity_type:string,priority:int>>")))
+        known = brand_scan(ads, catalog, key, text).select(key).distinct()
+        asked = resolve(ads.join(known, key, "left_anti").select(key, text))
+        stored = sent_if_small(catalog.select("canonical_name", "entity_type", "priority").distinct())
+        found = asked.join(stored, F.col("brand") == F.col("canonical_name"), "left").select(key, F.struct(F.col("brand").alias("name"), "confidence", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"), F.coalesce("priority", F.lit(-1)).alias("priority")).alias("m"))
+        ads, told = ads.join(found.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("told")), key, "left"), ["told"]
+    labelled = lambda rows: _branded(rows, catalog, ID, text, hints).select(ID, "brand", "brand_confidence", "brand_type", "brand_inferred", "brand_conflict")
+    return once_each(ads, [*own, *told], labelled).drop(*told)
+
+
+def _branded(ads: DataFrame, catalog: DataFrame, key: str, text: str, hints: DataFrame | None) -> DataFrame:
+    """``brands_of`` of rows that are each looked at by themselves; ``told``, if they have it, is what a resolver said."""
+    none = F.array().cast("array<struct<name:string,confidence:double,entity_type:string,priority:int>>")
+    found = _scanned(ads.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")), catalog, key).select(key, F.struct(F.col("brand").alias("name"), "confidence", "entity_type", "priority").alias("m"))
+    listed = found.groupBy(key).agg(F.collect_list("m").alias("m"))
+    rows = ads.join(listed, key, "left").withColumn("m", F.sort_array(F.concat(F.coalesce("m", none), F.coalesce("told", none) if "told" in ads.columns else none)))
     if hints is not None:
         rows = rows.join(sent_if_small(hints.select("advertiser_id", F.col("brands").alias("hinted_brands"))), "advertiser_id", "left")
     else:
@@ -488,7 +511,7 @@ def brands_of(ads: DataFrame, catalog: DataFrame, key: str, text: str = "ad_text
     rows = rows.withColumn("full", full).withColumn("brand", F.try_element_at(ranked(F.col("full")), F.lit(1)))
     first = lambda array, field: F.try_element_at(F.transform(F.filter(array, lambda x: x["name"] == F.col("brand")), lambda x: x[field]), F.lit(1))
     rows = rows.withColumn("brand_confidence", first("full", "confidence")).withColumn("brand_type", first("m", "entity_type"))
-    return rows.withColumn("brand_inferred", F.col("h.inferred")).withColumn("brand_conflict", F.col("h.conflict")).drop("m", "h", "full", "hinted_brands", "listed", "platforms")
+    return rows.withColumn("brand_inferred", F.col("h.inferred")).withColumn("brand_conflict", F.col("h.conflict")).drop("m", "h", "full", "hinted_brands", "listed", "platforms", "told")
 
 
 #: Names that are written into a plan; what they give is the same as by a join.
@@ -503,15 +526,23 @@ def enrich(ads: DataFrame, key: str = "ad_id", text: str = "ad_text", expected:
 
     Ads of a wrong region go no further: their labels are null.  ads: key, text, advertiser_id.  ``lexicon`` (``LEXICON``)
     takes the place of the examples of themes, audiences, foods and families; a kind that it lacks keeps them.
-    ``regions`` is a dict like the example's or a table (``REGION_TERMS``).
+    ``regions`` is a dict like the example's or a table (``REGION_TERMS``).  Ads of one advertiser with one text are
+    labelled once, unless there is a ``resolve``, which is asked by key.
     """
+    if resolve is None:
+        labelled = lambda rows: _enriched(rows, ID, text, expected, catalog, subscriptions, hints, known, None, lexicon, regions, words)
+        return once_each(ads.select(key, text, "advertiser_id"), [text, "advertiser_id"], labelled).drop(text, "advertiser_id")
+    return _enriched(ads, key, text, expected, catalog, subscriptions, hints, known, resolve, lexicon, regions, words)
+
+
+def _enriched(ads: DataFrame, key: str, text: str, expected: str, catalog: DataFrame | None, subscriptions: DataFrame | None, hints: DataFrame | None, known: DataFrame | None, resolve: Callable[[DataFrame], DataFrame] | None, lexicon: DataFrame | None, regions: dict | DataFrame, words: OfferWords) -> DataFrame:
     spark = ads.sparkSession
     empty = lambda found, kind: spark.createDataFrame([], kind) if found is None else found
     rows = ads.select(key, text, "advertiser_id")
     rows = with_region(rows, key, text, regions, expected) if isinstance(regions, DataFrame) else rows.withColumn("region", region(F.col(text), expected, regions))
     kept = rows.filter("region.is_valid").select(key, text, "advertiser_id")
     kept = subscription(kept, empty(subscriptions, NO_SUBSCRIPTIONS), text)
-    kept = brands_of(kept, empty(catalog, NO_CATALOG), key, text, hints, resolve)
+    kept = brands_of(kept, empty(catalog, NO_CATALOG), key, text, hints, resolve) if resolve is not None else _branded(kept, empty(catalog, NO_CATALOG), key, text, hints)
     own = lambda kind, measure="hits": None
     if lexicon is not None:
         kept, columns = counted(kept, key, text, lexicon)
