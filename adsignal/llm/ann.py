@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from .vectors import matrix, usable
 
 SIGMAS = 2.0  # width of the error bound
 PLANES = 4  # bits of a query's component
+LOT = 512  # queries that meet a crowded block in one task
 CODE = "vec_id long, j int, dim int, bits binary, length double, own double"
 ASKED = "vec_id long, j int, dim int, planes binary, base double, step double, total double, with_centre double, length double"
 
@@ -74,14 +76,16 @@ class Codes:
 
 def bounds(planes: np.ndarray, base: np.ndarray, step: np.ndarray, total: np.ndarray, q_length: np.ndarray, bits: np.ndarray, length: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of query . rest, queries x vectors, and how far off they may be.  bits and planes as 64-bit words."""
-    words = bits.shape[1]
+    n = 64 * bits.shape[1]
     ones = np.bitwise_count(bits).sum(axis=1, dtype="int64")
-    sums = np.zeros((len(planes), len(bits)), "int64")
-    for p in range(PLANES):
-        for w in range(words):
-            sums += np.bitwise_count(planes[:, None, p * words + w] & bits[None, :, w]).astype("int64") << p
+    # A query's levels summed over a vector's bits, by a product of matrices: whole numbers, which single precision holds.
+    kind = "float32" if n << PLANES < 2**24 else "float64"
+    each = np.unpackbits(planes.view("uint8").reshape(len(planes), PLANES, n // 8), axis=2)
+    level = sum((each[:, p].astype(kind) * 2**p for p in range(1, PLANES)), each[:, 0].astype(kind))
+    sums = np.empty((len(planes), len(bits)))
+    for at in range(0, len(bits), 4096):
+        sums[:, at : at + 4096] = level @ np.unpackbits(bits[at : at + 4096].view("uint8"), axis=1).astype(kind).T
     half = base[:, None] * ones[None, :] + step[:, None] * sums  # over the components whose sign is plus
-    n = 64 * words
     estimate = (2 * half - total[:, None]) / np.sqrt(n) * (length / own)[None, :]
     spread = np.sqrt(np.maximum(1 - own**2, 0) / (own**2 * max(n - 1, 1))) * length
     rounding = step / 2 * np.sqrt(n / 3) / np.sqrt(n)  # of one rounded component, in the mean over signs
@@ -147,7 +151,9 @@ def _crowded(named: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -
     Products are summed from the first component on, as ``_exact`` does.
     """
     asking = named.join(queries.select(F.col("vec_id").alias("query_id"), "x"), "query_id")
-    spread = asking.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int"))
+    # As many lots a block as its queries fill: its vectors go to each of them.
+    per_block = F.broadcast(stored(named.groupBy("j").agg(F.least(F.lit(64), F.ceil(F.count("*") / LOT)).alias("n_lots")), "per_block"))
+    spread = asking.join(per_block, "j").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("n_lots")).cast("int")).drop("n_lots")
     lots = stored(spread.select("j", "lot").distinct(), "lots")
     lots = F.broadcast(lots) if lots.count() <= 1_000_000 else lots
     held = vectors.join(lots, "j").select("j", "lot", "vec_id", "x")
@@ -156,16 +162,19 @@ def _crowded(named: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -
         found: list[list] = [[], [], []]
         asked, here = asked.combine_chunks(), here.combine_chunks()
         sizes = here["x"].combine_chunks().value_lengths().to_numpy() if len(here) else np.empty(0)
-        for dim in np.unique(sizes).tolist():
+        for dim in np.unique(sizes).tolist() if len(asked) else ():
             part = here.filter(pa.array(sizes == dim))
             ids, y = part["vec_id"].to_numpy(), matrix(part["x"].combine_chunks())
-            for name, x in zip(asked["query_id"].to_pylist(), asked["x"].to_pylist(), strict=True):
-                if len(x) != dim:
-                    continue
-                q = np.array(x, float)
-                rough = np.where(ids == name, -np.inf, y @ q)
+            longest = float(np.linalg.norm(y, axis=1).max())
+            alike = asked.filter(pc.equal(pc.list_value_length(asked["x"]), dim))
+            names = alike["query_id"].to_numpy()
+            queries_ = matrix(alike["x"].combine_chunks()) if len(alike) else np.empty((0, dim))
+            for i, (name, q) in enumerate(zip(names.tolist(), queries_, strict=True)):
+                if i % 64 == 0:
+                    products = queries_[i : i + 64] @ y.T
+                rough = np.where(ids == name, -np.inf, products[i % 64])
                 # Sums in another order differ by far less than this.
-                near = 1e-9 * float(np.linalg.norm(q) * np.linalg.norm(y, axis=1).max())
+                near = 1e-9 * float(np.linalg.norm(q)) * longest
                 kept = np.flatnonzero(rough >= (np.partition(rough, -k)[-k] - near if len(rough) > k else -np.inf))
                 kept = kept[ids[kept] != name]
                 score = np.add.accumulate(y[kept] * q, axis=1)[:, -1]
